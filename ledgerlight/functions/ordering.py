@@ -58,7 +58,8 @@ def sort_keys(order: Sequence[str]) -> list:
 
 
 def running_totals(
-    df: DataFrame, measures: dict[str, str], order: Sequence[str], by: Sequence[str] = ()
+    df: DataFrame, measures: dict[str, str], order: Sequence[str], by: Sequence[str] = (), *,
+    max_local: int = MAX_LOCAL_VALUES,
 ) -> DataFrame:
     """Add, per measure, its total over all rows up to and including this one.
 
@@ -67,9 +68,15 @@ def running_totals(
     spread over several ranges: totals are kept per range, and only groups that
     cross a range edge need an offset, so the offset table has at most two rows
     per partition and is safe to broadcast. `by` columns must not be NULL.
+    A table of up to `max_local` rows is summed with a plain window.
     """
     by = list(by)
     keys = sort_keys(order)
+    df = settle(df)
+    if df.count() <= max_local:
+        whole = Window.partitionBy(*[col(b) for b in by]).orderBy(*keys).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(col(m)).over(whole).alias(out) for m, out in measures.items()])
     placed = placed_by_range(df, [col(b).asc() for b in by] + keys)
     sums = [F.sum(col(m)).alias(out) for m, out in measures.items()]
     outs = list(measures.values())

@@ -78,45 +78,51 @@ def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         x, y = F.col(f"c{i}"), F.col(f"c{j}")
         both = x.isNotNull() & y.isNotNull()
         spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-        aggs += [
-            F.count_if(both).alias(f"n{i}_{j}"),
-            # rounding may push |r| past 1
-            F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.covar_pop(x, y), spread))).alias(f"r{i}_{j}"),
-        ]
+        aggs += [F.count_if(both).alias(f"n{i}_{j}"), ratio(F.covar_pop(x, y), spread).alias(f"r{i}_{j}")]
     wide = values.agg(*aggs)
     return rows_from(wide, [
         F.struct(
             F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
             F.col(f"n{i}_{j}").alias("n"),
-            F.when(F.col(f"r{i}_{j}").isNotNull() & (F.col(f"n{i}_{j}") > 1), F.col(f"r{i}_{j}")).alias("r"),
+            # rounding may push |r| past 1; NULL must stay NULL
+            F.when(F.abs(f"r{i}_{j}") > 1, F.signum(f"r{i}_{j}")).otherwise(F.col(f"r{i}_{j}")).alias("r"),
         )
         for i, j in _pairs(cols)
     ])
 
 
-def _mid_ranks(weighted: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Mean rank of every distinct value of every column: (column, value, mid, cnt)."""
-    long = weighted.select("_w", F.inline(F.array(*[
+def _mid_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Mean rank of every distinct value of every column: (column, value, cnt, upto, mid)."""
+    long = values.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("column"), F.col(n).alias("value")) for n in names
     ])))
-    freq = long.groupBy("column", "value").agg(F.sum("_w").alias("cnt"))
+    freq = long.groupBy("column", "value").agg(F.count("*").alias("cnt"))
     run = running_totals(freq, {"cnt": "upto"}, ["value"], by=["column"])
     return run.withColumn("mid", F.col("upto") - (F.col("cnt") - 1) / 2)
 
 
-# A value on more than 1/HOT_SHARE of the rows is looked up from a broadcast
+# Up to this many distinct values are looked up from a broadcast table.
+MAX_BROADCAST_VALUES = 500_000
+
+# Beyond that, a value on more than 1/HOT_SHARE of the rows is looked up from a broadcast
 # table, which by counting has at most HOT_SHARE rows per column.
 HOT_SHARE = 1000
 
 
-def _with_ranks(weighted: DataFrame, names: Sequence[str], rows: int) -> DataFrame:
-    """Replace each value by its mean rank, less the mean of all ranks.
+def _ranks_by_broadcast(values: DataFrame, mids: DataFrame, names: Sequence[str], centre: Column) -> DataFrame:
+    out = values.withColumn("_w", F.lit(1).cast("long"))
+    for n in names:
+        mine = mids.filter(F.col("column") == n).select(F.col("value").alias(n), (F.col("mid") - centre).alias(f"_rank_{n}"))
+        out = out.join(F.broadcast(mine), n)
+    return out
+
 
-    Frequent values come from a broadcast table; the others, none of which
-    holds many rows, by an ordinary join.
+def _ranks_by_join(values: DataFrame, mids: DataFrame, names: Sequence[str], centre: Column, rows: int) -> DataFrame:
+    """Frequent values come from a broadcast table; the others, none of which holds many rows, by a join.
+
+    Equal rows are counted once with a weight, so copies cannot pile up in one task.
     """
-    mids = settle(_mid_ranks(weighted, names))
-    centre = F.lit((rows + 1) / 2)
+    weighted = values.groupBy(*names).agg(F.count("*").alias("_w"))
     out = weighted
     for n in names:
         mine = mids.filter(F.col("column") == n)
@@ -132,12 +138,18 @@ def _with_ranks(weighted: DataFrame, names: Sequence[str], rows: int) -> DataFra
     return out
 
 
-def _spearman_complete(df: DataFrame, names: Sequence[str], pairs: list[tuple[str, str]]) -> DataFrame:
+def _spearman_complete(df: DataFrame, names: Sequence[str], pairs: list[tuple[str, str]],
+                       max_broadcast: int) -> DataFrame:
     """rho of pairs of columns without missing values: (a, b, n, rho)."""
-    # equal rows are counted once with a weight, so copies cannot pile up in one task
-    weighted = settle(df.select(*names).groupBy(*names).agg(F.count("*").alias("_w")))
-    rows = weighted.agg(F.sum("_w")).first()[0] or 0
-    ranked = _with_ranks(weighted, names, rows)
+    values = df.select(*names)
+    mids = settle(_mid_ranks(values, names))
+    distinct, rows = mids.agg(F.count("*"), F.max("upto")).first()
+    # ranks less their mean: their products then sum without loss of digits
+    centre = F.lit(((rows or 0) + 1) / 2)
+    if distinct <= max_broadcast:
+        ranked = _ranks_by_broadcast(values, mids, names, centre)
+    else:
+        ranked = _ranks_by_join(values, mids, names, centre, rows)
     w = F.col("_w")
     aggs = [F.sum(w).alias("n")]
     aggs += [F.sum(w * F.col(f"_rank_{x}") * F.col(f"_rank_{x}")).alias(f"ss_{x}") for x in names]
@@ -152,8 +164,11 @@ def _spearman_complete(df: DataFrame, names: Sequence[str], pairs: list[tuple[st
     ])
 
 
-def corr_spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson's r of the mean ranks, ranked within the rows where both are present."""
+def corr_spearman(df: DataFrame, cols: Sequence[str], *, max_broadcast: int = MAX_BROADCAST_VALUES) -> DataFrame:
+    """Pearson's r of the mean ranks, ranked within the rows where both are present.
+
+    Columns without gaps are ranked once; a pair with gaps is ranked on its own rows.
+    """
     require_columns(df, cols)
     names = [f"c{i}" for i in range(len(cols))]
     values = df.select(*[as_double(df, c).alias(n) for c, n in zip(cols, names)])
@@ -163,10 +178,10 @@ def corr_spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     parts = []
     whole = [(a, b) for a, b in pairs if a in full and b in full]
     if whole:
-        parts.append(_spearman_complete(values, full, whole))
+        parts.append(_spearman_complete(values, full, whole, max_broadcast))
     for a, b in pairs:
         if (a, b) not in whole:
-            parts.append(_spearman_complete(values.select(a, b).dropna(), [a, b], [(a, b)]))
+            parts.append(_spearman_complete(values.select(a, b).dropna(), [a, b], [(a, b)], max_broadcast))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -9,6 +9,7 @@ one busy tenant or user does not weigh on a single task.
 from __future__ import annotations
 
 from datetime import date, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,21 +44,29 @@ def tokens() -> Column:
 
 def usage_cost(log: DataFrame, prices: dict[str, tuple[float, float]] | None = None,
                default_model: str = DEFAULT_MODEL) -> DataFrame:
-    """Set `cost_usd` from the tokens; the price table is a literal, so nothing is joined."""
+    """Set `cost_usd` from the tokens, at six decimals.
+
+    The price table is a literal, so nothing is joined, and the arithmetic is
+    exact, so halves are always rounded the same way.
+    """
     prices = PRICES if prices is None else prices
     per_in, per_out = prices[default_model]
 
-    def price(at: int, default: float) -> Column:
-        table = F.create_map(*[x for m, p in prices.items() for x in (F.lit(m), F.lit(float(p[at])))])
-        return F.coalesce(F.try_element_at(table, F.col("model")), F.lit(float(default)))
+    def cost(tokens_name: str, at: int, default: float) -> Column:
+        table = F.create_map(*[x for m, p in prices.items() for x in (F.lit(m), _price(p[at]))])
+        price = F.coalesce(F.try_element_at(table, F.col("model")), _price(default))
+        return F.col(tokens_name).cast("decimal(12,0)") * price * F.lit(Decimal("0.000001"))
+
+    total = cost("token_input", 0, per_in) + cost("token_output", 1, per_out)
+    return log.withColumn("cost_usd", F.round(total, 6).cast("double"))
+
 
-    cost = (F.col("token_input") / 1_000_000 * price(0, per_in)
-            + F.col("token_output") / 1_000_000 * price(1, per_out))
-    return log.withColumn("cost_usd", F.round(cost, 6))
+def _price(dollars: float) -> Column:
+    return F.lit(str(dollars)).cast("decimal(12,6)")
 
 
 def _cost_sum() -> Column:
-    return F.round(F.sum(F.col("cost_usd").cast(COST)).cast("double"), 4)
+    return F.round(F.sum(F.col("cost_usd").cast(COST)), 4).cast("double")
 
 
 def usage_daily(log: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def stream_usage_daily(stream: DataFrame, watermark: str = "1 day") -> DataFrame
             F.count_if(F.col("status") == "success").alias("success_calls"),
             F.count_if(~F.col("status").eqNullSafe("success")).alias("error_calls"),
             F.sum(tokens()).alias("total_tokens"),
-            F.round(F.sum(F.col("cost_usd").cast(COST)).cast("double"), 4).alias("total_cost_usd"),
+            F.round(F.sum(F.col("cost_usd").cast(COST)), 4).cast("double").alias("total_cost_usd"),
         )
         .select("tenant_id", F.date_format("w.start", "yyyy-MM-dd").alias("date"), "total_calls", "success_calls",
                 "error_calls", "total_tokens", "total_cost_usd")
