@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .exprs import as_double, col
 
-# Up to this many values per column the built-in exact percentile is used.
-MAX_LOCAL_VALUES = 1_000_000
+# Up to this many values per column the built-in exact percentile is used, and
+# up to this many rows a plain window.
+MAX_LOCAL_VALUES = 100_000
+MAX_LOCAL_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -38,13 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the cluster's shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the table to shared storage and go on from there.
 
-    A lost executor then cannot change which rows a partition holds.
+    A lost executor then cannot change which rows a partition holds, and later
+    steps read only the columns they need.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = work_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def placed_by_range(df: DataFrame, order: Sequence) -> DataFrame:
@@ -59,7 +69,7 @@ def sort_keys(order: Sequence[str]) -> list:
 
 def running_totals(
     df: DataFrame, measures: dict[str, str], order: Sequence[str], by: Sequence[str] = (), *,
-    max_local: int = MAX_LOCAL_VALUES,
+    max_local: int = MAX_LOCAL_ROWS,
 ) -> DataFrame:
     """Add, per measure, its total over all rows up to and including this one.
 
@@ -110,6 +120,52 @@ def running_totals(
     return joined.select(*[col(c) for c in df.columns], *[col(o) for o in outs])
 
 
+def mid_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Replace every value of the columns by its mean rank; values must not be NULL.
+
+    One range shuffle of (column, value) pairs ranks all columns, and one
+    shuffle by row puts the ranks back. A frequent value may fill several
+    ranges; only values at the edge of a range need correcting, at most two per
+    range and column.
+    """
+    rows = settle(values.select(*names, F.monotonically_increasing_id().alias("_id")))
+    long = rows.select("_id", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(n).alias("v")) for i, n in enumerate(names)
+    ])))
+    placed = placed_by_range(long, [F.col("c"), F.col("v"), F.col("_id")])
+    part = Window.partitionBy("_pid", "c")
+    ranked = placed.select(
+        "_id", "_pid", "c", "v",
+        (F.rank().over(part.orderBy("v")) - 1).alias("less"),
+        F.count("*").over(Window.partitionBy("_pid", "c", "v")).alias("ties"),
+    )
+    ranges = settle(placed.groupBy("_pid", "c").agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    earlier = Window.partitionBy("c").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(
+        "_pid", "c", "n", "lo", "hi", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    below = F.when(F.col("v") == F.col("lo"), F.col("start")).otherwise(F.col("start") + F.col("n") - F.col("ties"))
+    edge = (
+        placed.join(F.broadcast(starts), ["_pid", "c"])
+        .filter((F.col("v") == F.col("lo")) | (F.col("v") == F.col("hi")))
+        .groupBy("c", "v", "_pid", "lo", "n", "start").agg(F.count("*").alias("ties"))
+        .select("c", "v", "ties", below.alias("less"))
+        .groupBy("c", "v").agg(F.min("less").alias("e_less"), F.sum("ties").alias("e_ties"))
+    )
+    mids = (
+        ranked.join(F.broadcast(starts.select("_pid", "c", "start")), ["_pid", "c"])
+        .join(F.broadcast(edge), ["c", "v"], "left")
+        .select(
+            "_id", "c",
+            (F.coalesce("e_less", F.col("start") + F.col("less"))
+             + (F.coalesce("e_ties", "ties") + 1) / 2).alias("mid"),
+        )
+    )
+    return mids.groupBy("_id").agg(*[
+        F.max(F.when(F.col("c") == i, F.col("mid"))).alias(n) for i, n in enumerate(names)
+    ]).select(*names)
+
+
 def rows_at_ranks(
     df: DataFrame, by: str, order: Sequence[str], ranks: dict[str, Sequence[int]]
 ) -> dict[str, list]:
@@ -176,15 +232,26 @@ def _inside(t: _Target) -> str:
 
 def _narrow(work: DataFrame, targets: list[_Target]) -> None:
     """Shrink every interval around its rank; two scans, no shuffle of rows."""
-    sketches = []
+    # targets in the same interval share one sketch
+    groups: dict[tuple, list[int]] = {}
     for i, t in enumerate(targets):
-        at = (t.rank - t.below + 0.5) / t.inside
-        margin = 3 / SKETCH_ACCURACY
-        lo, hi = max(0.0, at - margin), min(1.0, at + margin)
+        groups.setdefault((t.name, t.low, t.high), []).append(i)
+    sketches = []
+    for members in groups.values():
+        probs = []
+        for i in members:
+            t = targets[i]
+            at, margin = (t.rank - t.below + 0.5) / t.inside, 3 / SKETCH_ACCURACY
+            probs += [max(0.0, at - margin), min(1.0, at + margin)]
+        t = targets[members[0]]
+        array = ", ".join(f"{p!r}D" for p in probs)
         sketches.append(F.expr(
-            f"percentile_approx(CASE WHEN {_inside(t)} THEN {t.name} END, "
-            f"array({lo!r}D, {hi!r}D), {SKETCH_ACCURACY})").alias(f"t{i}"))
-    cuts = work.agg(*sketches).first()
+            f"percentile_approx(CASE WHEN {_inside(t)} THEN {t.name} END, array({array}), {SKETCH_ACCURACY})"))
+    found = work.agg(*sketches).first()
+    cuts = {}
+    for members, values in zip(groups.values(), found):
+        for at, i in enumerate(members):
+            cuts[i] = (values[2 * at], values[2 * at + 1])
     counts = []
     for i, t in enumerate(targets):
         a, b = cuts[i]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import as_double, ratio, require_columns, rows_from
-from ..functions.ordering import exact_quantiles, running_totals, settle
+from ..functions.ordering import exact_quantiles, mid_ranks, settle
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, *, approx: bool = False) -> dict[str, tuple]:
@@ -61,132 +61,76 @@ def anomaly_summary(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataF
     )
 
 
-def _pairs(cols: Sequence[str]) -> list[tuple[int, int]]:
-    return list(combinations(range(len(cols)), 2))
+# Variance below this share of the squared mean is rounding noise of a constant.
+CONSTANT_SHARE = 1e-28
 
 
 def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """r of every column pair over the rows where both are present; NULL for a constant.
 
-    One aggregation over one scan. `corr` itself fails on a constant column, so
-    r is taken from covariance and deviations.
+    A first scan takes counts and means. The second sums products of the values
+    less their mean, which keeps the digits; columns without gaps share their
+    sums among all pairs, so a pair costs one sum.
     """
     require_columns(df, cols)
-    values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
-    aggs = []
-    for i, j in _pairs(cols):
-        x, y = F.col(f"c{i}"), F.col(f"c{j}")
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-        aggs += [F.count_if(both).alias(f"n{i}_{j}"), ratio(F.covar_pop(x, y), spread).alias(f"r{i}_{j}")]
-    wide = values.agg(*aggs)
-    return rows_from(wide, [
-        F.struct(
-            F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-            F.col(f"n{i}_{j}").alias("n"),
-            # rounding may push |r| past 1; NULL must stay NULL
-            F.when(F.abs(f"r{i}_{j}") > 1, F.signum(f"r{i}_{j}")).otherwise(F.col(f"r{i}_{j}")).alias("r"),
-        )
-        for i, j in _pairs(cols)
-    ])
-
-
-def _mid_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Mean rank of every distinct value of every column: (column, value, cnt, upto, mid)."""
-    long = values.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("column"), F.col(n).alias("value")) for n in names
-    ])))
-    freq = long.groupBy("column", "value").agg(F.count("*").alias("cnt"))
-    run = running_totals(freq, {"cnt": "upto"}, ["value"], by=["column"])
-    return run.withColumn("mid", F.col("upto") - (F.col("cnt") - 1) / 2)
-
-
-# Up to this many distinct values are looked up from a broadcast table.
-MAX_BROADCAST_VALUES = 500_000
-
-# Beyond that, a value on more than 1/HOT_SHARE of the rows is looked up from a broadcast
-# table, which by counting has at most HOT_SHARE rows per column.
-HOT_SHARE = 1000
-
-
-def _ranks_by_broadcast(values: DataFrame, mids: DataFrame, names: Sequence[str], centre: Column) -> DataFrame:
-    out = values.withColumn("_w", F.lit(1).cast("long"))
-    for n in names:
-        mine = mids.filter(F.col("column") == n).select(F.col("value").alias(n), (F.col("mid") - centre).alias(f"_rank_{n}"))
-        out = out.join(F.broadcast(mine), n)
-    return out
-
-
-def _ranks_by_join(values: DataFrame, mids: DataFrame, names: Sequence[str], centre: Column, rows: int) -> DataFrame:
-    """Frequent values come from a broadcast table; the others, none of which holds many rows, by a join.
-
-    Equal rows are counted once with a weight, so copies cannot pile up in one task.
-    """
-    weighted = values.groupBy(*names).agg(F.count("*").alias("_w"))
-    out = weighted
-    for n in names:
-        mine = mids.filter(F.col("column") == n)
-        hot = F.col("cnt") * HOT_SHARE > rows
-        frequent = mine.filter(hot).select(F.col("value").alias(n), F.col("mid").alias("_hot"))
-        rare = mine.filter(~hot).select(F.col("value").alias(n), F.col("mid").alias("_cold"), F.lit(0).cast("long").alias("_slot"))
-        out = out.join(F.broadcast(frequent), n, "left")
-        # rows already served are spread out; they match nothing in slot > 0
-        spread = F.pmod(F.xxhash64(*[F.col(c) for c in weighted.columns]), F.lit(HOT_SHARE)) + 1
-        out = out.withColumn("_slot", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(spread))
-        out = out.join(rare, [n, "_slot"], "left").drop("_slot")
-        out = out.withColumn(f"_rank_{n}", F.coalesce("_hot", "_cold") - centre).drop("_hot", "_cold")
-    return out
-
-
-def _spearman_complete(df: DataFrame, names: Sequence[str], pairs: list[tuple[str, str]],
-                       max_broadcast: int) -> DataFrame:
-    """rho of pairs of columns without missing values: (a, b, n, rho)."""
-    values = df.select(*names)
-    mids = settle(_mid_ranks(values, names))
-    distinct, rows = mids.agg(F.count("*"), F.max("upto")).first()
-    # ranks less their mean: their products then sum without loss of digits
-    centre = F.lit(((rows or 0) + 1) / 2)
-    if distinct <= max_broadcast:
-        ranked = _ranks_by_broadcast(values, mids, names, centre)
-    else:
-        ranked = _ranks_by_join(values, mids, names, centre, rows)
-    w = F.col("_w")
-    aggs = [F.sum(w).alias("n")]
-    aggs += [F.sum(w * F.col(f"_rank_{x}") * F.col(f"_rank_{x}")).alias(f"ss_{x}") for x in names]
-    aggs += [F.sum(w * F.col(f"_rank_{a}") * F.col(f"_rank_{b}")).alias(f"sp_{a}_{b}") for a, b in pairs]
-    wide = ranked.agg(*aggs)
-    return rows_from(wide, [
-        F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce("n", F.lit(0)).alias("n"),
-            ratio(F.col(f"sp_{a}_{b}"), F.sqrt(f"ss_{a}") * F.sqrt(f"ss_{b}")).alias("rho"),
-        )
-        for a, b in pairs
-    ])
-
-
-def corr_spearman(df: DataFrame, cols: Sequence[str], *, max_broadcast: int = MAX_BROADCAST_VALUES) -> DataFrame:
+    names = [f"c{i}" for i in range(len(cols))]
+    values = df.select(*[as_double(df, c).alias(n) for c, n in zip(cols, names)])
+    first = values.agg(F.count("*").alias("n"), *[F.count(n).alias(f"k_{n}") for n in names],
+                       *[F.avg(n).alias(f"m_{n}") for n in names]).first()
+    mean = {n: first[f"m_{n}"] or 0.0 for n in names}
+    gaps = {n for n in names if first[f"k_{n}"] < first["n"]}
+    sums: dict[str, Column] = {"n": F.count("*")}
+
+    def add(key: str, value: Column, rows: Column | None) -> Column:
+        sums[key] = F.sum(value if rows is None else F.when(rows, value))
+        return F.col(key)
+
+    out = []
+    for a, b in combinations(names, 2):
+        x, y = F.col(a) - F.lit(mean[a]), F.col(b) - F.lit(mean[b])
+        holes = [c for c in (a, b) if c in gaps]
+        rows, tag = None, ""
+        if holes:
+            rows, tag = F.col(a).isNotNull() & F.col(b).isNotNull(), f"_{a}_{b}"
+            sums["n" + tag] = F.count_if(rows)
+        n = F.col("n" + tag)
+        sx, sxx = add(f"s_{a}{tag}", x, rows), add(f"q_{a}{tag}", x * x, rows)
+        sy, syy = add(f"s_{b}{tag}", y, rows), add(f"q_{b}{tag}", y * y, rows)
+        sxy = add(f"p_{a}_{b}", x * y, rows)
+        vx, vy = sxx - ratio(sx * sx, n), syy - ratio(sy * sy, n)
+        varies = (vx > n * CONSTANT_SHARE * mean[a] ** 2) & (vy > n * CONSTANT_SHARE * mean[b] ** 2)
+        r = ratio(sxy - ratio(sx * sy, n), F.sqrt(F.when(varies, vx)) * F.sqrt(F.when(varies, vy)))
+        out.append(F.struct(
+            F.lit(cols[names.index(a)]).alias("col_a"), F.lit(cols[names.index(b)]).alias("col_b"), n.alias("n"),
+            # rounding may push |r| past 1
+            F.when(F.abs(r) > 1, F.signum(r)).otherwise(r).alias("r"),
+        ))
+    return rows_from(values.agg(*[e.alias(k) for k, e in sums.items()]), out)
+
+
+def corr_spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson's r of the mean ranks, ranked within the rows where both are present.
 
-    Columns without gaps are ranked once; a pair with gaps is ranked on its own rows.
+    Pairs whose gaps are in the same columns are ranked together.
     """
     require_columns(df, cols)
     names = [f"c{i}" for i in range(len(cols))]
     values = df.select(*[as_double(df, c).alias(n) for c, n in zip(cols, names)])
-    gaps = values.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
-    full = [n for n in names if not gaps[n]]
-    pairs = list(combinations(names, 2))
-    parts = []
-    whole = [(a, b) for a, b in pairs if a in full and b in full]
-    if whole:
-        parts.append(_spearman_complete(values, full, whole, max_broadcast))
-    for a, b in pairs:
-        if (a, b) not in whole:
-            parts.append(_spearman_complete(values.select(a, b).dropna(), [a, b], [(a, b)], max_broadcast))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    label = F.create_map(*[x for c, n in zip(cols, names) for x in (F.lit(n), F.lit(c))])
-    return out.select(label[F.col("a")].alias("col_a"), label[F.col("b")].alias("col_b"), "n", "rho")
+    missing = values.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
+    groups: dict[tuple, list[tuple[str, str]]] = {}
+    for a, b in combinations(names, 2):
+        groups.setdefault(tuple(n for n in (a, b) if missing[n]), []).append((a, b))
+    label = dict(zip(names, cols))
+    out = None
+    for holes, pairs in groups.items():
+        used = sorted({n for p in pairs for n in p}, key=names.index)
+        rows = values.dropna(subset=list(holes)) if holes else values
+        ranked = settle(mid_ranks(rows, used))
+        wanted = {(label[a], label[b]) for a, b in pairs}
+        part = corr_pearson(ranked.toDF(*[label[n] for n in used]), [label[n] for n in used])
+        part = part.filter(F.concat_ws("\0", "col_a", "col_b").isin(*["\0".join(w) for w in wanted]))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumnRenamed("r", "rho")
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:

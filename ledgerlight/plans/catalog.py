@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 import ledgerlight as L
 
 from ..functions.exprs import money
-from ..streaming.sinks import drain_append, drain_update, work_path
+from ..functions.ordering import work_path
+from ..streaming.sinks import drain_append, drain_update
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -308,7 +309,7 @@ def catalog() -> dict[str, Query]:
         "rfm_summary": _of_orders(L.rfm_summary, "o_custkey", d, m),
         "rfm_overview": _of_orders(L.rfm_overview, "o_custkey", d, m),
         # statistics
-        "anomaly_detect": _of_stats(L.anomaly_detect, STAT_COLUMNS),
+        "anomaly_detect": _of_stats(L.anomaly_detect, STAT_COLUMNS, digits=6),
         "anomaly_summary": _of_stats(L.anomaly_summary, STAT_COLUMNS),
         "corr_pearson": _of_stats(L.corr_pearson, [*STAT_COLUMNS, "constant"], digits=6),
         "corr_spearman": _of_stats(L.corr_spearman, STAT_COLUMNS, digits=6),
@@ -325,7 +326,7 @@ def catalog() -> dict[str, Query]:
             .withColumn("ordered_at", F.try_to_timestamp("order_date")))),
         "profile_text": _profile_text,
         "desc_overview": _of_gaps(L.desc_overview),
-        "desc_stats": lambda s, p: tidy(L.desc_stats(table(s, p, "lineitem")), 2),
+        "desc_stats": lambda s, p: tidy(L.desc_stats(table(s, p, "lineitem"))),
         "sample_rows": lambda s, p: tidy(L.sample_rows(
             table(s, p, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), 3, ["o_orderkey"])),
         "sample_values": lambda s, p: L.sample_values(orders_with_gaps(s, p), "category", 5, ["o_orderkey"]),

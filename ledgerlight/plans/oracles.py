@@ -390,8 +390,8 @@ SELECT count(*) AS total_customers, round(avg(recency), 4) AS r_mean, round(avg(
        round(avg(monetary), 4) AS m_mean FROM vals""",
         # statistics
         "anomaly_detect": f"""WITH {STATS}{fences(STAT_COLUMNS)}
-SELECT col AS "column", round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound, k AS outlier_count,
-       round(k / n, 4) AS outlier_rate FROM fences""",
+SELECT col AS "column", round(lo, 6) AS lower_bound, round(hi, 6) AS upper_bound, k AS outlier_count,
+       round(k / n, 6) AS outlier_rate FROM fences""",
         "anomaly_summary": f"""WITH {STATS}{fences(STAT_COLUMNS)}
 SELECT CAST(sum(k) AS BIGINT) AS total_anomalies, count(*) AS columns_analyzed,
        (SELECT col FROM fences ORDER BY k / n DESC, pos LIMIT 1) AS worst_column FROM fences""",
@@ -450,8 +450,8 @@ SELECT count(*) AS row_count, CAST(6 AS BIGINT) AS col_count, CAST(3 AS BIGINT)
        round((6 * count(*) - count(o_orderkey) - count(o_custkey) - count(order_date) - count(sales) - count(category)
               - count(note)) / (6 * count(*)), 4) AS overall_null_rate FROM gaps""",
         "desc_stats": "WITH p AS (" + _union([numeric_profile("lineitem", c) for c in line_numbers]) + """)
-SELECT "column", count, round(mean, 2) AS mean, round(std, 2) AS std, round(min, 2) AS min, round(q1, 2) AS p25,
-       round(median, 2) AS p50, round(q3, 2) AS p75, round(max, 2) AS max FROM p""",
+SELECT "column", count, round(mean, 4) AS mean, round(std, 4) AS std, round(min, 4) AS min, round(q1, 4) AS p25,
+       round(median, 4) AS p50, round(q3, 4) AS p75, round(max, 4) AS max FROM p""",
         "sample_rows": """SELECT o_orderkey, o_custkey, round(o_totalprice, 4) AS o_totalprice
 FROM orders ORDER BY o_orderkey LIMIT 3""",
         "sample_values": f"""WITH {GAPS}

@@ -17,6 +17,8 @@ MISSING = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 _BAD = "_bad_line"
+WHOLE = r"^[+-]?\d{1,19}$"
+DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?[Ii]nf(inity)?$"
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -41,24 +43,21 @@ def _read_missing(df: DataFrame) -> DataFrame:
 
 def _infer_types(df: DataFrame) -> DataFrame:
     """Type text columns as bigint, double, boolean or text, in one scan."""
-    tests = {"bigint": "bigint", "double": "double", "boolean": "boolean"}
-    wide = df.agg(*[
-        F.count_if(col(c).isNotNull() & F.trim(col(c)).try_cast(t).isNull()).alias(f"{name}{i}")
-        for i, c in enumerate(df.columns) for name, t in tests.items()
-    ], *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
-       *[F.count_if(F.lower(F.trim(col(c))).isin("true", "false")).alias(f"word{i}") for i, c in enumerate(df.columns)]).first()
+    value = F.trim("value")
+    # one row per value: a short plan, where tests on every column would be a very long one
+    fits = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("at"), col(c).alias("value")) for i, c in enumerate(df.columns)
+    ]))).filter("value IS NOT NULL").groupBy("at").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.lower(value).isin("true", "false")).alias("boolean"),
+        # the pattern first: a failing cast is far slower
+        F.count(F.when(value.rlike(WHOLE), value.try_cast("bigint"))).alias("bigint"),
+        F.count(F.when(value.rlike(DECIMAL), value.try_cast("double"))).alias("double"),
+    ).collect()
+    kinds = {r["at"]: next((k for k in ("boolean", "bigint", "double") if r[k] == r["n"]), None) for r in fits}
     typed = []
     for i, c in enumerate(df.columns):
-        if wide[f"n{i}"] == 0:
-            kind = "double"
-        elif wide[f"word{i}"] == wide[f"n{i}"]:
-            kind = "boolean"
-        elif wide[f"bigint{i}"] == 0:
-            kind = "bigint"
-        elif wide[f"double{i}"] == 0:
-            kind = "double"
-        else:
-            kind = None
+        kind = kinds.get(i, "double")
         typed.append((F.trim(col(c)).cast(kind) if kind else col(c)).alias(c))
     return df.select(*typed)
 

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import shared_dir
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..functions.ordering import work_path
 
 
 def drain_append(stream: DataFrame, name: str) -> DataFrame:
