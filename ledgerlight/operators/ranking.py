@@ -22,15 +22,14 @@ def item_totals(df: DataFrame, k: str, m: str) -> DataFrame:
 
 def top_ranking(df: DataFrame, k: str, m: str, top: int = 10, bottom: int = 5) -> DataFrame:
     """The first `top` and last `bottom` items by total; equal totals go by item."""
-    totals = item_totals(df, k, m)
+    totals = settle(item_totals(df, k, m))
     best = totals.orderBy(F.col("total").desc(), "item").limit(top)
     worst = totals.orderBy("total", F.col("item").desc()).limit(bottom)
-    order = Window.partitionBy("side").orderBy(F.col("total").desc(), "item")
-    return (
-        best.withColumn("side", F.lit("top"))
-        .unionByName(worst.withColumn("side", F.lit("bottom")))
-        .select("side", F.row_number().over(order).alias("rank"), "item", F.col("total").cast("double").alias("total"))
-    )
+    sides = [rows.select(F.lit(side).alias("side"), "item", F.col("total").cast("double").alias("sum"))
+             for side, rows in (("top", best), ("bottom", worst))]
+    order = Window.partitionBy("side").orderBy(F.col("sum").desc(), "item")
+    ranked = sides[0].unionByName(sides[1]).withColumn("rank", F.row_number().over(order))
+    return ranked.select("side", "rank", "item", F.col("sum").alias("total"))
 
 
 def concentration(df: DataFrame, k: str, m: str, high: float = 0.7, medium: float = 0.4) -> DataFrame:
