@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import col
+from ..functions.ordering import salted_join
 from .intake import detect_delimiter_text
 
 # Texts that stand for a missing value.
@@ -17,6 +18,8 @@ MISSING = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 _BAD = "_bad_line"
+SPARK_CHARSETS = ("utf-8", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32")
+MAX_BROADCAST_FILES = 10_000
 WHOLE = r"^[+-]?\d{1,19}$"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?[Ii]nf(inity)?$"
 
@@ -113,7 +116,12 @@ def read_delimited(
     """
     if skip_rows:
         return _read_after(spark, path, sep, encoding, header, skip_rows, comment, schema)
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", header)
+    allow_charset(spark, encoding)
+    # without pruning, since a pruned parse does not notice lines with too many fields
+    reader = (
+        spark.read.option("sep", sep).option("encoding", encoding).option("header", header)
+        .option("columnPruning", False)
+    )
     if comment:
         reader = reader.option("comment", comment)
     if schema is not None:
@@ -127,7 +135,14 @@ def read_delimited(
     return _finish(_keep_short_lines(rows, sep, len(names)), schema)
 
 
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Spark reads the Unicode and Latin-1 charsets; the JVM's others need a session setting."""
+    if encoding.lower() not in SPARK_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _read_after(spark, path, sep, encoding, header, skip_rows, comment, schema) -> DataFrame:
+    allow_charset(spark, encoding)
     lines = spark.read.option("encoding", encoding).text(path).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
@@ -146,10 +161,14 @@ def _read_after(spark, path, sep, encoding, header, skip_rows, comment, schema)
         first = head.filter(F.col("_rn") == skip_rows + 1).orderBy("_file").select("value").first()
         names = schema.names if schema else _split_names(first[0], sep) if first else []
     else:
-        sample = spark.read.text(path).limit(skip_rows + 1).collect()
-        names = schema.names if schema else [f"_c{i}" for i in range(len(sample[-1][0].split(sep)))]
+        first = lines.join(head.select("_id"), "_id", "left_anti").select("value").first()
+        names = schema.names if schema else [f"_c{i}" for i in range(len(first[0].split(sep)))] if first else []
     ends = head.groupBy("_file").agg(F.max("_id").alias("_last"))
-    body = lines.join(ends, "_file", "left").filter(F.col("_last").isNull() | (F.col("_id") > F.col("_last")))
+    if ends.count() <= MAX_BROADCAST_FILES:
+        marked = lines.join(F.broadcast(ends), "_file", "left")
+    else:
+        marked = salted_join(lines, ends, ["_file"], "left")
+    body = marked.filter(F.col("_last").isNull() | (F.col("_id") > F.col("_last")))
     body = body.filter(F.length(F.trim("value")) > 0)
     if comment:
         body = body.filter(~F.col("value").startswith(comment))

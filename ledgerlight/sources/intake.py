@@ -37,7 +37,8 @@ def file_heads(spark: SparkSession, path: str, size: int) -> DataFrame:
     """(path, length, head): the first `size` bytes of every file under `path`.
 
     The binary source would load whole files for their head, so it only lists
-    them, and the heads are read through the file system of the path.
+    them, and the heads are read through the file system of the path. Empty
+    files have no row, since Spark's file sources leave them out.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 

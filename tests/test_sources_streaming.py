@@ -1,0 +1,176 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+import ledgerlight as L
+from ledgerlight.streaming.sinks import drain_append, drain_update
+from test_usage import call
+
+
+def write(path, text, encoding="utf-8"):
+    path.write_bytes(text.encode(encoding))
+    return str(path)
+
+
+def values(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_short_lines_are_padded_and_long_ones_dropped(spark, tmp_path):
+    p = write(tmp_path / "a.csv", 'id, name ,v\n1,x,1.5\n2\n3,y,2,9\n"4","a,b",NA\n')
+    df = L.read_delimited(spark, p)
+    assert df.columns == ["id", "name", "v"]
+    assert [t for _, t in df.dtypes] == ["bigint", "string", "double"]
+    assert values(df.orderBy("id")) == [(1, "x", 1.5), (2, None, None), (4, "a,b", None)]
+    assert df.count() == 3
+
+
+def test_types_comments_encoding_and_missing_words(spark, tmp_path):
+    p = write(tmp_path / "b.csv", "#note\n名;ok;n\n甲;True;1\n乙;false;N/A\n#x;y;z\nnull;;3\n", "gbk")
+    df = L.read_delimited(spark, p, sep=";", encoding="GBK", comment="#")
+    assert df.dtypes == [("名", "string"), ("ok", "boolean"), ("n", "bigint")]
+    assert values(df) == [("甲", True, 1), ("乙", False, None), (None, None, 3)]
+
+
+def test_skip_rows_in_every_file(spark, tmp_path):
+    for name, start in (("a.csv", 1), ("b.csv", 3)):
+        write(tmp_path / name, f"junk\nmore, junk, here, x\na,b\n{start},x\n{start + 1},y\n")
+    df = L.read_delimited(spark, str(tmp_path), skip_rows=2)
+    assert values(df.orderBy("a")) == [(1, "x"), (2, "y"), (3, "x"), (4, "y")]
+    bare = L.read_delimited(spark, str(tmp_path), skip_rows=3, header=False)
+    assert bare.columns == ["_c0", "_c1"] and bare.count() == 4
+
+
+def test_given_schema(spark, tmp_path):
+    p = write(tmp_path / "c.csv", "a,b\n1,2\nx,3\n")
+    assert values(L.read_delimited(spark, p, schema=spark.sql("SELECT 1L a, 1D b").schema)) == [(1, 2.0), (None, 3.0)]
+
+
+def test_inline_text(spark):
+    df = L.read_inline(spark, "name;age;city\nTom;20;BJ\nAnn;30;SH\n")
+    assert values(df) == [("Tom", 20, "BJ"), ("Ann", 30, "SH")]
+    assert L.read_inline(spark, "a\tb\n1\t2\n").columns == ["a", "b"]
+    with pytest.raises(ValueError):
+        L.read_inline(spark, " \n ")
+
+
+def test_validation(spark):
+    with pytest.raises(ValueError, match="2 columns"):
+        L.validate_input(spark.range(3))
+    with pytest.raises(ValueError, match="empty"):
+        L.validate_input(spark.range(0).withColumn("b", F.lit(1)))
+    ok = spark.range(1).toDF(" a ").withColumn(" ", F.lit(1))
+    assert L.validate_input(ok).columns == ["a", "Unnamed_1"]
+
+
+@pytest.mark.parametrize("text,sep,score", [
+    ("a,b,c\n1,2,3\n4,5,6", ",", 1.0), ("name;age;city\nTom;20;BJ", ";", 1.0), ("a\tb\n1\t2\n\n", "\t", 1.0),
+    ("a|b\nc|d\ne", "|", 2 / 3), ("plain\ntext", ",", 0.0), ("a,b;c\nd,e;f", ",", 1.0), ("a;b,c\nd;e\nf;g", ";", 1.0),
+])
+def test_separators(spark, text, sep, score):
+    r = L.detect_delimiter_text(spark.createDataFrame([("p", text)], "path string, text string")).first()
+    assert (r.delimiter, r.score) == (sep, pytest.approx(score))
+
+
+def test_file_checks(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    files = {
+        "a.csv": b"a;b\n1;2\n", "sub/elf.bin": b"\x7fELF123", "exe.csv": b"MZ..", "j.csv": b"\xff\xd8\xff\xe0", "p.png": b"\x89PNG\r\n",
+        "z.zip": b"PK\x03\x04", "d.pdf": b"%PDF-1.7", "zero.csv": b"\x00" * 20, "none.csv": b"", "gbk.csv": "中文,列".encode("gbk"),
+        "latin.csv": b"caf\xe9\xff\xff", "cut.csv": ("x" * 10_239 + "中文").encode("utf-8"),
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    name = F.regexp_extract("path", "([^/]+)$", 1).alias("name")
+    kinds = {r.name: (r.kind, r.accepted) for r in L.file_magic_audit(spark, str(tmp_path)).select(name, "kind", "accepted").collect()}
+    assert kinds["a.csv"] == ("text", True) and kinds["gbk.csv"] == ("text", True)
+    assert {n: k for n, (k, ok) in kinds.items() if not ok} == {
+        "elf.bin": "elf", "exe.csv": "windows_executable", "j.csv": "jpeg", "p.png": "png", "z.zip": "zip", "d.pdf": "pdf",
+        "zero.csv": "empty"}
+    enc = {r.name: r.encoding for r in L.detect_encoding(spark, str(tmp_path)).select(name, "encoding").collect()}
+    assert (enc["a.csv"], enc["gbk.csv"], enc["cut.csv"]) == ("utf-8", "gbk", "utf-8")
+    assert enc["latin.csv"] in ("utf-16", "latin-1")
+    seps = {r.name: r.delimiter for r in L.detect_delimiter(spark, str(tmp_path)).select(name, "delimiter").collect()}
+    assert (seps["a.csv"], seps["gbk.csv"], seps["cut.csv"]) == (";", ",", ",")
+
+
+def record(**change):
+    names = L.USAGE_SCHEMA.names
+    return {**dict(zip(names, call("2024-01-05T00:00:00"))), **change}
+
+
+def test_broken_log_lines_are_skipped(spark, tmp_path):
+    lines = [json.dumps(record()), "not json", json.dumps({**record(), "extra": 1}), "", "[1]",
+             json.dumps({k: v for k, v in record().items() if k != "status"}), json.dumps(record(tenant_id="x", user_id="u9")),
+             json.dumps(record(timestamp="2024-02-01T00:00:00"))]
+    p = write(tmp_path / "log.jsonl", "\n".join(lines))
+    assert L.read_usage_log(spark, p).count() == 3
+    assert L.read_usage_log(spark, p, tenant="x").count() == 1
+    assert L.read_usage_log(spark, p, month="2024-01").count() == 2
+    assert L.read_usage_log(spark, p, day="2024-02-01").count() == 1
+    assert L.read_usage_log(spark, p, user="u9").count() == 1
+    assert L.read_usage_log(spark, p, days=1, as_of="2024-02-02").count() == 1
+
+
+@pytest.mark.parametrize("format", ["json", "parquet"])
+def test_appended_calls_come_back_with_their_cost(spark, tmp_path, format):
+    df = spark.createDataFrame([call("2024-01-05T00:00:00", tenant="7", secs=1.26, tin=1_000_000, tout=0)], L.USAGE_SCHEMA)
+    for _ in range(2):
+        L.append_usage_log(df.drop("cost_usd"), str(tmp_path / "log"), format=format)
+    got = L.read_usage_log(spark, str(tmp_path / "log"), format=format, tenant="7", month="2024-01").collect()
+    assert [(r.tenant_id, r.cost_usd, r.elapsed_seconds) for r in got] == [("7", 2.5, 1.3)] * 2
+    assert got[0].asDict().keys() == dict.fromkeys(L.USAGE_SCHEMA.names).keys()
+
+
+def test_partition_filters_prune_folders(spark, tmp_path):
+    df = spark.createDataFrame([call(f"2024-0{m}-05T00:00:00", tenant=t) for m in (1, 2) for t in "ab"], L.USAGE_SCHEMA)
+    L.append_usage_log(df, str(tmp_path / "log"), format="parquet")
+    read = L.read_usage_log(spark, str(tmp_path / "log"), format="parquet", tenant="a", month="2024-02")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan or "PartitionFilters: [isnotnull(tenant_id" in plan
+    assert read.count() == 1
+
+
+def test_stream_daily_equals_batch(spark, tmp_path):
+    for i in range(4):
+        rows = [call(f"2024-01-0{1 + (i + j) % 3}T{j:02d}:00:00", tenant="ab"[j % 2], status=("success", "error")[j % 3 == 0]) for j in range(12)]
+        L.append_usage_log(spark.createDataFrame(rows, L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
+    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
+    got = drain_update(L.stream_usage_daily(stream, "10 days"), "daily", ["tenant_id", "date"])
+    want = L.usage_daily(L.read_usage_log(spark, str(tmp_path / "log")))
+    assert sorted(values(got.select(*want.columns))) == sorted(values(want))
+
+
+def test_late_records_are_dropped(spark, tmp_path):
+    for day in ("2024-01-01", "2024-01-20", "2024-01-21", "2024-01-02"):
+        L.append_usage_log(spark.createDataFrame([call(f"{day}T00:00:00")], L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
+    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
+    got = drain_update(L.stream_usage_daily(stream, "1 day"), "late", ["tenant_id", "date"])
+    assert sorted(r.date for r in got.collect()) == ["2024-01-01", "2024-01-20", "2024-01-21"]
+
+
+def replay(times, burst, span):
+    """Admit or refuse one after the other, as a gate would."""
+    kept, out = [], []
+    for t in sorted(times):
+        kept = [k for k in kept if t - k < span]
+        out.append((t, len(kept) < burst))
+        if out[-1][1]:
+            kept.append(t)
+    return out
+
+
+def test_stream_rate_limit_equals_a_gate(spark, tmp_path):
+    times = {"a": [i * 17 % 400 for i in range(120)], "b": [5, 5, 5, 6, 64, 65, 65, 300]}
+    moments = sorted((t, k) for k, ts in times.items() for t in ts)
+    for part in range(4):
+        chunk = moments[part * len(moments) // 4:(part + 1) * len(moments) // 4]
+        rows = [call(f"2024-01-01T{t // 3600:02d}:{t // 60 % 60:02d}:{t % 60:02d}", tenant=k) for t, k in chunk]
+        L.append_usage_log(spark.createDataFrame(rows, L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
+    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
+    got = drain_append(L.stream_rate_limit(stream, 3, 60), "rate")
+    rows = got.select("tenant_id", (F.unix_micros("at") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))).alias("us"), "admitted").collect()
+    for k, ts in times.items():
+        mine = sorted((r.us // 1_000_000, r.admitted) for r in rows if r.tenant_id == k)
+        assert mine == sorted(replay(ts, 3, 60))
