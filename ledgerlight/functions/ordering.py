@@ -120,14 +120,19 @@ def running_totals(
     return joined.select(*[col(c) for c in df.columns], *[col(o) for o in outs])
 
 
-def mid_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
+def mid_ranks(values: DataFrame, names: Sequence[str], *, max_local: int = MAX_LOCAL_ROWS) -> DataFrame:
     """Replace every value of the columns by its mean rank; values must not be NULL.
 
     One range shuffle of (column, value) pairs ranks all columns, and one
     shuffle by row puts the ranks back. A frequent value may fill several
     ranges; only values at the edge of a range need correcting, at most two per
-    range and column.
+    range and column. Up to `max_local` rows are ranked with plain windows.
     """
+    if values.count() <= max_local:
+        return values.select(*[
+            (F.rank().over(Window.orderBy(n)) + (F.count("*").over(Window.partitionBy(n)) - 1) / 2).alias(n)
+            for n in names
+        ])
     rows = settle(values.select(*names, F.monotonically_increasing_id().alias("_id")))
     long = rows.select("_id", F.inline(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(n).alias("v")) for i, n in enumerate(names)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import as_double, ratio, require_columns, rows_from
+from ..functions.exprs import as_double, literal_rows, ratio, require_columns, rows_from
 from ..functions.ordering import exact_quantiles, mid_ranks, settle
 
 
@@ -108,25 +108,28 @@ def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return rows_from(values.agg(*[e.alias(k) for k, e in sums.items()]), out)
 
 
-def corr_spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def corr_spearman(df: DataFrame, cols: Sequence[str],
+                  pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Pearson's r of the mean ranks, ranked within the rows where both are present.
 
-    Pairs whose gaps are in the same columns are ranked together.
+    Pairs whose gaps are in the same columns are ranked together. `pairs`
+    limits the work to those pairs, in the order of `cols`.
     """
     require_columns(df, cols)
     names = [f"c{i}" for i in range(len(cols))]
     values = df.select(*[as_double(df, c).alias(n) for c, n in zip(cols, names)])
     missing = values.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
+    label = dict(zip(names, cols))
     groups: dict[tuple, list[tuple[str, str]]] = {}
     for a, b in combinations(names, 2):
-        groups.setdefault(tuple(n for n in (a, b) if missing[n]), []).append((a, b))
-    label = dict(zip(names, cols))
+        if pairs is None or (label[a], label[b]) in pairs:
+            groups.setdefault(tuple(n for n in (a, b) if missing[n]), []).append((a, b))
     out = None
-    for holes, pairs in groups.items():
-        used = sorted({n for p in pairs for n in p}, key=names.index)
+    for holes, members in groups.items():
+        used = sorted({n for p in members for n in p}, key=names.index)
         rows = values.dropna(subset=list(holes)) if holes else values
         ranked = settle(mid_ranks(rows, used))
-        wanted = {(label[a], label[b]) for a, b in pairs}
+        wanted = {(label[a], label[b]) for a, b in members}
         part = corr_pearson(ranked.toDF(*[label[n] for n in used]), [label[n] for n in used])
         part = part.filter(F.concat_ws("\0", "col_a", "col_b").isin(*["\0".join(w) for w in wanted]))
         out = part if out is None else out.unionByName(part)
@@ -179,9 +182,19 @@ def corr_p_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return pairs.withColumn("p_value", _t_two_sided(F.col("n").cast("double"), F.col("r")))
 
 
-def _labelled_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pearson, spearman = corr_pearson(df, cols), corr_spearman(df, cols).drop("n")
-    return pearson.join(spearman, ["col_a", "col_b"]).select(
+def _pairs_between(df: DataFrame, cols: Sequence[str], low: float, high: float) -> DataFrame:
+    """Pairs with low < |r| <= high, with both coefficients; only these are ranked."""
+    found = corr_pearson(df, cols).filter((F.abs("r") > low) & (F.abs("r") <= high)).collect()
+    if not found:
+        rows = [F.struct(F.lit("").alias("col_a"), F.lit("").alias("col_b"), F.lit(0.0).alias("r"))]
+        hits = literal_rows(df.sparkSession, rows).limit(0).withColumn("rho", F.lit(None).cast("double"))
+    else:
+        ranked = corr_spearman(df, cols, [(p["col_a"], p["col_b"]) for p in found]).drop("n")
+        hits = literal_rows(df.sparkSession, [
+            F.struct(F.lit(p["col_a"]).alias("col_a"), F.lit(p["col_b"]).alias("col_b"), F.lit(p["r"]).alias("r"))
+            for p in found
+        ]).join(ranked, ["col_a", "col_b"])
+    return hits.select(
         "col_a", "col_b", F.col("r").alias("pearson_r"), F.col("rho").alias("spearman_rho"),
         F.when(F.col("r") > 0, "positive").otherwise("negative").alias("type"),
     )
@@ -189,12 +202,12 @@ def _labelled_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def strong_pairs(df: DataFrame, cols: Sequence[str], low: float = 0.7, high: float = 0.95) -> DataFrame:
     """Pairs with low < |r| <= high."""
-    return _labelled_pairs(df, cols).filter((F.abs("pearson_r") > low) & (F.abs("pearson_r") <= high))
+    return _pairs_between(df, cols, low, high)
 
 
 def redundant_pairs(df: DataFrame, cols: Sequence[str], high: float = 0.95) -> DataFrame:
     """Pairs with |r| > high, which are likely to carry the same information."""
-    return _labelled_pairs(df, cols).filter(F.abs("pearson_r") > high)
+    return _pairs_between(df, cols, high, 1.0)
 
 
 def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:

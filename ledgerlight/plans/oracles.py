@@ -148,11 +148,8 @@ abc AS (
 classed AS (
   SELECT *, CASE WHEN cum_share <= 0.7 THEN 'A' WHEN cum_share <= 0.9 THEN 'B' ELSE 'C' END AS abc_class FROM abc)"""
 
-RFM = ORDERS + """,
-per AS (
-  SELECT o_custkey AS customer, max(o_orderdate) AS last, count(o_orderdate) AS frequency,
-         CAST(SUM(amount) AS DOUBLE) AS monetary
-  FROM orders_x GROUP BY 1),
+RFM_CORE = """
+per AS ({per}),
 vals AS (
   SELECT customer, frequency, monetary,
          CAST(floor((epoch_us((SELECT max(last) FROM per) + INTERVAL 1 DAY) - epoch_us(last)) / 86400000000.0) AS BIGINT) AS recency
@@ -176,6 +173,11 @@ segs AS (
                  WHEN r_score <= 2 AND f_score <= 2 THEN 'at_risk' ELSE 'general' END AS segment
   FROM scores)"""
 
+RFM = ORDERS + "," + RFM_CORE.format(per="""
+  SELECT o_custkey AS customer, max(o_orderdate) AS last, count(o_orderdate) AS frequency,
+         CAST(SUM(amount) AS DOUBLE) AS monetary
+  FROM orders_x GROUP BY 1""")
+
 STATS = """
 stats AS (
   SELECT l_orderkey, l_quantity, l_extendedprice, round(pow(l_extendedprice / 10000, 3.0), 2) AS cubed,
@@ -525,6 +527,22 @@ FROM series WHERE (SELECT count(*) FROM series) <= 12""",
         "region_facts": f"""WITH {ITEMS}, g AS (SELECT r_name AS region, sum(amount) AS s FROM items GROUP BY 1)
 SELECT region, round(CAST(s AS DOUBLE), 4) AS total, round(CAST(s AS DOUBLE) / CAST(sum(s) OVER () AS DOUBLE), 4) AS share
 FROM g WHERE (SELECT count(*) FROM g) <= 10""",
+        "report_suite": f"""WITH {GAPS}, t AS (SELECT f_category AS item, sum(f_sales) AS s FROM filled GROUP BY 1),
+n AS (SELECT count(*) AS items FROM t),
+cum AS (SELECT sum(s) OVER (ORDER BY s DESC, item ROWS UNBOUNDED PRECEDING) / sum(s) OVER () AS cum FROM t),
+{RFM_CORE.format(per="""
+  SELECT o_custkey AS customer, max(d) AS last, count(d) AS frequency, sum(f_sales) AS monetary
+  FROM (SELECT *, TRY_CAST(order_date AS TIMESTAMP) AS d FROM filled) WHERE d IS NOT NULL AND f_sales IS NOT NULL
+  GROUP BY 1""")}
+SELECT 'desc_overview' AS analysis, CAST(1 AS BIGINT) AS result_rows
+UNION ALL SELECT 'desc_stats', 3
+UNION ALL SELECT unnest(['time_series', 'yoy_comparison', 'concentration', 'anomaly_detect', 'distribution', 'simple_forecast', 'quality']), 1
+UNION ALL SELECT 'top_ranking', least(items, 10) + least(items, 5) FROM n
+UNION ALL SELECT 'pareto_abc', 3
+UNION ALL SELECT 'region_analysis', count(DISTINCT note) FROM gaps
+UNION ALL SELECT 'drill_down', count(*) FROM (SELECT DISTINCT f_category, note FROM filled WHERE note IS NOT NULL)
+UNION ALL SELECT 'rfm_analysis', count(DISTINCT segment) FROM segs
+UNION ALL SELECT 'insights', 2 + (SELECT CAST(items <= 5 AS INT) FROM n) + (SELECT CAST(count(*) > 0 AS INT) FROM cum WHERE cum > 0.9)""",
         "slim": f"""WITH {GAPS}, t AS (SELECT f_category AS item, sum(f_sales) AS s FROM filled GROUP BY 1),
 c AS (SELECT s / sum(s) OVER () AS share, sum(s) OVER (ORDER BY s DESC, item ROWS UNBOUNDED PRECEDING) / sum(s) OVER () AS cum FROM t),
 k AS (SELECT share, CASE WHEN cum <= 0.7 THEN 'A' WHEN cum <= 0.9 THEN 'B' ELSE 'C' END AS abc FROM c)
@@ -590,6 +608,21 @@ FROM log WHERE tenant_id = 'tenant_2' AND month = '2024-01' GROUP BY 1, 2""",
   round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE), 4) AS total,
   strftime(max(o_orderdate), '%Y-%m-%d') AS last_date, CAST(sum(o_custkey) AS BIGINT) AS custkeys
 FROM orders GROUP BY 1, 2""",
+        # the files are written with commas, in UTF-8
+        "detect_delimiter": "SELECT ',' AS delimiter, count(*) > 0 AS seen FROM documents",
+        "file_magic_audit": "SELECT 'text' AS kind, TRUE AS accepted, count(*) > 0 AS seen FROM documents",
+        "detect_encoding": "SELECT 'utf-8' AS encoding, count(*) > 0 AS seen FROM documents",
+        # one attempt after the other, as a gate sees them
+        "stream_rate_limit": f"""WITH RECURSIVE {USAGE},
+a AS (SELECT tenant_id, epoch_us(CAST("timestamp" AS TIMESTAMP)) AS us,
+             row_number() OVER (PARTITION BY tenant_id ORDER BY "timestamp") AS rn FROM log),
+gate AS (
+  SELECT tenant_id, rn, [us] AS kept, TRUE AS admitted FROM a WHERE rn = 1
+  UNION ALL
+  SELECT tenant_id, rn, CASE WHEN len(live) < 2 THEN list_append(live, us) ELSE live END, len(live) < 2
+  FROM (SELECT a.tenant_id, a.rn, a.us, list_filter(g.kept, lambda k: a.us - k < 600000000) AS live
+        FROM gate g JOIN a ON a.tenant_id = g.tenant_id AND a.rn = g.rn + 1))
+SELECT tenant_id, admitted, count(*) AS calls FROM gate GROUP BY 1, 2""",
         "detect_delimiter_text": """WITH l AS (
   SELECT doc_id, unnest(regexp_split_to_array(substr(text, 1, 4096),
     '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')) AS line FROM documents),

@@ -46,9 +46,10 @@ def test_running_totals_in_one_window_and_over_ranges(skewed, limit):
     assert total == pdf.n.sum()
 
 
-def test_mid_ranks_match_pandas_with_a_hot_value(skewed):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_mid_ranks_match_pandas_with_a_hot_value(skewed, limit):
     pdf, df = skewed
-    got = O.mid_ranks(df.select("x", "y"), ["x", "y"]).toPandas()
+    got = O.mid_ranks(df.select("x", "y"), ["x", "y"], max_local=limit).toPandas()
     want = pdf[["x", "y"]].rank()
     assert sorted(zip(got.x, got.y)) == sorted(zip(want.x, want.y))
 
