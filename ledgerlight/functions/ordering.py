@@ -253,36 +253,63 @@ def _narrow(work: DataFrame, targets: list[_Target]) -> None:
         sketches.append(F.expr(
             f"percentile_approx(CASE WHEN {_inside(t)} THEN {t.name} END, array({array}), {SKETCH_ACCURACY})"))
     found = work.agg(*sketches).first()
-    cuts = {}
-    for members, values in zip(groups.values(), found):
-        for at, i in enumerate(members):
-            cuts[i] = (values[2 * at], values[2 * at + 1])
-    counts = []
-    for i, t in enumerate(targets):
-        a, b = cuts[i]
-        ins, c = _inside(t), t.name
-        for label, cond in (
-            ("lt", f"{c} < {_num(a)}"), ("ea", f"{c} = {_num(a)}"),
-            ("mid", f"{c} > {_num(a)} AND {c} < {_num(b)}"),
-            ("eb", f"{c} = {_num(b)} AND {c} > {_num(a)}"),
-        ):
-            counts.append(F.expr(f"count_if({ins} AND {cond})").alias(f"{label}{i}"))
-    row = work.agg(*counts).first()
-    for i, t in enumerate(targets):
-        a, b = cuts[i]
-        lt, ea, mid, eb = (row[f"{k}{i}"] for k in ("lt", "ea", "mid", "eb"))
-        k = t.rank - t.below
-        if k < lt:
-            t.high, t.inside = a, lt
-        elif k < lt + ea:
-            t.value = a
-        elif k < lt + ea + mid:
-            t.low, t.high, t.below, t.inside = a, b, t.below + lt + ea, mid
-        elif k < lt + ea + mid + eb:
-            t.value = b
-        else:
-            gone = lt + ea + mid + eb
-            t.low, t.below, t.inside = b, t.below + gone, t.inside - gone
+    cuts: dict[str, set[float]] = {}
+    for (name, _, _), values in zip(groups, found):
+        cuts.setdefault(name, set()).update(values)
+    for name, points in cuts.items():
+        cuts[name] = sorted(points)
+    slots = work.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("c"), F.expr(_slot(n, points)).alias("slot")) for n, points in cuts.items()
+    ]))).filter("slot IS NOT NULL").groupBy("c", "slot").count()
+    counted = {(r["c"], r["slot"]): r["count"] for r in slots.collect()}
+    for t in targets:
+        seen = 0
+        for i, point in enumerate(cuts[t.name]):
+            seen += counted.get((t.name, 2 * i), 0)
+            equal = counted.get((t.name, 2 * i + 1), 0)
+            if t.rank < seen:
+                if t.high is None or point < t.high:
+                    t.high, t.inside = point, seen - t.below
+                break
+            if t.rank < seen + equal:
+                t.value = point
+                break
+            seen += equal
+            if t.low is None or point > t.low:
+                t.inside -= seen - t.below
+                t.low, t.below = point, seen
+
+
+def _slot(name: str, points: Sequence[float]) -> str:
+    """2i below the i-th point, 2i + 1 at it; NULL stays NULL."""
+    tests = [f"WHEN {name} IS NULL THEN NULL"]
+    for i, p in enumerate(points):
+        tests += [f"WHEN {name} < {_num(p)} THEN {2 * i}", f"WHEN {name} = {_num(p)} THEN {2 * i + 1}"]
+    return f"CASE {' '.join(tests)} ELSE {2 * len(points)} END"
+
+
+def _pick(work: DataFrame, targets: list[_Target]) -> None:
+    """Read the wanted values from intervals that hold few; intervals do not overlap."""
+    spans = sorted({(t.name, t.low, t.high) for t in targets}, key=str)
+    number = {span: i for i, span in enumerate(spans)}
+    by_column: dict[str, list[str]] = {}
+    for t in targets:
+        test = f"WHEN {_inside(t)} THEN {number[(t.name, t.low, t.high)]}"
+        if test not in by_column.setdefault(t.name, []):
+            by_column[t.name].append(test)
+    inside = work.select(F.inline(F.array(*[
+        F.struct(F.expr(f"CASE {' '.join(tests)} END").alias("span"), F.col(n).alias("v"))
+        for n, tests in by_column.items()
+    ]))).filter("span IS NOT NULL")
+    order = Window.partitionBy("span").orderBy("v")
+    numbered = inside.withColumn("at", F.row_number().over(order) - 1)
+    wanted = {(number[(t.name, t.low, t.high)], t.rank - t.below): t for t in targets}
+    hit = F.lit(False)
+    for span, at in wanted:
+        hit = hit | ((F.col("span") == span) & (F.col("at") == at))
+    found = {(r["span"], r["at"]): r["v"] for r in numbered.filter(hit).collect()}
+    for t in targets:
+        t.value = found[(number[(t.name, t.low, t.high)], t.rank - t.below)]
 
 
 def exact_quantiles(
@@ -324,14 +351,7 @@ def exact_quantiles(
     while wide := [t for t in targets.values() if t.value is None and t.inside > max_local]:
         _narrow(work, wide)
     if open_ := [t for t in targets.values() if t.value is None]:
-        picks = [
-            F.expr(
-                f"percentile_disc({(t.rank - t.below + 0.5) / t.inside!r}D) "
-                f"WITHIN GROUP (ORDER BY CASE WHEN {_inside(t)} THEN {t.name} END)")
-            for t in open_
-        ]
-        for t, v in zip(open_, work.agg(*picks).first()):
-            t.value = v
+        _pick(work, open_)
     for c, n, k in zip(cols, names, counts):
         if k > max_local:
             values = []
