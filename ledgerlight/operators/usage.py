@@ -156,23 +156,22 @@ def member_usage(log: DataFrame, members: DataFrame, budgets: DataFrame, as_of:
 
     The team's calls count this tenant's users only, and the budget share is cost over budget.
     """
-    today = log.filter(day() == as_of).groupBy("tenant_id", "user_id").agg(F.count("*").alias("today"))
-    team = today.groupBy("tenant_id").agg(F.sum("today").alias("team_today"))
-    spent = usage_monthly(log.filter(month() == as_of[:7])).select("tenant_id", "total_cost_usd")
-    return (
-        members.select("tenant_id", "user_id", "user_name", "role", "daily_limit")
-        .join(today, ["tenant_id", "user_id"], "left")
-        .join(team, "tenant_id", "left")
-        .join(spent, "tenant_id", "left")
-        .join(budgets.select("tenant_id", "monthly_budget"), "tenant_id", "left")
-        .select(
-            "tenant_id", "user_id", "user_name", "role",
-            F.coalesce("today", F.lit(0)).alias("today"), "daily_limit",
-            F.coalesce("team_today", F.lit(0)).alias("team_today"),
-            F.coalesce("total_cost_usd", F.lit(0.0)).alias("month_cost_usd"),
-            "monthly_budget",
-            F.coalesce(ratio(F.col("total_cost_usd"), F.col("monthly_budget")) * 100, F.lit(0.0)).alias("budget_pct"),
-        )
+    per_user = log.filter(month() == as_of[:7]).groupBy("tenant_id", "user_id").agg(
+        F.count_if(day() == as_of).alias("today"), F.sum(F.col("cost_usd").cast(COST)).alias("_cost"))
+    team = per_user.groupBy("tenant_id").agg(
+        F.sum("today").alias("team_today"), F.round(F.sum("_cost"), 4).cast("double").alias("month_cost_usd"))
+    tenants = budgets.select("tenant_id", "monthly_budget").join(team, "tenant_id", "full")
+    people = members.select("tenant_id", "user_id", "user_name", "role", "daily_limit").join(
+        per_user.select("tenant_id", "user_id", "today"), ["tenant_id", "user_id"], "left")
+    cost = F.coalesce("month_cost_usd", F.lit(0.0))
+    # one tenant may hold many of the members
+    return salted_join(people, tenants, ["tenant_id"], "left").select(
+        "tenant_id", "user_id", "user_name", "role",
+        F.coalesce("today", F.lit(0)).alias("today"), "daily_limit",
+        F.coalesce("team_today", F.lit(0)).alias("team_today"),
+        cost.alias("month_cost_usd"),
+        "monthly_budget",
+        F.coalesce(ratio(cost, F.col("monthly_budget")) * 100, F.lit(0.0)).alias("budget_pct"),
     )
 
 
