@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import as_double, as_time, col, missing_to_null, ratio, require_columns, rows_from
 from ..functions.keywords import LABEL_ROLES, NUMERIC_ROLES
@@ -22,7 +23,7 @@ DUPLICATE_PENALTY = 50
 
 # A content with more than 1/HOT_SHARE of all copies is joined by broadcast; by
 # counting there are fewer than HOT_SHARE of them.
-HOT_SHARE = 1000
+HOT_SHARE = 100
 
 
 def _hot_and_cold(counted: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
@@ -70,17 +71,18 @@ def medians(df: DataFrame, cols: Sequence[str], *, approx: bool = False) -> dict
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     """Most frequent value per column, the smallest of equals; grouped by value, not in one map."""
-    if not cols:
-        return {}
-    counted = None
-    for i, c in enumerate(cols):
-        part = (
-            df.select(missing_to_null(df, c).alias("v")).filter("v IS NOT NULL").groupBy("v").count()
-            .agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).cast("string").alias("v"))
-            .select(F.lit(i).alias("i"), "v")
-        )
-        counted = part if counted is None else counted.unionByName(part)
-    return {cols[r["i"]]: r["v"] for r in counted.collect()}
+    texts = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
+    parts = [[c] for c in cols if c not in texts] + ([texts] if texts else [])
+    found = {}
+    # text columns share one scan; other types are compared in their own type
+    for part in parts:
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("c"), missing_to_null(df, c).alias("v")) for c in part
+        ]))).filter("v IS NOT NULL")
+        best = long.groupBy("c", "v").count().groupBy("c").agg(
+            F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("v"))
+        found.update({r["c"]: r["v"] for r in best.collect()})
+    return {c: found.get(c) for c in cols}
 
 
 def fill_median(df: DataFrame, cols: Sequence[str], *, approx: bool = False) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import (
     as_double, as_time, col, floor_days, is_temporal, missing_to_null, numeric_columns, ratio,
@@ -25,18 +26,58 @@ def sample_values(df: DataFrame, c: str, n: int = 5, order_by: Sequence[str] = (
     return sample_rows(df.filter(missing_to_null(df, c).isNotNull()), n, order_by).select(col(c).alias("value"))
 
 
+# Longer texts are counted by their SHA-256, so that whole documents are not shuffled.
+MAX_PLAIN_TEXT = 64
+
+
+def _as_key(df: DataFrame, c: str) -> Column:
+    """A short text that differs for different values."""
+    dtype, v = df.schema[c].dataType, missing_to_null(df, c)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return (v + 0.0).cast("string")  # -0.0 equals 0.0
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(v).cast("string")  # clock changes repeat local times
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.when(F.octet_length(v) > MAX_PLAIN_TEXT, F.concat(F.lit("#"), F.sha2(v, 256))).otherwise(v.cast("string"))
+    return v.cast("string") if isinstance(dtype, T.AtomicType) else F.to_json(F.struct(v.alias("v")))
+
+
+def _exact_counts(df: DataFrame) -> DataFrame:
+    """One row: n, and per column i its present values f<i> and distinct values d<i>.
+
+    Values are grouped as narrow (column, key) pairs that combine before the
+    shuffle, where distinct counts side by side would shuffle rows of all columns.
+    """
+    pairs = df.select(F.inline(F.array(
+        F.struct(F.lit(-1).alias("c"), F.lit("").alias("k")),
+        *[F.struct(F.lit(i).alias("c"), F.when(missing_to_null(df, c).isNotNull(), _as_key(df, c)).alias("k"))
+          for i, c in enumerate(df.columns)],
+    ))).filter("k IS NOT NULL")
+    counts = pairs.groupBy("c", "k").agg(F.count("*").alias("n")).groupBy("c").agg(
+        F.sum("n").alias("n"), F.count("*").alias("d"))
+
+    def at(i: int, name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("c") == i, F.col(name))), F.lit(0))
+
+    return counts.agg(at(-1, "n").alias("_n"), *[
+        x for i in range(len(df.columns)) for x in (at(i, "n").alias(f"f{i}"), at(i, "d").alias(f"d{i}"))
+    ])
+
+
 def profile_columns(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """Type, missing values and distinct values of every column.
 
     `approx=True` counts distinct values by sketch, which needs no shuffle.
     """
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(F.count("*").alias("_n"), *[
-        x for i, c in enumerate(df.columns) for x in (
-            F.count(missing_to_null(df, c)).alias(f"f{i}"),
-            distinct(missing_to_null(df, c)).alias(f"d{i}"),
-        )
-    ])
+    if approx:
+        wide = df.agg(F.count("*").alias("_n"), *[
+            x for i, c in enumerate(df.columns) for x in (
+                F.count(missing_to_null(df, c)).alias(f"f{i}"),
+                F.approx_count_distinct(missing_to_null(df, c)).alias(f"d{i}"),
+            )
+        ])
+    else:
+        wide = _exact_counts(df)
     return rows_from(wide, [
         F.struct(
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),

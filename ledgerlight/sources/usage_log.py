@@ -81,6 +81,8 @@ def append_usage_log(df: DataFrame, path: str, *, format: str = "json",
     priced = usage_cost(df.withColumn("elapsed_seconds", F.round("elapsed_seconds", 1)), prices)
     priced = priced.select(*USAGE_SCHEMA.names)
     if format == "parquet":
-        priced.withColumn("month", month_of()).write.mode("append").partitionBy("tenant_id", "month").parquet(path)
+        # rows of one folder meet in few files, and a busy tenant is split over several tasks
+        placed = priced.withColumn("month", month_of()).hint("rebalance", F.col("tenant_id"), F.col("month"))
+        placed.write.mode("append").partitionBy("tenant_id", "month").parquet(path)
     else:
         priced.write.mode("append").option("ignoreNullFields", False).json(path)

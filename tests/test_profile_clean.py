@@ -25,6 +25,19 @@ def test_profile_columns(gaps):
     assert by_column(L.profile_columns(gaps, approx=True))["sales"].unique_count == 3
 
 
+def test_distinct_values_of_every_type(spark):
+    df = spark.sql("""SELECT * FROM VALUES
+      (0.0D, 'a', date'2024-01-01', timestamp'2024-01-01 00:00:00', array(1, 2), repeat('x', 500), true, 1.10),
+      (-0.0D, 'A', date'2024-01-02', timestamp'2024-01-01 00:00:00.000001', array(1, 2), repeat('x', 501), true, 1.1),
+      (double('NaN'), NULL, date'2024-01-02', NULL, NULL, repeat('x', 500), false, 2.25)
+      t(d, s, day, at, arr, long, flag, dec)""")
+    got = {c: (r.null_count, r.unique_count) for c, r in by_column(L.profile_columns(df)).items()}
+    assert got == {"d": (1, 1), "s": (1, 2), "day": (0, 2), "at": (1, 2), "arr": (1, 1), "long": (0, 2), "flag": (0, 2),
+                   "dec": (0, 2)}
+    empty = by_column(L.profile_columns(df.limit(0)))
+    assert (empty["s"].row_count, empty["s"].unique_count, empty["s"].null_rate) == (0, 0, None)
+
+
 def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(1.0, "x"), (float("nan"), "y"), (None, "z")], "v double, t string")
     assert by_column(L.profile_columns(df))["v"].null_count == 2
@@ -155,3 +168,10 @@ def test_quick_summary_and_samples(gaps):
     assert (r.row_count, r.col_count, r.has_date, r.has_numeric, r.numeric_columns) == (4, 4, False, True, 2)
     assert [x.value for x in L.sample_values(gaps, "sales", 2, ["n"]).collect()] == [500.0, 10.0]
     assert L.sample_rows(gaps, 3).count() == 3
+
+
+def test_mode_compares_numbers_as_numbers(spark):
+    df = spark.createDataFrame([(10, "b"), (9, "b"), (None, "a"), (None, None)], "n int, t string")
+    got = L.fill_mode(df, ["n", "t"]).collect()
+    assert [(r.n, r.t) for r in got] == [(10, "b"), (9, "b"), (9, "a"), (9, "b")]
+    assert dict(L.fill_mode(df, ["n"]).dtypes)["n"] == "int"
