@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import scan_licenses
 from .lines import drop_site_lines, host_of, html_lines
 from .sharding import shuffled_places
+from .tokens import count_tokens, round_trip
+
+
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op4_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = shuffled_places(_table(spark, sf_dir, "documents"), 8)
     return places.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +67,9 @@ FROM texts t LEFT JOIN bad b ON t.host = b.host
 
 def queries() -> dict:
     return {
+        "op2_token_counts": op2_token_counts,
         "op4_shard_shuffle": op4_shard_shuffle,
+        "op5_bpe_round_trip": op5_bpe_round_trip,
         "op7_license_scan": op7_license_scan,
         "op9_site_lines": op9_site_lines,
     }
