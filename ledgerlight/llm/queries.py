@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import scan_licenses
+from .linecrf import fit_line_field, line_quality
 from .lines import drop_site_lines, host_of, html_lines
+from .quality import fit_rules, quality_rules
 from .sharding import shuffled_places
 from .tokens import count_tokens, round_trip
 
@@ -19,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = fit_rules(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules(docs, forest).select("doc_id", "_quality.*")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -43,6 +51,11 @@ def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", F.col("dropped_lines").cast("long").alias("dropped_lines"), F.md5("lines").alias("kept_md5"))
 
 
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_quality(docs, fit_line_field(docs, _table(spark, sf_dir, "labels")))
+
+
 OP9_SQL = r"""
 WITH bare AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS host,
@@ -67,11 +80,13 @@ FROM texts t LEFT JOIN bad b ON t.host = b.host
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
         "op4_shard_shuffle": op4_shard_shuffle,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op7_license_scan": op7_license_scan,
         "op9_site_lines": op9_site_lines,
+        "op10_line_quality": op10_line_quality,
     }
 
 
