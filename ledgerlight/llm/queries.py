@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import fit_parser, predict_language
 from .licenses import scan_licenses
 from .linecrf import fit_line_field, line_quality
 from .lines import drop_site_lines, host_of, html_lines
@@ -31,6 +32,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict_language(docs, fit_parser(docs))
+
+
 def op4_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = shuffled_places(_table(spark, sf_dir, "documents"), 8)
     return places.select(
@@ -82,6 +88,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
+        "op3_language": op3_language,
         "op4_shard_shuffle": op4_shard_shuffle,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op7_license_scan": op7_license_scan,
