@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard import jaccard_components
 from .language import fit_parser, predict_language
 from .licenses import scan_licenses
 from .linecrf import fit_line_field, line_quality
@@ -47,6 +48,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -91,6 +96,7 @@ def queries() -> dict:
         "op3_language": op3_language,
         "op4_shard_shuffle": op4_shard_shuffle,
         "op5_bpe_round_trip": op5_bpe_round_trip,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_license_scan": op7_license_scan,
         "op9_site_lines": op9_site_lines,
         "op10_line_quality": op10_line_quality,
