@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import settle
 from .components import connected
+from .hashing import ODD, SPACE, mix, word_hashes
 
 #: Blocks that a set is looked up by, at most. Sets that have no more blocks are found for certain; for longer ones a
 #: linked pair is missed with a probability below 1e-9, as the hash draws the blocks.
@@ -39,54 +40,19 @@ FANOUT = 16
 #: Stands for a set none of whose documents has an id; ids are smaller.
 NO_ID = 1 << 62
 
-_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _A
-    x = (x ^ (x >> np.uint64(27))) * _B
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of an odd multiplier and of its inverse, modulo 2**64."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = 1 << n.bit_length()
-            inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-            self.up = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _ODD))))
-            self.down = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, inverse))))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of `words` words; of all words as one if there are fewer."""
-    data = np.frombuffer((text or "").encode("utf-8").lower(), dtype=np.uint8)
-    edge = np.diff(np.concatenate(([1], _SPACE[data], [1])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    n = len(starts)
+    word = word_hashes(text, SPACE)
+    n = len(word)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _POWERS.get(len(data) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
-    word = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     width = min(words, n)
     turn = np.full(n - width + 1, width, dtype=np.uint64)
     for k in range(width):
         part = word[k : n - width + 1 + k]
-        turn = turn * _ODD + part
-    return np.unique(_mix(turn))
+        turn = turn * ODD + part
+    return np.unique(mix(turn))
 
 
 def _band(n: np.ndarray | int) -> int:
@@ -109,7 +75,7 @@ def block_keys(s: np.ndarray, num: int, den: int) -> list[int]:
     own = _band(n)
     bands = [own] if n * den <= (1 << own) * num else [own, own + 1]
     keys: list[int] = []
-    mixed = _mix(s ^ _ODD)
+    mixed = mix(s ^ ODD)
     for band in bands:
         top = 1 << band
         apart = _tau(2 * top, num, den)
@@ -129,13 +95,13 @@ def block_keys(s: np.ndarray, num: int, den: int) -> list[int]:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
         vector = sums[cut] - sums[begin]
         place = np.uint64(band << 32) + np.arange(used, dtype=np.uint64)
-        keys += _mix(vector + _mix(place * _ODD + count.astype(np.uint64)))[count >= least].astype(np.int64).tolist()
+        keys += mix(vector + mix(place * ODD + count.astype(np.uint64)))[count >= least].astype(np.int64).tolist()
     return keys
 
 
 def _set_hash(s: np.ndarray) -> list[int]:
     """128 bits for a set, as two longs."""
-    return _mix(np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(s)) if len(s) else 0], dtype=np.uint64)).astype(np.int64).tolist()
+    return mix(np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s)) if len(s) else 0], dtype=np.uint64)).astype(np.int64).tolist()
 
 
 def _unnamed(h1: int) -> int:

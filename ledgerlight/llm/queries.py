@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import leaks
 from .jaccard import jaccard_components
 from .language import fit_parser, predict_language
 from .licenses import scan_licenses
@@ -56,6 +57,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines"))
     return drop_site_lines(pages, "host", "lines").select(
@@ -98,6 +103,7 @@ def queries() -> dict:
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_license_scan": op7_license_scan,
+        "op8_benchmark_leaks": op8_benchmark_leaks,
         "op9_site_lines": op9_site_lines,
         "op10_line_quality": op10_line_quality,
     }
