@@ -218,8 +218,9 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
 
 def with_leaks(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS,
+    into: str = "_leaks",
 ) -> DataFrame:
-    """All rows and columns, with `_leaks`: the items found in the text, as (item_id, edits, end_word).
+    """All rows and columns, with an array `into`: the items found in the text, as (item_id, edits, end_word).
 
     An item is found if a stretch of the text is within int(max_edits * n) word
     edits of its n words; words are compared without case and punctuation. end_word
@@ -232,7 +233,7 @@ def with_leaks(
     for rows in _blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Items(rows, max_edits))
         found = F.concat(found, _searched(shared, kind)(F.col(text)))
-    return docs.withColumn("_leaks", found)
+    return docs.withColumn(into, found)
 
 
 def _searched(shared, kind: str):

@@ -60,17 +60,26 @@ def drop_site_lines(
     pages: DataFrame, site: str, text: str, *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """The same rows and columns with boilerplate lines cut from `text`, and a
-    column `dropped_lines` with their number.
+    column `dropped_lines` with their number (`_` is added to a name that is taken).
 
     Every row stays, also one whose lines all go (its text is then ''). Null
     texts stay null. Line order stays.
     """
     found = boilerplate_lines(pages, site, text, max_ratio=max_ratio, min_pages=min_pages)
-    cut = found.groupBy(F.col("site").alias("_site")).agg(F.collect_list("line_key").alias("_cut"))
-    joined = pages.join(cut, F.coalesce(F.col(site), F.lit("")) == F.col("_site"), "left")
+    of, bad, number = (fresh(pages.columns, name) for name in ("_site", "_cut", "dropped_lines"))
+    cut = found.groupBy(F.col("site").alias(of)).agg(F.collect_list("line_key").alias(bad))
+    joined = pages.join(cut, F.coalesce(F.col(site), F.lit("")) == F.col(of), "left")
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.array_contains("_cut", _key(x)))
-    hit = F.col("_cut").isNotNull() & F.col(text).isNotNull()
+    kept = F.filter(lines, lambda x: ~F.array_contains(bad, _key(x)))
+    hit = F.col(bad).isNotNull() & F.col(text).isNotNull()
     dropped = F.when(hit, F.size(lines) - F.size(kept)).otherwise(0)
     new = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text))
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns], dropped.alias("dropped_lines"))
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns], dropped.alias(number))
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """The name, with `_` added until no column has it."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name += "_"
+    return name

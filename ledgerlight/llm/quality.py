@@ -106,8 +106,10 @@ def fit_rules(
     return fit(rows, got["_label"].to_numpy(dtype=float), np.array(list(FEATURES.values())))
 
 
-def quality_rules(docs: DataFrame, forest: Forest, *, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """All rows and columns, with a struct `_quality`: the BASE counts, base_failed, quality_score, kept.
+def quality_rules(
+    docs: DataFrame, forest: Forest, *, text: str = "text", keep_from: float = KEEP_FROM, into: str = "_quality",
+) -> DataFrame:
+    """All rows and columns, with a struct `into`: the BASE counts, base_failed, quality_score, kept.
 
     A null or empty text has no words, so it fails the base rules (fewer than 50
     words, or more than half of the words in repeated windows) and is not kept.
@@ -124,4 +126,4 @@ def quality_rules(docs: DataFrame, forest: Forest, *, text: str = "text", keep_f
             out["kept"] = ~out.base_failed & (out.quality_score >= keep_from)
             yield out
 
-    return docs.withColumn("_quality", judged(F.col(text)))
+    return docs.withColumn(into, judged(F.col(text)))

@@ -85,16 +85,26 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
 
 
 def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and `ids`, the token ids of the whole text; none for a null or empty text."""
+    """doc_id, n_tokens, `ids` (the token ids of the whole text) and `exact` (whether decoding them gives the text back).
+
+    A null or empty text has no ids and is exact. Repeated rows and null keys give a
+    row each; other columns are not looked at.
+    """
     shared = _broadcast(docs, path)
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _kept(shared, Encoder)
-        for batch in texts:
-            yield pd.Series([[i for ids in encoder.blocks(t) for i in ids] if t else [] for t in batch])
-
-    return docs.select(F.col(key).alias("doc_id"), encoded(F.col(text)).alias("ids"))
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                texts = [t or "" for t in part["text"]]
+                ids = [[i for block in encoder.blocks(t) for i in block] for t in texts]
+                exact = [Decoder(encoder.merges).feed(x, True) == t for x, t in zip(ids, texts)]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": list(map(len, ids)), "ids": ids, "exact": exact})
+
+    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    made = rows.mapInPandas(encoded, "doc_id string, n_tokens long, ids array<int>, exact boolean")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema[key].dataType))
 
 
 def decode(encoded: DataFrame, path: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -67,7 +67,7 @@ def test_queries_equal_library(spark, library, texts):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in trips} == {
         i: (len(x), sha(",".join(map(str, x))), sha(back)) for i, (_, x, back) in want.items()}
     ids = encode(docs, PATH)
-    assert {r.doc_id: r.ids for r in ids.collect()} == {i: x for i, (_, x, _) in want.items()}
+    assert {r.doc_id: r.ids for r in ids.collect()} == {i: x for i, (_, x, _) in want.items()} and ids.filter("not exact").isEmpty()
     assert {r.doc_id: r.text for r in decode(ids, PATH).collect()} == {i: back for i, (_, _, back) in want.items()}
 
 
