@@ -143,10 +143,12 @@ def fit_field(texts: list[str | None], labels: np.ndarray, *, rounds: int = 150,
 
 
 def score_texts(field: LineField, texts: list[str | None]) -> np.ndarray:
+    if not texts:
+        return np.zeros(0)
     lines = read_lines(texts)
     good, _ = marginals(field, lines)
     starts = np.sort(lines.first)
-    return np.add.reduceat(good * lines.length, starts) / np.add.reduceat(lines.length, starts) if len(texts) else np.zeros(0)
+    return np.add.reduceat(good * lines.length, starts) / np.add.reduceat(lines.length, starts)
 
 
 def fit_line_field(

@@ -37,7 +37,7 @@ class Forest:
 
 def fit(
     rows: np.ndarray, labels: np.ndarray, monotone: np.ndarray, *, trees: int = 60, depth: int = 3, rate: float = 0.2,
-    bins: int = 64, smooth: float = 5.0, least: float = 10.0,
+    bins: int = 64, smooth: float = 1.0, least: float = 1.0,
 ) -> Forest:
     """Logistic boosting on histograms.
 
@@ -104,7 +104,7 @@ def _best_split(codes, cuts, grad, hess, monotone, bins, smooth, least, low, hig
         a = np.clip(g / (h + smooth), low, high)
         b = np.clip((whole_g - g) / (whole_h - h + smooth), low, high)
         gain = 2 * a * g - a**2 * (h + smooth) + 2 * b * (whole_g - g) - b**2 * (whole_h - h + smooth) - stay
-        gain[(h < least / 4) | (whole_h - h < least / 4) | (monotone[f] * (b - a) < 0)] = -np.inf
+        gain[(h < least) | (whole_h - h < least) | (monotone[f] * (b - a) < 0)] = -np.inf
         k = int(np.argmax(gain))
         if gain[k] > best:
             best, found = gain[k], (f, k, a[k], b[k])
