@@ -15,7 +15,7 @@ import ledgerlight as L
 
 from ..functions.exprs import money
 from ..functions.ordering import work_path
-from ..streaming.sinks import drain_append, drain_update
+from ..streaming.sinks import drain_complete, drain_update
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -259,14 +259,22 @@ def _append_usage_log(s: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("calls"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("double").alias("cost")), 6)
 
 
+def _scattered_log(s: SparkSession, d: str) -> str:
+    """The log in several files, each with records of all days."""
+    path = work_path(s, "usage")
+    log = usage_log(s, d).drop("cost_usd")
+    L.append_usage_log(log.repartition(6, F.xxhash64(*log.columns)), path)
+    return path
+
+
 def _stream_daily(s: SparkSession, d: str) -> DataFrame:
-    daily = L.stream_usage_daily(L.stream_usage_log(s, _logged(s, d)))
+    daily = L.stream_usage_daily(L.stream_usage_log(s, _scattered_log(s, d), max_files=6))
     return tidy(drain_update(daily, "stream-daily", ["tenant_id", "date"]))
 
 
 def _stream_rate(s: SparkSession, d: str) -> DataFrame:
-    verdicts = L.stream_rate_limit(L.stream_usage_log(s, _logged(s, d)), burst=2, window_seconds=600)
-    return drain_append(verdicts, "stream-rate").groupBy("tenant_id", "admitted").agg(F.count("*").alias("calls"))
+    verdicts = L.stream_rate_limit(L.stream_usage_log(s, _scattered_log(s, d), max_files=6), burst=2, window_seconds=600)
+    return drain_complete(verdicts, "stream-rate").groupBy("tenant_id", "admitted").agg(F.count("*").alias("calls"))
 
 
 def catalog() -> dict[str, Query]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.usage import COST, tokens
 from ..sources.usage_log import parse_usage_lines
@@ -18,12 +18,19 @@ def stream_usage_log(spark: SparkSession, path: str, *, max_files: int = 100) ->
     return parse_usage_lines(spark.readStream.option("maxFilesPerTrigger", max_files).text(path))
 
 
-def stream_usage_daily(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Measures of `usage_daily` per tenant and day; records later than the watermark are dropped."""
+def stream_usage_daily(stream: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Measures of `usage_daily` per tenant and day, for update mode.
+
+    Without a watermark every record counts, whatever the order of the files; the
+    state has one row per tenant and day. A watermark lets old days leave the state
+    of an endless stream; records that come later than it are then left out, and
+    the drains of this package refuse to lose any.
+    """
+    timed = stream.withColumn("_at", F.to_timestamp("timestamp"))
+    if watermark is not None:
+        timed = timed.withWatermark("_at", watermark)
     return (
-        stream.withColumn("_at", F.to_timestamp("timestamp"))
-        .withWatermark("_at", watermark)
-        .groupBy("tenant_id", F.window("_at", "1 day").alias("w"))
+        timed.groupBy("tenant_id", F.window("_at", "1 day").alias("w"))
         .agg(
             F.count("*").alias("total_calls"),
             F.count_if(F.col("status") == "success").alias("success_calls"),
@@ -37,41 +44,41 @@ def stream_usage_daily(stream: DataFrame, watermark: str = "1 day") -> DataFrame
 
 
 def stream_rate_limit(stream: DataFrame, burst: int = 10, window_seconds: float = 1.0, *, key: str = "tenant_id",
-                      time: str = "timestamp", watermark: str = "10 seconds") -> DataFrame:
+                      time: str = "timestamp", watermark: str | None = None) -> DataFrame:
     """Admit or refuse every attempt; refused attempts do not use up the window.
 
-    The state per key is the admitted times still inside the window, at most
-    `burst` numbers, and is dropped once the watermark has passed it. Attempts
-    of one micro-batch are taken in time order.
+    A pause of a whole window empties the gate, so a key's time line falls into
+    runs that are decided on their own; runs are session windows, which late
+    attempts extend or join. Deciding a run is sequential.
+
+    Without a watermark the stream is for complete mode: each micro-batch gives all
+    verdicts on what has come so far, and files may come in any order. With one it
+    is for append mode: a run's verdicts come once the watermark has passed its
+    end, and attempts later than that are left out.
     """
     span = round(window_seconds * 1_000_000)
 
-    def decide(who: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        admitted = list(state.get[0]) if state.exists else []
-        times = sorted(int(t) for f in frames for t in f["us"])
-        verdicts = []
-        for now in times:
-            admitted = [t for t in admitted if now - t < span]
-            ok = len(admitted) < burst
-            if ok:
-                admitted.append(now)
-            verdicts.append(ok)
-        state.update((admitted,))
-        if admitted:
-            after = max(admitted[-1], state.getCurrentWatermarkMs() * 1000) + span
-            state.setTimeoutTimestamp(after // 1000 + 1)
-        yield pd.DataFrame({"key": who[0], "us": times, "admitted": verdicts})
+    @F.pandas_udf("array<boolean>")
+    def decided(runs: pd.Series) -> pd.Series:
+        return runs.map(lambda times: _gate(times, burst, span))
 
     timed = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("_at"))
-    return (
-        timed.withWatermark("_at", watermark)
-        .withColumn("us", F.unix_micros("_at"))
-        .groupBy("key")
-        .applyInPandasWithState(
-            decide, "key string, us long, admitted boolean", "times array<long>", "append",
-            GroupStateTimeout.EventTimeTimeout)
-        .select(F.col("key").alias(key), F.timestamp_micros("us").alias("at"), "admitted")
-    )
+    if watermark is not None:
+        timed = timed.withWatermark("_at", watermark)
+    runs = timed.groupBy("key", F.session_window("_at", f"{span} microseconds")).agg(
+        F.array_sort(F.collect_list(F.unix_micros("_at"))).alias("us"))
+    verdicts = runs.select("key", F.explode(F.arrays_zip("us", decided("us").alias("admitted"))).alias("v"))
+    return verdicts.select(F.col("key").alias(key), F.timestamp_micros("v.us").alias("at"), F.col("v.admitted").alias("admitted"))
+
+
+def _gate(times: Sequence[int], burst: int, span: int) -> list[bool]:
+    """Verdicts on sorted times: admitted while fewer than `burst` were in the window before."""
+    kept: deque[int] = deque()
+    out = []
+    for now in times:
+        while kept and now - kept[0] >= span:
+            kept.popleft()
+        out.append(len(kept) < burst)
+        if out[-1]:
+            kept.append(now)
+    return out

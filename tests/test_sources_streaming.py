@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import ledgerlight as L
-from ledgerlight.streaming.sinks import drain_append, drain_update
+from ledgerlight.streaming.sinks import drain_append, drain_complete, drain_update
 from test_usage import call
 
 
@@ -132,22 +132,32 @@ def test_partition_filters_prune_folders(spark, tmp_path):
     assert read.count() == 1
 
 
-def test_stream_daily_equals_batch(spark, tmp_path):
-    for i in range(4):
-        rows = [call(f"2024-01-0{1 + (i + j) % 3}T{j:02d}:00:00", tenant="ab"[j % 2], status=("success", "error")[j % 3 == 0]) for j in range(12)]
-        L.append_usage_log(spark.createDataFrame(rows, L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
-    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
-    got = drain_update(L.stream_usage_daily(stream, "10 days"), "daily", ["tenant_id", "date"])
-    want = L.usage_daily(L.read_usage_log(spark, str(tmp_path / "log")))
+@pytest.fixture(scope="module")
+def scattered(spark, tmp_path_factory):
+    """A log whose files each span all days."""
+    path = str(tmp_path_factory.mktemp("scattered") / "log")
+    for i in range(6):
+        rows = [call(f"2024-01-{1 + (7 * i + 5 * j) % 28:02d}T{j:02d}:{i:02d}:00", tenant="ab"[j % 2], status=("success", "error")[j % 3 == 0]) for j in range(12)]
+        L.append_usage_log(spark.createDataFrame(rows, L.USAGE_SCHEMA).coalesce(1), path)
+    return path
+
+
+@pytest.mark.parametrize("max_files", [1, 3, 100])
+def test_stream_daily_equals_batch(spark, scattered, max_files):
+    stream = L.stream_usage_log(spark, scattered, max_files=max_files)
+    got = drain_update(L.stream_usage_daily(stream), "daily", ["tenant_id", "date"])
+    want = L.usage_daily(L.read_usage_log(spark, scattered))
     assert sorted(values(got.select(*want.columns))) == sorted(values(want))
 
 
-def test_late_records_are_dropped(spark, tmp_path):
+def test_late_records_fail_the_drain(spark, tmp_path):
     for day in ("2024-01-01", "2024-01-20", "2024-01-21", "2024-01-02"):
         L.append_usage_log(spark.createDataFrame([call(f"{day}T00:00:00")], L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
     stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
-    got = drain_update(L.stream_usage_daily(stream, "1 day"), "late", ["tenant_id", "date"])
-    assert sorted(r.date for r in got.collect()) == ["2024-01-01", "2024-01-20", "2024-01-21"]
+    with pytest.raises(ValueError, match="1 rows came later"):
+        drain_update(L.stream_usage_daily(stream, "1 day"), "late", ["tenant_id", "date"])
+    got = drain_update(L.stream_usage_daily(stream, "60 days"), "late", ["tenant_id", "date"])
+    assert got.count() == 4
 
 
 def replay(times, burst, span):
@@ -161,16 +171,24 @@ def replay(times, burst, span):
     return out
 
 
-def test_stream_rate_limit_equals_a_gate(spark, tmp_path):
-    times = {"a": [i * 17 % 400 for i in range(120)], "b": [5, 5, 5, 6, 64, 65, 65, 300]}
-    moments = sorted((t, k) for k, ts in times.items() for t in ts)
-    for part in range(4):
-        chunk = moments[part * len(moments) // 4:(part + 1) * len(moments) // 4]
-        rows = [call(f"2024-01-01T{t // 3600:02d}:{t // 60 % 60:02d}:{t % 60:02d}", tenant=k) for t, k in chunk]
+@pytest.mark.parametrize("max_files", [1, 3, 100])
+def test_stream_rate_limit_equals_a_gate(spark, tmp_path, max_files):
+    times = {"a": [i * 17 % 400 + 3000 * (i % 3) for i in range(120)], "b": [5, 5, 5, 6, 64, 65, 65, 300]}
+    moments = [(t, k) for k, ts in times.items() for t in ts]
+    for part in range(5):
+        rows = [call(f"2024-01-01T{t // 3600:02d}:{t // 60 % 60:02d}:{t % 60:02d}", tenant=k) for t, k in moments[part::5]]
         L.append_usage_log(spark.createDataFrame(rows, L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
-    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
-    got = drain_append(L.stream_rate_limit(stream, 3, 60), "rate")
+    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=max_files)
+    got = drain_complete(L.stream_rate_limit(stream, 3, 60), "rate")
     rows = got.select("tenant_id", (F.unix_micros("at") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))).alias("us"), "admitted").collect()
     for k, ts in times.items():
         mine = sorted((r.us // 1_000_000, r.admitted) for r in rows if r.tenant_id == k)
         assert mine == sorted(replay(ts, 3, 60))
+
+
+def test_rate_limit_in_append_mode_emits_runs_that_are_over(spark, tmp_path):
+    for t in (0, 1, 2, 500, 900):
+        L.append_usage_log(spark.createDataFrame([call(f"2024-01-01T00:{t // 60:02d}:{t % 60:02d}")], L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
+    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
+    got = drain_append(L.stream_rate_limit(stream, 2, 60, watermark="100 seconds"), "rate").collect()
+    assert sorted((r.at.minute * 60 + r.at.second, r.admitted) for r in got) == [(0, True), (1, True), (2, False), (500, True)]
