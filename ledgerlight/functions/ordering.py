@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from .exprs import as_double, col
 
-# Up to this many values per column the built-in exact percentile is used, and
-# up to this many rows a plain window.
-MAX_LOCAL_VALUES = 100_000
-MAX_LOCAL_ROWS = 1_000_000
+# Order statistics are narrowed down until so many values are left to sort.
+PICK_FROM = 100_000
 SKETCH_ACCURACY = 10_000
 
+# Folders of intermediate tables, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach, taken from spark.checkpoint.dir."""
@@ -43,7 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this session, once their results are no longer needed; their number."""
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        gone += folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -68,8 +81,7 @@ def sort_keys(order: Sequence[str]) -> list:
 
 
 def running_totals(
-    df: DataFrame, measures: dict[str, str], order: Sequence[str], by: Sequence[str] = (), *,
-    max_local: int = MAX_LOCAL_ROWS,
+    df: DataFrame, measures: dict[str, str], order: Sequence[str], by: Sequence[str] = (),
 ) -> DataFrame:
     """Add, per measure, its total over all rows up to and including this one.
 
@@ -78,15 +90,9 @@ def running_totals(
     spread over several ranges: totals are kept per range, and only groups that
     cross a range edge need an offset, so the offset table has at most two rows
     per partition and is safe to broadcast. `by` columns must not be NULL.
-    A table of up to `max_local` rows is summed with a plain window.
     """
     by = list(by)
     keys = sort_keys(order)
-    df = settle(df)
-    if df.count() <= max_local:
-        whole = Window.partitionBy(*[col(b) for b in by]).orderBy(*keys).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(col(m)).over(whole).alias(out) for m, out in measures.items()])
     placed = placed_by_range(df, [col(b).asc() for b in by] + keys)
     sums = [F.sum(col(m)).alias(out) for m, out in measures.items()]
     outs = list(measures.values())
@@ -120,23 +126,18 @@ def running_totals(
     return joined.select(*[col(c) for c in df.columns], *[col(o) for o in outs])
 
 
-def mid_ranks(values: DataFrame, names: Sequence[str], *, max_local: int = MAX_LOCAL_ROWS) -> DataFrame:
-    """Replace every value of the columns by its mean rank; values must not be NULL.
+def mid_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Replace every value of the columns by its mean rank among the column's values; NULLs stay.
 
     One range shuffle of (column, value) pairs ranks all columns, and one
     shuffle by row puts the ranks back. A frequent value may fill several
     ranges; only values at the edge of a range need correcting, at most two per
-    range and column. Up to `max_local` rows are ranked with plain windows.
+    range and column. Rows without any value are left out.
     """
-    if values.count() <= max_local:
-        return values.select(*[
-            (F.rank().over(Window.orderBy(n)) + (F.count("*").over(Window.partitionBy(n)) - 1) / 2).alias(n)
-            for n in names
-        ])
     rows = settle(values.select(*names, F.monotonically_increasing_id().alias("_id")))
     long = rows.select("_id", F.inline(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(n).alias("v")) for i, n in enumerate(names)
-    ])))
+    ]))).filter("v IS NOT NULL")
     placed = placed_by_range(long, [F.col("c"), F.col("v"), F.col("_id")])
     part = Window.partitionBy("_pid", "c")
     ranked = placed.select(
@@ -318,14 +319,13 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     approx: bool = False,
-    max_local: int = MAX_LOCAL_VALUES,
+    pick_from: int = PICK_FROM,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of several columns, NULL and NaN skipped.
 
-    Columns of up to `max_local` values use the built-in `percentile`. Longer
-    ones are selected by narrowing: a sketch gives a small interval around the
+    Values are selected by narrowing: a sketch gives a small interval around the
     rank, one counting scan confirms it, and this repeats until at most
-    `max_local` values are left. `approx=True` takes the sketch as it is.
+    `pick_from` values are left to sort. `approx=True` takes the sketch as it is.
     """
     if not cols:
         return {}
@@ -336,24 +336,19 @@ def exact_quantiles(
         row = work.agg(*[F.expr(f"percentile_approx({n}, {array}, {SKETCH_ACCURACY})") for n in names]).first()
         return {c: list(row[i]) if row[i] else [None] * len(probs) for i, c in enumerate(cols)}
     counts = work.agg(*[F.count(n) for n in names]).first()
-    result: dict[str, list[float | None]] = {}
-    short = [(c, n) for c, n, k in zip(cols, names, counts) if k <= max_local]
-    if short:
-        row = work.agg(*[F.expr(f"percentile({n}, {array})") for _, n in short]).first()
-        for (c, _), got in zip(short, row):
-            result[c] = list(got) if got else [None] * len(probs)
+    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     targets: dict[tuple[str, int], _Target] = {}
     for n, k in zip(names, counts):
-        if k > max_local:
+        if k:
             for p in probs:
                 for rank in {math.floor((k - 1) * p), math.ceil((k - 1) * p)}:
                     targets[(n, rank)] = _Target(n, rank, None, None, 0, k)
-    while wide := [t for t in targets.values() if t.value is None and t.inside > max_local]:
+    while wide := [t for t in targets.values() if t.value is None and t.inside > pick_from]:
         _narrow(work, wide)
     if open_ := [t for t in targets.values() if t.value is None]:
         _pick(work, open_)
     for c, n, k in zip(cols, names, counts):
-        if k > max_local:
+        if k:
             values = []
             for p in probs:
                 pos = (k - 1) * p
@@ -363,13 +358,11 @@ def exact_quantiles(
     return result
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = 16) -> DataFrame:
-    """Join whose left side may hold a third of its rows under one key.
+def join_facts(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join whose left side may hold a third of its rows under one key; the right side has one row per key.
 
-    The salt comes from the row's content, so a retried task sends each row to
-    the same place. The right side, one row per key, is repeated per salt.
+    The right side is written first. Both sides are then shuffled for this join
+    alone, so that adaptive execution can split a hot key by its measured size, or
+    send the right side whole where it turns out to be small.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[col(c) for c in left.columns]), F.lit(salts)))
-    spread = right.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    return left.join(settle(right), list(keys), how)

@@ -21,29 +21,16 @@ OUTLIER_RATE_LIMIT, OUTLIER_PENALTY = 0.05, 5
 DUPLICATE_PENALTY = 50
 
 
-# A content with more than 1/HOT_SHARE of all copies is joined by broadcast; by
-# counting there are fewer than HOT_SHARE of them.
-HOT_SHARE = 100
-
-
-def _hot_and_cold(counted: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
-    whole = counted.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) * HOT_SHARE > whole
-    return F.broadcast(counted.filter(hot)), counted.filter(~hot)
-
-
 def _copies(df: DataFrame) -> DataFrame:
     """Distinct contents that occur more than once, with their row count.
 
     First only 8-byte row hashes are shuffled; whole rows are grouped just for
-    hashes seen twice. Counts combine before the shuffle, and rows copied very
-    often are picked by broadcast, so they never meet in one task.
+    hashes seen twice. Counts combine before the shuffle. The hashes are written
+    first, so that adaptive execution can split the rows of a hash by their size.
     """
     rows = df.withColumn("_h", F.xxhash64(*[col(c) for c in df.columns]))
     seen = settle(rows.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1"))
-    hot, cold = _hot_and_cold(seen, "_c")
-    suspects = rows.join(hot, "_h", "left_semi").unionByName(
-        rows.join(hot, "_h", "left_anti").join(cold, "_h", "left_semi"))
+    suspects = rows.join(seen, "_h", "left_semi")
     return suspects.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
@@ -58,11 +45,9 @@ def find_duplicates(df: DataFrame) -> DataFrame:
 def mark_duplicates(df: DataFrame, flag: str = "is_duplicate") -> DataFrame:
     """Flag every row that has an equal."""
     keys = [col(c).alias(f"_k{i}") for i, c in enumerate(df.columns)]
-    hot, cold = _hot_and_cold(settle(_copies(df).select(*keys, "copies")), "copies")
+    copied = settle(_copies(df).select(*keys, "copies"))
     same = reduce(lambda a, b: a & b, [col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(df.columns)])
-    often = df.join(hot, same, "left_semi").withColumn(flag, F.lit(True))
-    rest = df.join(hot, same, "left_anti").join(cold, same, "left")
-    return often.unionByName(rest.select(*[col(c) for c in df.columns], F.col("copies").isNotNull().alias(flag)))
+    return df.join(copied, same, "left").select(*[col(c) for c in df.columns], F.col("copies").isNotNull().alias(flag))
 
 
 def medians(df: DataFrame, cols: Sequence[str], *, approx: bool = False) -> dict[str, float | None]:

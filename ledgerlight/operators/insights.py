@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
 
-MAX_INSIGHTS = 8
-
 # Thresholds of the rules.
 TREND_WARNING = 0.3
 CR5_WARNING = 0.6
 QUALITY_CRITICAL, QUALITY_WARNING = 50, 70
 LONG_TAIL_WARNING = 20
-TREND_MAX_PERIODS = 24
 
 
 def _pct(value: Column, digits: int = 1) -> Column:
@@ -33,16 +30,16 @@ def size_insight(overview: DataFrame) -> DataFrame:
     n, c = F.col("row_count").cast("string"), F.col("col_count").cast("string")
     return _rule(overview, 1, F.lit("info"), F.concat(F.lit("The table has "), n, F.lit(" records")),
                  [F.concat(n, F.lit(" rows, "), c, F.lit(" columns"))],
-                 F.lit("Size is sufficient for statistics over several dimensions."))
+                 F.lit("Groups and periods of this table can be compared."))
 
 
 def trend_insight(monthly: DataFrame) -> DataFrame:
-    """Change from the first to the last month, for series of 2 to 24 months."""
+    """Change from the first to the last month, for series of 2 months or more."""
     ends = monthly.agg(
         F.count("*").alias("n"),
         F.round(F.min_by("total", "period"), 2).alias("first"),
         F.round(F.max_by("total", "period"), 2).alias("last"),
-    ).filter((F.col("n") >= 2) & (F.col("n") <= TREND_MAX_PERIODS))
+    ).filter(F.col("n") >= 2)
     change = F.coalesce(ratio(F.col("last") - F.col("first"), F.col("first")), F.lit(0.0))
     up = change > 0
     return _rule(
@@ -51,7 +48,7 @@ def trend_insight(monthly: DataFrame) -> DataFrame:
         F.concat(F.lit("Overall trend "), F.when(up, "up").otherwise("down"), F.lit(" by "), _pct(F.abs(change))),
         [F.concat(F.lit("first "), F.format_number("first", 0), F.lit(", last "), F.format_number("last", 0)),
          F.concat(F.lit("change "), _pct(change))],
-        F.when(up, "Look at what drives the growth.").otherwise("Look for the cause of the decline."))
+        F.when(up, "More came in at the end than at the start.").otherwise("Less came in at the end than at the start."))
 
 
 def concentration_insight(concentration: DataFrame) -> DataFrame:
@@ -59,7 +56,7 @@ def concentration_insight(concentration: DataFrame) -> DataFrame:
         concentration.filter(F.col("cr5") > CR5_WARNING), 3, F.lit("warning"),
         F.concat(F.lit("High concentration, top five hold "), _pct(F.col("cr5"), 0)),
         [F.concat(F.lit("top five share "), _pct(F.col("cr5")))],
-        F.lit("A few items bring most of the total, which is a dependency risk."))
+        F.lit("Losing one of these items would be felt in the total."))
 
 
 def quality_insight(quality: DataFrame) -> DataFrame:
@@ -72,7 +69,7 @@ def quality_insight(quality: DataFrame) -> DataFrame:
         F.when(s < QUALITY_CRITICAL, "critical").when(low, "warning").otherwise("info"),
         F.concat(F.when(low, "Low").otherwise("Good"), F.lit(" data quality, score "), s.cast("string")),
         [F.when(low, empty).otherwise(copies), copies],
-        F.when(low, "Clean the data before relying on the results.").otherwise("Quality supports reliable statistics."),
+        F.when(low, "Figures below rest on incomplete or repeated rows.").otherwise("Few rows are missing, repeated or far out."),
     ).withColumn("evidence", F.array_distinct("evidence"))
 
 
@@ -83,7 +80,7 @@ def long_tail_insight(pareto: DataFrame) -> DataFrame:
         tail, 5, F.when(F.col("items") > LONG_TAIL_WARNING, "warning").otherwise("info"),
         F.concat(F.lit("Long tail of "), n, F.lit(" class C items")),
         [F.concat(n, F.lit(" class C items bring "), _pct(F.col("revenue_share")))],
-        F.lit("Consider merging or dropping items of the long tail."))
+        F.lit("Each of these items matters little on its own."))
 
 
 RULES = {
@@ -96,7 +93,7 @@ RULES = {
 
 
 def insights(results: dict[str, DataFrame]) -> DataFrame:
-    """All insights the given results allow, at most 8, numbered in the order of the rules.
+    """All insights the given results allow, numbered in the order of the rules.
 
     Keys: overview, monthly, concentration, quality, pareto; any may be missing.
     """
@@ -106,6 +103,6 @@ def insights(results: dict[str, DataFrame]) -> DataFrame:
     rows = reduce(DataFrame.unionByName, parts)
     # one row per rule at most
     at = F.row_number().over(Window.orderBy("_order")) - 1
-    return rows.withColumn("_at", at).filter(F.col("_at") < MAX_INSIGHTS).select(
+    return rows.withColumn("_at", at).select(
         F.concat(F.lit("i"), F.lpad(F.col("_at").cast("string"), 2, "0")).alias("id"),
         "title", "severity", "evidence", "interpretation")

@@ -12,7 +12,7 @@ from ..functions.exprs import (
     as_double, as_time, col, floor_days, is_temporal, missing_to_null, numeric_columns, ratio,
     require_columns, rows_from, text_columns,
 )
-from ..functions.ordering import exact_quantiles
+from ..functions.ordering import exact_quantiles, settle
 
 
 def sample_rows(df: DataFrame, n: int = 3, order_by: Sequence[str] = ()) -> DataFrame:
@@ -26,19 +26,15 @@ def sample_values(df: DataFrame, c: str, n: int = 5, order_by: Sequence[str] = (
     return sample_rows(df.filter(missing_to_null(df, c).isNotNull()), n, order_by).select(col(c).alias("value"))
 
 
-# Longer texts are counted by their SHA-256, so that whole documents are not shuffled.
-MAX_PLAIN_TEXT = 64
-
-
 def _as_key(df: DataFrame, c: str) -> Column:
-    """A short text that differs for different values."""
+    """A short text that differs for different values. Texts go by their SHA-256, so that documents are not shuffled."""
     dtype, v = df.schema[c].dataType, missing_to_null(df, c)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return (v + 0.0).cast("string")  # -0.0 equals 0.0
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(v).cast("string")  # clock changes repeat local times
     if isinstance(dtype, (T.StringType, T.BinaryType)):
-        return F.when(F.octet_length(v) > MAX_PLAIN_TEXT, F.concat(F.lit("#"), F.sha2(v, 256))).otherwise(v.cast("string"))
+        return F.sha2(v, 256)
     return v.cast("string") if isinstance(dtype, T.AtomicType) else F.to_json(F.struct(v.alias("v")))
 
 
@@ -134,18 +130,23 @@ def profile_dates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     require_columns(df, cols)
     native = {f.name for f in df.schema.fields if is_temporal(f.dataType)}
     times = df.select(*[as_time(df, c).alias(f"t{i}") for i, c in enumerate(cols)])
+    # (column, day) pairs that combine before the shuffle; distinct counts side by side would copy every row per column
+    days = times.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(f"t{i}").cast("date").alias("day")) for i in range(len(cols))
+    ]))).filter("day IS NOT NULL").distinct().groupBy("c").count()
+    at = F.map_from_entries(F.collect_list(F.struct("c", "count")))
+    counted = days.agg(at.alias("_days"))
     wide = times.agg(F.count("*").alias("_n"), *[
         x for i in range(len(cols)) for x in (
             F.count(f"t{i}").alias(f"n{i}"), F.min(f"t{i}").alias(f"lo{i}"), F.max(f"t{i}").alias(f"hi{i}"),
-            F.count_distinct(F.col(f"t{i}").cast("date")).alias(f"d{i}"),
         )
     ])
-    rows = rows_from(wide, [
+    rows = rows_from(wide.withColumn("_days", counted.scalar()), [
         F.struct(
             F.lit(c).alias("column"), F.col(f"n{i}").alias("valid"),
             F.col(f"lo{i}").alias("first"), F.col(f"hi{i}").alias("last"),
             floor_days(F.col(f"lo{i}"), F.col(f"hi{i}")).alias("time_span_days"),
-            F.col(f"d{i}").alias("distinct_days"),
+            F.coalesce(F.element_at("_days", F.lit(i)), F.lit(0)).alias("distinct_days"),
             (F.lit(c in native) | (F.col(f"n{i}") > F.col("_n") * 0.5)).alias("_is_date"),
         )
         for i, c in enumerate(cols)
@@ -161,13 +162,21 @@ def profile_text(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5) -
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in cols
     ]))).filter(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("count"))
+    # counted by digest, which partial sums keep short of the shuffle; the k-th count then bounds which texts are fetched
+    digest = F.sha2("value", 256).alias("digest")
+    counts = settle(long.select("column", digest, F.length("value").cast("long").alias("length")).groupBy("column", "digest").agg(
+        F.count("*").alias("count"), F.min("length").alias("length")))
     lengths = counts.groupBy("column").agg(
-        ratio(F.sum(F.col("count") * F.length("value")), F.sum("count")).alias("avg_length"))
+        ratio(F.sum(F.col("count") * F.col("length")), F.sum("count")).alias("avg_length"))
     # the rank limit is applied before the shuffle too, so no task sorts a whole column
+    often = counts.withColumn("at", F.row_number().over(Window.partitionBy("column").orderBy(F.col("count").desc(), "digest")))
+    least = often.filter(F.col("at") <= k).groupBy("column").agg(F.min("count").alias("least"))
+    likely = settle(counts.join(F.broadcast(least), "column").filter("count >= least").select("column", "digest", "count"))
+    texts = long.withColumn("digest", digest).join(likely, ["column", "digest"]).groupBy("column", "digest", "count").agg(
+        F.any_value("value").alias("value"))
     order = Window.partitionBy("column").orderBy(F.col("count").desc(), "value")
     top = (
-        counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        texts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "count"))).alias("_top"))
     )

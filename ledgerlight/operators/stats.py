@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,52 +70,55 @@ CONSTANT_SHARE = 1e-28
 def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """r of every column pair over the rows where both are present; NULL for a constant.
 
-    A first scan takes counts and means. The second sums products of the values
-    less their mean, which keeps the digits; columns without gaps share their
-    sums among all pairs, so a pair costs one sum.
+    A first scan takes means. The second sums products of the values less their
+    mean, which keeps the digits: per batch of rows as products of matrices, so the
+    plan does not grow with the number of columns.
     """
     require_columns(df, cols)
     names = [f"c{i}" for i in range(len(cols))]
     values = df.select(*[as_double(df, c).alias(n) for c, n in zip(cols, names)])
-    first = values.agg(F.count("*").alias("n"), *[F.count(n).alias(f"k_{n}") for n in names],
-                       *[F.avg(n).alias(f"m_{n}") for n in names]).first()
-    mean = {n: first[f"m_{n}"] or 0.0 for n in names}
-    gaps = {n for n in names if first[f"k_{n}"] < first["n"]}
-    sums: dict[str, Column] = {"n": F.count("*")}
-
-    def add(key: str, value: Column, rows: Column | None) -> Column:
-        sums[key] = F.sum(value if rows is None else F.when(rows, value))
-        return F.col(key)
-
-    out = []
-    for a, b in combinations(names, 2):
-        x, y = F.col(a) - F.lit(mean[a]), F.col(b) - F.lit(mean[b])
-        holes = [c for c in (a, b) if c in gaps]
-        rows, tag = None, ""
-        if holes:
-            rows, tag = F.col(a).isNotNull() & F.col(b).isNotNull(), f"_{a}_{b}"
-            sums["n" + tag] = F.count_if(rows)
-        n = F.col("n" + tag)
-        sx, sxx = add(f"s_{a}{tag}", x, rows), add(f"q_{a}{tag}", x * x, rows)
-        sy, syy = add(f"s_{b}{tag}", y, rows), add(f"q_{b}{tag}", y * y, rows)
-        sxy = add(f"p_{a}_{b}", x * y, rows)
-        vx, vy = sxx - ratio(sx * sx, n), syy - ratio(sy * sy, n)
-        varies = (vx > n * CONSTANT_SHARE * mean[a] ** 2) & (vy > n * CONSTANT_SHARE * mean[b] ** 2)
-        r = ratio(sxy - ratio(sx * sy, n), F.sqrt(F.when(varies, vx)) * F.sqrt(F.when(varies, vy)))
-        out.append(F.struct(
-            F.lit(cols[names.index(a)]).alias("col_a"), F.lit(cols[names.index(b)]).alias("col_b"), n.alias("n"),
-            # rounding may push |r| past 1
-            F.when(F.abs(r) > 1, F.signum(r)).otherwise(r).alias("r"),
-        ))
-    return rows_from(values.agg(*[e.alias(k) for k, e in sums.items()]), out)
+    return _pearson(values, names, list(combinations(names, 2)), dict(zip(names, cols)))
+
+
+def _pearson(values: DataFrame, names: list[str], pairs: list[tuple[str, str]], label: dict[str, str]) -> DataFrame:
+    means = values.agg(*[F.avg(n).alias(n) for n in names]).first()
+    mean = np.array([means[n] or 0.0 for n in names])
+    spot = {n: i for i, n in enumerate(names)}
+    left, right = (np.array([spot[p[k]] for p in pairs], dtype=int) for k in (0, 1))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(pairs)))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - mean
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            counts, firsts, squares, products = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+            total += np.stack([
+                counts[left, right], firsts[left, right], squares[left, right], firsts[right, left], squares[right, left],
+                products[left, right],
+            ])
+        yield pd.DataFrame(dict(zip(("pair", "n", "sx", "sxx", "sy", "syy", "sxy"), (np.arange(len(pairs)), *total))))
+
+    summed = values.select(*names).mapInPandas(sums, "pair int, n double, sx double, sxx double, sy double, syy double, sxy double")
+    got = summed.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sy", "syy", "sxy")])
+    known = values.sparkSession.createDataFrame(
+        [(i, label[a], label[b], float(mean[spot[a]] ** 2), float(mean[spot[b]] ** 2)) for i, (a, b) in enumerate(pairs)],
+        "pair int, col_a string, col_b string, ma double, mb double")
+    n = F.col("n")
+    vx, vy = F.col("sxx") - ratio(F.col("sx") * F.col("sx"), n), F.col("syy") - ratio(F.col("sy") * F.col("sy"), n)
+    varies = (vx > n * CONSTANT_SHARE * F.col("ma")) & (vy > n * CONSTANT_SHARE * F.col("mb"))
+    r = ratio(F.col("sxy") - ratio(F.col("sx") * F.col("sy"), n), F.sqrt(F.when(varies, vx)) * F.sqrt(F.when(varies, vy)))
+    # rounding may push |r| past 1
+    r = F.when(F.abs(r) > 1, F.signum(r)).otherwise(r)
+    return got.join(known, "pair").select("col_a", "col_b", n.cast("long").alias("n"), r.alias("r"))
 
 
 def corr_spearman(df: DataFrame, cols: Sequence[str],
                   pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Pearson's r of the mean ranks, ranked within the rows where both are present.
 
-    Pairs whose gaps are in the same columns are ranked together. `pairs`
-    limits the work to those pairs, in the order of `cols`.
+    Pairs whose gaps are in the same columns share their ranks; all are ranked in
+    one shuffle. `pairs` limits the work to those pairs, in the order of `cols`.
     """
     require_columns(df, cols)
     names = [f"c{i}" for i in range(len(cols))]
@@ -124,16 +129,20 @@ def corr_spearman(df: DataFrame, cols: Sequence[str],
     for a, b in combinations(names, 2):
         if pairs is None or (label[a], label[b]) in pairs:
             groups.setdefault(tuple(n for n in (a, b) if missing[n]), []).append((a, b))
-    out = None
-    for holes, members in groups.items():
-        used = sorted({n for p in members for n in p}, key=names.index)
-        rows = values.dropna(subset=list(holes)) if holes else values
-        ranked = settle(mid_ranks(rows, used))
-        wanted = {(label[a], label[b]) for a, b in members}
-        part = corr_pearson(ranked.toDF(*[label[n] for n in used]), [label[n] for n in used])
-        part = part.filter(F.concat_ws("\0", "col_a", "col_b").isin(*["\0".join(w) for w in wanted]))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("r", "rho")
+    # every column once per set of gaps, so that one shuffle ranks them all
+    views: dict[str, Column] = {}
+    wanted = []
+    for g, (holes, members) in enumerate(groups.items()):
+        there = reduce(lambda x, y: x & y, [F.col(h).isNotNull() for h in holes], F.lit(True))
+        for pair in members:
+            for n in pair:
+                views[f"{n}_{g}"] = F.when(there, F.col(n))
+            wanted.append((f"{pair[0]}_{g}", f"{pair[1]}_{g}"))
+    if not wanted:
+        return corr_pearson(df, cols).limit(0).withColumnRenamed("r", "rho")
+    ranked = settle(mid_ranks(values.select(*[v.alias(n) for n, v in views.items()]), list(views)))
+    found = _pearson(ranked, list(views), wanted, {n: label[n.split("_")[0]] for n in views})
+    return found.withColumnRenamed("r", "rho")
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:

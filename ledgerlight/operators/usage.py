@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from ..functions.ordering import running_totals, salted_join
+from ..functions.ordering import running_totals, join_facts
 
 # Fixed values: $ per million input and output tokens, and the model priced for unknown ones.
 PRICES = {
@@ -165,7 +165,7 @@ def member_usage(log: DataFrame, members: DataFrame, budgets: DataFrame, as_of:
         per_user.select("tenant_id", "user_id", "today"), ["tenant_id", "user_id"], "left")
     cost = F.coalesce("month_cost_usd", F.lit(0.0))
     # one tenant may hold many of the members
-    return salted_join(people, tenants, ["tenant_id"], "left").select(
+    return join_facts(people, tenants, ["tenant_id"], "left").select(
         "tenant_id", "user_id", "user_name", "role",
         F.coalesce("today", F.lit(0)).alias("today"), "daily_limit",
         F.coalesce("team_today", F.lit(0)).alias("team_today"),
@@ -201,7 +201,7 @@ def quota_violations(log: DataFrame, members: DataFrame, order: tuple[str, ...]
         .filter(F.col("_calls") > F.col("daily_limit"))
         .select(*keys, "daily_limit")
     )
-    calls = salted_join(dated, over, keys).withColumn("_one", F.lit(1).cast("long"))
+    calls = join_facts(dated, over, keys).withColumn("_one", F.lit(1).cast("long"))
     numbered = running_totals(calls, {"_one": "call_no"}, order, by=keys)
     return numbered.filter(F.col("call_no") > F.col("daily_limit")).drop("_one")
 

@@ -191,10 +191,10 @@ def _mark_duplicates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _insights(s: SparkSession, d: str) -> DataFrame:
-    year, items = _facts_year(s, d), items_with_regions(s, d)
+    items = items_with_regions(s, d)
     found = L.insights({
         "overview": L.desc_overview(table(s, d, "orders")),
-        "monthly": L.monthly_series(year, "o_orderdate", "amount"),
+        "monthly": L.monthly_series(orders(s, d), "o_orderdate", "amount"),
         "concentration": L.concentration(items, "r_name", "amount"),
         "quality": L.quality_score(orders_with_gaps(s, d), GAP_ROLES),
         "pareto": L.pareto_summary(items, "p_brand", "amount"),
@@ -353,7 +353,7 @@ def catalog() -> dict[str, Query]:
         "quality_score": _of_gaps(L.quality_score, GAP_ROLES),
         # reports
         "insights": _insights,
-        "monthly_facts": lambda s, p: tidy(L.monthly_facts(_facts_year(s, p), d, m)),
+        "monthly_facts": lambda s, p: tidy(L.monthly_facts(orders(s, p), d, m)),
         "region_facts": _of_items(L.region_facts, "r_name", "amount"),
         "report_suite": _report_suite,
         "slim": _slim,

@@ -5,21 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import numeric_columns
+from ..functions.exprs import col, numeric_columns
 from ..functions.keywords import CUSTOMER_ROLES, NUMERIC_ROLES, PRODUCT_ROLES
-from ..operators.clean import clean, quality_score
-from ..operators.customers import rfm_summary
+from ..functions.ordering import settle
+from ..operators.clean import clean, cleaning_log, quality_score
+from ..operators.customers import rfm_overview, rfm_summary
 from ..operators.insights import insights
-from ..operators.profile import desc_overview, desc_stats
-from ..operators.ranking import concentration, drill_down, pareto_summary, region_analysis, top_ranking
-from ..operators.roles import roles_dict
-from ..operators.series import date_range_filter, mom_growth, monthly_series, simple_forecast, time_series, yoy_summary
-from ..operators.stats import anomaly_detect, corr_pearson, distribution, redundant_pairs, strong_pairs
-
-# Columns per analysis that the short form keeps.
+from ..operators.profile import desc_overview, desc_stats, profile_columns
+from ..operators.ranking import concentration, drill_down, pareto_summary, region_analysis, region_extremes, top_ranking
+from ..operators.roles import infer_roles, roles_dict
+from ..operators.series import (
+    annual_summary, date_range_filter, forecast_fitted, inflection_points, mom_growth, monthly_series, moving_avg_3,
+    simple_forecast, time_series, yoy_summary,
+)
+from ..operators.stats import (
+    anomaly_detect, anomaly_summary, corr_p_values, corr_spearman, distribution, redundant_pairs, strong_pairs,
+)
+
+# Columns per analysis that the short form keeps; None for all.
 SLIM_FIELDS = {
     "desc_overview": ("row_count", "col_count", "numeric_col_count", "overall_null_rate"),
     "time_series": ("period_count", "total", "mean", "avg_mom", "std_mom", "trend_direction", "trend_magnitude",
@@ -32,12 +38,13 @@ SLIM_FIELDS = {
     "redundant_pairs": ("col_a", "col_b", "pearson_r", "spearman_rho", "type"),
     "rfm_analysis": ("segment", "customers", "revenue_share"),
     "simple_forecast": ("slope", "r2", "next_forecast", "low_95", "high_95"),
+    "anomaly_detect": ("column", "outlier_count", "outlier_rate"),
+    "anomaly_summary": ("total_anomalies", "columns_analyzed", "worst_column"),
+    "distribution": ("column", "skewness", "kurtosis", "shape"),
+    "region_extremes": None,
+    "rfm_overview": None,
 }
 
-# More columns than this give only the strong pairs, not every pair.
-MAX_CORR_COLUMNS = 15
-MAX_DISTRIBUTION_COLUMNS = 5
-
 
 class Report(Mapping):
     """Analyses by name. Each is planned when it is first asked for, so the others cost nothing."""
@@ -87,7 +94,9 @@ class _Plan:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        return clean(self.raw, self.roles, approx=self.approx)
+        """The filled columns that have a role, written once for all analyses."""
+        wanted = [c for c in self.raw.columns if c in self.roles]
+        return settle(clean(self.raw.select(*[col(c) for c in wanted]), {c: self.roles[c] for c in wanted}, approx=self.approx))
 
     def analyses(self) -> dict[str, list[tuple[str, Callable[[], DataFrame]]]]:
         """Result tables per analysis, in running order, for the roles that are present."""
@@ -98,7 +107,13 @@ class _Plan:
             + ([("desc_stats", lambda: desc_stats(raw, approx=self.approx))] if numeric_columns(raw) else []),
         }
         if d and numbers:
-            plan["time_series"] = [("time_series", lambda: time_series(self.cleaned, d, m))]
+            plan["time_series"] = [
+                ("time_series", lambda: time_series(self.cleaned, d, m)),
+                ("monthly", lambda: moving_avg_3(self.cleaned, d, m)),
+                ("growth", lambda: mom_growth(self.cleaned, d, m)),
+                ("inflection_points", lambda: inflection_points(self.cleaned, d, m)),
+                ("annual_summary", lambda: annual_summary(self.cleaned, d, m)),
+            ]
             plan["yoy_comparison"] = [("yoy_comparison", lambda: yoy_summary(self.cleaned, d, m))]
         if k and m:
             plan["top_ranking"] = [
@@ -107,24 +122,36 @@ class _Plan:
             ]
             plan["pareto_abc"] = [("pareto_abc", lambda: pareto_summary(self.cleaned, k, m))]
         if numbers:
-            plan["anomaly_detect"] = [("anomaly_detect", lambda: anomaly_detect(self.cleaned, numbers, approx=self.approx))]
+            plan["anomaly_detect"] = [
+                ("anomaly_detect", lambda: anomaly_detect(self.cleaned, numbers, approx=self.approx)),
+                ("anomaly_summary", lambda: anomaly_summary(self.cleaned, numbers)),
+            ]
         if len(numbers) >= 3:
-            pairs = [("strong_pairs", lambda: strong_pairs(self.cleaned, numbers)),
-                     ("redundant_pairs", lambda: redundant_pairs(self.cleaned, numbers))]
-            if len(numbers) <= MAX_CORR_COLUMNS:
-                pairs.insert(0, ("correlation", lambda: corr_pearson(self.cleaned, numbers)))
-            plan["correlation"] = pairs
+            plan["correlation"] = [
+                ("correlation", lambda: corr_p_values(self.cleaned, numbers)),
+                ("rank_correlation", lambda: corr_spearman(self.cleaned, numbers)),
+                ("strong_pairs", lambda: strong_pairs(self.cleaned, numbers)),
+                ("redundant_pairs", lambda: redundant_pairs(self.cleaned, numbers)),
+            ]
         if numbers:
-            plan["distribution"] = [
-                ("distribution", lambda: distribution(self.cleaned, numbers[:MAX_DISTRIBUTION_COLUMNS]))]
+            plan["distribution"] = [("distribution", lambda: distribution(self.cleaned, numbers))]
         if self.region and numbers:
-            plan["region_analysis"] = [("region_analysis", lambda: region_analysis(self.cleaned, self.region, m))]
+            plan["region_analysis"] = [
+                ("region_analysis", lambda: region_analysis(self.cleaned, self.region, m)),
+                ("region_extremes", lambda: region_extremes(self.cleaned, self.region, m)),
+            ]
         if len(dims) == 2 and m:
             plan["drill_down"] = [("drill_down", lambda: drill_down(self.cleaned, dims, m))]
         if self.customer and d and m:
-            plan["rfm_analysis"] = [("rfm_analysis", lambda: rfm_summary(self.cleaned, self.customer, d, m))]
+            plan["rfm_analysis"] = [
+                ("rfm_analysis", lambda: rfm_summary(self.cleaned, self.customer, d, m)),
+                ("rfm_overview", lambda: rfm_overview(self.cleaned, self.customer, d, m)),
+            ]
         if d and numbers:
-            plan["simple_forecast"] = [("simple_forecast", lambda: simple_forecast(self.cleaned, d, m))]
+            plan["simple_forecast"] = [
+                ("simple_forecast", lambda: simple_forecast(self.cleaned, d, m)),
+                ("forecast_fitted", lambda: forecast_fitted(self.cleaned, d, m)),
+            ]
         return plan
 
     def insights(self) -> DataFrame:
@@ -155,6 +182,9 @@ def report_suite(
         plan.raw = date_range_filter(df, plan.date, *date_range)
     chosen = list(plan.analyses().values())[:max_tasks]
     builders = {name: build for tables in chosen for name, build in tables}
+    builders["columns"] = lambda: profile_columns(plan.raw)
+    builders["roles"] = lambda: infer_roles(plan.raw, roles)
+    builders["cleaning_log"] = lambda: cleaning_log(plan.raw, plan.roles, approx=approx)
     builders["quality"] = lambda: quality_score(plan.raw, plan.roles, approx=approx)
     builders["insights"] = plan.insights
     return Report(builders)
@@ -162,7 +192,7 @@ def report_suite(
 
 def slim(results: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The results cut to their key columns; detail tables are left out."""
-    return {n: results[n].select(*SLIM_FIELDS[n]) for n in results if n in SLIM_FIELDS}
+    return {n: results[n].select(*SLIM_FIELDS[n] or results[n].columns) for n in results if n in SLIM_FIELDS}
 
 
 def quick_summary(df: DataFrame, roles: dict[str, str] | None = None, *, approx: bool = False) -> DataFrame:
@@ -182,14 +212,11 @@ def quick_summary(df: DataFrame, roles: dict[str, str] | None = None, *, approx:
     )
 
 
-def monthly_facts(df: DataFrame, d: str, m: str, limit: int = 12) -> DataFrame:
-    """Months with total and growth, if the series has at most `limit` months."""
-    whole = Window.partitionBy()
-    return mom_growth(df, d, m).withColumn("_n", F.count("*").over(whole)).filter(F.col("_n") <= limit).drop("_n")
+def monthly_facts(df: DataFrame, d: str, m: str) -> DataFrame:
+    """Months with total and growth."""
+    return mom_growth(df, d, m)
 
 
-def region_facts(df: DataFrame, k: str, m: str, limit: int = 10) -> DataFrame:
-    """Regions by share, largest first, if there are at most `limit` of them."""
-    regions = region_analysis(df, k, m).select("region", "total", "share")
-    few = regions.agg(F.count("*")).scalar()
-    return regions.filter(few <= limit).orderBy(F.col("share").desc(), "region")
+def region_facts(df: DataFrame, k: str, m: str) -> DataFrame:
+    """Regions by share, largest first."""
+    return region_analysis(df, k, m).select("region", "total", "share").orderBy(F.col("share").desc(), "region")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import col
-from ..functions.ordering import salted_join
+from ..functions.ordering import join_facts
 from .intake import detect_delimiter_text
 
 # Texts that stand for a missing value.
@@ -19,7 +19,6 @@ MISSING = (
 )
 _BAD = "_bad_line"
 SPARK_CHARSETS = ("utf-8", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32")
-MAX_BROADCAST_FILES = 10_000
 WHOLE = r"^[+-]?\d{1,19}$"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?[Ii]nf(inity)?$"
 
@@ -164,10 +163,7 @@ def _read_after(spark, path, sep, encoding, header, skip_rows, comment, schema)
         first = lines.join(head.select("_id"), "_id", "left_anti").select("value").first()
         names = schema.names if schema else [f"_c{i}" for i in range(len(first[0].split(sep)))] if first else []
     ends = head.groupBy("_file").agg(F.max("_id").alias("_last"))
-    if ends.count() <= MAX_BROADCAST_FILES:
-        marked = lines.join(F.broadcast(ends), "_file", "left")
-    else:
-        marked = salted_join(lines, ends, ["_file"], "left")
+    marked = join_facts(lines, ends, ["_file"], "left")
     body = marked.filter(F.col("_last").isNull() | (F.col("_id") > F.col("_last")))
     body = body.filter(F.length(F.trim("value")) > 0)
     if comment:

@@ -22,34 +22,32 @@ def skewed(spark):
 def test_quantiles_match_numpy_whatever_the_limit(skewed, limit):
     pdf, df = skewed
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.987, 1.0]
-    got = O.exact_quantiles(df, ["x", "y"], probs, max_local=limit)
+    got = O.exact_quantiles(df, ["x", "y"], probs, pick_from=limit)
     for c in ("x", "y"):
         assert got[c] == pytest.approx(list(np.quantile(pdf[c], probs)), abs=1e-12)
 
 
 def test_quantiles_skip_missing_and_handle_constants(spark):
     df = spark.sql("SELECT * FROM VALUES (1D, 2D, CAST(NULL AS DOUBLE)), (NULL, 2D, NULL), (double('NaN'), 2D, NULL), (4D, 2D, NULL) t(a, b, c)")
-    got = O.exact_quantiles(df, ["a", "b", "c"], [0.25, 0.5], max_local=1)
+    got = O.exact_quantiles(df, ["a", "b", "c"], [0.25, 0.5], pick_from=1)
     assert got == {"a": [1.75, 2.5], "b": [2.0, 2.0], "c": [None, None]}
     assert O.exact_quantiles(df, ["a"], [0.5], approx=True)["a"][0] in (1.0, 4.0)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_running_totals_in_one_window_and_over_ranges(skewed, limit):
+def test_running_totals(skewed):
     pdf, df = skewed
     ints = df.withColumn("n", (F.col("y") * 10).cast("long"))
-    got = O.running_totals(ints, {"n": "upto"}, ["-x", "id"], by=["g"], max_local=limit).toPandas()
+    got = O.running_totals(ints, {"n": "upto"}, ["-x", "id"], by=["g"]).toPandas()
     pdf = pdf.assign(n=(pdf.y * 10).round().astype("int64")).sort_values(["g", "x", "id"], ascending=[True, False, True])
     want = pdf.assign(upto=pdf.groupby("g").n.cumsum()).set_index("id").upto
     assert got.set_index("id").upto.sort_index().tolist() == want.sort_index().tolist()
-    total = O.running_totals(ints, {"n": "upto"}, ["x", "id"], max_local=limit).agg(F.max("upto")).first()[0]
+    total = O.running_totals(ints, {"n": "upto"}, ["x", "id"]).agg(F.max("upto")).first()[0]
     assert total == pdf.n.sum()
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_mid_ranks_match_pandas_with_a_hot_value(skewed, limit):
+def test_mid_ranks_match_pandas_with_a_hot_value(skewed):
     pdf, df = skewed
-    got = O.mid_ranks(df.select("x", "y"), ["x", "y"], max_local=limit).toPandas()
+    got = O.mid_ranks(df.select("x", "y"), ["x", "y"]).toPandas()
     want = pdf[["x", "y"]].rank()
     assert sorted(zip(got.x, got.y)) == sorted(zip(want.x, want.y))
 
@@ -62,10 +60,10 @@ def test_rows_at_ranks(skewed):
     assert [r["id"] for r in got] == want.id.tolist()
 
 
-def test_salted_join_is_a_join(skewed):
+def test_facts_join_is_a_join(skewed):
     pdf, df = skewed
     right = df.select("g").distinct().withColumn("size", F.length("g"))
-    got = O.salted_join(df, right, ["g"])
+    got = O.join_facts(df, right, ["g"])
     assert got.count() == len(pdf)
     assert got.filter(F.col("size") != F.length("g")).count() == 0
 
@@ -75,3 +73,10 @@ def test_settled_tables_go_to_the_configured_folder(spark):
         spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     back = O.settle(spark.range(5))
     assert back.inputFiles()[0].replace("file://", "").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_work_can_be_cleared(spark):
+    back = O.settle(spark.range(3))
+    assert O.clear_work(spark) >= 1
+    with pytest.raises(Exception, match="."):
+        back.count()

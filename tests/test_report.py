@@ -19,9 +19,11 @@ def sales(spark):
 def test_all_analyses_run(sales):
     report = L.report_suite(sales, ALL_ROLES)
     assert list(report) == [
-        "desc_overview", "desc_stats", "time_series", "yoy_comparison", "top_ranking", "concentration", "pareto_abc",
-        "anomaly_detect", "correlation", "strong_pairs", "redundant_pairs", "distribution", "region_analysis",
-        "drill_down", "rfm_analysis", "simple_forecast", "quality", "insights"]
+        "desc_overview", "desc_stats", "time_series", "monthly", "growth", "inflection_points", "annual_summary",
+        "yoy_comparison", "top_ranking", "concentration", "pareto_abc", "anomaly_detect", "anomaly_summary", "correlation",
+        "rank_correlation", "strong_pairs", "redundant_pairs", "distribution", "region_analysis", "region_extremes",
+        "drill_down", "rfm_analysis", "rfm_overview", "simple_forecast", "forecast_fitted", "columns", "roles",
+        "cleaning_log", "quality", "insights"]
     assert all(report[n].count() >= 0 for n in report)
     assert report["time_series"].first().period_count == 15
     assert report["redundant_pairs"].count() == 1
@@ -29,12 +31,14 @@ def test_all_analyses_run(sales):
 
 def test_task_limit_and_missing_roles(sales):
     assert list(L.report_suite(sales, ALL_ROLES, max_tasks=3)) == [
-        "desc_overview", "desc_stats", "time_series", "yoy_comparison", "quality", "insights"]
+        "desc_overview", "desc_stats", "time_series", "monthly", "growth", "inflection_points", "annual_summary",
+        "yoy_comparison", "columns", "roles", "cleaning_log", "quality", "insights"]
     # no date column: the other analyses still run
     no_date = L.report_suite(sales.drop("日期"), {k: v for k, v in ALL_ROLES.items() if k != "日期"})
     assert "time_series" not in no_date and "pareto_abc" in no_date
     text = sales.select("产品", "区域")
-    assert list(L.report_suite(text, {"产品": "product_name", "区域": "region"})) == ["desc_overview", "quality", "insights"]
+    assert list(L.report_suite(text, {"产品": "product_name", "区域": "region"})) == [
+        "desc_overview", "columns", "roles", "cleaning_log", "quality", "insights"]
 
 
 def test_roles_are_inferred_when_not_given(sales):
@@ -91,13 +95,12 @@ def test_trend_insight_bounds(spark):
     assert trend([100, 70]) == [("Overall trend down by 30.0%", "warning")]
     assert trend([0, 70]) == [("Overall trend down by 0.0%", "info")]
     assert trend([5]) == []
-    assert trend([1] * 25) == []
+    assert trend([1] * 25) == [("Overall trend down by 0.0%", "info")]
 
 
 def test_facts(sales):
-    assert L.monthly_facts(sales, "日期", "销售额").count() == 0
+    assert L.monthly_facts(sales, "日期", "销售额").count() == L.monthly_series(sales, "日期", "销售额").count()
     year = L.date_range_filter(sales, "日期", "2024-01-01", "2024-12-31")
     assert L.monthly_facts(year, "日期", "销售额").count() == 12
     shares = [r.share for r in L.region_facts(sales, "区域", "销售额").collect()]
     assert shares == sorted(shares, reverse=True)
-    assert L.region_facts(sales, "区域", "销售额", limit=1).count() == 0
