@@ -13,13 +13,19 @@ DAY_US = 86_400_000_000
 # Date layouts by the look of the text. The cheap pattern decides, since a
 # failing parse is costly and most text columns hold no dates.
 ISO_LIKE = r"^[+-]?\d{4,6}(-\d{1,2}(-\d{1,2}([T ].*)?)?)?$"
+CLOCK = r"( \d{1,2}:\d{1,2}(:\d{1,2})?)?$"
 DATE_FORMATS = {
-    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
-    r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$": "yyyy/M/d H:m:s",
-    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^\d{4}/\d{1,2}/\d{1,2}" + CLOCK: "yyyy/M/d[ H:m[:s]]",
+    r"^\d{4}\.\d{1,2}\.\d{1,2}" + CLOCK: "yyyy.M.d[ H:m[:s]]",
     r"^\d{8}$": "yyyyMMdd",
-    r"^\d{4}\.\d{1,2}\.\d{1,2}$": "yyyy.M.d",
+    r"^[A-Za-z]{3} \d{1,2}, \d{4}" + CLOCK: "MMM d, yyyy[ H:m[:s]]",
+    r"^[A-Za-z]{4,9} \d{1,2}, \d{4}" + CLOCK: "MMMM d, yyyy[ H:m[:s]]",
+    r"^\d{1,2}-[A-Za-z]{3}-\d{4}" + CLOCK: "d-MMM-yyyy[ H:m[:s]]",
+    r"^\d{1,2} [A-Za-z]{3} \d{4}" + CLOCK: "d MMM yyyy[ H:m[:s]]",
 }
+# Which comes first is decided once for the column.
+SLASHED = r"^(\d{1,2})/(\d{1,2})/\d{4}" + CLOCK
+MONTH_FIRST, DAY_FIRST = "M/d/yyyy[ H:m[:s]]", "d/M/yyyy[ H:m[:s]]"
 
 
 def col(name: str) -> Column:
@@ -70,15 +76,29 @@ def as_double(df: DataFrame, name: str) -> Column:
     return missing_to_null(df, name).cast("double")
 
 
-def as_time(df: DataFrame, name: str, formats: dict[str, str] = DATE_FORMATS) -> Column:
-    """The column as a zone-less timestamp; text that is no date becomes NULL."""
+def _day_first(df: DataFrame, name: str) -> Column:
+    """Whether the column's slashed dates start with the day: some first number is no month, and no second one is a day only."""
+    parts = df.select(F.trim(col(name)).alias("t")).filter(F.col("t").rlike(SLASHED)).select(
+        *[F.regexp_extract("t", SLASHED, i).cast("int").alias(f"p{i}") for i in (1, 2)])
+    return parts.agg(F.coalesce((F.max("p1") > 12) & (F.max("p2") <= 12), F.lit(False))).scalar()
+
+
+def as_time(df: DataFrame, name: str, formats: dict[str, str] = DATE_FORMATS, *, day_first: bool | None = None) -> Column:
+    """The column as a zone-less timestamp; text that is no date becomes NULL.
+
+    Dates like 13/01/2024 are read month first unless the column shows that days
+    come first, which takes a scan of it; `day_first` settles that without one.
+    """
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
         text = F.trim(col(name))
         parsed = F.when(text.rlike(ISO_LIKE), text.try_cast("timestamp_ntz"))
         for look, layout in formats.items():
             parsed = parsed.when(text.rlike(look), F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz"))
-        return parsed
+        first = _day_first(df, name) if day_first is None else F.lit(day_first)
+        month = F.try_to_timestamp(text, F.lit(MONTH_FIRST))
+        day = F.try_to_timestamp(text, F.lit(DAY_FIRST))
+        return parsed.when(text.rlike(SLASHED), F.when(first, day).otherwise(month).cast("timestamp_ntz"))
     if is_temporal(dtype):
         return col(name).cast("timestamp_ntz")
     if is_numeric(dtype):

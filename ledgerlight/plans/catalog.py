@@ -207,12 +207,26 @@ SUITE_ROLES = {"order_date": "date", "sales": "revenue", "category": "product_na
 
 
 def _report_suite(s: SparkSession, d: str) -> DataFrame:
+    """Values of the report's tables as (analysis, label, value)."""
     report = L.report_suite(orders_with_gaps(s, d), SUITE_ROLES)
+    shown = {
+        "desc_overview": ("'row_count'", "row_count"), "desc_stats": ("`column`", "count"), "time_series": ("'total'", "total"),
+        "monthly": ("period", "total"), "growth": ("period", "growth"), "forecast_fitted": ("period", "total"),
+        "yoy_comparison": ("'comparable_periods'", "comparable_periods"), "top_ranking": ("side || rank || item", "total"),
+        "concentration": ("'cr5'", "cr5"), "pareto_abc": ("abc_class", "revenue_share"),
+        "anomaly_detect": ("`column`", "outlier_count"), "anomaly_summary": ("worst_column", "total_anomalies"),
+        "region_analysis": ("region", "total"), "region_extremes": ("top_region || bottom_region", "total"),
+        "drill_down": ("category || '/' || note", "total"), "rfm_analysis": ("segment", "customers"),
+        "rfm_overview": ("'customers'", "total_customers"), "simple_forecast": ("'periods'", "periods"),
+        "distribution": ("`column`", "n"), "columns": ("`column`", "null_count"), "roles": ("`column` || role", "confidence"),
+        "quality": ("'row_count'", "row_count"),
+    }
     out = None
-    for name in report:
-        size = report[name].agg(F.count("*").alias("result_rows")).select(F.lit(name).alias("analysis"), "result_rows")
-        out = size if out is None else out.unionByName(size)
-    return out
+    for name, (label, value) in shown.items():
+        rows = report[name].select(
+            F.lit(name).alias("analysis"), F.expr(label).cast("string").alias("label"), F.round(F.col(value).cast("double"), 2).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.filter("value IS NOT NULL")
 
 
 def _slim(s: SparkSession, d: str) -> DataFrame:

@@ -495,6 +495,7 @@ SELECT o_orderkey, o_custkey, strftime(TRY_CAST(order_date AS TIMESTAMP), '%Y-%m
 SELECT "column", action, CAST(k AS BIGINT) AS affected_rows FROM (
   SELECT '__all__' AS "column", 'marked_duplicate' AS action, dup AS k FROM copies
   UNION ALL SELECT 'order_date', 'type_converted', n FROM facts
+  UNION ALL SELECT 'order_date', 'unparsed_date', count(*) FROM gaps WHERE order_date = 'unknown'
   UNION ALL SELECT 'sales', 'filled_na', n_sales FROM facts
   UNION ALL SELECT 'sales', 'marked_outlier', out_sales FROM facts
   UNION ALL SELECT 'category', 'filled_na', n_cat FROM facts) WHERE k > 0""",
@@ -528,21 +529,50 @@ FROM series""",
 SELECT region, round(CAST(s AS DOUBLE), 4) AS total, round(CAST(s AS DOUBLE) / CAST(sum(s) OVER () AS DOUBLE), 4) AS share
 FROM g""",
         "report_suite": f"""WITH {GAPS}, t AS (SELECT f_category AS item, sum(f_sales) AS s FROM filled GROUP BY 1),
-n AS (SELECT count(*) AS items FROM t),
-cum AS (SELECT sum(s) OVER (ORDER BY s DESC, item ROWS UNBOUNDED PRECEDING) / sum(s) OVER () AS cum FROM t),
+ranked AS (SELECT item, s, row_number() OVER (ORDER BY s DESC, item) AS up, row_number() OVER (ORDER BY s, item DESC) AS down FROM t),
+abc AS (SELECT s / sum(s) OVER () AS share, sum(s) OVER (ORDER BY s DESC, item ROWS UNBOUNDED PRECEDING) / sum(s) OVER () AS cum FROM t),
+timed AS (SELECT *, TRY_CAST(order_date AS TIMESTAMP) AS d FROM filled),
+m AS (SELECT last_day(d) AS period, sum(f_sales) AS s FROM timed WHERE d IS NOT NULL GROUP BY 1),
+spine AS (SELECT last_day(unnest(generate_series(date_trunc('month', min(period)), date_trunc('month', max(period)), INTERVAL 1 MONTH))) AS period FROM m),
+months AS (SELECT spine.period, COALESCE(s, 0) AS s FROM spine LEFT JOIN m ON spine.period = m.period),
+grown AS (SELECT period, s, (s - lag(s) OVER (ORDER BY period)) / NULLIF(lag(s) OVER (ORDER BY period), 0) AS growth,
+                 lag(s, 12) OVER (ORDER BY period) AS before FROM months),
+placed AS (SELECT *, COALESCE(note, (SELECT note FROM gaps WHERE note IS NOT NULL GROUP BY note ORDER BY count(*) DESC, note LIMIT 1)) AS f_note FROM filled),
+regions AS (SELECT f_note AS region, sum(f_sales) AS s FROM placed GROUP BY 1),
+outliers AS (SELECT count(*) AS n FROM filled, fence WHERE f_sales < lo OR f_sales > hi),
 {RFM_CORE.format(per="""
   SELECT o_custkey AS customer, max(d) AS last, count(d) AS frequency, sum(f_sales) AS monetary
   FROM (SELECT *, TRY_CAST(order_date AS TIMESTAMP) AS d FROM filled) WHERE d IS NOT NULL AND f_sales IS NOT NULL
-  GROUP BY 1""")}
-SELECT 'desc_overview' AS analysis, CAST(1 AS BIGINT) AS result_rows
-UNION ALL SELECT 'desc_stats', 3
-UNION ALL SELECT unnest(['time_series', 'yoy_comparison', 'concentration', 'anomaly_detect', 'distribution', 'simple_forecast', 'quality']), 1
-UNION ALL SELECT 'top_ranking', least(items, 10) + least(items, 5) FROM n
-UNION ALL SELECT 'pareto_abc', 3
-UNION ALL SELECT 'region_analysis', count(DISTINCT note) FROM gaps
-UNION ALL SELECT 'drill_down', count(*) FROM (SELECT DISTINCT f_category, note FROM filled WHERE note IS NOT NULL)
-UNION ALL SELECT 'rfm_analysis', count(DISTINCT segment) FROM segs
-UNION ALL SELECT 'insights', 2 + (SELECT CAST(items <= 5 AS INT) FROM n) + (SELECT CAST(count(*) > 0 AS INT) FROM cum WHERE cum > 0.9)""",
+  GROUP BY 1""")},
+every AS (
+  SELECT 'desc_overview' AS analysis, 'row_count' AS label, CAST(count(*) AS DOUBLE) AS value FROM gaps
+  UNION ALL SELECT 'desc_stats', 'o_orderkey', count(o_orderkey) FROM gaps
+  UNION ALL SELECT 'desc_stats', 'o_custkey', count(o_custkey) FROM gaps
+  UNION ALL SELECT 'desc_stats', 'sales', count(sales) FROM gaps
+  UNION ALL SELECT 'time_series', 'total', sum(s) FROM months
+  UNION ALL SELECT unnest(['monthly', 'forecast_fitted']), CAST(period AS VARCHAR), s FROM months
+  UNION ALL SELECT 'growth', CAST(period AS VARCHAR), growth FROM grown
+  UNION ALL SELECT 'yoy_comparison', 'comparable_periods', count(NULLIF(before, 0)) FROM grown
+  UNION ALL SELECT 'top_ranking', 'top' || up || item, s FROM ranked WHERE up <= 10
+  UNION ALL SELECT 'top_ranking', 'bottom' || (up - (SELECT count(*) FROM t) + least(5, (SELECT count(*) FROM t))) || item, s FROM ranked WHERE down <= 5
+  UNION ALL SELECT 'concentration', 'cr5', (SELECT sum(s) FROM ranked WHERE up <= 5) / (SELECT sum(s) FROM t)
+  UNION ALL SELECT 'pareto_abc', c, COALESCE(sum(share), 0) FROM (VALUES ('A'), ('B'), ('C')) v(c)
+    LEFT JOIN abc ON c = CASE WHEN cum <= 0.7 THEN 'A' WHEN cum <= 0.9 THEN 'B' ELSE 'C' END GROUP BY c
+  UNION ALL SELECT 'anomaly_detect', 'sales', n FROM outliers
+  UNION ALL SELECT 'anomaly_summary', 'sales', n FROM outliers
+  UNION ALL SELECT 'region_analysis', region, s FROM regions
+  UNION ALL SELECT 'region_extremes', arg_max(region, s) || arg_min(region, s), sum(s) FROM regions
+  UNION ALL SELECT 'drill_down', f_category || '/' || f_note, sum(f_sales) FROM placed GROUP BY f_category, f_note
+  UNION ALL SELECT 'rfm_analysis', segment, count(*) FROM segs GROUP BY segment
+  UNION ALL SELECT 'rfm_overview', 'customers', count(*) FROM segs
+  UNION ALL SELECT 'simple_forecast', 'periods', count(*) FROM months
+  UNION ALL SELECT 'distribution', 'sales', count(f_sales) FROM filled
+  UNION ALL SELECT 'columns', v.c, v.n FROM (SELECT count(*) - count(o_orderkey) AS a, count(*) - count(o_custkey) AS b, count(*) - count(order_date) AS x,
+    count(*) - count(sales) AS y, count(*) - count(category) AS z, count(*) - count(note) AS w FROM gaps) g,
+    LATERAL (VALUES ('o_orderkey', a), ('o_custkey', b), ('order_date', x), ('sales', y), ('category', z), ('note', w)) v(c, n)
+  UNION ALL SELECT 'roles', unnest(['order_datedate', 'salesrevenue', 'categoryproduct_name', 'noteregion', 'o_custkeycustomer_id']), 1
+  UNION ALL SELECT 'quality', 'row_count', count(*) FROM gaps)
+SELECT analysis, label, round(value, 2) AS value FROM every WHERE value IS NOT NULL""",
         "slim": f"""WITH {GAPS}, t AS (SELECT f_category AS item, sum(f_sales) AS s FROM filled GROUP BY 1),
 c AS (SELECT s / sum(s) OVER () AS share, sum(s) OVER (ORDER BY s DESC, item ROWS UNBOUNDED PRECEDING) / sum(s) OVER () AS cum FROM t),
 k AS (SELECT share, CASE WHEN cum <= 0.7 THEN 'A' WHEN cum <= 0.9 THEN 'B' ELSE 'C' END AS abc FROM c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import col
-from ..functions.ordering import join_facts
+from ..functions.ordering import join_facts, settle
 from .intake import detect_delimiter_text
 
 # Texts that stand for a missing value.
@@ -88,16 +90,29 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
 
 
 def _parse(lines: DataFrame, line: Column, names: Sequence[str], sep: str) -> DataFrame:
-    options = {"sep": sep, "columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"}
+    options = {"sep": sep, "columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE", "escape": '"', "multiLine": "true"}
     ddl = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in [*names, _BAD])
     return lines.select(F.from_csv(line, ddl, options).alias("r")).select("r.*")
 
 
 def _split_names(line: str, sep: str) -> list[str]:
-    names = [n.strip().strip('"').strip() for n in line.split(sep)]
+    names = [n.strip() for n in next(csv.reader([line], delimiter=sep), [])]
     return [n or f"Unnamed_{i}" for i, n in enumerate(names)]
 
 
+def _without_comment(line: Column, comment: str) -> Column:
+    """The line up to a comment mark outside quotes."""
+    mark = re.escape(comment)
+    return F.regexp_replace(line, rf'^((?:[^"{mark}]|"[^"]*")*+){mark}.*$', "$1")
+
+
+def _whole_record(line: Column) -> Column:
+    """The line; an error if a quoted field goes on in the next one."""
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return F.when(quotes % 2 == 1, F.raise_error(F.concat(
+        F.lit("a quoted field spans lines, read with multiline=True: "), F.substring(line, 1, 200))).cast("string")).otherwise(line)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -108,67 +123,98 @@ def read_delimited(
     skip_rows: int = 0,
     comment: str | None = None,
     schema: T.StructType | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """Delimited files as a table. Missing-value texts are NULL, types inferred if not given.
 
-    `skip_rows` drops that many physical lines at the head of each file.
+    `skip_rows` drops that many physical lines at the head of each file. Files whose
+    headers differ are refused. A line break inside quotes is an error unless
+    `multiline` is set; files are then read whole, one task each, and comments are
+    known at the start of a line only. UTF-16 and UTF-32 are always read so. `comment`
+    is one character.
     """
-    if skip_rows:
-        return _read_after(spark, path, sep, encoding, header, skip_rows, comment, schema)
-    allow_charset(spark, encoding)
-    # without pruning, since a pruned parse does not notice lines with too many fields
-    reader = (
-        spark.read.option("sep", sep).option("encoding", encoding).option("header", header)
-        .option("columnPruning", False)
-    )
+    require_charset(spark, encoding)
+    if multiline or _is_wide(encoding):
+        if skip_rows:
+            raise ValueError("skip_rows counts lines and cannot be used with multiline")
+        return _read_multiline(spark, path, sep, encoding, header, comment, schema)
+    return _read_lines(spark, path, sep, encoding, header, skip_rows, comment, schema)
+
+
+def require_charset(spark: SparkSession, encoding: str) -> None:
+    """Spark reads the Unicode and Latin-1 charsets; for the JVM's others the caller's session must allow them."""
+    setting = "spark.sql.legacy.javaCharsets"
+    if encoding.lower() not in SPARK_CHARSETS and spark.conf.get(setting, "false") != "true":
+        raise ValueError(f"set {setting} to true to read {encoding}")
+
+
+def _is_wide(encoding: str) -> bool:
+    return encoding.lower().startswith(("utf-16", "utf-32"))
+
+
+def _text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """_file, _start, _id, value: lines as the text source gives them, decoded here, since it takes all bytes for UTF-8."""
+    raw = F.col("value")
+    value = raw if encoding.lower() in ("utf-8", "us-ascii") else F.decode(raw.cast("binary"), encoding)
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), value.alias("value"))
+
+
+def _one_header(found: Sequence[str], sep: str) -> list[str]:
+    headers = {tuple(_split_names(line, sep)) for line in found}
+    if len(headers) > 1:
+        raise ValueError("the files have different headers: " + "; ".join(sorted(map(str, headers))))
+    return list(headers.pop()) if headers else []
+
+
+def _read_multiline(spark, path, sep, encoding, header, comment, schema) -> DataFrame:
+    options = {"sep": sep, "encoding": encoding, "multiLine": True, "quote": '"', "escape": '"'}
     if comment:
-        reader = reader.option("comment", comment)
+        options["comment"] = comment
     if schema is not None:
         names = schema.names
+    elif header and not _is_wide(encoding):
+        lines = _text_lines(spark, path, encoding).filter(F.length(F.trim("value")) > 0)
+        lines = lines.filter(~F.col("value").startswith(comment)) if comment else lines
+        heads = lines.groupBy("_file").agg(F.min_by("value", "_id").alias("v")).select("v").distinct().limit(2).collect()
+        names = _one_header([r["v"] for r in heads], sep)
     else:
-        names = [n.strip() or f"Unnamed_{i}" for i, n in enumerate(reader.csv(path).columns)]
+        names = [c.strip() for c in spark.read.options(**options).option("header", header).csv(path).columns]
+    # without pruning, since a pruned parse does not notice lines with too many fields
     rows = (
-        reader.schema(_text_schema(names)).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BAD).option("enforceSchema", True).csv(path)
+        spark.read.options(**options).option("header", header).option("columnPruning", False).schema(_text_schema(names))
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).option("enforceSchema", True).csv(path)
     )
     return _finish(_keep_short_lines(rows, sep, len(names)), schema)
 
 
-def allow_charset(spark: SparkSession, encoding: str) -> None:
-    """Spark reads the Unicode and Latin-1 charsets; the JVM's others need a session setting."""
-    if encoding.lower() not in SPARK_CHARSETS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-
-
-def _read_after(spark, path, sep, encoding, header, skip_rows, comment, schema) -> DataFrame:
-    allow_charset(spark, encoding)
-    lines = spark.read.option("encoding", encoding).text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-        "value",
-    )
+def _read_lines(spark, path, sep, encoding, header, skip_rows, comment, schema) -> DataFrame:
+    value = F.col("value")
+    lines = _text_lines(spark, path, encoding)
     # Ids grow along a file. Only the head of each file is ranked, and the rank
     # limit is applied before the shuffle.
     order = Window.partitionBy("_file").orderBy("_id")
-    head = (
-        lines.filter(F.col("_start") == 0)
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= skip_rows + int(header))
-    )
+    body = lines
+    if skip_rows:
+        skipped = lines.filter(F.col("_start") == 0).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= skip_rows)
+        marked = join_facts(lines, skipped.groupBy("_file").agg(F.max("_id").alias("_last")), ["_file"], "left")
+        body = marked.filter(F.col("_last").isNull() | (F.col("_id") > F.col("_last")))
+    if comment:
+        body = body.withColumn("value", _without_comment(value, comment))
+    body = body.filter(F.length(F.trim("value")) > 0)
+    first = body.filter(F.col("_start") == 0).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == 1)
     if header:
-        first = head.filter(F.col("_rn") == skip_rows + 1).orderBy("_file").select("value").first()
-        names = schema.names if schema else _split_names(first[0], sep) if first else []
+        tops = settle(first.select("_file", F.col("_id").alias("_top"), "value"))
+        names = _one_header([r["value"] for r in tops.select("value").distinct().limit(2).collect()], sep)
+        marked = join_facts(body, tops.select("_file", "_top"), ["_file"], "left")
+        body = marked.filter(F.col("_top").isNull() | (F.col("_id") > F.col("_top")))
     else:
-        first = lines.join(head.select("_id"), "_id", "left_anti").select("value").first()
-        names = schema.names if schema else [f"_c{i}" for i in range(len(first[0].split(sep)))] if first else []
-    ends = head.groupBy("_file").agg(F.max("_id").alias("_last"))
-    marked = join_facts(lines, ends, ["_file"], "left")
-    body = marked.filter(F.col("_last").isNull() | (F.col("_id") > F.col("_last")))
-    body = body.filter(F.length(F.trim("value")) > 0)
-    if comment:
-        body = body.filter(~F.col("value").startswith(comment))
-    return _finish(_keep_short_lines(_parse(body, F.col("value"), names, sep), sep, len(names)), schema)
+        top = first.select("value").first()
+        names = [f"_c{i}" for i in range(len(_split_names(top[0], sep)))] if top else []
+    names = schema.names if schema is not None else names
+    parsed = _parse(body.select(_whole_record(value).alias("value")), value, names, sep)
+    return _finish(_keep_short_lines(parsed, sep, len(names)), schema)
 
 
 def read_inline(spark: SparkSession, text: str, sep: str | None = None, *, header: bool = True, skip_rows: int = 0,
@@ -176,12 +222,33 @@ def read_inline(spark: SparkSession, text: str, sep: str | None = None, *, heade
     """A table from text held by the caller; the separator is detected if not given."""
     if not text.strip():
         raise ValueError("the text is empty")
-    lines = [l for l in text.splitlines()[skip_rows:] if l.strip() and not (comment and l.startswith(comment))]
+    kept = "\n".join(_cut_comment(l, comment) for l in text.splitlines()[skip_rows:])
     if sep is None:
-        held = spark.createDataFrame([("inline", "\n".join(lines))], "path string, text string")
+        held = spark.createDataFrame([("inline", kept)], "path string, text string")
         sep = detect_delimiter_text(held).first()["delimiter"]
+    lines = _records(kept)
     names = schema.names if schema else _split_names(lines[0], sep)
     if not header and not schema:
         names = [f"_c{i}" for i in range(len(names))]
     rows = spark.createDataFrame([(l,) for l in lines[int(header):]], "value string")
     return _finish(_keep_short_lines(_parse(rows, F.col("value"), names, sep), sep, len(names)), schema)
+
+
+def _cut_comment(line: str, comment: str | None) -> str:
+    if not comment:
+        return line
+    mark = re.escape(comment)
+    return re.sub(rf'^((?:[^"{mark}]|"[^"]*")*){mark}.*$', r"\1", line)
+
+
+def _records(text: str) -> list[str]:
+    """Lines, joined where a quoted field goes on in the next one; blank ones left out."""
+    out, open_ = [], ""
+    for line in text.split("\n"):
+        open_ = f"{open_}\n{line}" if open_ else line
+        if open_.count('"') % 2 == 0:
+            out.append(open_)
+            open_ = ""
+    if open_:
+        raise ValueError("the text ends inside quotes")
+    return [l for l in out if l.strip()]

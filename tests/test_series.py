@@ -105,6 +105,22 @@ def test_date_layouts(spark):
     assert got == ["2024-01-05", "2024-01-31", "2024-01-05", "2024-01-05", None, None]
 
 
+def test_more_date_layouts(spark):
+    texts = ["1/5/2024 10:30", "2024/01/05 10:30", "Jan 5, 2024", "05-Jan-2024", "January 5, 2024", "5 Jan 2024", "2024.1.5 08:00:00"]
+    got = L.coerce_date(rows(spark, [(t, 1.0) for t in texts]), "d").collect()
+    assert [r.d.date().isoformat() for r in got] == ["2024-01-05"] * len(texts) and got[0].d.hour == 10 and got[6].d.hour == 8
+
+
+def test_day_first_is_decided_once_for_the_column(spark):
+    def read(*texts):
+        return [r.d.date().isoformat() if r.d else None for r in L.coerce_date(rows(spark, [(t, 1.0) for t in texts]), "d").collect()]
+    assert read("13/01/2024", "05/02/2024") == ["2024-01-13", "2024-02-05"]
+    assert read("01/13/2024", "05/02/2024") == ["2024-01-13", "2024-05-02"]
+    assert read("13/01/2024", "01/13/2024") == [None, "2024-01-13"]
+    monthly = L.monthly_series(rows(spark, [("13/01/2024", 1.0), ("05/02/2024", 2.0)]), "d", "m").collect()
+    assert [r.total for r in monthly] == [1.0, 2.0]
+
+
 def test_unknown_column_is_named(spark):
     with pytest.raises(ValueError, match="nope"):
         L.monthly_series(rows(spark, [("2024-01-01", 1.0)]), "nope", "m")

@@ -28,9 +28,40 @@ def test_short_lines_are_padded_and_long_ones_dropped(spark, tmp_path):
 
 def test_types_comments_encoding_and_missing_words(spark, tmp_path):
     p = write(tmp_path / "b.csv", "#note\n名;ok;n\n甲;True;1\n乙;false;N/A\n#x;y;z\nnull;;3\n", "gbk")
+    with pytest.raises(ValueError, match="javaCharsets"):
+        L.read_delimited(spark, p, sep=";", encoding="GBK", comment="#")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = L.read_delimited(spark, p, sep=";", encoding="GBK", comment="#")
     assert df.dtypes == [("名", "string"), ("ok", "boolean"), ("n", "bigint")]
     assert values(df) == [("甲", True, 1), ("乙", False, None), (None, None, 3)]
+    spark.conf.unset("spark.sql.legacy.javaCharsets")
+
+
+def test_quoted_line_breaks_are_read_or_refused(spark, tmp_path):
+    p = write(tmp_path / "q.csv", 'a,b,c\n1,"x\ny",3\n2,"say ""hi"", ok",4\n5,6\n')
+    whole = L.read_delimited(spark, p, multiline=True)
+    assert values(whole.orderBy("a")) == [(1, "x\ny", 3), (2, 'say "hi", ok', 4), (5, "6", None)]
+    with pytest.raises(Exception, match="multiline=True"):
+        L.read_delimited(spark, p).collect()
+    assert values(L.read_inline(spark, 'a,b\n1,"x\ny"\n2,z')) == [(1, "x\ny"), (2, "z")]
+
+
+def test_comments_end_a_line_outside_quotes(spark, tmp_path):
+    text = 'a,b # names\n1,5 # note\n# whole line\n2,"no # comment"\n3,"x" # "y\n'
+    p = write(tmp_path / "c.csv", text)
+    want = [(1, "5"), (2, "no # comment"), (3, "x")]
+    strip = lambda rows: [(a, b.strip()) for a, b in rows]
+    assert strip(values(L.read_delimited(spark, p, comment="#").orderBy("a"))) == want
+    assert strip(values(L.read_inline(spark, text, comment="#"))) == want
+
+
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    write(tmp_path / "a.csv", "a,b\n1,2\n")
+    write(tmp_path / "b.csv", "b,a\n3,4\n")
+    with pytest.raises(ValueError, match="different headers"):
+        L.read_delimited(spark, str(tmp_path))
+    write(tmp_path / "b.csv", "a, b\n3,4\n")
+    assert values(L.read_delimited(spark, str(tmp_path)).orderBy("a")) == [(1, 2), (3, 4)]
 
 
 def test_skip_rows_in_every_file(spark, tmp_path):
