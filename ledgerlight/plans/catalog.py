@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import ledgerlight as L
@@ -244,13 +244,34 @@ def _read_delimited(s: SparkSession, d: str) -> DataFrame:
         F.max("o_orderdate").alias("last_date"), F.sum("o_custkey").alias("custkeys")))
 
 
-def _file_intake(op: Callable[..., DataFrame], *cols: str) -> Query:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        path = work_path(s, "files")
-        table(s, d, "documents").select("doc_id", "lang", "source").write.option("header", True).csv(path)
-        found = op(s, path).filter(F.col("path").endswith(".csv"))
-        return found.groupBy(*cols).agg((F.count("*") > 0).alias("seen"))
-    return run
+def _kinds_of_files(s: SparkSession, d: str, line: Column, name: str) -> str:
+    """A folder of text files, of another kind in each subfolder kind=0 to 3."""
+    path = work_path(s, name)
+    table(s, d, "documents").select((F.col("doc_id") % 4).alias("kind"), line.alias("value")).write.partitionBy("kind").text(path)
+    return path
+
+
+def _in_kind(name: str) -> Column:
+    return F.regexp_extract("path", "kind=([0-3])/", 1).cast("long").alias(name)
+
+
+def _detect_delimiter(s: SparkSession, d: str) -> DataFrame:
+    sep = F.element_at(F.array(*[F.lit(x) for x in (",", "\t", ";", "|")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    line = F.concat("doc_id", sep, "lang", sep, "source", sep, F.translate(F.col("text"), ",;|\t\n\r\u000b\u000c\u0085", ""))
+    found = L.detect_delimiter(s, _kinds_of_files(s, d, line, "separators"))
+    return found.select(_in_kind("kind"), "delimiter", "score").distinct()
+
+
+def _file_magic_audit(s: SparkSession, d: str) -> DataFrame:
+    start = F.element_at(F.array(*[F.lit(x) for x in ("", "%PDF-1.7", "MZ", "PK\x03\x04")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    found = L.file_magic_audit(s, _kinds_of_files(s, d, F.concat(start, F.translate(F.col("text"), "\n\r", "  ")), "magic"))
+    return found.filter(F.col("path").endswith(".txt")).select(_in_kind("kind_no"), "kind", "accepted").distinct()
+
+
+def _detect_encoding(s: SparkSession, d: str) -> DataFrame:
+    path = work_path(s, "encodings")
+    table(s, d, "documents").select("text").write.text(path)
+    return L.detect_encoding(s, path).filter(F.col("path").endswith(".txt")).select("encoding").distinct()
 
 
 def _logged(s: SparkSession, d: str) -> str:
@@ -397,9 +418,9 @@ def catalog() -> dict[str, Query]:
         "read_delimited": _read_delimited,
         "detect_delimiter_text": lambda s, p: tidy(
             L.detect_delimiter_text(table(s, p, "documents").select("doc_id", "text"), "doc_id", "text"), 6),
-        "detect_delimiter": _file_intake(L.detect_delimiter, "delimiter"),
-        "file_magic_audit": _file_intake(L.file_magic_audit, "kind", "accepted"),
-        "detect_encoding": _file_intake(L.detect_encoding, "encoding"),
+        "detect_delimiter": _detect_delimiter,
+        "file_magic_audit": _file_magic_audit,
+        "detect_encoding": _detect_encoding,
         "stream_usage_daily": _stream_daily,
         "stream_rate_limit": _stream_rate,
     }

@@ -639,9 +639,11 @@ FROM log WHERE tenant_id = 'tenant_2' AND month = '2024-01' GROUP BY 1, 2""",
   strftime(max(o_orderdate), '%Y-%m-%d') AS last_date, CAST(sum(o_custkey) AS BIGINT) AS custkeys
 FROM orders GROUP BY 1, 2""",
         # the files are written with commas, in UTF-8
-        "detect_delimiter": "SELECT ',' AS delimiter, count(*) > 0 AS seen FROM documents",
-        "file_magic_audit": "SELECT 'text' AS kind, TRUE AS accepted, count(*) > 0 AS seen FROM documents",
-        "detect_encoding": "SELECT 'utf-8' AS encoding, count(*) > 0 AS seen FROM documents",
+        "detect_delimiter": """SELECT doc_id % 4 AS kind, [',', chr(9), ';', '|'][doc_id % 4 + 1] AS delimiter, 1.0::DOUBLE AS score
+FROM documents GROUP BY ALL""",
+        "file_magic_audit": """SELECT doc_id % 4 AS kind_no, ['text', 'pdf', 'windows_executable', 'zip'][doc_id % 4 + 1] AS kind,
+  doc_id % 4 = 0 AS accepted FROM documents GROUP BY ALL""",
+        "detect_encoding": "SELECT DISTINCT 'utf-8' AS encoding FROM documents",
         # one attempt after the other, as a gate sees them
         "stream_rate_limit": f"""WITH RECURSIVE {USAGE},
 a AS (SELECT tenant_id, epoch_us(CAST("timestamp" AS TIMESTAMP)) AS us,
@@ -654,7 +656,7 @@ gate AS (
         FROM gate g JOIN a ON a.tenant_id = g.tenant_id AND a.rn = g.rn + 1))
 SELECT tenant_id, admitted, count(*) AS calls FROM gate GROUP BY 1, 2""",
         "detect_delimiter_text": """WITH l AS (
-  SELECT doc_id, unnest(regexp_split_to_array(substr(text, 1, 4096),
+  SELECT doc_id, unnest(regexp_split_to_array(text,
     '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')) AS line FROM documents),
 k AS (SELECT doc_id, pos, d, (length(line) - length(replace(line, d, ''))) AS n
   FROM l, (VALUES (0, ','), (1, chr(9)), (2, ';'), (3, '|')) v(pos, d) WHERE regexp_matches(line, '\\S')),

@@ -1,23 +1,19 @@
 """Checks over many files at once: separators, file kinds, encodings.
 
-Only the first bytes of each file are read, by tasks spread over the file list.
+Files are read whole by Spark's own sources, so that any file system it knows will do.
 """
 
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Separators in order of preference, and how much text is looked at.
+# Separators in order of preference, and where lines end.
 DELIMITERS = (",", "\t", ";", "|")
-DELIMITER_CHARS = 4096
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
-ENCODING_BYTES = 10_240
 
 # Leading bytes of files that are not text.
 MAGIC = {
@@ -33,35 +29,14 @@ MAGIC = {
 ENCODINGS = ("utf-8", "gbk", "gb2312", "utf-16", "latin-1")
 
 
-def file_heads(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(path, length, head): the first `size` bytes of every file under `path`.
-
-    The binary source would load whole files for their head, so it only lists
-    them, and the heads are read through the file system of the path. Empty
-    files have no row, since Spark's file sources leave them out.
-    """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for f in frames:
-            heads = []
-            for p in f["path"]:
-                if p.startswith("file:"):
-                    system, inner = fs.LocalFileSystem(), "/" + p[5:].lstrip("/")
-                else:
-                    system, inner = fs.FileSystem.from_uri(p)
-                with system.open_input_stream(inner) as stream:
-                    heads.append(stream.read(size))
-            yield f.assign(head=heads)
-
-    return listed.mapInPandas(read, "path string, length long, head binary")
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, content of every file under `path`; empty files have no row."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
 
 
 def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
     """Kind of every file by its first 8 bytes, and whether it may be text."""
-    heads = file_heads(spark, path, 8).withColumn("_hex", F.hex("head"))
+    heads = _files(spark, path).withColumn("_hex", F.hex(F.substring("content", 1, 8)))
     kind = F.when(F.col("_hex").rlike("^(00)*$"), "empty")
     for prefix, name in MAGIC.items():
         kind = kind.when(F.col("_hex").startswith(prefix), name)
@@ -70,62 +45,66 @@ def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def _first_fitting(heads: pd.Series, lengths: pd.Series) -> pd.Series:
-    def fit(head: bytes, length: int) -> str | None:
+def _first_fitting(contents: pd.Series) -> pd.Series:
+    def fit(content: bytes) -> str | None:
         for name in ENCODINGS:
             try:
-                # a character may be cut off at the end of the sample
-                codecs.getincrementaldecoder(name)().decode(bytes(head), final=len(head) == length)
+                codecs.decode(bytes(content), name)
                 return name
             except UnicodeDecodeError:
                 continue
         return None
 
-    return pd.Series([fit(h, n) for h, n in zip(heads, lengths)], dtype=object)
+    return pd.Series([None if c is None else fit(c) for c in contents], dtype=object)
 
 
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """The first known encoding that decodes the head of every file."""
-    heads = file_heads(spark, path, ENCODING_BYTES)
-    return heads.select("path", _first_fitting("head", "length").alias("encoding"))
+    """The first known encoding that decodes the whole of every file; UTF-8 is told by Spark, others by their codecs."""
+    utf8 = F.is_valid_utf8("content")
+    other = _first_fitting(F.when(~utf8, F.col("content")))
+    return _files(spark, path).select("path", F.when(utf8, "utf-8").otherwise(other).alias("encoding"))
 
 
-def detect_delimiter_text(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Separator of every text: the one whose count per line is the most regular.
-
-    The score is the share of non-blank lines with exactly the median count;
-    the earlier separator wins ties, and comma stands for no answer.
-    """
-    sample = F.substring(F.col(text), 1, DELIMITER_CHARS)
-    lines = texts.select(F.col(key), F.explode(F.split(sample, LINE_END)).alias("line")).filter(
-        F.col("line").rlike(r"\S"))
-    counted = lines.select(key, F.inline(F.array(*[
+def _regular_delimiter(lines: DataFrame, key: str) -> DataFrame:
+    """key, delimiter and score from rows (key, line); lines are counted before they are compared."""
+    counted = lines.filter(F.col("line").rlike(r"\S")).select(key, F.inline(F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(d).alias("delimiter"),
                  (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias("n"))
         for i, d in enumerate(DELIMITERS)
     ])))
-    # a sample has at most 4096 lines, so a group is small
-    typical = F.floor(F.median("n").over(Window.partitionBy(key, "pos")))
+    hist = counted.groupBy(key, "pos", "delimiter", "n").agg(F.count("*").alias("lines"))
+    # one row per number of separators in a line
+    typical = F.floor(F.expr(f"percentile(n, 0.5D, lines) OVER (PARTITION BY `{key}`, pos)"))
     scored = (
-        counted.withColumn("_typical", typical)
+        hist.withColumn("_typical", typical)
         .filter(F.col("_typical") >= 1)
         .groupBy(key, "pos", "delimiter")
-        .agg(F.avg((F.col("n") == F.col("_typical")).cast("double")).alias("score"))
+        .agg((F.sum(F.when(F.col("n") == F.col("_typical"), F.col("lines")).otherwise(0)) / F.sum("lines")).alias("score"))
         .filter(F.col("score") > 0)
     )
-    best = scored.groupBy(key).agg(
+    return scored.groupBy(key).agg(
         F.min_by("delimiter", F.struct(-F.col("score"), "pos")).alias("delimiter"), F.max("score").alias("score"))
-    return texts.select(key).join(best, key, "left").select(
+
+
+def _or_comma(keys: DataFrame, best: DataFrame, key: str) -> DataFrame:
+    return keys.join(best, key, "left").select(
         key, F.coalesce("delimiter", F.lit(DELIMITERS[0])).alias("delimiter"),
         F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Separator of every file under `path`, from its first 4096 characters."""
-    heads = file_heads(spark, path, DELIMITER_CHARS * 4)
+def detect_delimiter_text(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """Separator of every text: the one whose count per line is the most regular.
 
-    @F.pandas_udf(T.StringType())
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: bytes(b).decode(encoding, errors="replace"))
+    The score is the share of non-blank lines with exactly the median count;
+    the earlier separator wins ties, and comma stands for no answer.
+    """
+    lines = texts.select(F.col(key), F.explode(F.split(F.col(text), LINE_END)).alias("line"))
+    return _or_comma(texts.select(key), _regular_delimiter(lines, key), key)
 
-    return detect_delimiter_text(heads.select("path", decode("head").alias("text")))
+
+def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """Separator of every file under `path`, from all its lines. Separators are ASCII, so any charset that keeps ASCII will do."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    if encoding.lower() not in ("utf-8", "us-ascii"):
+        lines = lines.withColumn("line", F.decode(F.col("line").cast("binary"), encoding))
+    return _or_comma(lines.select("path").distinct(), _regular_delimiter(lines, "path"), "path")
