@@ -29,7 +29,7 @@ from .components import connected
 from .hashing import ODD, SPACE, mix, word_hashes
 
 #: Blocks that a set is looked up by, at most. Sets that have no more blocks are found for certain; for longer ones a
-#: linked pair is missed with a probability below 1e-9, as the hash draws the blocks.
+#: linked pair is missed with a probability below 1e-8, as the hash draws the blocks.
 BLOCKS = 48
 #: Sets of a candidate class that one task compares with one another.
 PART_SETS = 256
@@ -91,7 +91,7 @@ def block_keys(s: np.ndarray, num: int, den: int) -> list[int]:
             enough = _tau(n + min(top, n * den // num), num, den) + 1
             least = next(c for c in (3, 2, 1, 0) if (count >= c).sum() >= enough or c == 0)
         else:
-            least = 3
+            least = 2
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
         vector = sums[cut] - sums[begin]
         place = np.uint64(band << 32) + np.arange(used, dtype=np.uint64)
@@ -188,27 +188,29 @@ def _find(parent: list[int], i: int) -> int:
 
 
 def _verify(num: int, den: int):
-    """Links that join the sets of a part, one for each that is needed. With a column `asks`, only asking sets look for
-    links, and to sets of another `label` only; sets of a label are linked already."""
+    """The links that hold among the sets of a part, as stars: each label with the smallest it is joined to. Sets of a
+    `label` are linked already; only sets that `asks` marks look for links to others."""
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy(dtype=bool)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
-        nodes, labels = group["node"].to_numpy(), group["label"].to_numpy()
+        labels = group["label"].tolist()
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         points = np.array([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets], dtype=np.int64)
         tree = Tree(sizes, points)
         first: dict[int, int] = {}
         parent = [first.setdefault(label, i) for i, label in enumerate(labels)]
-        out = []
         for i in np.flatnonzero(asks):
             other, bound = tree.near(int(sizes[i]), points[i], num, den)
             for j in other[np.argsort(-bound, kind="stable")]:
                 a, b = _find(parent, i), _find(parent, j)
                 if a != b and _linked(sets[i], sets[j], num, den):
                     parent[max(a, b)] = min(a, b)
-                    out.append((nodes[i], nodes[j]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        least: dict[int, int] = {}
+        for label, i in first.items():
+            least[_find(parent, i)] = min(label, least.get(_find(parent, i), label))
+        out = [(label, least[_find(parent, i)]) for label, i in first.items()]
+        return pd.DataFrame([x for x in out if x[0] != x[1]], columns=["u", "v"], dtype="int64")
 
     return links
 
@@ -235,8 +237,7 @@ def jaccard_components(
 
     met = _meetings(placed)
     classes = connected(met)
-    linked = settle(_links_within(rows, placed, classes, words, num, den))
-    roots = settle(connected(linked))
+    roots = settle(_roots_within(rows, placed, classes, words, num, den))
 
     named = nodes.join(roots, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("root", "node").alias("root"))
     named = settle(named)
@@ -250,11 +251,11 @@ def _meetings(placed: DataFrame) -> DataFrame:
     own = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("node")), F.col("keys"))
     keys = placed.select("node", F.explode(own).alias("key"))
     firsts = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("key", "v")
-    return keys.join(firsts, "key").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+    return keys.join(firsts, "key").filter("node != v").select(F.col("node").alias("u"), "v")
 
 
-def _links_within(rows: DataFrame, placed: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Verified links that join each class's sets as all links would.
+def _roots_within(rows: DataFrame, placed: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """node and root: the components of each class by verified links.
 
     Classes are dealt out in parts, each with the class's pivots. Sets that a part's
     links do not join to their class's largest component then ask all parts.
@@ -282,10 +283,11 @@ def _links_within(rows: DataFrame, placed: DataFrame, classes: DataFrame, words:
     verify = _verify(num, den)
     first = settle(dealt.groupBy("root", "part").applyInPandas(verify, "u long, v long"))
 
+    roots = settle(connected(first))
     split = sets.filter("parts > 1")
     if split.isEmpty():
-        return first
-    split = split.join(settle(connected(first)).select("node", F.col("root").alias("label")), "node", "left").withColumn(
+        return roots
+    split = split.join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     split = settle(split)
     held = split.groupBy("root", "label").agg(F.count("*").alias("sets"))
@@ -298,4 +300,4 @@ def _links_within(rows: DataFrame, placed: DataFrame, classes: DataFrame, words:
         *columns, block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"))
     asked = known.select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(False).alias("asks"))
     second = asking.unionByName(asked).groupBy("root", "part", "block").applyInPandas(verify, "u long, v long")
-    return first.unionByName(second)
+    return connected(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
