@@ -160,7 +160,8 @@ class Memo(dict):
 
     def __init__(self, make, limit: int = 500_000, longest: int = 64):
         super().__init__()
-        gc.disable()  # results hold no cycles, and walking them all again and again takes half of the time
+        # Results hold no cycles, and walking them again and again takes half of the time: garbage is collected when the memo is full.
+        gc.disable()
         self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, chunk: str):
@@ -168,6 +169,7 @@ class Memo(dict):
         if len(chunk) <= self.longest:
             if len(self) >= self.limit:
                 self.clear()
+                gc.collect()
             self[chunk] = made
         return made
 

@@ -151,6 +151,19 @@ def score_texts(field: LineField, texts: list[str | None]) -> np.ndarray:
     return np.add.reduceat(good * lines.length, starts) / np.add.reduceat(lines.length, starts)
 
 
+def _slices(texts: list[str | None], rows: int = 500, chars: int = 4_000_000) -> Iterator[list[str | None]]:
+    """The texts in order, so many rows and characters at a time, one text at least."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if len(part) >= rows or size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def fit_line_field(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE,
 ) -> LineField:
@@ -178,8 +191,7 @@ def line_quality(docs: DataFrame, field: LineField, *, key: str = "doc_id", text
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *(
-                score_texts(shared.value, texts.iloc[i : i + 500].tolist()) for i in range(0, len(texts), 500))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(score_texts(shared.value, part) for part in _slices(texts.tolist()))]))
 
     held = F.coalesce(~train_rows(F.col(key)), F.lit(False))
     return docs.select(F.col(key).alias("doc_id"), held.alias("held_out"), scored(F.col(text)).alias("score")).withColumn(
