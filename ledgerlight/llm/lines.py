@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import settle
+
 MAX_RATIO = 0.1
 MIN_PAGES = 5
 
@@ -67,7 +69,8 @@ def drop_site_lines(
     """
     found = boilerplate_lines(pages, site, text, max_ratio=max_ratio, min_pages=min_pages)
     of, bad, number = (fresh(pages.columns, name) for name in ("_site", "_cut", "dropped_lines"))
-    cut = found.groupBy(F.col("site").alias(of)).agg(F.collect_list("line_key").alias(bad))
+    # Written first: where it is small, pages are not shuffled; where not, the join can split a large site's pages.
+    cut = settle(found.groupBy(F.col("site").alias(of)).agg(F.collect_list("line_key").alias(bad)))
     joined = pages.join(cut, F.coalesce(F.col(site), F.lit("")) == F.col(of), "left")
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: ~F.array_contains(bad, _key(x)))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import settle
 from .decontaminate import leaks
 from .jaccard import jaccard_components
 from .language import fit_parser, predict_language
@@ -62,7 +63,8 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines"))
+    pages = settle(_table(spark, sf_dir, "pages").select(
+        "page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines")))
     return drop_site_lines(pages, "host", "lines").select(
         "page_id", "host", F.col("dropped_lines").cast("long").alias("dropped_lines"), F.md5("lines").alias("kept_md5"))
 
