@@ -1,9 +1,11 @@
-"""License scan by a positional index of rare license words.
+"""License scan by a positional index of license words.
 
-Each file looks up its license words of highest IDF in the templates' postings.
-Every posting proposes a template at an offset (place in the file minus place in
-the template). A template is found where enough of its IDF mass stands at its
-relative places and all its mandatory key phrases stand word for word.
+Each template is looked up by the word of highest IDF of its mandatory key phrase.
+Every place of that word proposes the template at an offset (place in the file minus
+place in the template). A template is found where enough of its IDF mass stands at
+its relative places and its mandatory key phrase stands word for word; where the
+phrase stands its rarest word does, so no template is missed. The score looks at
+the places of all license words.
 
 All of it works on one row's arrays; only word counts over the corpus are
 aggregated, and those have one row per word of the license vocabulary.
@@ -45,10 +47,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
 )
 
-#: A vote (template, offset) is one number, (offset + SPAN) * SPAN + template: there are fewer templates than SPAN, of fewer words.
-SPAN = 4096
 MIN_SHARE = 0.8
-RARE_WORDS = 12
 
 
 def _strings(words) -> Column:
@@ -61,7 +60,7 @@ def _find(words: list[str], part: list[str]) -> int:
 
 def scan_licenses(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES,
-    min_share: float = MIN_SHARE, rare_words: int = RARE_WORDS,
+    min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score.
@@ -92,7 +91,9 @@ def scan_licenses(
     seen = {r["w"]: r["df"] for r in rows.select(F.explode("lic").alias("w")).groupBy("w").agg(F.count("*").alias("df")).collect()}
     idf = {w: math.log((1 + total) / (1 + seen.get(w, 0))) + 1e-9 for w in vocabulary}
 
-    rows = rows.withColumn("places", _phrase_places(phrases)).withColumn("found", _alignments(lines, idf, rare_words))
+    rows = rows.withColumn("spots", _spots(vocabulary))
+    votes = _Votes(vocabulary, lines, idf)
+    rows = rows.withColumn("places", _phrase_places(phrases)).withColumn("found", votes.alignments())
     rows = rows.withColumn("accepted", F.filter("found", lambda a: a["must"] & (a["share"] >= min_share)))
     starts = F.transform("places", lambda p: p["at"])
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
@@ -102,7 +103,7 @@ def scan_licenses(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform("found", lambda a: a["share"])), F.lit(0.0)).alias("score"),
+        F.coalesce(votes.score(), F.lit(0.0)).alias("score"),
     )
 
 
@@ -125,37 +126,77 @@ def _places_of(phrase: list[str], label: str) -> Column:
     return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
-def _alignments(lines, idf: dict[str, float], rare_words: int) -> Column:
-    """(label, share, must) of each template and offset that a rare word proposes."""
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, line, _) in enumerate(lines):
-        for j, word in enumerate(line):
-            postings.setdefault(word, []).append((t, j))
-    table = F.create_map(*[x for w, ps in postings.items() for x in (
-        F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(j).alias("j")) for t, j in ps]))])
-    weights = F.create_map(*[x for w in postings for x in (F.lit(w), F.lit(idf[w]))])
-    library = F.array(*[F.struct(
-        F.lit(label).alias("label"), _strings(line).alias("line"),
-        F.array(*[F.lit(idf[w] / sum(idf[x] for x in line)) for w in line]).alias("mass"),
-        F.lit(_find(line, must)).alias("from"), _strings(must).alias("must"),
-    ) for label, line, must in lines])
-
-    ranked = F.sort_array(F.transform(
-        F.filter("lic", lambda w: F.element_at(weights, w).isNotNull()),
-        lambda w: F.struct(F.element_at(weights, w).alias("idf"), w.alias("word"))), asc=False)
-    rare = F.transform(F.slice(ranked, 1, rare_words), lambda r: r["word"])
-    spots = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: F.array_contains(rare, s["word"]))
-    votes = F.array_distinct(F.flatten(F.transform(spots, lambda s: F.transform(
-        F.element_at(table, s["word"]), lambda p: (s["i"] - p["j"] + SPAN).cast("long") * SPAN + p["t"]))))
-
-    def checked(v: Column) -> Column:
-        tpl, off = F.get(library, (v % SPAN).cast("int")), (F.floor(v / SPAN) - SPAN).cast("int")
-        share = F.aggregate(
-            F.sequence(F.lit(0), F.size(tpl["line"]) - 1), F.lit(0.0),
-            lambda acc, j: acc + F.when(F.get("w", off + j) == F.get(tpl["line"], j), F.get(tpl["mass"], j)).otherwise(0.0))
-        at = off + tpl["from"]
-        must = (at >= 0) & (F.slice("w", F.greatest(at, F.lit(0)) + 1, F.size(tpl["must"])) == tpl["must"])
-        return F.struct(tpl["label"].alias("label"), F.least(share, F.lit(1.0)).alias("share"), must.alias("must"))
-
-    empty = F.expr("cast(array() as array<struct<label:string,share:double,must:boolean>>)")
-    return F.coalesce(F.when(F.col("w").isNotNull(), F.transform(votes, checked)), empty)
+def _spots(vocabulary: list[str]) -> Column:
+    """Places of the license words, each as one number: the place, and the word's number in the low bits."""
+    def spot(word: Column, i: Column) -> Column:
+        at = F.shiftleft(i.cast("long"), len(vocabulary).bit_length())
+        return F.when(word.isin(vocabulary), at + F.array_position(_strings(vocabulary), word) - 1)
+
+    return F.array_compact(F.transform("w", spot))
+
+
+class _Votes:
+    """Templates at offsets, each as one number: the offset from -width on, the template, and the word's place in it."""
+
+    def __init__(self, vocabulary: list[str], lines, idf: dict[str, float]):
+        self.vocabulary, self.lines, self.idf = vocabulary, lines, idf
+        self.width = max(len(line) for _, line, _ in lines)
+        self.word_bits, self.place_bits = len(vocabulary).bit_length(), self.width.bit_length()
+        self.low_bits = len(lines).bit_length() + self.place_bits
+
+    def _mass(self, line: list[str]) -> list[float]:
+        return [self.idf[w] / sum(self.idf[x] for x in line) for w in line]
+
+    def _cast(self, postings: list[tuple[str, int, int]]) -> Column:
+        """The votes of all spots by postings (word, template, place)."""
+        held: dict[str, list[int]] = {}
+        for word, t, j in postings:
+            held.setdefault(word, []).append(((self.width - j) << self.low_bits) + (t << self.place_bits) + j)
+        table = F.array(*[F.array(*[F.lit(d).cast("long") for d in held.get(w, [])]).cast("array<bigint>") for w in self.vocabulary])
+
+        def of(spot: Column) -> Column:
+            at = F.shiftleft(F.shiftright(spot, self.word_bits), self.low_bits)
+            return F.transform(F.get(table, spot.bitwiseAND((1 << self.word_bits) - 1).cast("int")), lambda d: at + d)
+
+        return F.flatten(F.transform("spots", of))
+
+    def alignments(self) -> Column:
+        """(label, share, must) of each template and offset that the rarest word of its mandatory phrase proposes."""
+        rarest = [max(must, key=lambda w: (self.idf[w], w)) for _, _, must in self.lines]
+        anchors = [(w, t, _find(line, must) + must.index(w)) for t, ((_, line, must), w) in enumerate(zip(self.lines, rarest))]
+        library = F.array(*[F.struct(
+            F.lit(label).alias("label"), _strings(line).alias("line"), F.array(*map(F.lit, self._mass(line))).alias("mass"),
+            F.lit(_find(line, must)).alias("from"), _strings(must).alias("must"),
+        ) for label, line, must in self.lines])
+
+        def checked(v: Column) -> Column:
+            t = F.shiftright(v, self.place_bits).bitwiseAND((1 << (self.low_bits - self.place_bits)) - 1).cast("int")
+            tpl, off = F.get(library, t), (F.shiftright(v, self.low_bits) - self.width).cast("int")
+            share = F.aggregate(
+                F.sequence(F.lit(0), F.size(tpl["line"]) - 1), F.lit(0.0),
+                lambda acc, j: acc + F.when(F.get("w", off + j) == F.get(tpl["line"], j), F.get(tpl["mass"], j)).otherwise(0.0))
+            at = off + tpl["from"]
+            must = (at >= 0) & (F.slice("w", F.greatest(at, F.lit(0)) + 1, F.size(tpl["must"])) == tpl["must"])
+            return F.struct(tpl["label"].alias("label"), F.least(share, F.lit(1.0)).alias("share"), must.alias("must"))
+
+        empty = F.expr("cast(array() as array<struct<label:string,share:double,must:boolean>>)")
+        return F.coalesce(F.when(F.col("w").isNotNull(), F.transform(self._cast(anchors), checked)), empty)
+
+    def score(self) -> Column:
+        """The largest share at one offset: votes of all license words, summed in order of offset and template."""
+        postings = [(w, t, j) for t, (_, line, _) in enumerate(self.lines) for j, w in enumerate(line)]
+        masses = [0.0] * (len(self.lines) << self.place_bits)
+        for t, (_, line, _) in enumerate(self.lines):
+            masses[t << self.place_bits : (t << self.place_bits) + len(line)] = self._mass(line)
+        mass = F.array(*map(F.lit, masses))
+
+        def add(acc: Column, v: Column) -> Column:
+            here = F.shiftright(v, self.place_bits)
+            more = F.get(mass, v.bitwiseAND((1 << self.low_bits) - 1).cast("int"))
+            return F.struct(
+                here.alias("here"), (F.when(acc["here"] == here, acc["share"]).otherwise(0.0) + more).alias("share"),
+                F.greatest(acc["best"], acc["share"]).alias("best"))
+
+        none = F.struct(F.lit(-1).cast("long").alias("here"), F.lit(0.0).alias("share"), F.lit(0.0).alias("best"))
+        return F.aggregate(
+            F.sort_array(self._cast(postings)), none, add, lambda acc: F.least(F.greatest(acc["best"], acc["share"]), F.lit(1.0)))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.licenses import scan_licenses
+from ledgerlight.llm.licenses import TEMPLATES, scan_licenses
 from ledgerlight.llm.lines import boilerplate_lines, drop_site_lines, host_of, html_lines
 from ledgerlight.llm.sharding import shuffled_places, write_shards
 
@@ -110,3 +110,14 @@ def test_license_scan(spark, license_rows):
     assert labels[11] == "mpl-2" and labels[13] == "mit" and labels[8] == labels[9] == labels[7] == ""
     assert all(0 <= r.score <= 1 for r in got)
     assert scan_licenses(_docs(spark, [])).count() == 0
+
+
+def test_license_scan_of_all_templates_in_one_file(spark):
+    lines = [line for _, line, _ in TEMPLATES]
+    three = [line for label, line, _ in TEMPLATES if label in ("bsd", "isc", "gpl-3")]
+    texts = [*lines, "\n".join(lines), "\n".join(three), "of the " * 500 + lines[4]]
+    got = {r.doc_id: r for r in scan_licenses(_docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i].labels for i in range(len(lines))] == [label for label, _, _ in TEMPLATES]
+    assert got[len(lines)].labels == ",".join(sorted({label for label, _, _ in TEMPLATES}))
+    assert got[len(lines) + 1].labels == "bsd,gpl-3,isc" and got[len(lines) + 2].labels == "gpl-3"
+    assert all(r.score > 1 - 1e-9 for r in got.values())
