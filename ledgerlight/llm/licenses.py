@@ -69,7 +69,8 @@ def scan_licenses(
     lower-cased. n_base counts the places where a phrase stands; first_word and
     last_word are the smallest and largest place, null without any. `labels` adds
     the templates found. score is the largest share of a template's IDF mass found
-    at one offset, 0 without any. A null or empty text has no words. Repeated
+    at one offset, 0 without any; whole texts are kept only for files that hold some
+    phrase's words, places of license words for all. A null or empty text has no words. Repeated
     rows and null keys give a row each; other columns are not looked at.
     """
     phrases = [(p.split(), label) for p, label in phrases]
@@ -85,13 +86,13 @@ def scan_licenses(
     for h in has[1:]:
         possible = possible | h
     rows = settle(read.select(
-        "doc_id", F.size("w").cast("long").alias("n_words"), "lic", F.when(possible, F.col("w")).alias("w")))
+        "doc_id", F.size("w").cast("long").alias("n_words"), "lic", F.when(possible, F.col("w")).alias("w"),
+        _spots(vocabulary).alias("spots")))
 
     total = rows.count()
     seen = {r["w"]: r["df"] for r in rows.select(F.explode("lic").alias("w")).groupBy("w").agg(F.count("*").alias("df")).collect()}
     idf = {w: math.log((1 + total) / (1 + seen.get(w, 0))) + 1e-9 for w in vocabulary}
 
-    rows = rows.withColumn("spots", _spots(vocabulary))
     votes = _Votes(vocabulary, lines, idf)
     rows = rows.withColumn("places", _phrase_places(phrases)).withColumn("found", votes.alignments())
     rows = rows.withColumn("accepted", F.filter("found", lambda a: a["must"] & (a["share"] >= min_share)))

@@ -1,5 +1,6 @@
 """Sharding, site lines and license scan, on odd input and against plain Python."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -121,3 +122,17 @@ def test_license_scan_of_all_templates_in_one_file(spark):
     assert got[len(lines)].labels == ",".join(sorted({label for label, _, _ in TEMPLATES}))
     assert got[len(lines) + 1].labels == "bsd,gpl-3,isc" and got[len(lines) + 2].labels == "gpl-3"
     assert all(r.score > 1 - 1e-9 for r in got.values())
+
+
+def test_license_score_is_the_largest_share_of_every_file(spark):
+    texts = ["licensed under the gnu general public", "permission is hereby granted free of", "the software is licensed under the terms of the mozilla public domain",
+             "free and unencumbered software released into the public", "of the x of the", "nothing here", "", None, TEMPLATES[4][1], "under the mit license and this is free"]
+    words = [(t or "").split() for t in texts]
+    df = Counter(w for ws in words for w in set(ws))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1e-9
+    def share(ws, line):
+        at = lambda off: sum(idf(w) for j, w in enumerate(line) if 0 <= off + j < len(ws) and ws[off + j] == w)
+        return max((at(off) for off in range(-len(line), len(ws))), default=0) / sum(map(idf, line))
+    got = {r.doc_id: r.score for r in scan_licenses(_docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, ws in enumerate(words):
+        assert got[i] == pytest.approx(max(share(ws, line.split()) for _, line, _ in TEMPLATES)), texts[i]
