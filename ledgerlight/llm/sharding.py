@@ -1,71 +1,91 @@
 """Two-pass external shuffle of a corpus into shards.
 
-Pass one scatters the records by a seeded hash into buckets sized to fit in
-memory. Pass two shuffles each bucket with Spark's `shuffle`, which is a seeded
-Fisher-Yates pass over the bucket's array. Buckets laid end to end make one
-random order of the corpus, which is cut into shards of equal length.
+Pass one scatters the records, texts and all, by a seeded hash of their places in
+the input into buckets sized to fit in memory. Pass two shuffles each bucket with
+Spark's `shuffle`, which is a seeded Fisher-Yates pass over the bucket's array, and
+writes it. Buckets laid end to end make one random order of the corpus, which is
+cut into shards of equal length.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import settle
+from ..functions.ordering import settle, work_path
 
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS = 1024
-COPY_BLOCK = 4096
 
 
-def _sized(docs: DataFrame, key: str, text: str) -> DataFrame:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        F.col(key).alias("doc_id"), (F.octet_length(whole).cast("long") + 1).alias("size"),
-        F.crc32(whole).alias("text_crc32"),
-    )
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """One row per record again, with a copy number to tell equal records apart."""
-    blocks = rows.withColumn("_b", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPY_BLOCK})")))
-    in_block = F.expr(f"sequence(_b * {COPY_BLOCK}, least(n, (_b + 1) * {COPY_BLOCK}) - 1)")
-    return blocks.select("doc_id", "size", "text_crc32", F.explode(in_block).alias("copy"))
+def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, text, and the file and row where the record stands; that does not change when a task is repeated."""
+    wanted = [F.col(key).alias("doc_id"), F.col(text).alias("text")]
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return docs.select(*wanted, *place)
+    except AnalysisException:
+        return settle(docs.select(*wanted)).select("doc_id", "text", *place)
 
 
-def shuffled_places(
-    docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str = "text", seed: int = 17,
+def write_shards(
+    docs: DataFrame, path: str, shards: int = 8, *, key: str = "doc_id", text: str = "text", seed: int = 17,
     bucket_bytes: int = BUCKET_BYTES, min_buckets: int = MIN_BUCKETS,
-) -> DataFrame:
-    """Where each record goes: doc_id, size, text_crc32, copy, shard, slot.
+) -> None:
+    """Write the records as one folder per shard, in slot order within each file.
+
+    Columns written: doc_id, text, slot, and shard as the folder. Files of a
+    shard hold consecutive ranges of slots.
 
-    Shard lengths differ by one at most; slots run from 0 without gaps. A null
-    text counts as no bytes. A null key is a key like any other. Equal records
-    are numbered (`copy`) and scattered apart. An empty table gives no rows.
-    Other columns are not looked at.
+    Shard lengths differ by one at most; slots run from 0 without gaps. Records
+    are carried whole and never looked up again, so a null text stays null, and
+    equal records or a null key are scattered apart like any others.
 
-    The seed fixes the scatter. The order within a bucket also depends on how Spark
-    deals out the buckets; it is written to shared storage before it is used, so
-    a lost executor cannot change it.
+    The seed fixes the scatter of given Parquet files. Other inputs are written
+    first, and their scatter also depends on how Spark deals them out.
 
-    A bucket's array holds keys, sizes and checksums. The number of buckets
-    follows the corpus's bytes, so that a bucket's texts fit in memory too.
+    The number of buckets follows the corpus's bytes, so that a bucket's texts fit
+    in memory, and a task takes about one bucket's bytes, or less.
     """
-    rows = settle(_sized(docs, key, text).groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")))
-    total, volume = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0))).first()
-    buckets = max(min_buckets, -(-int(volume) // bucket_bytes))
-    scatter = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "copy"), F.lit(buckets))
-    item = F.struct("doc_id", "text_crc32", "copy", "size")
-    packed = settle(
-        _numbered(rows).groupBy(scatter.alias("bucket")).agg(F.collect_list(item).alias("items"))
-        .select("bucket", F.shuffle(F.array_sort("items"), seed).alias("items"), F.size("items").cast("long").alias("held"))
-    )
+    rows = _placed(docs, key, text)
+    total, volume = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1), F.lit(0))).first()
+    full = -(-int(volume) // bucket_bytes)
+    buckets = max(min_buckets, full)
+    tasks = min(buckets, max(full, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "file", "row"), F.lit(buckets)))
+
+    held = settle(scattered.groupBy("bucket").agg(F.count("*").alias("held")))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = packed.select("bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
-    placed = packed.join(starts, "bucket").select("start", F.posexplode("items").alias("pos", "item"))
+    starts = held.select("bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+
+    task = F.floor(F.col("bucket") * tasks / F.lit(buckets)).cast("int")
+    item = F.struct(F.xxhash64(F.lit(seed + 1), "file", "row").alias("turn"), "file", "row", "doc_id", "text")
+    packed = (
+        scattered.withColumn("task", task).repartitionById(tasks, F.col("task"))
+        .groupBy("task", "bucket").agg(F.collect_list(item).alias("items"))
+        .select("bucket", F.shuffle(F.array_sort("items"), seed).alias("items"))
+    )
+    placed = packed.join(F.broadcast(starts), "bucket").select("start", F.posexplode("items").alias("pos", "item"))
     shard, slot = _cut(F.col("start") + F.col("pos"), int(total), shards)
-    return placed.select("item.*", shard.alias("shard"), slot.alias("slot")).select(
-        "doc_id", "size", "text_crc32", "copy", "shard", "slot")
+    (
+        placed.select("item.doc_id", "item.text", slot.alias("slot"), shard.alias("shard"))
+        .sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    )
+
+
+def shuffled_places(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Where each record went, read from shards written to the shared folder: doc_id, size, text_crc32, shard, slot.
+
+    A null text counts as no bytes. An empty table gives no rows. Options are those
+    of write_shards.
+    """
+    path = work_path(docs.sparkSession, "shards")
+    write_shards(docs, path, shards, key=key, text=text, **options)
+    kinds = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard"))
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    return docs.sparkSession.read.schema(kinds.schema).parquet(path).select(
+        "doc_id", (F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(whole).alias("text_crc32"), "shard", "slot")
 
 
 def _cut(place: Column, total: int, shards: int) -> tuple[Column, Column]:
@@ -77,24 +97,3 @@ def _cut(place: Column, total: int, shards: int) -> tuple[Column, Column]:
     past = place - F.lit(edge)
     shard = F.when(inside, F.floor(place / first)).otherwise(longer + F.floor(past / rest)).cast("int")
     return shard, F.when(inside, place % first).otherwise(past % rest).cast("long")
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 8, *, key: str = "doc_id", text: str = "text", **options) -> None:
-    """Write the records as one folder per shard, in slot order within it.
-
-    Columns written: doc_id, text, slot, and shard as the folder. Files of a
-    shard hold consecutive ranges of slots.
-    """
-    places = shuffled_places(docs, shards, key=key, text=text, **options)
-    texts = (
-        docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
-        .withColumn("_size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1)
-        .withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
-        .groupBy("_id", "_size", "_crc").agg(F.any_value("text").alias("text"))
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("text_crc32") == F.col("_crc"))
-    (
-        places.join(texts, same).select("doc_id", "text", "shard", "slot")
-        .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard").parquet(path)
-    )

@@ -47,6 +47,27 @@ def test_shards_are_written_with_texts(spark, tmp_path):
     assert {r.shard: r.n for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {0: 13, 1: 13, 2: 13, 3: 12}
 
 
+@pytest.mark.parametrize("settled", [False, True])
+def test_shards_keep_each_record_whole(spark, tmp_path, settled):
+    # Texts of equal size and CRC32, and null beside '', all under one key.
+    one, other = "plumless", "buckeroo"
+    assert zlib.crc32(one.encode()) == zlib.crc32(other.encode())
+    docs = _docs(spark, [(None, t, "s") for t in (one, other, None, "") * 25] + [(i, f"text {i}", "s") for i in range(300)])
+    if settled:
+        docs.write.parquet(str(tmp_path / "in"))
+        docs = spark.read.parquet(str(tmp_path / "in"))
+    write_shards(docs, str(tmp_path / "out"), 3, min_buckets=16)
+    got = spark.read.parquet(str(tmp_path / "out")).select("*", F.input_file_name().alias("file")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in docs.collect())
+    files = {}
+    for r in got:
+        files.setdefault((r.shard, r.file), []).append(r.slot)
+    assert all(slots == list(range(slots[0], slots[0] + len(slots))) for slots in files.values())
+    for shard in range(3):
+        slots = sorted(r.slot for r in got if r.shard == shard and r.doc_id is None)
+        assert 10 < len(slots) < 60 and sorted(r.slot for r in got if r.shard == shard) == list(range(133 + (shard == 0)))
+
+
 def _plain_cut(rows, ratio, least):
     pages = {}
     for _, text, site in rows:
