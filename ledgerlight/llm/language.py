@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import train_rows
@@ -24,6 +24,8 @@ SAMPLE_DOCS = 1500
 SAMPLE_WORDS = 4000
 #: A word is left to languages where it is at least this fraction as frequent as where it is most frequent.
 SHARED = 0.2
+#: Longer words are learnt as pieces of so many characters, each of which overlaps the next by half.
+PIECE = 40
 
 WORD = regex.compile(r"\p{L}+")
 _CHAR_BITS = 21
@@ -111,6 +113,14 @@ class _Parsed(dict):
         return self.counts[rows].sum(axis=0, dtype=np.int64)
 
 
+def _pieces(word: Column) -> Column:
+    """The word between its end marks, or its pieces; only the first and the last of them have a mark."""
+    marked = F.concat(F.lit("^"), word, F.lit("$"))
+    starts = F.sequence(F.lit(1), F.length(marked) - PIECE // 2, F.lit(PIECE // 2))
+    cut = F.transform(starts, lambda i: F.substring(marked, i, F.lit(PIECE)))
+    return F.when(F.length(word) <= PIECE, F.array(marked)).otherwise(cut)
+
+
 def fit_parser(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS,
     sample_words: int = SAMPLE_WORDS,
@@ -123,9 +133,10 @@ def fit_parser(
         return CrossParser((), ())
     share = F.create_map(*[x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, sample_docs / n)))])
     drawn = F.pmod(F.xxhash64("k"), F.lit(1_000_003)) / 1_000_003 < F.element_at(share, F.col("l"))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0)))
     words = rows.filter(drawn & F.col("t").isNotNull()).select(
-        "l", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    seen = words.filter(F.length("w") <= 40).groupBy("l", "w").agg(F.count("*").alias("n"))
+        "l", F.explode(F.array_distinct(F.flatten(F.transform(runs, _pieces)))).alias("w"))
+    seen = words.groupBy("l", "w").agg(F.count("*").alias("n"))
     first = Window.partitionBy("l").orderBy(F.desc("n"), "w")
     top = seen.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 3 * sample_words).select("l", "w", "n").toPandas()
     drawn_docs = {name: min(n, sample_docs) for name, n in sizes.items()}
@@ -133,7 +144,7 @@ def fit_parser(
     top = top[top.rate >= SHARED * top.groupby("w").rate.transform("max")].sort_values(["l", "n", "w"], ascending=[True, False, True])
     chosen = {name: group.w.head(sample_words).tolist() for name, group in top.groupby("l")}
     names = tuple(sorted(chosen))
-    return CrossParser(names, tuple(suffix_automaton([f"^{w}$" for w in chosen[name]]) for name in names))
+    return CrossParser(names, tuple(suffix_automaton(chosen[name]) for name in names))
 
 
 def predict_language(

@@ -1,5 +1,6 @@
 """Quality rules, line classifier and language: plain counts, held-out accuracy, odd input."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -159,3 +160,15 @@ def test_language_on_held_out_documents(spark, tables):
     nothing = CrossParser((), ())
     assert fit_parser(docs.withColumn("lang", F.lit(None).cast("string"))) == nothing
     assert {r.lang_pred for r in predict_language(docs.limit(20), nothing).collect()} == {"und"}
+
+
+def test_language_without_spaces_is_learnt(spark):
+    rng = random.Random(4)
+    glued = lambda syllables, n: "".join(rng.choice(syllables) for _ in range(n))
+    rows = [(i, glued(("ka", "mo", "ri", "tu"), 60), "glued") for i in range(60)]
+    rows += [(100 + i, " ".join(glued(("bel", "dor", "fen"), 2) for _ in range(30)), "spaced") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = fit_parser(docs)
+    assert parser.languages == ("glued", "spaced")
+    got = predict_language(docs, parser).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.lang_pred == r.lang for r in got)
