@@ -179,9 +179,26 @@ class Encoder:
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        words = Memo(lambda piece: tuple(merges.pretoken(piece)), limit=300_000)
+        self.words = words = Memo(lambda piece: tuple(merges.pretoken(piece)), limit=300_000)
         self.chunks = Memo(lambda chunk: tuple(t for piece in PRETOKEN.findall(chunk) for t in words[piece]))
 
+    def _long(self, part: str, start: int, end: int, size: int) -> Iterator[list[int]]:
+        """The same for a long chunk of a part; long pre-tokens are encoded and emitted window by window."""
+        ids: list[int] = []
+        seen = start
+        for piece in PRETOKEN.finditer(part, start, end):
+            a, b = piece.span()
+            if b - a > WINDOW:
+                yield ids
+                yield from self.merges.transduce(part[i : min(i + WINDOW, b)].encode("utf-8") for i in range(a, b, WINDOW))
+                ids, seen = [], b
+                continue
+            ids += self.words[piece[0]]
+            if b - seen >= size:
+                yield ids
+                ids, seen = [], b
+        yield ids
+
     def blocks(self, text: str, size: int = 1 << 16) -> Iterator[list[int]]:
         """Lists of ids that follow one another; each covers about `size` characters."""
         for part, special in self.merges.segments(text):
@@ -196,6 +213,11 @@ class Encoder:
                 yield ids
                 continue
             for chunk in CHUNK.finditer(part):
+                if chunk.end() - chunk.start() > size:
+                    yield ids
+                    yield from self._long(part, *chunk.span(), size)
+                    ids, seen = [], chunk.end()
+                    continue
                 ids += known[chunk[0]]
                 if chunk.end() - seen >= size:
                     yield ids

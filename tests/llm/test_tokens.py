@@ -47,6 +47,15 @@ def test_blocks_of_any_size_give_the_same_ids(merges, library):
         assert [i for ids in Encoder(merges).blocks(text, size) for i in ids] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_blocks_of_a_long_pretoken_are_short(merges, library):
+    rng = random.Random(8)
+    run = "".join(rng.choice("abcdefghé") for _ in range(200_000))
+    for text in (f"Some words {run} and more", run + " " * 70_000 + "x", "1!" * 50_000):
+        blocks = list(Encoder(merges).blocks(text))
+        assert [i for ids in blocks for i in ids] == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, blocks)) <= 1 << 16
+
+
 def test_whole_tokens_are_single_tokens(merges, library):
     whole = whole_tokens(merges)
     assert len(whole) > 40_000 and " the" in whole
