@@ -2,6 +2,7 @@
 
 from .operators.clean import (
     clean, cleaning_log, fill_median, fill_mode, find_duplicates, mark_duplicates, mark_outliers, quality_score,
+    unparsed_dates,
 )
 from .operators.customers import rfm_overview, rfm_scores, rfm_segments, rfm_summary, rfm_values
 from .operators.insights import insights

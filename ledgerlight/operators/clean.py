@@ -116,12 +116,8 @@ def _column_facts(df: DataFrame, roles: dict[str, str] | None, approx: bool) ->
     middle = medians(df, numbers, approx=approx)
     filled = df.withColumns({c: F.coalesce(as_double(df, c), F.lit(middle[c]).cast("double")) for c in numbers})
     fences = iqr_bounds(filled, numbers, approx=approx)
-    texts = [c for c in dates if isinstance(df.schema[c].dataType, T.StringType)]
-    parsed = df.select("*", *[as_time(df, c).alias(f"_time{df.columns.index(c)}") for c in texts])
-    unread = {c: F.count_if((F.trim(col(c)) != "") & F.col(f"_time{df.columns.index(c)}").isNull()) for c in texts}
-    wide = parsed.agg(F.count("*").alias("_n"), *[
+    wide = df.agg(F.count("*").alias("_n"), *[
         x for i, c in enumerate(df.columns) for x in (
-            unread.get(c, F.lit(0)).alias(f"bad{i}"),
             (F.count("*") - F.count(missing_to_null(df, c))).alias(f"null{i}"),
             # the median lies between the fences, so a filled row is never an outlier
             (F.count_if(outside(df, c, fences[c])) if c in fences else F.lit(None).cast("long")).alias(f"out{i}"),
@@ -133,18 +129,16 @@ def _column_facts(df: DataFrame, roles: dict[str, str] | None, approx: bool) ->
         F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kind.get(c, "other")).alias("kind"),
             F.col("_n").alias("rows"), F.col(f"null{i}").alias("nulls"), F.col(f"out{i}").alias("outliers"),
-            F.col(f"bad{i}").cast("long").alias("unread"),
         )
         for i, c in enumerate(df.columns)
     ])
 
 
 def cleaning_log(df: DataFrame, roles: dict[str, str] | None = None, *, approx: bool = False) -> DataFrame:
-    """One row per cleaning action with the number of rows it touches; also texts in date columns that are no date."""
+    """One row per cleaning action with the number of rows it touches."""
     facts = _column_facts(df, roles, approx)
     touched = {
         "type_converted": F.when(F.col("kind") == "date", F.col("rows")),
-        "unparsed_date": F.when(F.col("unread") > 0, F.col("unread")),
         "filled_na": F.when(F.col("kind").isin("number", "label") & (F.col("nulls") > 0)
                             & (F.col("nulls") < F.col("rows")), F.col("nulls")),
         "marked_outlier": F.when(F.col("outliers") > 0, F.col("outliers")),
@@ -158,6 +152,23 @@ def cleaning_log(df: DataFrame, roles: dict[str, str] | None = None, *, approx:
     return copies.unionByName(actions)
 
 
+def unparsed_dates(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+    """Per date column: filled rows, and those whose text is no date, with their share."""
+    dates, _, _ = _by_kind(df, roles)
+    if not dates:
+        return df.sparkSession.createDataFrame([], "column string, filled_rows long, unparsed_rows long, unparsed_share double")
+    filled = {c: F.trim(col(c).cast("string")) != "" for c in dates}
+    wide = df.select(*[F.struct(filled[c].alias("filled"), as_time(df, c).isNull().alias("bad")).alias(f"c{i}") for i, c in enumerate(dates)]).agg(*[
+        x for i in range(len(dates)) for x in (
+            F.count_if(F.col(f"c{i}.filled")).alias(f"n{i}"), F.count_if(F.col(f"c{i}.filled") & F.col(f"c{i}.bad")).alias(f"bad{i}"))
+    ])
+    return rows_from(wide, [
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("filled_rows"), F.col(f"bad{i}").alias("unparsed_rows"),
+                 ratio(F.col(f"bad{i}"), F.col(f"n{i}")).alias("unparsed_share"))
+        for i, c in enumerate(dates)
+    ])
+
+
 def quality_score(df: DataFrame, roles: dict[str, str] | None = None, *, approx: bool = False) -> DataFrame:
     """Score 0 to 100 with what lowered it: empty columns, outlier columns, copies."""
     facts = _column_facts(df, roles, approx)

@@ -495,10 +495,13 @@ SELECT o_orderkey, o_custkey, strftime(TRY_CAST(order_date AS TIMESTAMP), '%Y-%m
 SELECT "column", action, CAST(k AS BIGINT) AS affected_rows FROM (
   SELECT '__all__' AS "column", 'marked_duplicate' AS action, dup AS k FROM copies
   UNION ALL SELECT 'order_date', 'type_converted', n FROM facts
-  UNION ALL SELECT 'order_date', 'unparsed_date', count(*) FROM gaps WHERE order_date = 'unknown'
   UNION ALL SELECT 'sales', 'filled_na', n_sales FROM facts
   UNION ALL SELECT 'sales', 'marked_outlier', out_sales FROM facts
   UNION ALL SELECT 'category', 'filled_na', n_cat FROM facts) WHERE k > 0""",
+        "unparsed_dates": f"""WITH {GAPS}
+SELECT 'order_date' AS "column", count(*) AS filled_rows, count(*) FILTER (order_date = 'unknown') AS unparsed_rows,
+  CAST(count(*) FILTER (order_date = 'unknown') AS DOUBLE) / count(*) AS unparsed_share
+FROM gaps WHERE trim(order_date) <> ''""",
         "quality_score": f"""WITH {GAPS}
 SELECT CAST(score AS INTEGER) AS score, row_count, CAST(duplicate_rows AS BIGINT) AS duplicate_rows,
        CAST(high_null_columns AS BIGINT) AS high_null_columns, CAST(high_outlier_columns AS BIGINT) AS high_outlier_columns

@@ -123,6 +123,11 @@ def test_cleaning_log_and_score(gaps):
     assert (r.score, r.high_null_columns, r.high_outlier_columns, r.duplicate_rows) == (55, 4, 1, 0)
 
 
+def test_unparsed_dates_are_counted_apart(gaps):
+    assert [tuple(r) for r in L.unparsed_dates(gaps, ROLES).collect()] == [("when", 3, 1, pytest.approx(1 / 3))]
+    assert L.unparsed_dates(gaps, {"sales": "revenue"}).count() == 0
+
+
 def test_score_is_clamped_and_truncates(spark):
     wide = spark.createDataFrame([tuple([None] * 12), tuple([None] * 11 + [1.0])], ", ".join(f"c{i} double" for i in range(12)))
     assert L.quality_score(wide, {"c0": "ignore"}).first().score == 0
