@@ -500,7 +500,7 @@ SELECT "column", action, CAST(k AS BIGINT) AS affected_rows FROM (
   UNION ALL SELECT 'category', 'filled_na', n_cat FROM facts) WHERE k > 0""",
         "unparsed_dates": f"""WITH {GAPS}
 SELECT 'order_date' AS "column", count(*) AS filled_rows, count(*) FILTER (order_date = 'unknown') AS unparsed_rows,
-  CAST(count(*) FILTER (order_date = 'unknown') AS DOUBLE) / count(*) AS unparsed_share
+  round(CAST(count(*) FILTER (order_date = 'unknown') AS DOUBLE) / count(*), 4) AS unparsed_share
 FROM gaps WHERE trim(order_date) <> ''""",
         "quality_score": f"""WITH {GAPS}
 SELECT CAST(score AS INTEGER) AS score, row_count, CAST(duplicate_rows AS BIGINT) AS duplicate_rows,
