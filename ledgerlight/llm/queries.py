@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import settle
 from .decontaminate import leaks
+from .importance import importance_ranks
 from .jaccard import jaccard_components
 from .language import fit_parser, predict_language
 from .licenses import scan_licenses
@@ -74,6 +75,10 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(docs, fit_line_field(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = r"""
 WITH bare AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS host,
@@ -108,6 +113,7 @@ def queries() -> dict:
         "op8_benchmark_leaks": op8_benchmark_leaks,
         "op9_site_lines": op9_site_lines,
         "op10_line_quality": op10_line_quality,
+        "op11_importance_resampling": op11_importance_resampling,
     }
 
 
