@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import settle
+from .alignment import align_tokens
 from .decontaminate import leaks
 from .importance import importance_ranks
 from .jaccard import jaccard_components
@@ -79,6 +80,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP9_SQL = r"""
 WITH bare AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS host,
@@ -114,6 +120,7 @@ def queries() -> dict:
         "op9_site_lines": op9_site_lines,
         "op10_line_quality": op10_line_quality,
         "op11_importance_resampling": op11_importance_resampling,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
