@@ -42,12 +42,15 @@ from .bpe import PATTERN, Merges
 
 #: Characters of a range; longer texts are divided. Fragments that one task composes. Most frequent id pairs that are broadcast.
 SPAN, FAN, HEAD_LINKS = 1 << 16, 8, 500_000
-_MEMO, _KEEP = 300_000, 64
+# Texts that a worker remembers, and texts that it takes at a time.
+_MEMO, _SOME = 250_000, 200
 
 # Ends where a letter is followed by something else, or white space by none before it.
 _PART = regex.compile(r"\s*[^\s\p{L}]*\p{L}+|\s*[^\s\p{L}]+|\s+")
 _CUT = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\S)(?=\s)")
 _SHIFT = 20
+# Between tokens of one side, between the sides, between groups, between texts.
+_SEPARATORS = ",|;\n"
 
 
 class Vocabularies:
@@ -101,16 +104,39 @@ class Fragment(NamedTuple):
     valid: bool = True
 
 
+class Store:
+    """Short texts that are closed on both sides, with their groups; emptied when full."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        # per text: tokens of either side, groups, links, whether the pieces give it back, and where its links begin
+        self.facts = np.zeros((0, 6), dtype=np.int64)
+        self.links = np.zeros(0, dtype=np.int64)
+
+    def add(self, parts: list[str], texts: list[str], facts: np.ndarray, links: np.ndarray) -> None:
+        self.number.update(zip(parts, range(len(self.texts), len(self.texts) + len(parts))))
+        self.texts += texts
+        begins = len(self.links) + np.cumsum(facts[:, 3]) - facts[:, 3]
+        self.facts = np.concatenate((self.facts, np.column_stack((facts, begins))))
+        self.links = np.concatenate((self.links, links))
+
+    def full(self) -> bool:
+        return len(self.texts) > _MEMO or len(self.links) > 20 * _MEMO
+
+
 class Aligner:
-    """Both tokenizers of one Python worker, with the short fragments it has seen."""
+    """Both tokenizers of one Python worker, with the short texts it has seen."""
 
     def __init__(self, shared: Vocabularies):
         self.shared = shared
         self.a = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=shared.ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=shared.model)
-        self.a_size, self.b_size, self.b_bytes = shared.a_size, shared.b_size, shared.b_bytes
+        self.a_size, self.b_size = np.array(shared.a_size), np.array(shared.b_size)
+        self.b_bytes = shared.b_bytes
         self.glue = {pair[1] for pair in shared.together if _CUT.search(pair)}
-        self.known: dict[str, Closed] = {}
+        self.shown = [f"{i}{sep}" for i in range(max(len(self.a_size), len(self.b_size))) for sep in _SEPARATORS]
+        self.store = Store()
 
     def encode_b(self, parts: list[str]) -> list[list[int]]:
         """Pieces of parts that stand within a text, so no space is to be put before them."""
@@ -131,67 +157,90 @@ class Aligner:
             return glued
         return found
 
-    def groups(self, a: list[int], b: list[int]) -> Closed:
+    def groups(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For texts of some bytes each: their groups as text, the numbers of tokens of either side, groups and links, and all links.
+
+        Every token end is a link's end: no other token ends between two neighbouring
+        ends, so one token of either side covers the bytes between them.
+        """
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        end_a, end_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
+        of_a, of_b = np.repeat(np.arange(len(a)), n_a), np.repeat(np.arange(len(b)), n_b)
+        both_a = end_b[np.searchsorted(end_b, end_a)] == end_a
+        both_b = end_a[np.searchsorted(end_a, end_b)] == end_b
+        ends = np.union1d(end_a, end_b)
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        links = ids_a[at_a] << _SHIFT | ids_b[at_b]
+        n_groups = np.bincount(of_a[both_a], minlength=len(a))
+        side = np.concatenate((2 * (np.cumsum(both_a) - both_a), 2 * (np.cumsum(both_b) - both_b) + 1))
+        order = np.argsort(side, kind="stable")
+        side, of = side[order], np.concatenate((of_a, of_b))[order]
+        step = np.where(side[1:] == side[:-1], 0, np.where(side[1:] >> 1 == side[:-1] >> 1, 1, np.where(of[1:] == of[:-1], 2, 3)))
+        shown = np.concatenate((ids_a, ids_b))[order] * len(_SEPARATORS) + np.concatenate((step, [3]))
+        texts = "".join(map(self.shown.__getitem__, shown.tolist())).split(_SEPARATORS[3])[:-1]
+        facts = np.column_stack((n_a, n_b, n_groups, np.bincount(of_a[at_a], minlength=len(a))))
+        return texts, facts, links
+
+    def one(self, a: list[int], b: list[int]) -> Closed:
         """Groups of tokens that start at one byte and end at one byte."""
-        a_size, b_size = self.a_size, self.b_size
-        i = j = start_a = start_b = 0
-        end_a, end_b = a_size[a[0]], b_size[b[0]]
-        links, texts = [], []
-        while True:
-            links.append(a[i] << _SHIFT | b[j])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                texts.append(f"{','.join(map(str, a[start_a:i]))}|{','.join(map(str, b[start_b:j]))}")
-                if i == len(a):
-                    return Closed(i, j, len(texts), ";".join(texts), np.array(links, dtype=np.int64))
-                start_a, start_b = i, j
-                end_a += a_size[a[i]]
-                end_b += b_size[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += a_size[a[i]]
-            else:
-                j += 1
-                end_b += b_size[b[j]]
-
-    def learn(self, parts: list[str]) -> dict[str, Closed]:
-        """Fragments of parts, made or remembered."""
-        if len(self.known) > _MEMO:
-            self.known.clear()
-        new = list({p for p in parts if p not in self.known})
-        made = {}
-        for part, a, b in zip(new, map(self.a.encode_ordinary, new), self.encode_b(new)):
-            same = b"".join(map(self.b_bytes.__getitem__, b)) == part.encode()
-            made[part] = self.groups(a, b) if same else BROKEN
-        self.known.update({p: f for p, f in made.items() if len(p) <= _KEEP})
-        return made
+        (text,), facts, links = self.groups([a], [b])
+        return Closed(*facts[0, :3].tolist(), text, links)
+
+    def learn(self, parts: list[str]) -> None:
+        """Puts the groups of parts into the store."""
+        a, b = [self.a.encode_ordinary(p) for p in parts], self.encode_b(parts)
+        same = np.array([b"".join(map(self.b_bytes.__getitem__, y)) == p.encode() for p, y in zip(parts, b)])
+        good = np.flatnonzero(same).tolist()
+        if not good:
+            self.store.add(parts, [""] * len(parts), np.zeros((len(parts), 5), dtype=np.int64), NOTHING.links)
+            return
+        texts, facts, links = self.groups([a[i] for i in good], [b[i] for i in good])
+        all_facts = np.zeros((len(parts), 5), dtype=np.int64)
+        all_facts[good] = np.column_stack((facts, np.ones(len(good), dtype=np.int64)))
+        all_texts = [""] * len(parts)
+        for i, t in zip(good, texts):
+            all_texts[i] = t
+        self.store.add(parts, all_texts, all_facts, links)
 
     def closed(self, texts: list[str]) -> list[Closed]:
         """Groups of texts that begin and end where both tokenizers may be cut."""
+        if self.store.full():
+            self.store = Store()
+        store = self.store
         parts = [self.parts(t) for t in texts]
-        long = self.learn(list(chain.from_iterable(parts)))
-        known = self.known
-        out = []
-        for found in parts:
-            rows = [known[p] if p in known else long[p] for p in found]
-            if not rows:
-                out.append(NOTHING)
-                continue
-            n_a, n_b, n, text, links, valid = zip(*rows)
-            out.append(Closed(sum(n_a), sum(n_b), sum(n), ";".join(text), np.concatenate(links)) if all(valid) else BROKEN)
+        new = list({p for found in parts for p in found if p not in store.number})
+        if new:
+            self.learn(new)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter(map(store.number.__getitem__, chain.from_iterable(parts)), np.int64)
+        facts = store.facts[at]
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        sums = np.concatenate((np.zeros((1, 5), dtype=np.int64), np.cumsum(facts[:, :5], axis=0)))
+        total = (sums[edges[1:]] - sums[edges[:-1]]).tolist()
+        n_links = facts[:, 3]
+        links = store.links[np.repeat(facts[:, 5] - (sums[1:, 3] - n_links), n_links) + np.arange(sums[-1, 3])]
+        begins, out, at = sums[edges, 3].tolist(), [], at.tolist()
+        for k, (n_a, n_b, n, _, valid) in enumerate(total):
+            if valid < edges[k + 1] - edges[k]:
+                out.append(BROKEN)
+            else:
+                shown = ";".join(map(store.texts.__getitem__, at[edges[k] : edges[k + 1]]))
+                out.append(Closed(n_a, n_b, n, shown, links[begins[k] : begins[k + 1]]))
         return out
 
     def fragment(self, a: list[int], b: list[int], starts: tuple[int, int], emit: Callable[[int, Closed], None]) -> Fragment:
         """The fragment of tokens from the given bytes on; closed groups are emitted with their first byte."""
-        at_a = starts[0] + np.cumsum([0, *map(self.a_size.__getitem__, a)])
-        at_b = starts[1] + np.cumsum([0, *map(self.b_size.__getitem__, b)])
+        at_a, at_b = (
+            start + np.concatenate(([0], np.cumsum(size[np.array(ids, dtype=np.int64)])))
+            for start, size, ids in ((starts[0], self.a_size, a), (starts[1], self.b_size, b)))
         ends = int(at_a[-1]), int(at_b[-1])
         both = np.intersect1d(at_a, at_b, assume_unique=True)
         if not len(both):
             return Fragment(starts, ends, None, None, (a, b), ([], []))
         (i, k), (j, m) = np.searchsorted(at_a, both[[0, -1]]).tolist(), np.searchsorted(at_b, both[[0, -1]]).tolist()
         if k > i:
-            emit(int(both[0]), self.groups(a[i:k], b[j:m]))
+            emit(int(both[0]), self.one(a[i:k], b[j:m]))
         return Fragment(starts, ends, int(both[0]), int(both[-1]), (a[:i], b[:j]), (a[k:], b[m:]))
 
     def compose(self, left: Fragment, right: Fragment, emit: Callable[[int, Closed], None]) -> Fragment:
@@ -355,19 +404,24 @@ def _in_order(pieces: DataFrame) -> DataFrame:
         digest, "_row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string")
 
 
+def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The rows of all batches, some at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), _SOME):
+            yield batch.iloc[at : at + _SOME]
+
+
 _DIGEST = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<long>"
 
 
 def _short_texts(docs: DataFrame, shared) -> DataFrame:
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         aligner = _aligner(shared.value)
-        for texts in batches:
+        for some in _slices(batches):
             rows = []
-            for at in range(0, len(texts), 200):
-                some = texts.iloc[at : at + 200]
-                for c in aligner.closed([" " + t if t else "" for t in some]):
-                    sha = hashlib.sha256(c.text.encode()).hexdigest() if c.n_groups else ""
-                    rows.append((c.n_a, c.n_b, c.n_groups, len(c.links), sha, c.links))
+            for c in aligner.closed([" " + t if t else "" for t in some]):
+                sha = hashlib.sha256(c.text.encode()).hexdigest() if c.n_groups else ""
+                rows.append((c.n_a, c.n_b, c.n_groups, len(c.links), sha, c.links))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DIGEST.split(", ")])
 
     return docs.select("_key", F.pandas_udf(digests, _DIGEST)("_text").alias("d")).select("_key", "d.*")
@@ -395,7 +449,7 @@ def _scored(units: DataFrame, counts: DataFrame, head_links: int) -> DataFrame:
 
     def looked_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, times, highest = shared.value
-        for links in batches:
+        for links in _slices(batches):
             sizes = links.map(len).to_numpy(dtype=np.int64)
             flat = np.concatenate([np.zeros(0, dtype=np.int64), *links])
             owner = np.repeat(np.arange(len(links)), sizes)
@@ -403,10 +457,10 @@ def _scored(units: DataFrame, counts: DataFrame, head_links: int) -> DataFrame:
             hit = known[at] == flat if len(known) else np.zeros(len(flat), dtype=bool)
             count = np.where(hit, times[at] if len(known) else 0, 0)
             is_best = hit & (count == highest[flat & ((1 << _SHIFT) - 1)])
-            total = np.zeros(len(links), dtype=np.int64)
-            np.add.at(total, owner, count)
+            sums = np.concatenate(([0], np.cumsum(count)))
+            ends = np.cumsum(sizes)
             rest = np.split(flat[~hit], np.cumsum(np.bincount(owner[~hit], minlength=len(links)))[:-1]) if not hit.all() else [flat[:0]] * len(links)
-            yield pd.DataFrame({"n_best": np.bincount(owner[is_best], minlength=len(links)), "count_sum": total, "rest": rest})
+            yield pd.DataFrame({"n_best": np.bincount(owner[is_best], minlength=len(links)), "count_sum": sums[ends] - sums[ends - sizes], "rest": rest})
 
     kept = [c for c in units.columns if c != "links"]
     udf = F.pandas_udf(looked_up, "n_best long, count_sum long, rest array<long>")
@@ -458,7 +512,7 @@ def token_groups(docs: DataFrame, bytes_path: str, pieces_path: str, *, key: str
     @F.pandas_udf("string")
     def groups(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         aligner = _aligner(shared.value)
-        for some in batches:
+        for some in _slices(batches):
             yield pd.Series([c.text or None for c in aligner.closed([" " + t for t in some])])
 
     is_long = F.length("_text") >= span

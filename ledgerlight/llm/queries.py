@@ -15,6 +15,7 @@ from .language import fit_parser, predict_language
 from .licenses import scan_licenses
 from .linecrf import fit_line_field, line_quality
 from .lines import drop_site_lines, host_of, html_lines
+from .neighbours import nearest_neighbours
 from .quality import fit_rules, quality_rules
 from .sharding import shuffled_places
 from .tokens import count_tokens, round_trip
@@ -85,6 +86,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 OP9_SQL = r"""
 WITH bare AS (
   SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS host,
@@ -121,6 +126,7 @@ def queries() -> dict:
         "op10_line_quality": op10_line_quality,
         "op11_importance_resampling": op11_importance_resampling,
         "op12_token_alignment": op12_token_alignment,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
