@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.usage import COST, tokens
 from ..sources.usage_log import parse_usage_lines
@@ -43,37 +45,85 @@ def stream_usage_daily(stream: DataFrame, watermark: str | None = None) -> DataF
     )
 
 
+class _RateGate(StatefulProcessor):
+    """Per key: times of admitted attempts within the window, `burst` at most, and attempts that the watermark has not passed.
+
+    An attempt is decided when the watermark passes it, for then no earlier one can
+    come any more. Waiting attempts are kept as one list per micro-batch.
+    """
+
+    def __init__(self, burst: int, span: int):
+        self.burst, self.span = burst, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "us array<bigint>")
+        self.waiting = handle.getListState("waiting", "us array<bigint>")
+
+    def _wait(self, us: list[int]) -> None:
+        self.handle.registerTimer(-(-min(us) // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        us = [int(t) for part in rows for t in part["us"]]
+        if us:
+            self.waiting.appendValue((us,))
+            self._wait(us)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        us = np.array([t for part in self.waiting.get() for t in part[0]], dtype=np.int64)
+        due, later = np.sort(us[us <= passed]).tolist(), us[us > passed].tolist()
+        if due:
+            kept = deque(self.kept.get()[0] if self.kept.exists() else [])
+            admitted = _gate(due, self.burst, self.span, kept)
+            self.kept.update((list(kept),))
+            if later:
+                self.waiting.put([(later,)])
+                self._wait(later)
+            else:
+                self.waiting.clear()
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(due), dtype=object), "us": due, "admitted": admitted})
+
+
 def stream_rate_limit(stream: DataFrame, burst: int = 10, window_seconds: float = 1.0, *, key: str = "tenant_id",
                       time: str = "timestamp", watermark: str | None = None) -> DataFrame:
     """Admit or refuse every attempt; refused attempts do not use up the window.
 
-    A pause of a whole window empties the gate, so a key's time line falls into
-    runs that are decided on their own; runs are session windows, which late
-    attempts extend or join. Deciding a run is sequential.
+    With a watermark the stream is for append mode: each attempt is decided once,
+    when the watermark has passed it, and the state of a key holds `burst` times and
+    the attempts younger than the watermark. Attempts that come later than it are
+    left out by Spark, and the drains of this package then fail. Such a query keeps
+    its state in RocksDB, which is set for the session.
 
-    Without a watermark the stream is for complete mode: each micro-batch gives all
-    verdicts on what has come so far, and files may come in any order. With one it
-    is for append mode: a run's verdicts come once the watermark has passed its
-    end, and attempts later than that are left out.
+    Without a watermark the stream is for complete mode over a finite log whose files
+    may come in any order: each micro-batch gives all verdicts on what has come so
+    far. There a pause of a whole window empties the gate, so a key's time line falls
+    into runs that are decided on their own, as session windows.
     """
     span = round(window_seconds * 1_000_000)
+    timed = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("_at"))
+    if watermark is not None:
+        stream.sparkSession.conf.set(
+            "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        decided = timed.withWatermark("_at", watermark).filter("_at IS NOT NULL").select(
+            F.coalesce("key", F.lit("")).alias("key"), F.col("_at").alias("at"), F.unix_micros("_at").alias("us"))
+        verdicts = decided.groupBy("key").transformWithStateInPandas(
+            _RateGate(burst, span), outputStructType="key string, us long, admitted boolean", outputMode="Append", timeMode="EventTime")
+        return verdicts.select(F.nullif(F.col("key"), F.lit("")).alias(key), F.timestamp_micros("us").alias("at"), "admitted")
 
     @F.pandas_udf("array<boolean>")
-    def decided(runs: pd.Series) -> pd.Series:
-        return runs.map(lambda times: _gate(times, burst, span))
+    def decided_run(runs: pd.Series) -> pd.Series:
+        return runs.map(lambda times: _gate(times, burst, span, deque()))
 
-    timed = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("_at"))
-    if watermark is not None:
-        timed = timed.withWatermark("_at", watermark)
     runs = timed.groupBy("key", F.session_window("_at", f"{span} microseconds")).agg(
         F.array_sort(F.collect_list(F.unix_micros("_at"))).alias("us"))
-    verdicts = runs.select("key", F.explode(F.arrays_zip("us", decided("us").alias("admitted"))).alias("v"))
+    verdicts = runs.select("key", F.explode(F.arrays_zip("us", decided_run("us").alias("admitted"))).alias("v"))
     return verdicts.select(F.col("key").alias(key), F.timestamp_micros("v.us").alias("at"), F.col("v.admitted").alias("admitted"))
 
 
-def _gate(times: Sequence[int], burst: int, span: int) -> list[bool]:
-    """Verdicts on sorted times: admitted while fewer than `burst` were in the window before."""
-    kept: deque[int] = deque()
+def _gate(times: Sequence[int], burst: int, span: int, kept: deque[int]) -> list[bool]:
+    """Verdicts on sorted times: admitted while fewer than `burst` of `kept`, the admitted ones, were in the window before."""
     out = []
     for now in times:
         while kept and now - kept[0] >= span:

@@ -223,3 +223,30 @@ def test_rate_limit_in_append_mode_emits_runs_that_are_over(spark, tmp_path):
     stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
     got = drain_append(L.stream_rate_limit(stream, 2, 60, watermark="100 seconds"), "rate").collect()
     assert sorted((r.at.minute * 60 + r.at.second, r.admitted) for r in got) == [(0, True), (1, True), (2, False), (500, True)]
+
+
+@pytest.mark.parametrize("max_files", [1, 2, 100])
+def test_state_decides_each_attempt_once_whatever_the_order_within_the_watermark(spark, tmp_path, max_files):
+    times = {"a": [i * 7 % 900 + 2000 * (i % 3) for i in range(200)], "b": [5, 5, 5, 6, 64, 65, 65, 300], "c": list(range(0, 5000, 2))}
+    moments = sorted((t, k) for k, ts in times.items() for t in ts)
+    # files of 900 seconds each, their rows mixed with those of the next file, then one record that ends the log
+    for part in range(8):
+        rows = [(t, k) for i, (t, k) in enumerate(moments) if (t + 450 * (i % 3)) // 900 == part]
+        stamp = lambda t: f"2024-01-01T{t // 3600:02d}:{t // 60 % 60:02d}:{t % 60:02d}"
+        if rows:
+            L.append_usage_log(spark.createDataFrame([call(stamp(t), tenant=k) for t, k in rows[::-1]], L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
+    L.append_usage_log(spark.createDataFrame([call("2024-01-02T00:00:00", tenant="end")], L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
+    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=max_files)
+    got = drain_append(L.stream_rate_limit(stream, 3, 60, watermark="1 hour"), "gate")
+    rows = got.select("tenant_id", (F.unix_micros("at") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))).alias("us"), "admitted").collect()
+    for k, ts in times.items():
+        assert sorted((r.us // 1_000_000, r.admitted) for r in rows if r.tenant_id == k) == sorted(replay(ts, 3, 60))
+    assert not [r for r in rows if r.tenant_id == "end"]
+
+
+def test_attempts_after_the_watermark_fail_the_drain(spark, tmp_path):
+    for t in ("00:00:00", "00:10:00", "00:11:00", "00:00:01"):
+        L.append_usage_log(spark.createDataFrame([call(f"2024-01-01T{t}")], L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
+    stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
+    with pytest.raises(ValueError, match="1 rows came later"):
+        drain_append(L.stream_rate_limit(stream, 3, 60, watermark="1 minute"), "late")
