@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 from typing import NamedTuple
 
@@ -43,7 +44,9 @@ from .bpe import PATTERN, Merges
 #: Characters of a range; longer texts are divided. Fragments that one task composes. Most frequent id pairs that are broadcast.
 SPAN, FAN, HEAD_LINKS = 1 << 16, 8, 500_000
 # Texts that a worker remembers, and texts that it takes at a time.
-_MEMO, _SOME = 250_000, 200
+_MEMO, _SOME = 150_000, 200
+# Rows that cross to a worker at once.
+_BATCH = 1000
 
 # Ends where a letter is followed by something else, or white space by none before it.
 _PART = regex.compile(r"\s*[^\s\p{L}]*\p{L}+|\s*[^\s\p{L}]+|\s+")
@@ -53,6 +56,18 @@ _SHIFT = 20
 _SEPARATORS = ",|;\n"
 
 
+@contextmanager
+def _small_batches(df: DataFrame):
+    """Tables written meanwhile send their rows to Python a thousand at a time, so that long texts and lists do not pile up there."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(_BATCH, int(before)) if int(before) > 0 else _BATCH))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 class Vocabularies:
     """What both tokenizers' files say, read on the driver: sizes are those of the vocabularies."""
 
@@ -448,6 +463,7 @@ def _scored(units: DataFrame, counts: DataFrame, head_links: int) -> DataFrame:
     shared = units.sparkSession.sparkContext.broadcast((top["link"].to_numpy(dtype=np.int64), top["times"].to_numpy(dtype=np.int64), highest))
 
     def looked_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        _KEPT.clear()  # the worker's tokenizers are not needed any more
         known, times, highest = shared.value
         for links in _slices(batches):
             sizes = links.map(len).to_numpy(dtype=np.int64)
@@ -489,15 +505,16 @@ def align_tokens(
     shared = docs.sparkSession.sparkContext.broadcast(Vocabularies(bytes_path, pieces_path))
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     is_long = F.coalesce(F.length("_text") >= span, F.lit(False))
-    short = settle(_short_texts(texts.filter(~is_long), shared))
-    roots, pieces = _long_texts(texts.filter(is_long), shared, span, fan)
-    counts = settle(link_counts(short.select("links").unionByName(pieces.select("links"))))
-    best = _scored(pieces.select("_row", "links"), counts, head_links).groupBy("_row").agg(
-        F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    with _small_batches(docs):
+        short = settle(_short_texts(texts.filter(~is_long), shared))
+        roots, pieces = _long_texts(texts.filter(is_long), shared, span, fan)
+        counts = settle(link_counts(short.select("links").unionByName(pieces.select("links"))))
+        of_pieces, of_short = (_scored(units, counts, head_links) for units in (pieces.select("_row", "links"), short))
+    best = of_pieces.groupBy("_row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     long = roots.join(_in_order(pieces), "_row", "left").join(best, "_row", "left").select(
         "_key", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers], F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
-    both = _scored(short, counts, head_links).select("_key", *numbers, "groups_sha256").unionByName(long)
+    both = of_short.select("_key", *numbers, "groups_sha256").unionByName(long)
     return both.withColumnRenamed("_key", "doc_id")
 
 
