@@ -10,7 +10,7 @@ came with the last round are looked at; rounds end when few lists change.
 Search. A query starts from its own node's list, as queries are rows of the
 table, and keeps the nearest nodes seen as its beam. Each round joins the
 nearest nodes of all beams that were not opened yet with their neighbours, until
-all of a beam is open. Queries with equal vectors are one search.
+nearly all are open. Queries with equal vectors are one search.
 
 Graph and beams work on vectors rounded to 8 bits per component; the nodes of a
 beam's top are then scored exactly on the original vectors.
@@ -32,8 +32,8 @@ from ..functions.ordering import running_totals, settle
 LIST, JOINED, DEALS, BLOCK = 40, 24, 12, 2048
 #: Vectors that hyperplanes are drawn from. Share of lists' places that still change when rounds end, and rounds at most.
 SAMPLE, STILL, ROUNDS = 4096, 0.02, 8
-#: Nodes that a beam keeps, and those it opens in a round.
-BEAM, OPENED = 160, 64
+#: Nodes that a beam keeps, and those it opens in a round. Share of beams' places that still open when a search ends.
+BEAM, OPENED, LEFT = 160, 160, 0.01
 # Nodes joined at once: larger groups around one node are divided anew in each round.
 _GROUP = 96
 
@@ -185,7 +185,7 @@ def neighbour_graph(
     return graph
 
 
-def _searched(graph: DataFrame, asked: DataFrame, beam: int, opened: int) -> DataFrame:
+def _searched(graph: DataFrame, asked: DataFrame, beam: int, opened: int, left: float) -> DataFrame:
     """The beams of the asked nodes: node, ids, sims, nearest first."""
     at = graph.select("node", F.posexplode("ids").alias("pos", "id")).join(graph.select(F.col("node").alias("id"), "code", "scale"), "id")
     near = settle(at.groupBy("node").agg(*[F.collect_list(c).alias(f"near_{c}") for c in ("id", "code", "scale")]))
@@ -204,17 +204,19 @@ def _searched(graph: DataFrame, asked: DataFrame, beam: int, opened: int) -> Dat
 
     # the places of the nearest `opened` of the beam that were not opened yet
     closed = F.expr(f"slice(filter(transform(seen, (s, i) -> if(s, NULL, i)), i -> i IS NOT NULL), 1, {opened})")
-    while not (work := now.withColumn("open", closed).filter(F.size("open") > 0)).isEmpty():
+    n = now.count()
+    while (now.agg(F.sum(F.size(closed))).first()[0] or 0) > left * beam * n:
+        work = now.withColumn("open", closed)
         steps = work.select(F.col("node").alias("query"), "code", "scale", F.explode(F.transform("open", lambda i: F.get("ids", i))).alias("node"))
         found = steps.join(near, "node").mapInPandas(looked, _NEAR)
-        opened_now = now.withColumn("open", closed).withColumn(
+        opened_now = work.withColumn(
             "seen", F.transform("seen", lambda s, i: s | F.array_contains("open", i))).drop("open")
         now = _merged(opened_now, found, beam)
     return now.select("node", "ids", "sims")
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, beam: int = BEAM, opened: int = OPENED, **graph,
+    vectors: DataFrame, queries: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, beam: int = BEAM, opened: int = OPENED, left: float = LEFT, **graph,
 ) -> DataFrame:
     """The k nearest rows of each row for which `queries` holds: query_id, rank from 1, vec_id, score.
 
@@ -227,15 +229,15 @@ def nearest_neighbours(
     v = F.col(vector)
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = vectors.filter(F.col(key).isNotNull() & F.coalesce(~odd, F.lit(False)) & F.exists(v, lambda x: x != 0)).select(
-        F.col(key).alias("vec_id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct()
+        F.col(key).alias("vec_id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).groupBy("vec_id", "v").agg(F.max("asks").alias("asks"))
     length = usable.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).limit(1).collect()
     rows = settle(usable.filter(F.size("v") == (length[0]["length"] if length else 0)))
     # of rows with equal vectors, the smallest ids are all that a result can hold, besides the query's own
-    numbered = running_totals(rows.select("vec_id", "v", F.lit(1).alias("one")).distinct(), {"one": "n"}, ["vec_id"], by=["v"])
+    numbered = running_totals(rows.select("vec_id", "v", F.lit(1).alias("one")), {"one": "n"}, ["vec_id"], by=["v"])
     nodes = settle(numbered.filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
                    .withColumn("node", F.monotonically_increasing_id()))
-    asks = settle(rows.filter("asks").select("vec_id", "v").distinct().join(nodes.select("v", "node"), "v").select("vec_id", "node"))
-    beams = _searched(neighbour_graph(nodes, nodes.count(), **graph), settle(asks.select("node").distinct()), beam, opened)
+    asks = settle(rows.filter("asks").select("vec_id", "v").join(nodes.select("v", "node"), "v").select("vec_id", "node"))
+    beams = _searched(neighbour_graph(nodes, nodes.count(), **graph), settle(asks.select("node").distinct()), beam, opened, left)
     close = beams.select(F.col("node").alias("query"), F.explode(F.concat(F.array("node"), F.slice("ids", 1, 3 * k))).alias("node"))
     score = F.aggregate(
         F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
