@@ -24,7 +24,7 @@ from .operators.stats import (
     redundant_pairs, strong_pairs,
 )
 from .operators.usage import (
-    budget_alert, depth_violations, member_usage, quota_violations, rate_violations, usage_calls_per_day, usage_cost,
+    budget_alert, depth_violations, member_usage, quota_violations, rate_refusals, rate_violations, usage_calls_per_day, usage_cost,
     usage_daily, usage_daily_by, usage_monthly, usage_top_expensive, usage_user_breakdown, usage_user_stats,
 )
 from .plans.report import Report, monthly_facts, quick_summary, region_facts, report_suite, slim

@@ -8,14 +8,17 @@ one busy tenant or user does not weigh on a single task.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from datetime import date, timedelta
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
-from ..functions.ordering import running_totals, join_facts
+from ..functions.ordering import join_facts, running_totals, settle
 
 # Fixed values: $ per million input and output tokens, and the model priced for unknown ones.
 PRICES = {
@@ -28,6 +31,7 @@ PRICES = {
 DEFAULT_MODEL = "claude-sonnet-4-6"
 
 COST = "decimal(18,6)"
+WINDOWS_PER_SLICE = 64
 
 
 def day() -> Column:
@@ -206,25 +210,80 @@ def quota_violations(log: DataFrame, members: DataFrame, order: tuple[str, ...]
     return numbered.filter(F.col("call_no") > F.col("daily_limit")).drop("_one")
 
 
-def rate_violations(log: DataFrame, burst: int = 10, window_seconds: float = 1.0, key: str = "tenant_id",
-                    time: str = "timestamp") -> DataFrame:
-    """Moments at which more than `burst` attempts fell into the window that ends there.
+def _in_windows(log: DataFrame, span: int, key: str, time: str) -> DataFrame:
+    """Moments with their calls and the attempts in the window that ends there.
 
-    The window is half-open: an attempt exactly one window old is outside.
-    Refused attempts count too, so this is an upper bound. Attempts at one
-    moment are merged first, and each key's time line is cut into slices that
-    carry one window of history, so a busy key is spread over many tasks.
+    Attempts at one moment are merged first, and each key's time line is cut into
+    slices that carry one window of history, so a busy key is spread over many tasks.
     """
-    span = round(window_seconds * 1_000_000)
-    slice_us = span * 64
+    slice_us = span * WINDOWS_PER_SLICE
     at = F.unix_micros(F.col(time).cast("timestamp"))
     moments = log.groupBy(F.col(key), at.alias("_us")).agg(F.count("*").alias("calls"))
     own = F.floor(F.col("_us") / slice_us)
     last = F.floor((F.col("_us") + span - 1) / slice_us)
     sliced = moments.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(own, last)))
     frame = Window.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-(span - 1), 0)
-    return (
-        sliced.withColumn("attempts", F.sum("calls").over(frame))
-        .filter((F.col("_slice") == F.col("_own")) & (F.col("attempts") > burst))
-        .select(key, F.timestamp_micros("_us").alias("at"), "calls", "attempts")
-    )
+    return sliced.withColumn("attempts", F.sum("calls").over(frame)).filter(F.col("_slice") == F.col("_own")).drop("_own")
+
+
+def rate_violations(log: DataFrame, burst: int = 10, window_seconds: float = 1.0, key: str = "tenant_id",
+                    time: str = "timestamp") -> DataFrame:
+    """Moments at which more than `burst` attempts fell into the window that ends there.
+
+    The window is half-open: an attempt exactly one window old is outside.
+    Refused attempts count too, so this is an upper bound; `rate_refusals` is exact.
+    """
+    moments = _in_windows(log, round(window_seconds * 1_000_000), key, time)
+    return moments.filter(F.col("attempts") > burst).select(key, F.timestamp_micros("_us").alias("at"), "calls", "attempts")
+
+
+def rate_refusals(log: DataFrame, burst: int = 10, window_seconds: float = 1.0, key: str = "tenant_id",
+                  time: str = "timestamp") -> DataFrame:
+    """Moments at which a gate refuses calls: key, at, calls, admitted, refused. Refused calls do not use up the window.
+
+    A moment whose window holds at most `burst` attempts admits all its calls,
+    whatever the gate admitted before. So once a whole window has passed without a
+    moment above `burst`, the gate holds just the attempts of that window, and the
+    time line falls into busy periods that are decided on their own, also where a key
+    never pauses. A period is read in order with `burst` times of state, so its length
+    is not bounded by memory; a key that is above `burst` in every window from first
+    to last is one period and so one task, which reads 16 bytes per moment. Rows
+    without a key or time are left out.
+    """
+    span = round(window_seconds * 1_000_000)
+    slice_us = span * WINDOWS_PER_SLICE
+    # written once: which moments are above `burst` decides the periods, whose calls are then read from the same table
+    moments = settle(_in_windows(log.filter(F.col(key).isNotNull() & F.col(time).cast("timestamp").isNotNull()), span, key, time))
+    above = moments.filter(F.col("attempts") > burst).select(key, "_us")
+    own, last = F.floor(F.col("_us") / slice_us), F.floor((F.col("_us") + span - 1) / slice_us)
+    sliced = above.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(own, last)))
+    before = Window.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-(span - 1), -1)
+    starts = sliced.withColumn("_start", (F.count("*").over(before) == 0).cast("int")).filter(F.col("_slice") == F.col("_own"))
+    numbered = running_totals(starts.select(key, "_us", "_start"), {"_start": "_period"}, ["_us"], by=[key])
+    periods = numbered.groupBy(key, "_period").agg((F.min("_us") - span + 1).alias("_from"), F.max("_us").alias("_to"))
+    slices = F.sequence(F.floor(F.col("_from") / slice_us), F.floor(F.col("_to") / slice_us))
+    # at most as many periods as windows begin in a slice, so the join does not multiply moments
+    held = join_facts(moments, periods.withColumn("_slice", F.explode(slices)), [key, "_slice"]).filter("_us BETWEEN _from AND _to")
+
+    def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        period, kept, live = None, deque(), 0
+        for batch in batches:
+            out = []
+            for k, p, us, calls in zip(batch["_key"], batch["_period"], batch["_us"], batch["calls"]):
+                if (k, p) != period:
+                    period, kept, live = (k, p), deque(), 0
+                while kept and us - kept[0][0] >= span:
+                    live -= kept.popleft()[1]
+                admitted = min(int(calls), burst - live)
+                if admitted:
+                    kept.append((us, admitted))
+                    live += admitted
+                if admitted < calls:
+                    out.append((k, us, calls, admitted))
+            yield pd.DataFrame(out, columns=["_key", "_us", "calls", "admitted"])
+
+    ordered = held.select(F.col(key).cast("string").alias("_key"), "_period", "_us", "calls").repartition("_key", "_period").sortWithinPartitions("_key", "_period", "_us")
+    refused = ordered.mapInPandas(decided, "_key string, _us long, calls long, admitted long")
+    return refused.select(
+        F.col("_key").cast(log.schema[key].dataType).alias(key), F.timestamp_micros("_us").alias("at"), "calls", "admitted",
+        (F.col("calls") - F.col("admitted")).alias("refused"))

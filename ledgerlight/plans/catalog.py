@@ -427,6 +427,7 @@ def catalog() -> dict[str, Query]:
         "quota_violations": lambda s, p: L.quota_violations(
             usage_log(s, p), members(s, p), ("timestamp", "token_input", "token_output")).select(
             "tenant_id", "user_id", "date", "timestamp", "call_no", "daily_limit"),
+        "rate_refusals": lambda s, p: tidy(L.rate_refusals(usage_log(s, p), burst=3, window_seconds=900)),
         "rate_violations": lambda s, p: tidy(L.rate_violations(usage_log(s, p), burst=3, window_seconds=900)),
         "read_usage_log": _read_usage_log,
         "append_usage_log": _append_usage_log,

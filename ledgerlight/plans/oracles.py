@@ -624,6 +624,19 @@ GROUP BY 1, 2, 3""",
   SELECT *, row_number() OVER (PARTITION BY tenant_id, user_id, date ORDER BY "timestamp", token_input, token_output) AS call_no FROM log)
 SELECT tenant_id, user_id, date, "timestamp", call_no, daily_limit
 FROM r JOIN members USING (tenant_id, user_id) WHERE call_no > daily_limit""",
+        # one attempt after the other, as a gate sees them
+        "rate_refusals": f"""WITH RECURSIVE {USAGE},
+a AS (SELECT tenant_id, epoch_us(CAST("timestamp" AS TIMESTAMP)) AS us,
+             row_number() OVER (PARTITION BY tenant_id ORDER BY "timestamp") AS rn FROM log),
+gate AS (
+  SELECT tenant_id, rn, us, [us] AS kept, TRUE AS admitted FROM a WHERE rn = 1
+  UNION ALL
+  SELECT tenant_id, rn, us, CASE WHEN len(live) < 3 THEN list_append(live, us) ELSE live END, len(live) < 3
+  FROM (SELECT a.tenant_id, a.rn, a.us, list_filter(g.kept, lambda k: a.us - k < 900000000) AS live
+        FROM gate g JOIN a ON a.tenant_id = g.tenant_id AND a.rn = g.rn + 1))
+SELECT tenant_id, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') AS at, count(*) AS calls,
+  count(*) FILTER (admitted) AS admitted, count(*) FILTER (NOT admitted) AS refused
+FROM gate GROUP BY tenant_id, us HAVING count(*) FILTER (NOT admitted) > 0""",
         "rate_violations": f"""WITH {USAGE},
 m AS (SELECT tenant_id, epoch_us(CAST("timestamp" AS TIMESTAMP)) AS us, count(*) AS calls FROM log GROUP BY 1, 2),
 w AS (SELECT *, sum(calls) OVER (PARTITION BY tenant_id ORDER BY us RANGE BETWEEN 899999999 PRECEDING AND CURRENT ROW) AS attempts FROM m)

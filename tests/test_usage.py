@@ -114,3 +114,45 @@ def test_hot_user_quota_over_ranges(spark):
     got = L.quota_violations(rows, members)
     assert got.count() == 150
     assert sorted(r.call_no for r in got.collect()) == list(range(51, 201))
+
+
+def refused_one_by_one(times, burst, span):
+    kept, out = [], {}
+    for t in sorted(times):
+        kept = [k for k in kept if t - k < span]
+        calls, admitted = out.get(t, (0, 0))
+        free = len(kept) < burst
+        out[t] = calls + 1, admitted + free
+        if free:
+            kept.append(t)
+    return {(t, c, a) for t, (c, a) in out.items() if a < c}
+
+
+@pytest.mark.parametrize("burst,seed", [(1, 1), (2, 2), (3, 3), (10, 4)])
+def test_refusals_match_a_gate(spark, burst, seed):
+    import random
+
+    rng = random.Random(seed)
+    # one key that never pauses for a window, one that is always above the burst, one with bursts and pauses, one of ties
+    times = {
+        "steady": [t + rng.randint(0, 400) for t in range(0, 400_000, 1000 // (burst + 1) + 150)],
+        "full": [i * 37 for i in range(3000)],
+        "bursts": [b * 5000 + rng.randint(0, 900) for b in range(60) for _ in range(rng.randint(1, 3 * burst))],
+        "ties": [rng.choice((0, 400, 999, 1000, 1001, 2000)) + 3000 * rng.randint(0, 9) for _ in range(200)],
+    }
+    rows = [(k, t) for k, ts in times.items() for t in ts] + [(None, 5), ("steady", None)]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "tenant_id string, ms long").repartition(5).select("tenant_id", F.timestamp_millis("ms").alias("timestamp"))
+    got = L.rate_refusals(log, burst, 1.0).select("tenant_id", F.unix_millis("at").alias("ms"), "calls", "admitted", "refused").collect()
+    for k, ts in times.items():
+        assert {(r.ms, r.calls, r.admitted) for r in got if r.tenant_id == k} == refused_one_by_one(ts, burst, 1000), k
+    assert all(r.tenant_id in times and r.refused == r.calls - r.admitted for r in got)
+
+
+def test_busy_periods_of_a_key_that_never_pauses_are_apart(spark):
+    # an attempt every 400 ms for an hour, with 20 bursts: periods are as short as the bursts
+    times = [i * 400 for i in range(9000)] + [b * 180_000 + j for b in range(20) for j in range(30)]
+    log = spark.createDataFrame([("t", t) for t in times], "tenant_id string, ms long").select("tenant_id", F.timestamp_millis("ms").alias("timestamp"))
+    got = L.rate_refusals(log, 5, 1.0)
+    assert {(r.ms, r.calls, r.admitted) for r in got.select(F.unix_millis("at").alias("ms"), "calls", "admitted").collect()} == refused_one_by_one(times, 5, 1000)
+    assert L.rate_refusals(log.limit(0), 5, 1.0).count() == 0
