@@ -244,6 +244,16 @@ def _read_delimited(s: SparkSession, d: str) -> DataFrame:
         F.max("o_orderdate").alias("last_date"), F.sum("o_custkey").alias("custkeys")))
 
 
+def _read_delimited_breaks(s: SparkSession, d: str) -> DataFrame:
+    """Whole texts of documents, with their commas, quotes and line breaks, written as delimited text and read back in splits."""
+    path = work_path(s, "delimited")
+    quoted = F.concat(F.lit('"'), F.col("lang"), F.lit('", '), F.col("text"))
+    table(s, d, "documents").select("doc_id", quoted.alias("text"), "source").write.options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = L.read_delimited(s, path, multiline=True)
+    return back.select("doc_id", F.length("text").cast("long").alias("length"), F.md5("text").alias("text_md5"), "source")
+
+
 def _kinds_of_files(s: SparkSession, d: str, line: Column, name: str) -> str:
     """A folder of text files, of another kind in each subfolder kind=0 to 3."""
     path = work_path(s, name)
@@ -433,6 +443,7 @@ def catalog() -> dict[str, Query]:
         "append_usage_log": _append_usage_log,
         # files and streams
         "read_delimited": _read_delimited,
+        "read_delimited_breaks": _read_delimited_breaks,
         "detect_delimiter_text": lambda s, p: tidy(
             L.detect_delimiter_text(table(s, p, "documents").select("doc_id", "text"), "doc_id", "text"), 6),
         "detect_delimiter": _detect_delimiter,

@@ -654,6 +654,8 @@ FROM log WHERE tenant_id = 'tenant_2' AND month = '2024-01' GROUP BY 1, 2""",
   round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE), 4) AS total,
   strftime(max(o_orderdate), '%Y-%m-%d') AS last_date, CAST(sum(o_custkey) AS BIGINT) AS custkeys
 FROM orders GROUP BY 1, 2""",
+        "read_delimited_breaks": """SELECT doc_id, length('"' || lang || '", ' || text) AS length, md5('"' || lang || '", ' || text) AS text_md5, source
+FROM documents""",
         # the files are written with commas, in UTF-8
         "detect_delimiter": """SELECT doc_id % 4 AS kind, [',', chr(9), ';', '|'][doc_id % 4 + 1] AS delimiter, 1.0::DOUBLE AS score
 FROM documents GROUP BY ALL""",

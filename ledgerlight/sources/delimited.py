@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import col
 from ..functions.ordering import join_facts, settle
 from .intake import detect_delimiter_text
+from .records import whole_records
 
 # Texts that stand for a missing value.
 MISSING = (
@@ -129,16 +130,18 @@ def read_delimited(
 
     `skip_rows` drops that many physical lines at the head of each file. Files whose
     headers differ are refused. A line break inside quotes is an error unless
-    `multiline` is set; files are then read whole, one task each, and comments are
-    known at the start of a line only. UTF-16 and UTF-32 are always read so. `comment`
-    is one character.
+    `multiline` is set. Files are then still read in splits; records are joined from
+    their lines and written once, lines end with a line feed, and comments are known
+    at the start of a record only. UTF-16 and UTF-32 have no splits at lines: such
+    files are read whole, one task each, without `skip_rows`. `comment` is one
+    character.
     """
     require_charset(spark, encoding)
-    if multiline or _is_wide(encoding):
+    if _is_wide(encoding):
         if skip_rows:
-            raise ValueError("skip_rows counts lines and cannot be used with multiline")
-        return _read_multiline(spark, path, sep, encoding, header, comment, schema)
-    return _read_lines(spark, path, sep, encoding, header, skip_rows, comment, schema)
+            raise ValueError(f"skip_rows counts lines and cannot be used with {encoding}")
+        return _read_files(spark, path, sep, encoding, header, comment, schema)
+    return _read_lines(spark, path, sep, encoding, header, skip_rows, comment, schema, multiline)
 
 
 def require_charset(spark: SparkSession, encoding: str) -> None:
@@ -152,11 +155,11 @@ def _is_wide(encoding: str) -> bool:
     return encoding.lower().startswith(("utf-16", "utf-32"))
 
 
-def _text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _text_lines(spark: SparkSession, path: str, encoding: str, **options: str) -> DataFrame:
     """_file, _start, _id, value: lines as the text source gives them, decoded here, since it takes all bytes for UTF-8."""
     raw = F.col("value")
     value = raw if encoding.lower() in ("utf-8", "us-ascii") else F.decode(raw.cast("binary"), encoding)
-    return spark.read.text(path).select(
+    return spark.read.options(**options).text(path).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"), value.alias("value"))
 
@@ -168,19 +171,11 @@ def _one_header(found: Sequence[str], sep: str) -> list[str]:
     return list(headers.pop()) if headers else []
 
 
-def _read_multiline(spark, path, sep, encoding, header, comment, schema) -> DataFrame:
+def _read_files(spark, path, sep, encoding, header, comment, schema) -> DataFrame:
     options = {"sep": sep, "encoding": encoding, "multiLine": True, "quote": '"', "escape": '"'}
     if comment:
         options["comment"] = comment
-    if schema is not None:
-        names = schema.names
-    elif header and not _is_wide(encoding):
-        lines = _text_lines(spark, path, encoding).filter(F.length(F.trim("value")) > 0)
-        lines = lines.filter(~F.col("value").startswith(comment)) if comment else lines
-        heads = lines.groupBy("_file").agg(F.min_by("value", "_id").alias("v")).select("v").distinct().limit(2).collect()
-        names = _one_header([r["v"] for r in heads], sep)
-    else:
-        names = [c.strip() for c in spark.read.options(**options).option("header", header).csv(path).columns]
+    names = schema.names if schema is not None else [c.strip() for c in spark.read.options(**options).option("header", header).csv(path).columns]
     # without pruning, since a pruned parse does not notice lines with too many fields
     rows = (
         spark.read.options(**options).option("header", header).option("columnPruning", False).schema(_text_schema(names))
@@ -189,9 +184,9 @@ def _read_multiline(spark, path, sep, encoding, header, comment, schema) -> Data
     return _finish(_keep_short_lines(rows, sep, len(names)), schema)
 
 
-def _read_lines(spark, path, sep, encoding, header, skip_rows, comment, schema) -> DataFrame:
+def _read_lines(spark, path, sep, encoding, header, skip_rows, comment, schema, multiline) -> DataFrame:
     value = F.col("value")
-    lines = _text_lines(spark, path, encoding)
+    lines = _text_lines(spark, path, encoding, **({"lineSep": "\n"} if multiline else {}))
     # Ids grow along a file. Only the head of each file is ranked, and the rank
     # limit is applied before the shuffle.
     order = Window.partitionBy("_file").orderBy("_id")
@@ -200,7 +195,9 @@ def _read_lines(spark, path, sep, encoding, header, skip_rows, comment, schema)
         skipped = lines.filter(F.col("_start") == 0).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= skip_rows)
         marked = join_facts(lines, skipped.groupBy("_file").agg(F.max("_id").alias("_last")), ["_file"], "left")
         body = marked.filter(F.col("_last").isNull() | (F.col("_id") > F.col("_last")))
-    if comment:
+    if multiline:
+        body = whole_records(body.select("_file", "_start", "_id", "value"), sep, comment)
+    elif comment:
         body = body.withColumn("value", _without_comment(value, comment))
     body = body.filter(F.length(F.trim("value")) > 0)
     first = body.filter(F.col("_start") == 0).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == 1)
@@ -213,7 +210,8 @@ def _read_lines(spark, path, sep, encoding, header, skip_rows, comment, schema)
         top = first.select("value").first()
         names = [f"_c{i}" for i in range(len(_split_names(top[0], sep)))] if top else []
     names = schema.names if schema is not None else names
-    parsed = _parse(body.select(_whole_record(value).alias("value")), value, names, sep)
+    records = body if multiline else body.select(_whole_record(value).alias("value"))
+    parsed = _parse(records, value, names, sep)
     return _finish(_keep_short_lines(parsed, sep, len(names)), schema)
 
 

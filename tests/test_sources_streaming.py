@@ -46,6 +46,43 @@ def test_quoted_line_breaks_are_read_or_refused(spark, tmp_path):
     assert values(L.read_inline(spark, 'a,b\n1,"x\ny"\n2,z')) == [(1, "x\ny"), (2, "z")]
 
 
+@pytest.mark.parametrize("split", [60, 500])
+def test_records_across_splits_equal_a_whole_parse(spark, tmp_path, split):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(split)
+    parts = ["x", ",", '"', "\n", "\r\n", "word ", "é", '""', "#", ",\n", '5"']
+    made = {}
+    for name in ("a", "b"):
+        rows = [[str(i), "t" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))), "k"] for i in range(40)]
+        rows[20][1] = "long\n" * 40 + '"'
+        out = io.StringIO()
+        csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"])).writerows([["id", "t", "k"], *rows])
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.csv").write_text(out.getvalue(), newline="")
+        made[name] = [(int(i), t, k) for i, t, k in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        got = values(L.read_delimited(spark, str(tmp_path / "in"), multiline=True))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == sorted(made["a"] + made["b"])
+
+
+def test_skipped_lines_comments_and_stray_quotes_with_line_breaks(spark, tmp_path):
+    text = 'a "title\n\nid,t\n1,"x\n#no comment\n"\n#c "omment\n2,5" pipe\n3,"a ""b"", c"\n\n4,z\n'
+    p = write(tmp_path / "m.csv", text)
+    got = L.read_delimited(spark, p, multiline=True, skip_rows=1, comment="#").orderBy("id")
+    assert values(got) == [(1, "x\n#no comment\n"), (2, '5" pipe'), (3, 'a "b", c'), (4, "z")]
+    open_ = write(tmp_path / "o.csv", 'id,t\n1,"x\n2,y\n')
+    with pytest.raises(Exception, match="ends inside quotes"):
+        L.read_delimited(spark, open_, multiline=True).collect()
+
+
 def test_comments_end_a_line_outside_quotes(spark, tmp_path):
     text = 'a,b # names\n1,5 # note\n# whole line\n2,"no # comment"\n3,"x" # "y\n'
     p = write(tmp_path / "c.csv", text)
