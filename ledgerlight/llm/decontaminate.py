@@ -10,8 +10,13 @@ Windows are laid where they can matter: an item of n words within e edits leaves
 run of (n - e) / (e + 1) of its words whole, so a window without any of the items'
 runs of that length holds no item.
 
+Items of few words would be found by chance within edits: they are looked for word
+by word as they stand, by one automaton over all of them. So are texts in scripts
+without spaces, character by character.
+
 The benchmark is broadcast in blocks of bounded size, and documents are scanned
-once per block.
+once per block; with several blocks, what was found is written after each, so that
+one block's index is alive at a time.
 """
 
 from __future__ import annotations
@@ -20,16 +25,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import settle
 from .hashing import ODD, mix, word_hashes
 
 #: An item is found within this share of its words in edits.
 MAX_EDITS = 0.15
-#: Items with fewer words do not tell a passage from chance and are not looked for.
+#: Items with fewer words are looked for without edits.
 MIN_WORDS = 5
 #: Items of a block: no more words than this are broadcast at once.
 BLOCK_WORDS = 1_000_000
@@ -43,6 +50,15 @@ _APART = np.ones(256, dtype=bool)
 _APART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
 
+_SPACED = bytes(32 if _APART[b] else b for b in range(256))
+_PLAIN = frozenset("0123456789abcdefghijklmnopqrstuvwxyz")
+
+
+def _spaced(text: str) -> str:
+    """The words of a text, A-Z lower-cased, one space between them; one character per byte."""
+    return b" ".join(text.encode("utf-8").lower().translate(_SPACED).split()).decode("latin-1")
+
+
 def allowed_edits(n: int, share: float = MAX_EDITS) -> int:
     return int(share * n)
 
@@ -88,6 +104,16 @@ class Items:
     """Index of benchmark items: word hashes, runs, and the tables of their embeddings by size class."""
 
     def __init__(self, items: list[tuple[int, str]], share: float = MAX_EDITS, seed: int = 5):
+        few: dict[str, list[int]] = defaultdict(list)
+        for i, text in items:
+            plain = _spaced(text)
+            if plain and plain.count(" ") + 1 < MIN_WORDS:
+                few[plain].append(i)
+        self.few = ahocorasick.Automaton() if few else None
+        for plain, ids in few.items():
+            self.few.add_word(plain, (plain, ids))
+        if few:
+            self.few.make_automaton()
         pairs = [(i, word_hashes(text, _APART)) for i, text in items]
         pairs = [(i, w) for i, w in pairs if len(w) >= MIN_WORDS]
         self.ids, self.words = [i for i, _ in pairs], [w for _, w in pairs]
@@ -163,6 +189,24 @@ def best_match(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def find_few(text: str | None, items: Items) -> list[tuple[int, int, int]]:
+    """Items of few words that stand in the text as they are: (item, 0, place where the first one ends, in words).
+
+    Where an item begins or ends with an ASCII letter or digit, no other one may
+    touch it; in scripts without spaces an item may be a part of a longer run.
+    """
+    if not text or items.few is None:
+        return []
+    plain = _spaced(text)
+    found: dict[int, int] = {}
+    for last, (item, ids) in items.few.iter(plain):
+        first = last - len(item) + 1
+        cut = first and item[0] in _PLAIN and plain[first - 1] in _PLAIN or last + 1 < len(plain) and item[-1] in _PLAIN and plain[last + 1] in _PLAIN
+        if not cut and ids[0] not in found:
+            found.update(dict.fromkeys(ids, plain.count(" ", 0, last + 1) + 1))
+    return [(i, 0, end) for i, end in found.items()]
+
+
 def find_items(texts: list[str | None], items: Items) -> list[list[tuple[int, int, int]]]:
     """Per text: (item, edits, place where the passage ends, in words), least edits first for each item."""
     words, starts, place = [], {}, 0
@@ -179,9 +223,9 @@ def find_items(texts: list[str | None], items: Items) -> list[list[tuple[int, in
             starts[k] = w
             words += [w, pad]
             place += len(w) + len(pad)
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    found = [find_few(text, items) for text in texts]
     if not words:
-        return found
+        return [sorted(x) for x in found]
     joined = np.concatenate(words)
     regions: dict[tuple[int, int], list[int]] = {}
     for c, parts in per_class.items():
@@ -225,15 +269,20 @@ def with_leaks(
     An item is found if a stretch of the text is within int(max_edits * n) word
     edits of its n words; words are compared without case and punctuation. end_word
     counts the words up to the stretch's end. Null and empty texts hold nothing.
-    Items without id or text, or with fewer than MIN_WORDS words, are not looked
-    for. Equal items are all reported. Repeated rows are judged alike.
+    Items with fewer than MIN_WORDS words are found as they stand only, word by word,
+    or character by character at an edge beyond ASCII. Items without id, text or
+    words are not looked for. Equal items are all reported. Repeated rows are judged
+    alike. A column named like `into` is replaced.
     """
     kind = "array<struct<item_id:long,edits:int,end_word:int>>"
-    found = F.expr(f"cast(array() as {kind})")
-    for rows in _blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Items(rows, max_edits))
-        found = F.concat(found, _searched(shared, kind)(F.col(text)))
-    return docs.withColumn(into, found)
+    rows, shared = docs.withColumn(into, F.expr(f"cast(array() as {kind})")), None
+    for block in _blocks(benchmark, item, item_text):
+        if shared is not None:
+            rows = settle(rows)
+            shared.unpersist()
+        shared = docs.sparkSession.sparkContext.broadcast(Items(block, max_edits))
+        rows = rows.withColumn(into, F.concat(into, _searched(shared, kind)(F.col(text))))
+    return rows
 
 
 def _searched(shared, kind: str):

@@ -1,4 +1,4 @@
-"""Exact Jaccard join of documents' shingle sets.
+"""Jaccard join of documents' shingle sets; exact for short sets, with a stated bound on misses for long ones.
 
 1. A set's shingles are hashed into groups; the group counts make the set a point.
    Sets within the threshold differ in few shingles, so of many blocks of groups
@@ -28,9 +28,9 @@ from ..functions.ordering import settle
 from .components import connected
 from .hashing import ODD, SPACE, mix, word_hashes
 
-#: Blocks that a set is looked up by, at most. Sets that have no more blocks are found for certain; for longer ones a
-#: linked pair is missed with a probability below 1e-8, as the hash draws the blocks.
-BLOCKS = 48
+#: Blocks that a set is looked up by: as many at least, and so many that a linked pair is missed with a probability below
+#: MISS, as the hash draws the blocks. Sets that have no more blocks are found for certain.
+BLOCKS, MISS = 48, 1e-8
 #: Sets of a candidate class that one task compares with one another.
 PART_SETS = 256
 PART_SHINGLES = 2_000_000
@@ -64,6 +64,24 @@ def _tau(size: int, num: int, den: int) -> int:
     return size * (den - num) // (den + num)
 
 
+def looked_up(num: int, den: int) -> tuple[int, int]:
+    """How many blocks a long set is looked up by, and the least shingles that a block counts with.
+
+    Two sets at the threshold share num / (den - num) shingles for each one that is in
+    one of them only. With x of those per block, x from 1/2 to 1 over a size band, a
+    block is alike with probability exp(-x), and holds a number of common shingles
+    that is Poisson with mean x num / (den - num).
+    """
+    if not 0 < num <= den:
+        raise ValueError(f"a threshold between 0 and 1 is needed, not {num}/{den}")
+    if num == den:
+        return BLOCKS, 2
+    shared = num / (den - num)
+    least = 2 if 3 * num >= 2 * den else 1
+    alike = min(math.exp(-x) * (1 - math.exp(-x * shared) * (1 + (x * shared if least == 2 else 0))) for x in (0.5, 0.625, 0.75, 0.875, 1.0))
+    return max(BLOCKS, math.ceil(math.log(MISS) / math.log1p(-alike))), least
+
+
 def block_keys(s: np.ndarray, num: int, den: int) -> list[int]:
     """Keys of a set in its size band and in the next if a linked set can lie there.
 
@@ -76,11 +94,12 @@ def block_keys(s: np.ndarray, num: int, den: int) -> list[int]:
     bands = [own] if n * den <= (1 << own) * num else [own, own + 1]
     keys: list[int] = []
     mixed = mix(s ^ ODD)
+    most, long_least = looked_up(num, den)
     for band in bands:
         top = 1 << band
         apart = _tau(2 * top, num, den)
         blocks = apart + 1
-        used = min(blocks, BLOCKS)
+        used = min(blocks, most)
         edges = (np.arange(1, used + 1, dtype=object) * (1 << 64) // blocks)
         cut = np.searchsorted(s, np.array([min(int(e), (1 << 64) - 1) for e in edges], dtype=np.uint64), side="left")
         if used == blocks:
@@ -91,7 +110,7 @@ def block_keys(s: np.ndarray, num: int, den: int) -> list[int]:
             enough = _tau(n + min(top, n * den // num), num, den) + 1
             least = next(c for c in (3, 2, 1, 0) if (count >= c).sum() >= enough or c == 0)
         else:
-            least = 2
+            least = long_least
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
         vector = sums[cut] - sums[begin]
         place = np.uint64(band << 32) + np.arange(used, dtype=np.uint64)
@@ -129,17 +148,21 @@ def _name(words: int):
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             nodes = [_unnamed(_set_hash(shingle_set(t, words))[0]) for t in batch["text"]]
-            yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "text": batch["text"].to_numpy()})
+            yield pd.DataFrame({"read": pd.Series(nodes, dtype="int64"), "text": batch["text"].to_numpy()})
 
     return named
 
 
 def _sets(words: int):
+    """The wanted sets; of the texts of one key only those whose set it is."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch.drop(columns=["text"])
-            out["shingles"] = [shingle_set(t, words).tobytes() for t in batch["text"]]
-            yield out
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            same = [_set_hash(s) == [a, b] for s, a, b in zip(sets, batch["h1"], batch["h2"])]
+            out = batch.drop(columns=["text", "h1", "h2"])
+            out["shingles"] = [s.tobytes() for s in sets]
+            yield out[np.array(same, dtype=bool)]
 
     return read
 
@@ -232,12 +255,15 @@ def jaccard_components(
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = settle(rows.mapInPandas(_signatures(words, num, den), "doc_id long, n_shingles long, h1 long, h2 long, unnamed long, keys array<long>"))
     full = signed.filter("n_shingles > 0")
-    nodes = settle(full.groupBy("h1", "h2", "n_shingles").agg(F.coalesce(F.min("doc_id"), F.min("unnamed")).alias("node")))
+    nodes = _nodes(full)
     placed = full.join(nodes, ["h1", "h2", "n_shingles"])
 
     met = _meetings(placed)
     classes = connected(met)
     roots = settle(_roots_within(rows, placed, classes, words, num, den))
+    same_key = _same_keys(placed)
+    if not same_key.isEmpty():
+        roots = settle(connected(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(same_key)))
 
     named = nodes.join(roots, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("root", "node").alias("root"))
     named = settle(named)
@@ -246,9 +272,26 @@ def jaccard_components(
     return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def _nodes(full: DataFrame) -> DataFrame:
+    """node and rep of each set: rep is the smallest key of its documents, node too, but for sets that share it with another one."""
+    sets = settle(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("unnamed").alias("unnamed")))
+    shared = settle(sets.filter("rep IS NOT NULL").groupBy("rep").agg(
+        F.count("*").alias("sets"), F.min(F.struct("h1", "h2")).alias("first")).filter("sets > 1").select("rep", "first"))
+    own = F.col("rep").isNotNull() & (F.col("first").isNull() | (F.col("first") == F.struct("h1", "h2")))
+    return settle(sets.join(shared, "rep", "left").select(
+        "h1", "h2", "n_shingles", "rep", F.when(own, F.col("rep")).otherwise(F.col("unnamed")).alias("node")))
+
+
+def _same_keys(placed: DataFrame) -> DataFrame:
+    """Links between the sets of documents with one key."""
+    keyed = placed.filter("doc_id IS NOT NULL").select("doc_id", "node")
+    several = settle(keyed.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("doc_id", "v"))
+    return settle(keyed.join(several, "doc_id").filter("node != v").select(F.col("node").alias("u"), "v").distinct())
+
+
 def _meetings(placed: DataFrame) -> DataFrame:
     """Links of each set with the first set of each of its keys, unverified."""
-    own = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("node")), F.col("keys"))
+    own = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("rep")), F.col("keys"))
     keys = placed.select("node", F.explode(own).alias("key"))
     firsts = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("key", "v")
     return keys.join(firsts, "key").filter("node != v").select(F.col("node").alias("u"), "v")
@@ -262,7 +305,7 @@ def _roots_within(rows: DataFrame, placed: DataFrame, classes: DataFrame, words:
     """
     classes = settle(classes)
     member = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
-    one = placed.groupBy("node").agg(F.max("n_shingles").alias("n"))
+    one = placed.groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("rep").alias("rep"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
     sized = settle(member.join(one, "node"))
     plan = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("volume"))
     parts = F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("volume") / PART_SHINGLES))
@@ -272,11 +315,12 @@ def _roots_within(rows: DataFrame, placed: DataFrame, classes: DataFrame, words:
     pivot = (F.col("parts") > 1) & (F.pmod(F.shiftright(key, 20), F.ceil(F.col("sets") / PIVOTS).cast("long")) == 0)
     own = F.pmod(key, F.col("parts").cast("long")).cast("int")
 
-    read = rows.filter(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").unionByName(
-        rows.filter(F.col("doc_id").isNull()).select("text").mapInPandas(_name(words), "node long, text string"))
-    texts = read.join(of_class.select("node", "root", "parts", own.alias("part"), pivot.alias("pivot")), "node")
+    wanted = of_class.select("node", F.coalesce("rep", "node").alias("read"), "h1", "h2", "root", "parts", own.alias("part"), pivot.alias("pivot"))
+    read = rows.filter(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "read").unionByName(
+        rows.filter(F.col("doc_id").isNull()).select("text").mapInPandas(_name(words), "read long, text string"))
     shape = "node long, root long, parts int, part int, pivot boolean, shingles binary"
-    sets = settle(texts.select("node", "root", "parts", "part", "pivot", "text").mapInPandas(_sets(words), shape).dropDuplicates(["node"]))
+    texts = read.join(wanted, "read").select("node", "h1", "h2", "root", "parts", "part", "pivot", "text")
+    sets = settle(texts.mapInPandas(_sets(words), shape).dropDuplicates(["node"]))
 
     where = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     dealt = sets.select("node", "root", "shingles", F.explode(where).alias("part"), F.col("node").alias("label"), F.lit(True).alias("asks"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.ordering import settle
 
 MAX_RATIO = 0.1
-MIN_PAGES = 5
+#: A line on one page only is not repeated, whatever the site's size.
+MIN_PAGES = 2
 
 
 def host_of(url: Column) -> Column:
@@ -40,26 +41,28 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    pages: DataFrame, site: str, text: str, *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    pages: DataFrame, site: str, text: str, *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = False,
 ) -> DataFrame:
     """Lines above the ratio: site, line_key, pages, site_pages, ratio.
 
     Pages with equal text count once, so a group of copies does not turn its own
-    lines into boilerplate. A null site is the site ''; a null text is a page
-    without lines. Blank lines never count. Lines are compared without spaces at
-    their ends. A line needs at least `min_pages` pages.
+    lines into boilerplate; with `copies` every page counts, in both numbers. A null
+    site is the site ''; a null text is a page without lines. Blank lines never
+    count. Lines are compared without spaces at their ends. A line needs at least
+    `min_pages` pages.
     """
     rows = pages.select(
         F.coalesce(F.col(site), F.lit("")).alias("site"), F.xxhash64(text).alias("page"), F.col(text).alias("text"))
-    sites = rows.groupBy("site").agg(F.count_distinct("page").alias("site_pages"))
+    pages_of = F.count("*") if copies else F.count_distinct("page")
+    sites = rows.groupBy("site").agg(pages_of.alias("site_pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     seen = rows.select("site", "page", F.explode(keys).alias("line_key"))
-    counts = seen.groupBy("site", "line_key").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= min_pages)
+    counts = seen.groupBy("site", "line_key").agg(pages_of.alias("pages")).filter(F.col("pages") >= min_pages)
     return counts.join(sites, "site").withColumn("ratio", F.col("pages") / F.col("site_pages")).filter(F.col("ratio") > max_ratio)
 
 
 def drop_site_lines(
-    pages: DataFrame, site: str, text: str, *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    pages: DataFrame, site: str, text: str, *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies: bool = False,
 ) -> DataFrame:
     """The same rows and columns with boilerplate lines cut from `text`, and a
     column `dropped_lines` with their number (`_` is added to a name that is taken).
@@ -67,7 +70,7 @@ def drop_site_lines(
     Every row stays, also one whose lines all go (its text is then ''). Null
     texts stay null. Line order stays.
     """
-    found = boilerplate_lines(pages, site, text, max_ratio=max_ratio, min_pages=min_pages)
+    found = boilerplate_lines(pages, site, text, max_ratio=max_ratio, min_pages=min_pages, copies=copies)
     of, bad, number = (fresh(pages.columns, name) for name in ("_site", "_cut", "dropped_lines"))
     # Written first: where it is small, pages are not shuffled; where not, the join can split a large site's pages.
     cut = settle(found.groupBy(F.col("site").alias(of)).agg(F.collect_list("line_key").alias(bad)))

@@ -103,7 +103,7 @@ sites AS (SELECT host, count(DISTINCT lines) AS site_pages FROM texts GROUP BY h
 each AS (SELECT DISTINCT host, lines, unnest(list_transform(string_split(lines, chr(10)), lambda x: trim(x))) AS line FROM texts),
 bad AS (
   SELECT e.host, list(e.line) AS cut FROM (
-    SELECT host, line, count(*) AS pages FROM each WHERE line <> '' GROUP BY host, line HAVING count(*) >= 5) e
+    SELECT host, line, count(*) AS pages FROM each WHERE line <> '' GROUP BY host, line HAVING count(*) >= 2) e
   JOIN sites s ON e.host = s.host WHERE e.pages / s.site_pages > 0.1 GROUP BY e.host)
 SELECT page_id, t.host,
   CAST(len(string_split(lines, chr(10))) - len(list_filter(string_split(lines, chr(10)), lambda x: NOT list_contains(coalesce(cut, []), trim(x)))) AS BIGINT) AS dropped_lines,

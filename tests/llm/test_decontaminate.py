@@ -92,3 +92,25 @@ def test_table(spark, planted):
     assert with_leaks(table, bench).count() == len(rows)
     assert leaks(spark.createDataFrame([], SCHEMA), bench).count() == 0
     assert leaks(table, bench.limit(0)).count() == 0
+
+
+def test_items_of_few_words_are_found_as_they_stand(spark):
+    items = [(1, "Capital of France: Paris"), (2, "日本の首都はどこですか。東京"), (3, "capital, of France (paris)?"), (4, "x1"), (5, " .,"), (6, "été")]
+    docs = [(1, "The CAPITAL of France -- Paris. And more"), (2, "質問：日本の首都はどこですか。東京です"), (3, "capital of old France paris"), (4, "ax1 x12 1x1"),
+            (5, "so: x1!"), (6, None), (7, ""), (8, "un étét"), (9, "capital of france parisian"), (10, "paris capital of france")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
+    assert sorted(map(tuple, leaks(df, bench).collect())) == [
+        (1, 1, 0, 5), (1, 3, 0, 5), (2, 2, 0, 1), (5, 4, 0, 2), (8, 6, 0, 2)]
+
+
+def test_several_blocks_find_what_one_finds(spark, planted, monkeypatch):
+    from ledgerlight.llm import decontaminate
+
+    items, docs = planted
+    bench = spark.createDataFrame([*items, (900, "w1 w2")], "item_id long, text string")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs[:60]], SCHEMA)
+    exact = lambda found: sorted((r.doc_id, r.item_id) for r in found.collect() if r.edits == 0)
+    whole = exact(leaks(df, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 800)
+    assert whole and exact(leaks(df, bench)) == whole

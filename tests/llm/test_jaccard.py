@@ -154,3 +154,25 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {(r.node, r.root) for r in connected(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {(i, find(i)) for i in parent if find(i) != i}
+
+
+def test_all_texts_of_one_key_take_part(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    c = b + " more"
+    rows = [(5, a), (5, b), (7, c), (8, a + " also"), (9, "alone with some other words here"), (7, "alone with some other words here"), (None, b), (3, "x"), (3, "y"), (3, None)]
+    check(spark, rows, threshold=(80, 100))
+
+
+@pytest.mark.parametrize("num", [85, 70, 50, 40])
+def test_long_sets_at_the_threshold_meet_at_any_threshold(num):
+    rng = np.random.default_rng(num)
+    missed = 0
+    for _ in range(300):
+        n = 600
+        common = int(np.ceil(2 * n * num / (100 + num)))
+        both = rng.integers(0, 1 << 64, common, dtype=np.uint64)
+        sets = [np.unique(np.concatenate((both, rng.integers(0, 1 << 64, n - common, dtype=np.uint64)))) for _ in range(2)]
+        missed += not set(block_keys(sets[0], num, 100)) & set(block_keys(sets[1], num, 100))
+    assert missed == 0
+    with pytest.raises(ValueError):
+        block_keys(both, 0, 100)

@@ -88,8 +88,10 @@ def test_site_lines(spark):
     got = drop_site_lines(_docs(spark, rows), "source", "text")
     assert got.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "dropped_lines"]
     key = lambda r: (str(r[0]), str(r[2]), str(r[1]))
-    assert sorted([(r.doc_id, r.text, r.source) for r in got.collect()], key=key) == sorted(_plain_cut(rows, 0.1, 5), key=key)
-    assert {r.site for r in boilerplate_lines(_docs(spark, rows), "source", "text").collect()} == {"hot"}
+    assert sorted([(r.doc_id, r.text, r.source) for r in got.collect()], key=key) == sorted(_plain_cut(rows, 0.1, 2), key=key)
+    five = drop_site_lines(_docs(spark, rows), "source", "text", min_pages=5)
+    assert sorted([(r.doc_id, r.text, r.source) for r in five.collect()], key=key) == sorted(_plain_cut(rows, 0.1, 5), key=key)
+    assert {r.site for r in boilerplate_lines(_docs(spark, rows), "source", "text").collect()} == {"hot", "copies"}
     assert drop_site_lines(_docs(spark, []), "source", "text").count() == 0
 
 
@@ -157,3 +159,17 @@ def test_license_score_is_the_largest_share_of_every_file(spark):
     got = {r.doc_id: r.score for r in scan_licenses(_docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
     for i, ws in enumerate(words):
         assert got[i] == pytest.approx(max(share(ws, line.split()) for _, line, _ in TEMPLATES)), texts[i]
+
+
+def test_small_sites_lose_their_menu_and_copies_count_on_request(spark):
+    from ledgerlight.llm.lines import drop_site_lines
+
+    rows = [(i, f"s{n}", f"menu\nonly {n} {i}") for n in (2, 4, 5, 30) for i in range(n)] + [(9, "one", "menu\nx")]
+    pages = spark.createDataFrame(rows, "id long, site string, text string")
+    got = drop_site_lines(pages, "site", "text").collect()
+    assert all(r.dropped_lines == (r.site != "one") and ("menu" in r.text) == (r.site == "one") for r in got)
+    # 3 of 12 pages are copies of one
+    rows = [(i, "s", f"a {i}\nb") for i in range(9)] + [(9 + i, "s", "copied\nb") for i in range(3)]
+    pages = spark.createDataFrame(rows, "id long, site string, text string")
+    assert sum(r.dropped_lines for r in drop_site_lines(pages, "site", "text", max_ratio=0.2).collect()) == 12
+    assert sum(r.dropped_lines for r in drop_site_lines(pages, "site", "text", max_ratio=0.2, copies=True).collect()) == 15

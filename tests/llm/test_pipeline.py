@@ -94,6 +94,16 @@ def test_near_duplicates_stage(stages):
     assert stages["near_duplicates"].groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
+def test_near_duplicates_are_rows_not_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, b + " more"), (None, a), (None, "c " + b[::-1]), (None, "c " + b[::-1]), (None, None), (9, ""), (2, a + " also")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    kept = P.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(2, a + " also"), (5, b), (None, "c " + b[::-1]), (None, None), (9, "")], key=str)
+
+
 def test_decontamination_stage(spark, stages, folder):
     items = [re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     held = {r.doc_id for r in stages["near_duplicates"].collect() for i in items if " ".join(i) in " ".join(re.findall(r"\w+", r.text.lower()))}
