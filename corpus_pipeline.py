@@ -43,14 +43,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies: five-word shingles, Jaccard of 0.8 or more.
+    """One row of each group of near copies, that of the smallest doc_id: five-word shingles, Jaccard of 0.8 or more.
 
-    Of repeated rows of one doc_id one stays. Rows without doc_id cannot be told apart and stay.
+    Rows are compared, not ids: different texts of one doc_id both stay, and of copies
+    without doc_id one stays. A row without doc_id stays only if no other row of its
+    group has one. Rows without words are no copies of anything.
     """
-    found = jaccard_components(docs, words=5, threshold=(80, 100))
-    first = settle(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    row, of = fresh(docs.columns, "_row"), fresh(docs.columns, "_group")
+    # written once: whatever made the rows, each keeps its number
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = jaccard_components(numbered, words=5, threshold=(80, 100), key=row)
+    ids = numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("order"))
+    groups = found.select(F.col("doc_id").alias(row), F.col("component_id").alias(of)).join(ids, row)
+    kept = settle(groups.groupBy(of).agg(F.min_by(row, "order").alias(row)).select(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
