@@ -28,7 +28,9 @@ from .operators.usage import (
     usage_daily, usage_daily_by, usage_monthly, usage_top_expensive, usage_user_breakdown, usage_user_stats,
 )
 from .plans.report import Report, monthly_facts, quick_summary, region_facts, report_suite, slim
+from .sources.charsets import fit_charsets
 from .sources.delimited import normalize_columns, read_delimited, read_inline, validate_input
+from .sources.heads import file_heads
 from .sources.intake import detect_delimiter, detect_delimiter_text, detect_encoding, file_magic_audit
 from .sources.usage_log import USAGE_SCHEMA, append_usage_log, parse_usage_lines, read_usage_log
 from .streaming.usage_stream import stream_rate_limit, stream_usage_daily, stream_usage_log

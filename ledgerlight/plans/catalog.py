@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import ledgerlight as L
 
 from ..functions.exprs import money
-from ..functions.ordering import work_path
+from ..functions.ordering import settle, work_path
 from ..streaming.sinks import drain_append, drain_update
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +284,21 @@ def _detect_encoding(s: SparkSession, d: str) -> DataFrame:
     return L.detect_encoding(s, path).filter(F.col("path").endswith(".txt")).select("encoding").distinct()
 
 
+WRITTEN = {"utf-8": "UTF-8", "iso8859-1": "ISO-8859-1", "utf-16-le": "UTF-16LE"}
+
+
+def _detect_encoding_model(s: SparkSession, d: str) -> DataFrame:
+    """Documents beyond ASCII written in three charsets, told apart by a model of the other half of the documents."""
+    docs = table(s, d, "documents").filter(F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike(r"[^\x00-\xFF]"))
+    path = work_path(s, "charsets")
+    for name, charset in WRITTEN.items():
+        even = docs.filter("doc_id % 2 = 0").select((F.col("doc_id") % 16).alias("bucket"), F.col("text").alias("value"))
+        even.write.option("encoding", charset).partitionBy("bucket").csv(f"{path}/written={name}")
+    model = settle(L.fit_charsets(docs.filter("doc_id % 2 = 1"), charsets=(*WRITTEN, "cp850", "mac_roman", "gbk", "shift_jis")))
+    of = lambda key: F.regexp_extract("path", f"{key}=([^/]*)/", 1)
+    return L.detect_encoding(s, path, model).select(of("written").alias("written"), of("bucket").cast("long").alias("bucket"), "encoding").distinct()
+
+
 def _logged(s: SparkSession, d: str) -> str:
     path = work_path(s, "usage")
     L.append_usage_log(usage_log(s, d).drop("cost_usd"), path)
@@ -449,6 +464,7 @@ def catalog() -> dict[str, Query]:
         "detect_delimiter": _detect_delimiter,
         "file_magic_audit": _file_magic_audit,
         "detect_encoding": _detect_encoding,
+        "detect_encoding_model": _detect_encoding_model,
         "stream_usage_daily": _stream_daily,
         "stream_rate_limit": _stream_rate,
     }

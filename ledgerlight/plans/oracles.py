@@ -662,6 +662,10 @@ FROM documents GROUP BY ALL""",
         "file_magic_audit": """SELECT doc_id % 4 AS kind_no, ['text', 'pdf', 'windows_executable', 'zip'][doc_id % 4 + 1] AS kind,
   doc_id % 4 = 0 AS accepted FROM documents GROUP BY ALL""",
         "detect_encoding": "SELECT DISTINCT 'utf-8' AS encoding FROM documents",
+        # each file's charset is the one that it was written with
+        "detect_encoding_model": """SELECT DISTINCT w AS written, doc_id % 16 AS bucket, w AS encoding
+FROM documents, (VALUES ('utf-8'), ('iso8859-1'), ('utf-16-le')) v(w)
+WHERE doc_id % 2 = 0 AND regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '[^\\x00-\\x{FF}]')""",
         # one attempt after the other, as a gate sees them
         "stream_rate_limit": f"""WITH RECURSIVE {USAGE},
 a AS (SELECT tenant_id, epoch_us(CAST("timestamp" AS TIMESTAMP)) AS us,

@@ -1,15 +1,19 @@
 """Checks over many files at once: separators, file kinds, encodings.
 
-Files are read whole by Spark's own sources, so that any file system it knows will do.
+File kinds and encodings need the first bytes of each file only, and no more is read.
 """
 
 from __future__ import annotations
 
 import codecs
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .charsets import likely_charsets
+from .heads import file_heads
 
 # Separators in order of preference, and where lines end.
 DELIMITERS = (",", "\t", ";", "|")
@@ -29,14 +33,17 @@ MAGIC = {
 ENCODINGS = ("utf-8", "gbk", "gb2312", "utf-16", "latin-1")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content of every file under `path`; empty files have no row."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+# Bytes of a file that its encoding is told from, and the confidence below which the fixed list decides.
+ENCODING_BYTES, SURE = 10_240, 0.7
+
+
+# ASCII text; other control characters are parts of wider characters.
+_PLAIN = re.compile(rb"[\t-\r\x1b -~]*")
 
 
 def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
     """Kind of every file by its first 8 bytes, and whether it may be text."""
-    heads = _files(spark, path).withColumn("_hex", F.hex(F.substring("content", 1, 8)))
+    heads = file_heads(spark, path, 8).withColumn("_hex", F.hex("head"))
     kind = F.when(F.col("_hex").rlike("^(00)*$"), "empty")
     for prefix, name in MAGIC.items():
         kind = kind.when(F.col("_hex").startswith(prefix), name)
@@ -44,25 +51,37 @@ def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
         "accepted", F.col("kind") == "text")
 
 
-@F.pandas_udf(T.StringType())
-def _first_fitting(contents: pd.Series) -> pd.Series:
-    def fit(content: bytes) -> str | None:
-        for name in ENCODINGS:
-            try:
-                codecs.decode(bytes(content), name)
-                return name
-            except UnicodeDecodeError:
-                continue
-        return None
+def _first_fitting(heads: pd.Series, whole: pd.Series) -> pd.DataFrame:
+    def fits(head: bytes, name: str, end: bool) -> bool:
+        try:
+            # a head may end within a character
+            codecs.getincrementaldecoder(name)().decode(head, end)
+            return True
+        except UnicodeDecodeError:
+            return False
+
+    listed = [next((n for n in ENCODINGS if fits(h, n, bool(w))), None) for h, w in zip(heads, whole)]
+    return pd.DataFrame({"listed": listed, "ascii": [_PLAIN.fullmatch(h) is not None for h in heads]})
 
-    return pd.Series([None if c is None else fit(c) for c in contents], dtype=object)
 
+def detect_encoding(spark: SparkSession, path: str, model: DataFrame | None = None, *, size: int = ENCODING_BYTES) -> DataFrame:
+    """path, encoding and confidence of every file, from its first `size` bytes.
 
-def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """The first known encoding that decodes the whole of every file; UTF-8 is told by Spark, others by their codecs."""
-    utf8 = F.is_valid_utf8("content")
-    other = _first_fitting(F.when(~utf8, F.col("content")))
-    return _files(spark, path).select("path", F.when(utf8, "utf-8").otherwise(other).alias("encoding"))
+    With a `model` (see `fit_charsets`), the charset under which the file's pairs of
+    bytes are likeliest; without one, or below a confidence of 0.7, the first of the
+    known encodings that decodes the head, without a confidence. Heads of plain ASCII
+    and empty files are UTF-8.
+    """
+    fitting = F.pandas_udf(_first_fitting, "listed string, ascii boolean")
+    heads = file_heads(spark, path, size)
+    listed = heads.select("path", fitting("head", F.col("length") <= size).alias("f")).select("path", "f.*")
+    if model is None:
+        return listed.select("path", F.col("listed").alias("encoding"), F.lit(None).cast("double").alias("confidence"))
+    likely = likely_charsets(heads.select("path", F.col("head").alias("data")), model)
+    sure = ~F.col("ascii") & (F.col("confidence") >= SURE)
+    return listed.join(likely, "path", "left").select(
+        "path", F.when(sure, F.col("charset")).otherwise(F.col("listed")).alias("encoding"),
+        F.when(sure, F.col("confidence")).alias("confidence"))
 
 
 def _regular_delimiter(lines: DataFrame, key: str) -> DataFrame:

@@ -287,3 +287,51 @@ def test_attempts_after_the_watermark_fail_the_drain(spark, tmp_path):
     stream = L.stream_usage_log(spark, str(tmp_path / "log"), max_files=1)
     with pytest.raises(ValueError, match="1 rows came later"):
         drain_append(L.stream_rate_limit(stream, 3, 60, watermark="1 minute"), "late")
+
+
+def test_heads_read_a_few_bytes_of_any_file(spark, tmp_path):
+    from ledgerlight.sources.heads import list_files
+
+    (tmp_path / "a" / "k=1").mkdir(parents=True)
+    (tmp_path / "a" / "k=1" / "x y.txt").write_bytes(b"0123456789")
+    (tmp_path / "a" / "_hidden.txt").write_bytes(b"no")
+    (tmp_path / "b.csv").write_bytes(b"")
+    with open(tmp_path / "large.bin", "wb") as file:  # three gigabytes, of which no block is written
+        file.write(b"MZ")
+        file.truncate(3 << 30)
+    rows = L.file_heads(spark, str(tmp_path), 4).collect()
+    assert sorted((r.path.split("/")[-1], r.length, bytes(r["head"])) for r in rows) == [
+        ("b.csv", 0, b""), ("large.bin", 3 << 30, b"MZ\0\0"), ("x%20y.txt", 10, b"0123")]
+    assert all(r.path.startswith(f"file:{tmp_path}") for r in rows)
+    kinds = {r.path.split("/")[-1]: r.kind for r in L.file_magic_audit(spark, f"file://{tmp_path}").collect()}
+    assert kinds == {"b.csv": "empty", "large.bin": "windows_executable", "x%20y.txt": "text"}
+    assert [f.split("/")[-1] for f in list_files(f"{tmp_path}/*.bin")] == ["large.bin"]
+    assert list_files(str(tmp_path / "b.csv")) == [str(tmp_path / "b.csv")]
+    with pytest.raises(Exception, match="missing"):
+        L.file_heads(spark, str(tmp_path / "missing"), 4).collect()
+
+
+def test_charsets_of_written_texts(spark, tmp_path):
+    import codecs
+    import random
+
+    rng = random.Random(2)
+    words = {"fr": "élève où être garçon noël déjà façon là".split(), "de": "über schön größe mädchen straße für".split(),
+             "ru": "это было очень хорошо потому что мы знали".split(), "ja": "日本 の 東京 です 私 は 学生 これ ひらがな".split()}
+    text = lambda: " ".join(rng.choice(words[rng.choice(("fr", "de"))] if k < 2 else words[("ru", "ja")[k - 2]]) for _ in range(60))
+    charsets = {0: ("utf-8", "cp1252", "cp850", "mac_roman", "utf-16-le"), 2: ("utf-8", "cp1251", "koi8-r", "utf-16-be"), 3: ("utf-8", "shift_jis", "euc_jp")}
+    known, want = [], {}
+    for group, names in charsets.items():
+        for n in range(30):
+            k = group + (n % 2 if group == 0 else 0)
+            known.append((text(),))
+            for name in names:
+                (tmp_path / f"{name}_{group}_{n}").write_bytes(text().encode(name))
+                want[f"{name}_{group}_{n}"] = name
+    (tmp_path / "plain").write_bytes(b"only ascii")
+    (tmp_path / "none").write_bytes(b"")
+    model = L.fit_charsets(spark.createDataFrame(known, "text string"), charsets=sorted({c for x in charsets.values() for c in x})).cache()
+    got = {r.path.split("/")[-1]: r for r in L.detect_encoding(spark, str(tmp_path), model).collect()}
+    assert got["plain"].encoding == got["none"].encoding == "utf-8" and got["plain"].confidence is None
+    right = sum(codecs.lookup(got[f].encoding).name == codecs.lookup(name).name for f, name in want.items())
+    assert right >= 0.95 * len(want) and all(got[f].confidence is None or got[f].confidence >= 0.7 for f in want)
