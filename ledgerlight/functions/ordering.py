@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .exprs import as_double, col
@@ -313,49 +313,100 @@ def _pick(work: DataFrame, targets: list[_Target]) -> None:
         t.value = found[(number[(t.name, t.low, t.high)], t.rank - t.below)]
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    *,
-    approx: bool = False,
-    pick_from: int = PICK_FROM,
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of several columns, NULL and NaN skipped.
+def _bracketed(work: DataFrame, brackets: dict[str, list[tuple[float, float]]], targets: list[_Target], pick_from: int) -> None:
+    """Place every target among the bracket ends, and read those that lie within a bracket; one scan.
 
-    Values are selected by narrowing: a sketch gives a small interval around the
-    rank, one counting scan confirms it, and this repeats until at most
-    `pick_from` values are left to sort. `approx=True` takes the sketch as it is.
+    Values within brackets are counted one by one, all others by the slot that they
+    fall into. Targets that a sketch missed, or whose slot holds more than `pick_from`
+    values, are left with the interval that holds them.
+    """
+    cuts = {n: sorted({x for pair in pairs for x in pair}) for n, pairs in brackets.items()}
+    wanted = {n: sorted({2 * i for low, high in brackets[n] for i in range(points.index(low) + 1, points.index(high) + 1)}) for n, points in cuts.items()}
+    slots = work.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("c"), F.expr(_slot(n, points)).alias("slot"), F.col(n).alias("v")) for n, points in cuts.items()
+    ]))).filter("slot IS NOT NULL")
+    inside = F.lit(False)
+    for n, found in wanted.items():
+        inside = inside | ((F.col("c") == n) & F.col("slot").isin(found))
+    counts = settle(slots.groupBy("c", "slot", F.when(inside, F.col("v")).alias("v")).agg(F.count("*").alias("n")))
+    held = {(r["c"], r["slot"]): r["n"] for r in counts.groupBy("c", "slot").agg(F.sum("n").alias("n")).collect()}
+    within: dict[tuple[str, int, int], _Target] = {}
+    for t in targets:
+        points, seen = cuts[t.name], 0
+        for slot in range(2 * len(points) + 1):
+            n = held.get((t.name, slot), 0)
+            if t.rank < seen + n:
+                break
+            seen += n
+        if slot % 2:
+            t.value = points[slot // 2]
+            continue
+        t.low, t.high = points[slot // 2 - 1] if slot else None, points[slot // 2] if slot < 2 * len(points) else None
+        t.below, t.inside = seen, n
+        if slot in wanted[t.name] and n <= pick_from:
+            within[(t.name, slot, t.rank - seen)] = t
+    if not within:
+        return
+    hit = F.lit(False)
+    for name, slot, at in within:
+        hit = hit | ((F.col("c") == name) & (F.col("slot") == slot) & (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at))
+    upto = F.sum("n").over(Window.partitionBy("c", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = counts.filter("v IS NOT NULL").withColumn("upto", upto).filter(hit)
+    found = [(r["c"], r["slot"], r["upto"] - r["n"], r["upto"], r["v"]) for r in few.collect()]
+    for (name, slot, at), t in within.items():
+        t.value = next(v for c, s, low, high, v in found if (c, s) == (name, slot) and low <= at < high)
+
+
+def quantiles_with(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], also: Sequence[Column] = (), *, approx: bool = False, pick_from: int = PICK_FROM,
+) -> tuple[dict[str, list[float | None]], Row]:
+    """`exact_quantiles`, and a row of other aggregates of `df` taken in the same scan.
+
+    The first scan counts and sketches, the second places the ranks and reads the
+    values around them. More scans follow only where a bracket holds more than
+    `pick_from` values, as from some 150 million rows on.
     """
-    if not cols:
-        return {}
     names = [f"c{i}" for i in range(len(cols))]
-    work = df.select(*[as_double(df, c).alias(n) for c, n in zip(cols, names)])
-    array = "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+    values = [as_double(df, c) for c in cols]
+    margin = 3 / SKETCH_ACCURACY
+    at = [x for p in probs for x in ((p,) if approx else (max(0.0, p - margin), min(1.0, p + margin)))]
+    sketches = [F.percentile_approx(v, F.array(*[F.lit(float(x)) for x in at]), F.lit(SKETCH_ACCURACY)) for v in values]
+    row = df.agg(*[F.count(v) for v in values], *sketches, *also).first()
+    counts, found, rest = row[: len(cols)], row[len(cols) : 2 * len(cols)], row[2 * len(cols) :]
     if approx:
-        row = work.agg(*[F.expr(f"percentile_approx({n}, {array}, {SKETCH_ACCURACY})") for n in names]).first()
-        return {c: list(row[i]) if row[i] else [None] * len(probs) for i, c in enumerate(cols)}
-    counts = work.agg(*[F.count(n) for n in names]).first()
-    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+        return {c: list(f) if f else [None] * len(probs) for c, f in zip(cols, found)}, rest
+    work = df.select(*[v.alias(n) for v, n in zip(values, names)])
     targets: dict[tuple[str, int], _Target] = {}
     for n, k in zip(names, counts):
-        if k:
-            for p in probs:
-                for rank in {math.floor((k - 1) * p), math.ceil((k - 1) * p)}:
-                    targets[(n, rank)] = _Target(n, rank, None, None, 0, k)
+        for rank in {f((k - 1) * p) for p in probs for f in (math.floor, math.ceil)} if k else ():
+            targets[(n, rank)] = _Target(n, rank, None, None, 0, k)
+    brackets = {n: [(f[2 * i], f[2 * i + 1]) for i in range(len(probs))] for n, k, f in zip(names, counts, found) if k > pick_from}
+    if brackets:
+        _bracketed(work, brackets, [t for t in targets.values() if t.name in brackets], pick_from)
     while wide := [t for t in targets.values() if t.value is None and t.inside > pick_from]:
         _narrow(work, wide)
     if open_ := [t for t in targets.values() if t.value is None]:
         _pick(work, open_)
+    result: dict[str, list[float | None]] = {}
     for c, n, k in zip(cols, names, counts):
-        if k:
-            values = []
-            for p in probs:
-                pos = (k - 1) * p
-                lo, hi = targets[(n, math.floor(pos))].value, targets[(n, math.ceil(pos))].value
-                values.append(lo + (hi - lo) * (pos - math.floor(pos)))
-            result[c] = values
-    return result
+        result[c] = [None] * len(probs)
+        for i, p in enumerate(probs if k else ()):
+            pos = (k - 1) * p
+            lo, hi = targets[(n, math.floor(pos))].value, targets[(n, math.ceil(pos))].value
+            result[c][i] = lo + (hi - lo) * (pos - math.floor(pos))
+    return result, rest
+
+
+def exact_quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], *, approx: bool = False, pick_from: int = PICK_FROM,
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of several columns, NULL and NaN skipped.
+
+    Values are selected by narrowing: a sketch gives a small interval around the
+    rank, one scan places the rank and reads what is there, and this repeats until at
+    most `pick_from` values are left to sort. `approx=True` takes the sketch as it is.
+    """
+    return quantiles_with(df, cols, probs, approx=approx, pick_from=pick_from)[0] if cols else {}
 
 
 def join_facts(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

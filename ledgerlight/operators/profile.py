@@ -12,7 +12,7 @@ from ..functions.exprs import (
     as_double, as_time, col, floor_days, is_temporal, missing_to_null, numeric_columns, ratio,
     require_columns, rows_from, text_columns,
 )
-from ..functions.ordering import exact_quantiles, settle
+from ..functions.ordering import quantiles_with, settle
 
 
 def sample_rows(df: DataFrame, n: int = 3, order_by: Sequence[str] = ()) -> DataFrame:
@@ -87,33 +87,20 @@ def profile_columns(df: DataFrame, *, approx: bool = False) -> DataFrame:
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, *, approx: bool = False) -> DataFrame:
-    """Extremes, mean, deviation, quartiles, share of zeros and skew per column."""
+    """Extremes, mean, deviation, quartiles, share of zeros and skew per column, in two scans."""
     cols = numeric_columns(df) if cols is None else list(cols)
     require_columns(df, cols)
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx)
-    wide = df.agg(*[
-        x for i, c in enumerate(cols) for x in (
-            F.count(as_double(df, c)).alias(f"n{i}"),
-            F.min(as_double(df, c)).alias(f"lo{i}"),
-            F.max(as_double(df, c)).alias(f"hi{i}"),
-            F.avg(as_double(df, c)).alias(f"a{i}"),
-            F.stddev_samp(as_double(df, c)).alias(f"s{i}"),
-            F.count_if(as_double(df, c) == 0).alias(f"z{i}"),
-            F.skewness(as_double(df, c)).alias(f"k{i}"),
-        )
-    ])
-    return rows_from(wide, [
-        F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-            F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"a{i}").alias("mean"),
-            F.lit(q[c][1]).cast("double").alias("median"),
-            F.col(f"s{i}").alias("std"),
-            F.lit(q[c][0]).cast("double").alias("q1"), F.lit(q[c][2]).cast("double").alias("q3"),
-            ratio(F.col(f"z{i}"), F.col(f"n{i}")).alias("zero_rate"),
-            F.when(F.col(f"n{i}") > 3, F.col(f"k{i}")).alias("skew"),
-        )
-        for i, c in enumerate(cols)
-    ])
+    moments = [
+        x for c in cols for v in (as_double(df, c),) for x in (
+            F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v), F.count_if(v == 0), F.skewness(v))
+    ]
+    q, found = quantiles_with(df, cols, [0.25, 0.5, 0.75], moments, approx=approx) if cols else ({}, ())
+    rows = []
+    for i, c in enumerate(cols):
+        n, low, high, mean, std, zeros, skew = found[7 * i : 7 * i + 7]
+        rows.append((c, n, low, high, mean, q[c][1], std, q[c][0], q[c][2], zeros / n if n else None, skew if n > 3 else None))
+    schema = "column string, count long, min double, max double, mean double, median double, std double, q1 double, q3 double, zero_rate double, skew double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def date_like_columns(df: DataFrame) -> list[str]:

@@ -80,3 +80,26 @@ def test_work_can_be_cleared(spark):
     assert O.clear_work(spark) >= 1
     with pytest.raises(Exception, match="."):
         back.count()
+
+
+@pytest.mark.parametrize("pick_from", [1, 50, 400, 100_000])
+def test_quantiles_from_two_scans_equal_a_sort(spark, pick_from):
+    import random
+
+    from ledgerlight.functions.ordering import quantiles_with
+
+    rng = random.Random(pick_from)
+    columns = {
+        "a": [rng.gauss(0, 5) for _ in range(3000)], "ties": [float(rng.randint(0, 3)) for _ in range(3000)],
+        "one": [7.0] * 3000, "few": [None if i % 100 else float(i) for i in range(3000)], "none": [None] * 3000,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(4)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got, rest = quantiles_with(df, list(columns), probs, [F.max("a"), F.count("*")], pick_from=pick_from)
+    assert tuple(rest) == (max(columns["a"]), 3000)
+    for c, values in columns.items():
+        values = sorted(v for v in values if v is not None)
+        for p, q in zip(probs, got[c]):
+            at = (len(values) - 1) * p
+            want = values[int(at)] + (values[min(int(at) + 1, len(values) - 1)] - values[int(at)]) * (at - int(at)) if values else None
+            assert q == pytest.approx(want) if values else q is None
