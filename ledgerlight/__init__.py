@@ -11,7 +11,7 @@ from .operators.profile import (
     sample_values,
 )
 from .operators.ranking import (
-    concentration, drill_down, drill_down_top, item_totals, pareto_abc, pareto_summary, region_analysis,
+    concentration, drill_down, drill_down_cube, drill_down_top, item_totals, pareto_abc, pareto_summary, region_analysis,
     region_extremes, top_ranking,
 )
 from .operators.roles import assign_roles, infer_roles, role_ambiguity

@@ -149,6 +149,30 @@ def drill_down(df: DataFrame, keys: list[str], m: str) -> DataFrame:
     )
 
 
+def drill_down_cube(df: DataFrame, keys: list[str], m: str) -> DataFrame:
+    """Sum and share at every level: for each subset of the dimensions, those left out are NULL.
+
+    `level` counts the dimensions of a row, and `grouping_id` has a bit for each one
+    left out, the first dimension's the highest. Shares are of the level's total and
+    0 if that is not positive. Rows with a missing dimension are left out at all
+    levels. Combinations are summed once, and the levels from those sums.
+    """
+    if len(keys) < 2:
+        raise ValueError("drill_down_cube needs at least two dimensions")
+    require_columns(df, [*keys, m])
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[missing_to_null(df, k).alias(n) for k, n in zip(keys, names)], missing_to_null(df, m).alias("_m"))
+    lowest = settle(rows.dropna(subset=names).groupBy(*names).agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_sum")))
+    levels = lowest.cube(*names).agg(F.sum("_sum").alias("_sum"), F.grouping_id().alias("grouping_id"))
+    total = with_total(lowest, "_sum")
+    return levels.filter(F.col("_sum").isNotNull()).select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)],
+        "grouping_id", (F.lit(len(keys)) - F.bit_count("grouping_id")).cast("int").alias("level"),
+        F.col("_sum").cast("double").alias("total"),
+        F.when(total > 0, ratio(F.col("_sum"), total)).otherwise(0.0).alias("share"),
+    )
+
+
 def drill_down_top(df: DataFrame, keys: list[str], m: str, n: int = 3) -> DataFrame:
     """The n combinations with the largest share."""
     return drill_down(df, keys, m).orderBy(F.col("share").desc(), *[col(k) for k in keys]).limit(n)

@@ -383,6 +383,7 @@ def catalog() -> dict[str, Query]:
         "region_analysis": _of_items(L.region_analysis, "r_name", "amount"),
         "region_extremes": _of_items(L.region_extremes, "r_name", "amount"),
         "drill_down": _of_items(L.drill_down, ["p_brand", "r_name"], "amount", digits=6),
+        "drill_down_cube": lambda s, p: _of_items(L.drill_down_cube, ["p_brand", "r_name"], "amount", digits=6)(s, p).fillna("(all)", ["p_brand", "r_name"]),
         "drill_down_top": _of_items(L.drill_down_top, ["p_brand", "r_name"], "amount", digits=6),
         # customers
         "rfm_values": lambda s, p: tidy(L.rfm_values(orders(s, p), "o_custkey", d, m).withColumn(
@@ -414,6 +415,10 @@ def catalog() -> dict[str, Query]:
             table(s, p, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), 3, ["o_orderkey"])),
         "sample_values": lambda s, p: L.sample_values(orders_with_gaps(s, p), "category", 5, ["o_orderkey"]),
         "quick_summary": _quick_summary,
+        "quick_summary_samples": lambda s, p: L.quick_summary(orders_with_gaps(s, p), GAP_ROLES, order_by=["-o_orderkey"]).select(
+            "row_count", F.inline(F.arrays_zip(F.array(F.lit(1), F.lit(2), F.lit(3)).alias("place"), "sample_rows"))).select(
+                "row_count", "place", F.get_json_object("sample_rows", "$.o_orderkey").cast("long").alias("o_orderkey"),
+                F.get_json_object("sample_rows", "$.order_date").alias("order_date"), F.get_json_object("sample_rows", "$.category").alias("category")),
         "infer_roles": _infer_roles,
         "role_ambiguity": _role_ambiguity,
         # cleaning

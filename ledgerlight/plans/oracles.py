@@ -372,6 +372,12 @@ SELECT count(*) AS region_count, round(sum(s), 4) AS total,
         "drill_down": f"""WITH {ITEMS}, g AS (SELECT p_brand, r_name, sum(amount) AS s FROM items GROUP BY 1, 2)
 SELECT p_brand, r_name, round(CAST(s AS DOUBLE), 6) AS total,
        round(CAST(s AS DOUBLE) / CAST(sum(s) OVER () AS DOUBLE), 6) AS share FROM g""",
+        "drill_down_cube": f"""WITH {ITEMS}
+SELECT CASE WHEN GROUPING(p_brand) = 1 THEN '(all)' ELSE p_brand END AS p_brand,
+  CASE WHEN GROUPING(r_name) = 1 THEN '(all)' ELSE r_name END AS r_name, CAST(GROUPING(p_brand, r_name) AS BIGINT) AS grouping_id,
+  CAST(2 - GROUPING(p_brand) - GROUPING(r_name) AS INTEGER) AS level, round(CAST(sum(amount) AS DOUBLE), 6) AS total,
+  round(CAST(sum(amount) AS DOUBLE) / (SELECT CAST(sum(amount) AS DOUBLE) FROM items), 6) AS share
+FROM items GROUP BY CUBE (items.p_brand, items.r_name)""",
         "drill_down_top": f"""WITH {ITEMS}, g AS (SELECT p_brand, r_name, sum(amount) AS s FROM items GROUP BY 1, 2)
 SELECT p_brand, r_name, round(CAST(s AS DOUBLE), 6) AS total,
        round(CAST(s AS DOUBLE) / (SELECT CAST(sum(s) AS DOUBLE) FROM g), 6) AS share
@@ -458,6 +464,9 @@ SELECT "column", count, round(mean, 4) AS mean, round(std, 4) AS std, round(min,
 FROM orders ORDER BY o_orderkey LIMIT 3""",
         "sample_values": f"""WITH {GAPS}
 SELECT category AS value FROM (SELECT category, o_orderkey FROM gaps WHERE category IS NOT NULL ORDER BY o_orderkey LIMIT 5)""",
+        "quick_summary_samples": f"""WITH {GAPS}
+SELECT (SELECT count(*) FROM gaps) AS row_count, CAST(row_number() OVER (ORDER BY o_orderkey DESC) AS INTEGER) AS place, o_orderkey, order_date, category
+FROM gaps ORDER BY o_orderkey DESC LIMIT 3""",
         "quick_summary": f"""WITH {GAPS}
 SELECT row_count, 6 AS col_count, 'o_orderkey,o_custkey,order_date,sales,category,note' AS column_names,
        CAST(score AS INTEGER) AS quality_score, TRUE AS has_date, TRUE AS has_numeric, 1 AS numeric_columns FROM quality""",

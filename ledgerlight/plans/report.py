@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import col, numeric_columns
 from ..functions.keywords import CUSTOMER_ROLES, NUMERIC_ROLES, PRODUCT_ROLES
-from ..functions.ordering import settle
+from ..functions.ordering import settle, sort_keys
 from ..operators.clean import clean, cleaning_log, quality_score
 from ..operators.customers import rfm_overview, rfm_summary
 from ..operators.insights import insights
@@ -195,12 +195,23 @@ def slim(results: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return {n: results[n].select(*SLIM_FIELDS[n] or results[n].columns) for n in results if n in SLIM_FIELDS}
 
 
-def quick_summary(df: DataFrame, roles: dict[str, str] | None = None, *, approx: bool = False) -> DataFrame:
-    """Rows, columns and their names, quality score, and whether dates and numbers are present."""
+def quick_summary(
+    df: DataFrame, roles: dict[str, str] | None = None, *, approx: bool = False, order_by: Sequence[str] = (), samples: int = 3,
+) -> DataFrame:
+    """Rows, columns and their names, quality score, and whether dates and numbers are present.
+
+    With `order_by` also `sample_rows`: the first rows in that order, each as JSON.
+    Columns are ascending, or descending after a '-', and should tell rows apart.
+    """
     named = roles_dict(df, roles)
     numbers = sum(r in NUMERIC_ROLES for r in named.values())
     has_date = "date" in named.values()
     score = quality_score(df, named, approx=approx)
+    shown = []
+    if order_by:
+        # `samples` rows reach the driver, whatever the table's size
+        rows = df.orderBy(*sort_keys(order_by)).limit(samples).select(F.to_json(F.struct("*")).alias("row")).collect()
+        shown = [F.array(*[F.lit(r["row"]) for r in rows]).cast("array<string>").alias("sample_rows")]
     return score.select(
         "row_count",
         F.lit(len(df.columns)).alias("col_count"),
@@ -208,7 +219,7 @@ def quick_summary(df: DataFrame, roles: dict[str, str] | None = None, *, approx:
         F.col("score").alias("quality_score"),
         F.lit(has_date).alias("has_date"),
         F.lit(numbers > 0).alias("has_numeric"),
-        F.lit(numbers).alias("numeric_columns"),
+        F.lit(numbers).alias("numeric_columns"), *shown,
     )
 
 

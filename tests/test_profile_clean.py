@@ -180,3 +180,12 @@ def test_mode_compares_numbers_as_numbers(spark):
     got = L.fill_mode(df, ["n", "t"]).collect()
     assert [(r.n, r.t) for r in got] == [(10, "b"), (9, "b"), (9, "a"), (9, "b")]
     assert dict(L.fill_mode(df, ["n"]).dtypes)["n"] == "int"
+
+
+def test_quick_summary_shows_rows_in_an_order(gaps):
+    import json
+
+    r = L.quick_summary(gaps, ROLES, order_by=["-sales"], samples=2).first()
+    assert [json.loads(x).get("sales") for x in r.sample_rows] == [500.0, 30.0]
+    assert "sample_rows" not in L.quick_summary(gaps, ROLES).columns
+    assert L.quick_summary(gaps.limit(0), ROLES, order_by=["n"]).first().sample_rows == []

@@ -92,3 +92,12 @@ def test_hot_customer(spark):
     seg = L.rfm_summary(df, "c", "d", "m")
     assert seg.agg(F.sum("customers")).first()[0] == df.select("c").distinct().count()
     assert seg.agg(F.sum("revenue_share")).first()[0] == pytest.approx(1.0)
+
+
+def test_cube_has_every_level_and_null_dimensions_are_no_rollup(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 5.0), (None, "x", 9.0), ("b", "x", None)], "k string, total string, m double")
+    got = {(r.k, r[1], r.grouping_id): (r.level, r[4], r.share) for r in L.drill_down_cube(df, ["k", "total"], "m").collect()}
+    assert got == {
+        ("a", "x", 0): (2, 1.0, 0.125), ("a", "y", 0): (2, 2.0, 0.25), ("b", "x", 0): (2, 5.0, 0.625), ("a", None, 1): (1, 3.0, 0.375),
+        ("b", None, 1): (1, 5.0, 0.625), (None, "x", 2): (1, 6.0, 0.75), (None, "y", 2): (1, 2.0, 0.25), (None, None, 3): (0, 8.0, 1.0)}
+    assert L.drill_down_cube(df.limit(0), ["k", "total"], "m").count() == 0
