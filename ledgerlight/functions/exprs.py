@@ -107,6 +107,22 @@ def as_time(df: DataFrame, name: str, formats: dict[str, str] = DATE_FORMATS, *,
     return F.lit(None).cast("timestamp_ntz")
 
 
+def day_first(df: DataFrame, names: Sequence[str]) -> dict[str, bool]:
+    """Which text columns write dates day first, of all columns in one scan; see `as_time`."""
+    texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+    if not texts:
+        return {}
+    slashed = [F.when(F.trim(col(n)).rlike(SLASHED), F.trim(col(n))) for n in texts]
+    most = df.agg(*[F.max(F.regexp_extract(t, SLASHED, i).cast("int")) for t in slashed for i in (1, 2)]).first()
+    return {n: (most[2 * k] or 0) > 12 and most[2 * k + 1] <= 12 for k, n in enumerate(texts)}
+
+
+def as_times(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    """`as_time` of several columns, whose order of day and month takes one scan for all."""
+    first = day_first(df, names)
+    return {n: as_time(df, n, day_first=first.get(n, False)) for n in names}
+
+
 def floor_days(start: Column, end: Column) -> Column:
     """Whole days between two times, rounded down; the time of day counts."""
     return F.floor(F.timestamp_diff("MICROSECOND", start, end) / F.lit(DAY_US)).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import as_double, as_time, col, missing_to_null, ratio, require_columns, rows_from
+from ..functions.exprs import as_double, as_times, col, missing_to_null, ratio, require_columns, rows_from
 from ..functions.keywords import LABEL_ROLES, NUMERIC_ROLES
 from ..functions.ordering import exact_quantiles, settle
 from .roles import roles_dict
@@ -102,7 +102,7 @@ def clean(df: DataFrame, roles: dict[str, str] | None = None, *, mark: bool = Fa
     dates, numbers, labels = _by_kind(df, roles)
     out = mark_duplicates(df) if mark else df
     if dates:
-        out = out.withColumns({c: as_time(df, c) for c in dates})
+        out = out.withColumns(as_times(df, dates))
     if numbers:
         out = fill_median(out, numbers, approx=approx)
     if labels:
@@ -158,7 +158,8 @@ def unparsed_dates(df: DataFrame, roles: dict[str, str] | None = None) -> DataFr
     if not dates:
         return df.sparkSession.createDataFrame([], "column string, filled_rows long, unparsed_rows long, unparsed_share double")
     filled = {c: F.trim(col(c).cast("string")) != "" for c in dates}
-    wide = df.select(*[F.struct(filled[c].alias("filled"), as_time(df, c).isNull().alias("bad")).alias(f"c{i}") for i, c in enumerate(dates)]).agg(*[
+    times = as_times(df, dates)
+    wide = df.select(*[F.struct(filled[c].alias("filled"), times[c].isNull().alias("bad")).alias(f"c{i}") for i, c in enumerate(dates)]).agg(*[
         x for i in range(len(dates)) for x in (
             F.count_if(F.col(f"c{i}.filled")).alias(f"n{i}"), F.count_if(F.col(f"c{i}.filled") & F.col(f"c{i}.bad")).alias(f"bad{i}"))
     ])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import (
-    as_double, as_time, col, floor_days, is_temporal, missing_to_null, numeric_columns, ratio,
+    as_double, as_times, col, floor_days, is_temporal, missing_to_null, numeric_columns, ratio,
     require_columns, rows_from, text_columns,
 )
 from ..functions.ordering import quantiles_with, settle
@@ -116,7 +116,7 @@ def profile_dates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     cols = date_like_columns(df) if cols is None else list(cols)
     require_columns(df, cols)
     native = {f.name for f in df.schema.fields if is_temporal(f.dataType)}
-    times = df.select(*[as_time(df, c).alias(f"t{i}") for i, c in enumerate(cols)])
+    times = df.select(*[t.alias(f"t{i}") for i, t in enumerate(as_times(df, cols).values())])
     # (column, day) pairs that combine before the shuffle; distinct counts side by side would copy every row per column
     days = times.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(f"t{i}").cast("date").alias("day")) for i in range(len(cols))

@@ -189,3 +189,17 @@ def test_quick_summary_shows_rows_in_an_order(gaps):
     assert [json.loads(x).get("sales") for x in r.sample_rows] == [500.0, 30.0]
     assert "sample_rows" not in L.quick_summary(gaps, ROLES).columns
     assert L.quick_summary(gaps.limit(0), ROLES, order_by=["n"]).first().sample_rows == []
+
+
+def test_scans_for_dates_do_not_grow_with_columns(spark, tmp_path):
+    rows = [(f"{d:02d}/0{m}/2024", f"0{m}/{d:02d}/2024", "x", None) for d, m in ((1, 2), (13, 3), (30, 4))]
+    for k in (1, 4):
+        names = [f"{n}{i}" for i in range(k) for n in ("dm", "md", "t", "none")]
+        spark.createDataFrame([r * k for r in rows], ", ".join(f"{n} string" for n in names)).write.parquet(str(tmp_path / str(k)))
+    plans = []
+    for k in (1, 4):
+        got = L.profile_dates(spark.read.parquet(str(tmp_path / str(k))))
+        assert {r["column"]: (str(r["first"])[:10], str(r["last"])[:10]) for r in got.collect()} == {
+            f"{n}{i}": ("2024-02-01", "2024-04-30") for i in range(k) for n in ("dm", "md")}
+        plans.append(got._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    assert plans[0] == plans[1] <= 3
