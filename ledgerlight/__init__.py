@@ -20,7 +20,7 @@ from .operators.series import (
     monthly_series, moving_avg_3, simple_forecast, time_series, yoy_comparison, yoy_summary,
 )
 from .operators.stats import (
-    anomaly_detect, anomaly_summary, corr_p_values, corr_pearson, corr_spearman, distribution, normality_test,
+    anderson_darling, anomaly_detect, anomaly_summary, corr_p_values, corr_pearson, corr_spearman, distribution, normality_test,
     redundant_pairs, strong_pairs,
 )
 from .operators.usage import (

@@ -395,6 +395,7 @@ def catalog() -> dict[str, Query]:
         # statistics
         "anomaly_detect": _of_stats(L.anomaly_detect, STAT_COLUMNS, digits=6),
         "anomaly_summary": _of_stats(L.anomaly_summary, STAT_COLUMNS),
+        "anderson_darling": _of_stats(L.anderson_darling, [*STAT_COLUMNS, "constant"], digits=3),
         "corr_pearson": _of_stats(L.corr_pearson, [*STAT_COLUMNS, "constant"], digits=6),
         "corr_spearman": _of_stats(L.corr_spearman, STAT_COLUMNS, digits=6),
         "corr_p_values": _of_stats(L.corr_p_values, STAT_COLUMNS, digits=5),

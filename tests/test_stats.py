@@ -102,3 +102,28 @@ def test_normality(spark):
     pdf = pd.DataFrame({"n": rng.normal(0, 1, 3000), "e": rng.exponential(1, 3000)})
     got = {r["column"]: r.is_normal for r in L.normality_test(spark.createDataFrame(pdf), ["n", "e"]).collect()}
     assert got == {"n": True, "e": False}
+
+
+def test_anderson_darling_equals_the_plain_sum(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    columns = {
+        "normal": [rng.gauss(3, 2) for _ in range(600)], "skewed": [rng.expovariate(1) for _ in range(600)],
+        "ties": [float(round(rng.gauss(0, 3))) for _ in range(600)], "far": [rng.gauss(0, 1) for _ in range(599)] + [900.0],
+        "constant": [2.5] * 600, "few": [None if i > 5 else float(i) for i in range(600)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(4)
+    got = {r["column"]: r for r in L.anderson_darling(df, list(columns)).collect()}
+    below = lambda z: math.erfc(-z / math.sqrt(2)) / 2
+    for c in ("normal", "skewed", "ties"):
+        x = sorted(columns[c])
+        n, mean = len(x), sum(x) / len(x)
+        std = math.sqrt(sum((v - mean) ** 2 for v in x) / (n - 1))
+        z = [(v - mean) / std for v in x]
+        want = -n - sum((2 * i + 1) * (math.log(below(z[i])) + math.log(below(-z[n - 1 - i]))) for i in range(n)) / n
+        assert got[c].statistic == pytest.approx(want, rel=1e-9) and got[c].n == n
+    assert got["normal"].is_normal and got["normal"].p_value > 0.05
+    assert not got["skewed"].is_normal and not got["far"].is_normal and got["far"].p_value == 0
+    assert got["constant"].statistic is None and got["few"].p_value is None and got["few"].n == 6
