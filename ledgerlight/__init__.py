@@ -23,6 +23,7 @@ from .operators.stats import (
     anderson_darling, anomaly_detect, anomaly_summary, corr_p_values, corr_pearson, corr_spearman, distribution, normality_test,
     redundant_pairs, strong_pairs,
 )
+from .operators.stored_profile import stored_parts, stored_profile, update_profile
 from .operators.usage import (
     budget_alert, depth_violations, member_usage, quota_violations, rate_refusals, rate_violations, usage_calls_per_day, usage_cost,
     usage_daily, usage_daily_by, usage_monthly, usage_top_expensive, usage_user_breakdown, usage_user_stats,

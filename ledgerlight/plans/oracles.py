@@ -507,6 +507,13 @@ SELECT "column", action, CAST(k AS BIGINT) AS affected_rows FROM (
   UNION ALL SELECT 'sales', 'filled_na', n_sales FROM facts
   UNION ALL SELECT 'sales', 'marked_outlier', out_sales FROM facts
   UNION ALL SELECT 'category', 'filled_na', n_cat FROM facts) WHERE k > 0""",
+        "stored_profile": f"WITH {GAPS}\n" + _union([
+            f"""SELECT '{c}' AS "column", count(*) AS row_count, count(*) - count({c}) AS null_count,
+  {f"CAST(min({c}) AS DOUBLE)" if number else "CAST(0 AS DOUBLE)"} AS min, {f"CAST(max({c}) AS DOUBLE)" if number else "CAST(0 AS DOUBLE)"} AS max,
+  {f"round(avg({c}), 4)" if number else "CAST(0 AS DOUBLE)"} AS mean, {f"round(stddev_samp({c}), 4)" if number else "CAST(0 AS DOUBLE)"} AS std,
+  TRUE AS unique_close, TRUE AS median_close FROM gaps"""
+            for c, number in (("o_orderkey", True), ("o_custkey", True), ("order_date", False), ("sales", True), ("category", False), ("note", False))
+        ]),
         "unparsed_dates": f"""WITH {GAPS}
 SELECT 'order_date' AS "column", count(*) AS filled_rows, count(*) FILTER (order_date = 'unknown') AS unparsed_rows,
   round(CAST(count(*) FILTER (order_date = 'unknown') AS DOUBLE) / count(*), 4) AS unparsed_share

@@ -203,3 +203,32 @@ def test_scans_for_dates_do_not_grow_with_columns(spark, tmp_path):
             f"{n}{i}": ("2024-02-01", "2024-04-30") for i in range(k) for n in ("dm", "md")}
         plans.append(got._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
     assert plans[0] == plans[1] <= 3
+
+
+def test_stored_profile_reads_new_partitions_only(spark, tmp_path):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [(k, rng.gauss(10 * k, 3) if rng.random() > 0.1 else None, f"t{rng.randint(0, 4000)}", None) for k in (1, 2, 3) for _ in range(4000)]
+    at, store = str(tmp_path / "table"), str(tmp_path / "store")
+    write = lambda part: spark.createDataFrame(part, "k int, x double, t string, none double").write.mode("append").partitionBy("k").parquet(at)
+    write([r for r in rows if r[0] < 3])
+    assert L.update_profile(spark.read.parquet(at), store, "k") == 2
+    # what is known is not read again: its files are no Parquet any more
+    for file in (tmp_path / "table").glob("k=[12]/*.parquet"):
+        file.write_bytes(b"gone")
+        (file.parent / f".{file.name}.crc").unlink()
+    write([r for r in rows if r[0] == 3])
+    read = lambda: spark.read.schema("x double, t string, none double, k int").parquet(at)
+    assert L.update_profile(read(), store, "k") == 1
+    assert L.update_profile(read(), store, "k") == 0 and L.stored_parts(spark, store) == ["1", "2", "3"]
+    got = by_column(L.stored_profile(spark, store))
+    x = sorted(r[1] for r in rows if r[1] is not None)
+    assert (got["x"].row_count, got["x"].null_count) == (12_000, 12_000 - len(x))
+    assert got["x"].mean == pytest.approx(statistics.fmean(x)) and got["x"].std == pytest.approx(statistics.stdev(x))
+    for p, q in ((0.25, got["x"].q1), (0.5, got["x"].median), (0.75, got["x"].q3)):
+        assert abs(sum(v <= q for v in x) / len(x) - p) <= 0.01
+    assert (got["x"].min, got["x"].max) == (x[0], x[-1])
+    assert abs(got["t"].unique_count - len({r[2] for r in rows})) <= 0.02 * 4000 and got["t"]["mean"] is None
+    assert got["none"].null_rate == 1 and got["none"].unique_count == 0 and got["none"].median is None
