@@ -54,9 +54,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
     found = jaccard_components(numbered, words=5, threshold=(80, 100), key=row)
     ids = numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("order"))
-    groups = found.select(F.col("doc_id").alias(row), F.col("component_id").alias(of)).join(ids, row)
-    kept = settle(groups.groupBy(of).agg(F.min_by(row, "order").alias(row)).select(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    groups = settle(found.select(F.col("doc_id").alias(row), F.col("component_id").alias(of)).join(ids, row))
+    first = settle(groups.groupBy(of).agg(F.count("*").alias("rows"), F.min_by(row, "order").alias("first")).filter("rows > 1").select(of, "first"))
+    # the rows that go are fewer than those that stay, and written first: where they are small, texts are not shuffled
+    gone = settle(groups.join(first, of).filter(F.col(row) != F.col("first")).select(row))
+    return numbered.join(gone, row, "left_anti").drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
