@@ -173,3 +173,18 @@ def test_small_sites_lose_their_menu_and_copies_count_on_request(spark):
     pages = spark.createDataFrame(rows, "id long, site string, text string")
     assert sum(r.dropped_lines for r in drop_site_lines(pages, "site", "text", max_ratio=0.2).collect()) == 12
     assert sum(r.dropped_lines for r in drop_site_lines(pages, "site", "text", max_ratio=0.2, copies=True).collect()) == 15
+
+
+def test_shards_of_a_partitioned_table_with_all_columns(spark, tmp_path):
+    # every folder holds a file of the same name: one row of each stands at the same place
+    rows = spark.range(4000).select("id", (F.col("id") % 200).alias("day"), F.concat(F.lit("t"), "id").alias("text"), F.col("id").alias("slot"), F.lit(None).cast("string").alias("shard"))
+    rows.coalesce(1).write.partitionBy("day").parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    write_shards(docs, str(tmp_path / "out"), 4, min_buckets=64)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.id, r.day, r.text, r.slot) for r in got) == [(i, i % 200, f"t{i}", i) for i in range(4000)]
+    assert {s: n for s, n in Counter(r.shard_ for r in got).items()} == {0: 1000, 1: 1000, 2: 1000, 3: 1000}
+    from ledgerlight.llm.sharding import _placed
+
+    sizes = [r["count"] for r in _placed(docs).groupBy(F.pmod(F.xxhash64(F.lit(17), "file", "row"), F.lit(64))).count().collect()]
+    assert len(sizes) == 64 and max(sizes) <= 2 * 4000 / 64
