@@ -90,7 +90,7 @@ def train_rows(key: Column) -> Column:
 def fit_rules(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE,
 ) -> Forest:
-    """Trees from `sample` labelled documents at most, whatever the corpus's size."""
+    """Trees from `sample` labelled documents at most, whatever the corpus's size; their keys and labels are broadcast."""
     chosen = (
         labels.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_label")).dropna().filter(train_rows(F.col("_id")))
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -100,7 +100,7 @@ def fit_rules(
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series(list(_frame(texts)[1]))
 
-    pairs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, F.col("_key") == F.col("_id"))
+    pairs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id"))
     got = pairs.select(features("_text").alias("x"), "_label").limit(sample).toPandas()
     rows = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit(rows, got["_label"].to_numpy(dtype=float), np.array(list(FEATURES.values())))
