@@ -1,13 +1,16 @@
 """Language identification by cross-parsing.
 
 Per language, a suffix automaton of labelled words finds the longest match from
-any place of a word. Parsing a text greedily into longest matches gives phrases;
-the language that needs fewest phrases per letter wins. Phrases end with a word,
-so each word is parsed once and remembered.
+any place of a word. Parsing a text greedily into longest matches gives phrases.
+A phrase names a place of what was learnt, so it costs the logarithm of the learnt
+length, and the language with the least cost per letter wins: one that was learnt
+from little text is not put off by its longer parses alone. Phrases end with a
+word, so each word is parsed once and remembered.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +25,8 @@ from .quality import train_rows
 #: Learnt from: about so many documents per language, chosen by a hash of their key, and so many of their words.
 SAMPLE_DOCS = 1500
 SAMPLE_WORDS = 4000
-#: A word is left to languages where it is at least this fraction as frequent as where it is most frequent.
+#: A word is left to languages where it is at least this fraction as frequent as where it is most frequent, unless a
+#: language would be left without words.
 SHARED = 0.2
 #: Longer words are learnt as pieces of so many characters, each of which overlaps the next by half.
 PIECE = 40
@@ -71,10 +75,11 @@ def suffix_automaton(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class CrossParser:
-    """languages, and per language the edges of its automaton."""
+    """languages, and per language the edges of its automaton and what a phrase costs."""
 
     languages: tuple[str, ...]
     automata: tuple[tuple[np.ndarray, np.ndarray], ...]
+    costs: tuple[float, ...] = ()
 
 
 def phrases(edges: dict[int, int], word: str) -> int:
@@ -141,10 +146,12 @@ def fit_parser(
     top = seen.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 3 * sample_words).select("l", "w", "n").toPandas()
     drawn_docs = {name: min(n, sample_docs) for name, n in sizes.items()}
     top["rate"] = top.n / top.l.map(drawn_docs)
-    top = top[top.rate >= SHARED * top.groupby("w").rate.transform("max")].sort_values(["l", "n", "w"], ascending=[True, False, True])
-    chosen = {name: group.w.head(sample_words).tolist() for name, group in top.groupby("l")}
+    top = top.sort_values(["l", "n", "w"], ascending=[True, False, True])
+    own = top[top.rate >= SHARED * top.groupby("w").rate.transform("max")]
+    chosen = {name: group.w.head(sample_words).tolist() for name, group in (*top.groupby("l"), *own.groupby("l"))}
     names = tuple(sorted(chosen))
-    return CrossParser(names, tuple(suffix_automaton(chosen[name]) for name in names))
+    costs = tuple(math.log2(1 + sum(map(len, chosen[name]))) for name in names)
+    return CrossParser(names, tuple(suffix_automaton(chosen[name]) for name in names), costs)
 
 
 def predict_language(
@@ -153,9 +160,8 @@ def predict_language(
     """One row per document: doc_id, held_out, lang_pred, score.
 
     A text that is null or has no letter is `und` with score 0, as is every text if
-    nothing could be learnt. Equal phrase counts go to the language that sorts
-    first. score weighs the languages by the fourth power of their inverse phrase
-    counts. A null key is not held out. Repeated rows get a row each; other columns
+    nothing could be learnt. Equal costs go to the language that sorts first. score
+    weighs the languages by the fourth power of their inverse costs. A null key is not held out. Repeated rows get a row each; other columns
     are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
@@ -167,7 +173,7 @@ def predict_language(
         if mark not in _KEPT:
             _KEPT.clear()
             _KEPT[mark] = _Parsed(parser)
-        known = _KEPT[mark]
+        known, costs = _KEPT[mark], np.array(parser.costs)
         for texts in batches:
             rows = []
             for t in texts:
@@ -175,7 +181,7 @@ def predict_language(
                 if not words:
                     rows.append(("und", 0.0))
                     continue
-                need = known.total(words)
+                need = known.total(words) * costs
                 best = int(need.argmin())
                 rows.append((parser.languages[best], float(1 / ((need[best] / need) ** 4).sum())))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
