@@ -166,16 +166,18 @@ def _slices(texts: list[str | None], rows: int = 500, chars: int = 4_000_000) ->
 
 def fit_line_field(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE,
+    sample_chars: int = SAMPLE_CHARS, sample_lines: int = SAMPLE_LINES,
 ) -> LineField:
-    """The field from `sample` labelled documents at most, taken from rows that may be learnt from."""
+    """The field from labelled documents that may be learnt from: `sample` at most, of up to `sample_chars` characters each
+    and `sample_lines` lines in all, in the order of a hash of their keys. A repeated key counts with each of its texts."""
     chosen = (
         labels.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_label")).dropna().filter(train_rows(F.col("_id")))
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
     pairs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, F.col("_key") == F.col("_id"))
-    pairs = pairs.filter(F.length("_text") <= SAMPLE_CHARS)
-    got = pairs.select("_text", "_label").limit(sample).toPandas()
-    room = np.cumsum([(t or "").count("\n") + 1 for t in got["_text"]]) <= SAMPLE_LINES
+    pairs = pairs.filter(F.length("_text") <= sample_chars)
+    got = pairs.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).select("_text", "_label").limit(sample).toPandas()
+    room = np.cumsum([(t or "").count("\n") + 1 for t in got["_text"]]) <= sample_lines
     got = got[room] if len(got) else got
     return fit_field(got["_text"].tolist(), got["_label"].to_numpy(dtype=float))
 

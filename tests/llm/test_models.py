@@ -172,3 +172,42 @@ def test_language_without_spaces_is_learnt(spark):
     assert parser.languages == ("glued", "spaced")
     got = predict_language(docs, parser).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert all(r.lang_pred == r.lang for r in got)
+
+
+def _labelled(spark, rows):
+    return spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(rows)], "doc_id long, text string, lang string")
+
+
+def test_every_learnt_language_can_be_predicted_and_ties_go_to_the_first(spark):
+    from ledgerlight.llm.language import fit_parser, predict_language
+
+    rows = [("red green blue " * 5, "a")] * 40 + [("red green", "b")] * 40 + [("one two three", "q"), ("one two three", "p")] * 30
+    parser = fit_parser(_labelled(spark, rows))
+    assert parser.languages == ("a", "b", "p", "q")
+    got = {r.doc_id: r.lang_pred for r in predict_language(_labelled(spark, [("one two", None), ("two three one", None), ("zzz", None), ("", None)]), parser).collect()}
+    assert got[0] == got[1] == "p" and got[2] in parser.languages and got[3] == "und"
+
+
+def test_a_language_learnt_from_little_text(spark):
+    import random
+
+    from ledgerlight.llm.language import fit_parser, predict_language
+
+    rng = random.Random(12)
+    syllables = {"much": "ka to mi re sol va nu pi da ler".split(), "little": "sha gro uf elt ym orv ast idj kwe zo".split()}
+    text = lambda l: " ".join("".join(rng.choice(syllables[l]) for _ in range(rng.randint(1, 4))) for _ in range(40))
+    parser = fit_parser(_labelled(spark, [(text("much"), "much") for _ in range(1500)] + [(text("little"), "little") for _ in range(30)]))
+    fresh = [(text(l), l) for l in ("much", "little") for _ in range(200)]
+    got = {r.doc_id: r.lang_pred for r in predict_language(_labelled(spark, fresh), parser).collect()}
+    assert sum(got[i] == l for i, (_, l) in enumerate(fresh)) >= 0.9 * len(fresh)
+    assert all(sum(got[i] == l for i, (_, l) in enumerate(fresh) if l == name) >= 180 for name in syllables)
+
+
+def test_line_field_takes_bounded_samples_in_hash_order(spark):
+    from ledgerlight.llm.linecrf import fit_line_field
+
+    docs = spark.createDataFrame([(i, ("good line\n" if i % 2 else "$$$ ###\n") * 20, i) for i in range(300)], "doc_id long, text string, x long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    one, other = (fit_line_field(d, labels, sample_lines=500) for d in (docs.repartition(5), docs.repartition(2, "x")))
+    assert (one.weights == other.weights).all() and (one.step == other.step).all()
+    assert not fit_line_field(docs, labels, sample_chars=10).weights.any()
