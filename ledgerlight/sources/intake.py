@@ -42,8 +42,8 @@ _PLAIN = re.compile(rb"[\t-\r\x1b -~]*")
 
 
 def file_magic_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Kind of every file by its first 8 bytes, and whether it may be text."""
-    heads = file_heads(spark, path, 8).withColumn("_hex", F.hex("head"))
+    """Kind of every file by its first 8 bytes, and whether it may be text. Files without a byte have no row."""
+    heads = file_heads(spark, path, 8).filter("length > 0").withColumn("_hex", F.hex("head"))
     kind = F.when(F.col("_hex").rlike("^(00)*$"), "empty")
     for prefix, name in MAGIC.items():
         kind = kind.when(F.col("_hex").startswith(prefix), name)
@@ -70,10 +70,10 @@ def detect_encoding(spark: SparkSession, path: str, model: DataFrame | None = No
     With a `model` (see `fit_charsets`), the charset under which the file's pairs of
     bytes are likeliest; without one, or below a confidence of 0.7, the first of the
     known encodings that decodes the head, without a confidence. Heads of plain ASCII
-    and empty files are UTF-8.
+    are UTF-8. Files without a byte have no row.
     """
     fitting = F.pandas_udf(_first_fitting, "listed string, ascii boolean")
-    heads = file_heads(spark, path, size)
+    heads = file_heads(spark, path, size).filter("length > 0")
     listed = heads.select("path", fitting("head", F.col("length") <= size).alias("f")).select("path", "f.*")
     if model is None:
         return listed.select("path", F.col("listed").alias("encoding"), F.lit(None).cast("double").alias("confidence"))
