@@ -22,6 +22,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import regex
 
@@ -155,13 +156,23 @@ class Merges:
                 yield part, self.special[part] if i % 2 else None
 
 
+@contextmanager
+def no_collection():
+    """Within it no garbage is collected: memos hold no cycles, and walking them again and again takes half of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Memo(dict):
     """Results by chunk of text, made on demand; forgets all when full. Long chunks are not kept."""
 
     def __init__(self, make, limit: int = 500_000, longest: int = 64):
         super().__init__()
-        # Results hold no cycles, and walking them again and again takes half of the time: garbage is collected when the memo is full.
-        gc.disable()
         self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, chunk: str):
@@ -169,7 +180,6 @@ class Memo(dict):
         if len(chunk) <= self.longest:
             if len(self) >= self.limit:
                 self.clear()
-                gc.collect()
             self[chunk] = made
         return made
 
@@ -177,10 +187,10 @@ class Memo(dict):
 class Encoder:
     """Streams texts to token ids, block by block."""
 
-    def __init__(self, merges: Merges):
+    def __init__(self, merges: Merges, words_kept: int = 300_000, chunks_kept: int = 500_000):
         self.merges = merges
-        self.words = words = Memo(lambda piece: tuple(merges.pretoken(piece)), limit=300_000)
-        self.chunks = Memo(lambda chunk: tuple(t for piece in PRETOKEN.findall(chunk) for t in words[piece]))
+        self.words = words = Memo(lambda piece: tuple(merges.pretoken(piece)), limit=words_kept)
+        self.chunks = Memo(lambda chunk: tuple(t for piece in PRETOKEN.findall(chunk) for t in words[piece]), limit=chunks_kept)
 
     def _long(self, part: str, start: int, end: int, size: int) -> Iterator[list[int]]:
         """The same for a long chunk of a part; long pre-tokens are encoded and emitted window by window."""

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,7 @@ def _tau(size: int, num: int, den: int) -> int:
     return size * (den - num) // (den + num)
 
 
+@cache
 def looked_up(num: int, den: int) -> tuple[int, int]:
     """How many blocks a long set is looked up by, and the least shingles that a block counts with.
 
@@ -127,9 +129,16 @@ def _unnamed(h1: int) -> int:
     return NO_ID + abs(h1) % NO_ID
 
 
+def _some(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The rows of all batches, so many at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def _signatures(words: int, num: int, den: int):
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _some(batches):
             rows = []
             for key, text in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(text, words)
@@ -157,7 +166,7 @@ def _sets(words: int):
     """The wanted sets; of the texts of one key only those whose set it is."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _some(batches):
             sets = [shingle_set(t, words) for t in batch["text"]]
             same = [_set_hash(s) == [a, b] for s, a, b in zip(sets, batch["h1"], batch["h2"])]
             out = batch.drop(columns=["text", "h1", "h2"])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PRETOKEN, Decoder, Encoder, Memo, Merges
+from .bpe import PRETOKEN, Decoder, Encoder, Memo, Merges, no_collection
 
 _KEPT: dict = {}
 
@@ -76,7 +76,9 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     def counted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = _kept(shared, Counter)
         for batch in texts:
-            yield pd.Series([counter.count(t) if t else 0 for t in batch], dtype="int64")
+            with no_collection():
+                counts = [counter.count(t) if t else 0 for t in batch]
+            yield pd.Series(counts, dtype="int64")
 
     return docs.select(
         F.col(key).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
@@ -84,6 +86,11 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     ).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def _frugal_encoder(merges: Merges) -> Encoder:
+    """Ids of whole texts take their own room, so less is remembered."""
+    return Encoder(merges, words_kept=100_000, chunks_kept=200_000)
+
+
 def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, `ids` (the token ids of the whole text) and `exact` (whether decoding them gives the text back).
 
@@ -93,13 +100,14 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
     shared = _broadcast(docs, path)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _kept(shared, Encoder)
+        encoder = _kept(shared, _frugal_encoder)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 texts = [t or "" for t in part["text"]]
-                ids = [[i for block in encoder.blocks(t) for i in block] for t in texts]
-                exact = [Decoder(encoder.merges).feed(x, True) == t for x, t in zip(ids, texts)]
+                with no_collection():
+                    ids = [[i for block in encoder.blocks(t) for i in block] for t in texts]
+                    exact = [Decoder(encoder.merges).feed(x, True) == t for x, t in zip(ids, texts)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": list(map(len, ids)), "ids": ids, "exact": exact})
 
     rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
@@ -147,7 +155,8 @@ def round_trip(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "
         encoder = _kept(shared, Encoder)
         names = list(map(str, range(max(shared.value.bytes_of) + 1)))
         for batch in texts:
-            rows = [_digests(encoder, names, t or "") for t in batch]
+            with no_collection():
+                rows = [_digests(encoder, names, t or "") for t in batch]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(key).alias("doc_id"), digests(F.col(text)).alias("d")).select("doc_id", "d.*")
