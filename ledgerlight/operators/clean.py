@@ -134,8 +134,10 @@ def _column_facts(df: DataFrame, roles: dict[str, str] | None, approx: bool) ->
     ])
 
 
-def cleaning_log(df: DataFrame, roles: dict[str, str] | None = None, *, approx: bool = False) -> DataFrame:
-    """One row per cleaning action with the number of rows it touches."""
+def cleaning_log(
+    df: DataFrame, roles: dict[str, str] | None = None, *, approx: bool = False, unparsed: bool = False,
+) -> DataFrame:
+    """One row per cleaning action with the number of rows it touches; `unparsed` adds texts in date columns that are no date."""
     facts = _column_facts(df, roles, approx)
     touched = {
         "type_converted": F.when(F.col("kind") == "date", F.col("rows")),
@@ -149,6 +151,9 @@ def cleaning_log(df: DataFrame, roles: dict[str, str] | None = None, *, approx:
     copies = find_duplicates(df).filter("duplicate_rows > 0").select(
         F.lit("__all__").alias("column"), F.lit("marked_duplicate").alias("action"),
         F.col("duplicate_rows").alias("affected_rows"))
+    if unparsed:
+        bad = unparsed_dates(df, roles).filter("unparsed_rows > 0")
+        actions = actions.unionByName(bad.select("column", F.lit("unparsed_date").alias("action"), F.col("unparsed_rows").alias("affected_rows")))
     return copies.unionByName(actions)
 
 

@@ -449,7 +449,7 @@ def catalog() -> dict[str, Query]:
         "fill_mode": _of_gaps(lambda g: L.fill_mode(g, ["category"]).select("o_orderkey", "category")),
         "mark_outliers": _mark_outliers,
         "clean": _of_gaps(lambda g: L.clean(g, GAP_ROLES)),
-        "cleaning_log": _of_gaps(L.cleaning_log, GAP_ROLES),
+        "cleaning_log": _of_gaps(L.cleaning_log, GAP_ROLES, unparsed=True),
         "unparsed_dates": _of_gaps(L.unparsed_dates, GAP_ROLES),
         "quality_score": _of_gaps(L.quality_score, GAP_ROLES),
         # reports

@@ -128,6 +128,13 @@ def test_unparsed_dates_are_counted_apart(gaps):
     assert L.unparsed_dates(gaps, {"sales": "revenue"}).count() == 0
 
 
+def test_cleaning_log_names_texts_that_are_no_date(gaps):
+    log = {(r["column"], r.action): r.affected_rows for r in L.cleaning_log(gaps, ROLES, unparsed=True).collect()}
+    assert log == {("when", "type_converted"): 4, ("when", "unparsed_date"): 1, ("sales", "filled_na"): 1,
+                   ("sales", "marked_outlier"): 1, ("category", "filled_na"): 1}
+    assert L.cleaning_log(gaps, {"sales": "revenue"}, unparsed=True).filter("action = 'unparsed_date'").count() == 0
+
+
 def test_score_is_clamped_and_truncates(spark):
     wide = spark.createDataFrame([tuple([None] * 12), tuple([None] * 11 + [1.0])], ", ".join(f"c{i} double" for i in range(12)))
     assert L.quality_score(wide, {"c0": "ignore"}).first().score == 0
