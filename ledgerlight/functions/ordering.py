@@ -23,6 +23,9 @@ from .exprs import as_double, col
 PICK_FROM = 100_000
 SKETCH_ACCURACY = 10_000
 
+# Values of a column that are sent whole to every task; more frequent ones than this share of the rows are never shuffled.
+LOOK_UP = 100_000
+
 # Folders of intermediate tables, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -126,50 +129,60 @@ def running_totals(
     return joined.select(*[col(c) for c in df.columns], *[col(o) for o in outs])
 
 
-def mid_ranks(values: DataFrame, names: Sequence[str]) -> DataFrame:
+def mid_ranks(
+    values: DataFrame, names: Sequence[str], views: dict[str, tuple[str, Sequence[str]]] | None = None,
+) -> DataFrame:
     """Replace every value of the columns by its mean rank among the column's values; NULLs stay.
 
-    One range shuffle of (column, value) pairs ranks all columns, and one
-    shuffle by row puts the ranks back. A frequent value may fill several
-    ranges; only values at the edge of a range need correcting, at most two per
-    range and column. Rows without any value are left out.
+    `views` (name: column, columns that must be there too) gives ranks within such rows
+    instead, several per column. Values are counted first, so that only distinct ones
+    are sorted, and a column's values are looked up once for all its views: frequent
+    ones, and all of a column with few, by broadcast; the others by a shuffle of the
+    rows. Rows without any rank are left out.
     """
-    rows = settle(values.select(*names, F.monotonically_increasing_id().alias("_id")))
-    long = rows.select("_id", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.col(n).alias("v")) for i, n in enumerate(names)
+    views = {n: (n, ()) for n in names} if views is None else views
+    groups = sorted({tuple(g) for _, g in views.values()})
+    of = {n: [(view, f"_g{groups.index(tuple(g))}") for view, (c, g) in views.items() if c == n] for n in names}
+    slots = range(max(map(len, of.values())))
+    rows = settle(values.select(*names)).select(*names, *[
+        F.expr(" AND ".join(f"{h} IS NOT NULL" for h in g) or "TRUE").alias(f"_g{k}") for k, g in enumerate(groups)])
+    long = rows.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(n).alias("v"), *[
+            (F.col(of[n][j][1]) if j < len(of[n]) else F.lit(False)).alias(f"in{j}") for j in slots])
+        for i, n in enumerate(names)
     ]))).filter("v IS NOT NULL")
-    placed = placed_by_range(long, [F.col("c"), F.col("v"), F.col("_id")])
-    part = Window.partitionBy("_pid", "c")
-    ranked = placed.select(
-        "_id", "_pid", "c", "v",
-        (F.rank().over(part.orderBy("v")) - 1).alias("less"),
-        F.count("*").over(Window.partitionBy("_pid", "c", "v")).alias("ties"),
-    )
-    ranges = settle(placed.groupBy("_pid", "c").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    earlier = Window.partitionBy("c").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select(
-        "_pid", "c", "n", "lo", "hi", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    below = F.when(F.col("v") == F.col("lo"), F.col("start")).otherwise(F.col("start") + F.col("n") - F.col("ties"))
-    edge = (
-        placed.join(F.broadcast(starts), ["_pid", "c"])
-        .filter((F.col("v") == F.col("lo")) | (F.col("v") == F.col("hi")))
-        .groupBy("c", "v", "_pid", "lo", "n", "start").agg(F.count("*").alias("ties"))
-        .select("c", "v", "ties", below.alias("less"))
-        .groupBy("c", "v").agg(F.min("less").alias("e_less"), F.sum("ties").alias("e_ties"))
-    )
-    mids = (
-        ranked.join(F.broadcast(starts.select("_pid", "c", "start")), ["_pid", "c"])
-        .join(F.broadcast(edge), ["c", "v"], "left")
-        .select(
-            "_id", "c",
-            (F.coalesce("e_less", F.col("start") + F.col("less"))
-             + (F.coalesce("e_ties", "ties") + 1) / 2).alias("mid"),
-        )
-    )
-    return mids.groupBy("_id").agg(*[
-        F.max(F.when(F.col("c") == i, F.col("mid"))).alias(n) for i, n in enumerate(names)
-    ]).select(*names)
+    counts = settle(long.groupBy("c", "v").agg(
+        F.count("*").alias("rows"), *[F.count_if(f"in{j}").alias(f"n{j}") for j in slots]))
+    sizes = {r["c"]: r for r in counts.groupBy("c").agg(
+        F.count("*").alias("values"), F.sum("rows").alias("rows"), F.max("rows").alias("most")).collect()}
+    totals = running_totals(counts, {f"n{j}": f"upto{j}" for j in slots}, ["v"], by=["c"])
+    ranked = settle(totals.select("c", "v", "rows", *[(F.col(f"upto{j}") - (F.col(f"n{j}") - 1) / 2).alias(f"mid{j}") for j in slots]))
+    found = rows
+    # the columns that take a shuffle come first, while the rows are narrow
+    for i in sorted(range(len(names)), key=lambda i: -sizes[i]["values"] if i in sizes else 0):
+        n = names[i]
+        mids = [f"mid{j}" for j in range(len(of[n]))]
+        known = ranked.filter(F.col("c") == i)
+        many = i in sizes and sizes[i]["values"] > LOOK_UP
+        hot = many and sizes[i]["most"] * LOOK_UP > sizes[i]["rows"]
+        often = F.col("rows") * LOOK_UP > F.lit(sizes[i]["rows"] if many else 0)
+        ranks = [[] for _ in mids]
+        if hot or not many:
+            few = known.filter(often).select(F.col("v").alias("_v"), *[F.col(m).alias(f"_{m}") for m in mids])
+            found = found.join(F.broadcast(few), F.col(n) == F.col("_v"), "left")
+            ranks = [[F.col(f"_{m}")] for m in mids]
+        if many:
+            # rows that find nothing here are spread by their hash
+            done = F.col(n).isNull() | F.col("_v").isNotNull() if hot else F.col(n).isNull()
+            found = found.withColumn("_spread", F.when(done, F.xxhash64(*found.columns)).otherwise(0)).drop("_v")
+            rest = known.filter(~often).select(F.col("v").alias("_v"), F.lit(0).cast("long").alias("_at"), *mids)
+            found = found.join(rest, (F.col(n) == F.col("_v")) & (F.col("_spread") == F.col("_at")), "left")
+            ranks = [r + [F.col(m)] for r, m in zip(ranks, mids)]
+        done = {n, "_v", "_spread", "_at", *mids, *[f"_{m}" for m in mids]}
+        found = found.select(*[c for c in found.columns if c not in done], *[
+            F.when(F.col(g), F.coalesce(*r)).alias(f"_r_{view}") for (view, g), r in zip(of[n], ranks)])
+    return found.select(*[F.col(f"_r_{view}").alias(view) for view in views]).filter(
+        F.coalesce(*[F.col(view) for view in views]).isNotNull())
 
 
 def rows_at_ranks(

@@ -80,8 +80,9 @@ def corr_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _pearson(values, names, list(combinations(names, 2)), dict(zip(names, cols)))
 
 
-def _pearson(values: DataFrame, names: list[str], pairs: list[tuple[str, str]], label: dict[str, str]) -> DataFrame:
-    means = values.agg(*[F.avg(n).alias(n) for n in names]).first()
+def _pearson(values: DataFrame, names: list[str], pairs: list[tuple[str, str]], label: dict[str, str],
+             means: dict[str, float] | None = None) -> DataFrame:
+    means = values.agg(*[F.avg(n).alias(n) for n in names]).first() if means is None else means
     mean = np.array([means[n] or 0.0 for n in names])
     spot = {n: i for i, n in enumerate(names)}
     left, right = (np.array([spot[p[k]] for p in pairs], dtype=int) for k in (0, 1))
@@ -117,31 +118,35 @@ def corr_spearman(df: DataFrame, cols: Sequence[str],
                   pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Pearson's r of the mean ranks, ranked within the rows where both are present.
 
-    Pairs whose gaps are in the same columns share their ranks; all are ranked in
-    one shuffle. `pairs` limits the work to those pairs, in the order of `cols`.
+    Pairs whose gaps are in the same columns share their ranks, and all ranks of a
+    column are looked up at once; they go straight into the sums, for the mean of
+    ranks is known. `pairs` limits the work to those pairs, in the order of `cols`.
     """
     require_columns(df, cols)
     names = [f"c{i}" for i in range(len(cols))]
-    values = df.select(*[as_double(df, c).alias(n) for c, n in zip(cols, names)])
-    missing = values.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
     label = dict(zip(names, cols))
+    chosen = [(a, b) for a, b in combinations(names, 2) if pairs is None or (label[a], label[b]) in pairs]
+    if not chosen:
+        return corr_pearson(df, cols).limit(0).withColumnRenamed("r", "rho")
+    used = [n for n in names if any(n in pair for pair in chosen)]
+    values = df.select(*[as_double(df, label[n]).alias(n) for n in used])
+    missing = values.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in used]).first()
     groups: dict[tuple, list[tuple[str, str]]] = {}
-    for a, b in combinations(names, 2):
-        if pairs is None or (label[a], label[b]) in pairs:
-            groups.setdefault(tuple(n for n in (a, b) if missing[n]), []).append((a, b))
-    # every column once per set of gaps, so that one shuffle ranks them all
-    views: dict[str, Column] = {}
+    for a, b in chosen:
+        groups.setdefault(tuple(n for n in (a, b) if missing[n]), []).append((a, b))
+    # every column once per set of gaps
+    views: dict[str, tuple[str, tuple]] = {}
     wanted = []
     for g, (holes, members) in enumerate(groups.items()):
-        there = reduce(lambda x, y: x & y, [F.col(h).isNotNull() for h in holes], F.lit(True))
         for pair in members:
             for n in pair:
-                views[f"{n}_{g}"] = F.when(there, F.col(n))
+                views[f"{n}_{g}"] = (n, holes)
             wanted.append((f"{pair[0]}_{g}", f"{pair[1]}_{g}"))
-    if not wanted:
-        return corr_pearson(df, cols).limit(0).withColumnRenamed("r", "rho")
-    ranked = settle(mid_ranks(values.select(*[v.alias(n) for n, v in views.items()]), list(views)))
-    found = _pearson(ranked, list(views), wanted, {n: label[n.split("_")[0]] for n in views})
+    there = [reduce(lambda x, y: x & y, [F.col(h).isNotNull() for h in holes], F.lit(True)) for holes in groups]
+    counted = values.agg(*[F.count_if(t) for t in there]).first()
+    means = {view: (counted[int(view.split("_")[1])] + 1) / 2 for view in views}
+    ranked = mid_ranks(values, used, views)
+    found = _pearson(ranked, list(views), wanted, {view: label[n] for view, (n, _) in views.items()}, means)
     return found.withColumnRenamed("r", "rho")
 
 

@@ -52,6 +52,23 @@ def test_mid_ranks_match_pandas_with_a_hot_value(skewed):
     assert sorted(zip(got.x, got.y)) == sorted(zip(want.x, want.y))
 
 
+def test_ranks_of_few_values_move_no_rows(skewed):
+    _, df = skewed
+    plan = O.mid_ranks(df.select("x", "y"), ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_ranks_sort_no_rows_in_windows(spark, monkeypatch):
+    monkeypatch.setattr(O, "LOOK_UP", 20, raising=False)
+    pdf = pd.DataFrame({"x": [float(i % 90) if i % 3 else 7.0 for i in range(2000)], "y": [None if i % 4 == 0 else -i / 8 for i in range(2000)]})
+    df = spark.createDataFrame(pdf).select("x", F.when(~F.isnan("y"), F.col("y")).alias("y"))
+    ranked = O.mid_ranks(df, ["x", "y"])
+    assert "Window" not in ranked._jdf.queryExecution().executedPlan().toString()
+    want = pdf.rank()
+    key = lambda row: tuple(-1.0 if pd.isna(v) else v for v in row)
+    assert sorted(map(key, ranked.collect())) == sorted(map(key, zip(want.x, want.y)))
+
+
 def test_rows_at_ranks(skewed):
     pdf, df = skewed
     long = df.select(F.lit("m").alias("measure"), F.col("x").alias("v"), "id")
