@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import ledgerlight as L
+from ledgerlight.functions import ordering
 from ledgerlight.operators import stats
 
 
@@ -65,6 +66,19 @@ def test_strong_and_redundant_pairs_do_not_overlap(data):
     assert strong == ({("x", "v"): "negative"} if want <= 0.95 else {})
 
 
+def test_strong_pairs_shuffle_rare_values_only(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "LOOK_UP", 15)
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random(3000) < 0.4, 2.0, rng.normal(0, 1, 3000))
+    pdf = pd.DataFrame({"x": x, "y": x + rng.normal(0, 0.5, 3000), "z": -np.round(x) + rng.normal(0, 0.4, 3000)})
+    pdf.loc[::6, "y"] = np.nan
+    got = {(r.col_a, r.col_b): r.spearman_rho for r in L.strong_pairs(spark.createDataFrame(pdf), ["x", "y", "z"]).collect()}
+    want = pdf.corr(method="spearman")
+    assert len(got) >= 2
+    for (a, b), rho in got.items():
+        assert rho == pytest.approx(want.loc[a, b], abs=1e-12)
+
+
 def test_outliers_are_strictly_outside(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, 7.0, 7.000001, None)], "v double")
     # quartiles 2.25 and 6.25, fences -3.75 and 12.25
