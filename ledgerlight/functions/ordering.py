@@ -138,13 +138,17 @@ def mid_ranks(
     instead, several per column. Values are counted first, so that only distinct ones
     are sorted, and a column's values are looked up once for all its views: frequent
     ones, and all of a column with few, by broadcast; the others by a shuffle of the
-    rows. Rows without any rank are left out.
+    rows. Without `views`, rows without any value are left out.
     """
-    views = {n: (n, ()) for n in names} if views is None else views
+    written = settle(values.select(*names))
+    if views is None:
+        # not on the ranks: the planner would infer a filter for every mixture of their names
+        views = {n: (n, ()) for n in names}
+        written = written.filter(" OR ".join(f"{n} IS NOT NULL" for n in names))
     groups = sorted({tuple(g) for _, g in views.values()})
     of = {n: [(view, f"_g{groups.index(tuple(g))}") for view, (c, g) in views.items() if c == n] for n in names}
     slots = range(max(map(len, of.values())))
-    rows = settle(values.select(*names)).select(*names, *[
+    rows = written.select(*names, *[
         F.expr(" AND ".join(f"{h} IS NOT NULL" for h in g) or "TRUE").alias(f"_g{k}") for k, g in enumerate(groups)])
     long = rows.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(n).alias("v"), *[
@@ -181,8 +185,7 @@ def mid_ranks(
         done = {n, "_v", "_spread", "_at", *mids, *[f"_{m}" for m in mids]}
         found = found.select(*[c for c in found.columns if c not in done], *[
             F.when(F.col(g), F.coalesce(*r)).alias(f"_r_{view}") for (view, g), r in zip(of[n], ranks)])
-    return found.select(*[F.col(f"_r_{view}").alias(view) for view in views]).filter(
-        F.coalesce(*[F.col(view) for view in views]).isNotNull())
+    return found.select(*[F.col(f"_r_{view}").alias(view) for view in views])
 
 
 def rows_at_ranks(

@@ -79,6 +79,17 @@ def test_strong_pairs_shuffle_rare_values_only(spark, monkeypatch):
         assert rho == pytest.approx(want.loc[a, b], abs=1e-12)
 
 
+def test_rank_correlation_with_gaps_in_every_column(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({f"v{i}": rng.normal(0, 1, 300).round(1) for i in range(6)})
+    for i in range(6):
+        pdf.loc[i :: 11 + i, f"v{i}"] = np.nan
+    got, want = pairs(L.corr_spearman(spark.createDataFrame(pdf), list(pdf)), "rho"), pdf.corr(method="spearman")
+    assert len(got) == 15
+    for (a, b), rho in got.items():
+        assert rho == pytest.approx(want.loc[a, b], abs=1e-12)
+
+
 def test_outliers_are_strictly_outside(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, 7.0, 7.000001, None)], "v double")
     # quartiles 2.25 and 6.25, fences -3.75 and 12.25
