@@ -13,7 +13,6 @@ from __future__ import annotations
 import codecs
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +42,16 @@ def fit_charsets(texts: DataFrame, *, text: str = "text", charsets: Sequence[str
     """
     names = [codecs.lookup(c).name for c in charsets]
 
-    @F.pandas_udf("array<binary>")
-    def written(rows: pd.Series) -> pd.Series:
-        def one(t: str, name: str) -> bytes | None:
+    # few rows at a time go to Python and back, as a whole Arrow batch of texts in all charsets is large
+    @F.udf("array<binary>", useArrow=False)
+    def written(text: str | None) -> list[bytes | None] | None:
+        def one(name: str) -> bytes | None:
             try:
-                return t.encode(name)
+                return text.encode(name)
             except UnicodeEncodeError:
                 return None
 
-        return pd.Series([None if t is None else [one(t, n) for n in names] for t in rows])
+        return None if text is None else [one(n) for n in names]
 
     encoded = texts.select(F.posexplode(written(F.col(text))).alias("at", "data")).filter("data IS NOT NULL")
     charset = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("at") + 1)
