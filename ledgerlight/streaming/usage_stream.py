@@ -45,11 +45,18 @@ def stream_usage_daily(stream: DataFrame, watermark: str | None = None) -> DataF
     )
 
 
+#: Waiting attempts kept as one value of the state, and verdicts given at a time.
+STORED_TOGETHER, GIVEN_TOGETHER = 1_024, 100_000
+
+
 class _RateGate(StatefulProcessor):
     """Per key: times of admitted attempts within the window, `burst` at most, and attempts that the watermark has not passed.
 
     An attempt is decided when the watermark passes it, for then no earlier one can
-    come any more. Waiting attempts are kept as one list per micro-batch.
+    come any more. The waiting attempts of a micro-batch are kept in order of time, in
+    runs of bounded length, with an index of (first time, number) per run. So each is
+    written and read once; of a micro-batch, only the run that the watermark cuts is
+    written again.
     """
 
     def __init__(self, burst: int, span: int):
@@ -58,32 +65,54 @@ class _RateGate(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", "us array<bigint>")
-        self.waiting = handle.getListState("waiting", "us array<bigint>")
-
-    def _wait(self, us: list[int]) -> None:
-        self.handle.registerTimer(-(-min(us) // 1000))
+        self.index = handle.getValueState("index", "runs binary")
+        self.waiting = handle.getMapState("waiting", "first bigint, number bigint", "us binary")
+
+    def _indexed(self) -> np.ndarray:
+        return np.frombuffer(self.index.get()[0] if self.index.exists() else b"", dtype=np.int64).reshape(-1, 2)
+
+    def _keep(self, index: np.ndarray, us: np.ndarray) -> np.ndarray:
+        """Store sorted times as runs; the index with them."""
+        number = int(index[:, 1].max()) + 1 if len(index) else 0
+        added = []
+        for i in range(0, len(us), STORED_TOGETHER):
+            run = us[i : i + STORED_TOGETHER]
+            added.append((int(run[0]), number + len(added)))
+            self.waiting.updateValue(added[-1], (run.tobytes(),))
+        return np.concatenate([index, np.array(added, dtype=np.int64).reshape(-1, 2)])
+
+    def _wait(self, index: np.ndarray) -> None:
+        self.index.update((index.tobytes(),))
+        if len(index):
+            self.handle.registerTimer(-(-int(index[:, 0].min()) // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        us = [int(t) for part in rows for t in part["us"]]
-        if us:
-            self.waiting.appendValue((us,))
-            self._wait(us)
+        us = [part["us"].to_numpy(dtype=np.int64) for part in rows]
+        if sum(map(len, us)):
+            self._wait(self._keep(self._indexed(), np.sort(np.concatenate(us))))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        us = np.array([t for part in self.waiting.get() for t in part[0]], dtype=np.int64)
-        due, later = np.sort(us[us <= passed]).tolist(), us[us > passed].tolist()
-        if due:
-            kept = deque(self.kept.get()[0] if self.kept.exists() else [])
-            admitted = _gate(due, self.burst, self.span, kept)
-            self.kept.update((list(kept),))
-            if later:
-                self.waiting.put([(later,)])
-                self._wait(later)
-            else:
-                self.waiting.clear()
-            yield pd.DataFrame({"key": pd.Series([key[0]] * len(due), dtype=object), "us": due, "admitted": admitted})
+        index = self._indexed()
+        reached = index[:, 0] <= passed
+        if not reached.any():
+            return
+        due, left = [], index[~reached]
+        for first, number in index[reached].tolist():
+            run = np.frombuffer(self.waiting.getValue((first, number))[0], dtype=np.int64)
+            self.waiting.removeKey((first, number))
+            cut = int(np.searchsorted(run, passed, side="right"))
+            due.append(run[:cut])
+            left = self._keep(left, run[cut:])
+        self._wait(left)
+        kept = deque(self.kept.get()[0] if self.kept.exists() else [])
+        due = np.sort(np.concatenate(due))
+        for i in range(0, len(due), GIVEN_TOGETHER):
+            us = due[i : i + GIVEN_TOGETHER]
+            admitted = _gate(us.tolist(), self.burst, self.span, kept)
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(us), dtype=object), "us": us, "admitted": admitted})
+        self.kept.update((list(kept),))
 
 
 def stream_rate_limit(stream: DataFrame, burst: int = 10, window_seconds: float = 1.0, *, key: str = "tenant_id",

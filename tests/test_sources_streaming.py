@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +283,93 @@ def test_state_decides_each_attempt_once_whatever_the_order_within_the_watermark
     assert not [r for r in rows if r.tenant_id == "end"]
 
 
+class _Cell:
+    """A state of any kind, which counts the eight-byte times that are written to it."""
+
+    def __init__(self, tally):
+        self.held, self.tally = {}, tally
+
+    def _put(self, at, value):
+        us = value[0]
+        self.tally[0] += len(us) // 8 if isinstance(us, bytes) else len(us)
+        self.held[at] = value
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return list(self.held.values()) if self.tally[1] == "list" else self.held.get(0)
+
+    def update(self, value):
+        self.held[0] = value
+
+    def clear(self):
+        self.held.clear()
+
+    def appendValue(self, value):
+        self._put(len(self.held), value)
+
+    def put(self, values):
+        self.clear()
+        for value in values:
+            self.appendValue(value)
+
+    def updateValue(self, at, value):
+        self._put(at, value)
+
+    def getValue(self, at):
+        return self.held.get(at)
+
+    def removeKey(self, at):
+        del self.held[at]
+
+
+class _Handle:
+    def __init__(self):
+        self.written, self.timers = [0, "list"], set()
+
+    def getValueState(self, *_):
+        return _Cell([0, "value"])
+
+    def getListState(self, *_):
+        return _Cell(self.written)
+
+    def getMapState(self, *_):
+        return _Cell(self.written)
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class _Passed:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_attempts_are_not_written_again_and_again():
+    from ledgerlight.streaming.usage_stream import _RateGate
+
+    rng = np.random.default_rng(5)
+    gate, handle, out, seen = _RateGate(3, 60_000_000), _Handle(), [], []
+    gate.init(handle)
+    for part in range(40):
+        # the attempts of a micro-batch spread over as much time as twenty more
+        us = (part * 1000 + rng.integers(0, 20_000, 30_000)) * 1_000_000
+        seen += us.tolist()
+        list(gate.handleInputRows(("t",), iter([pd.DataFrame({"us": us})]), None))
+        passed = part * 1_000_000 if part < 39 else 10**9
+        for at in sorted(t for t in handle.timers if t <= passed):
+            handle.timers.remove(at)
+            out += list(gate.handleExpiredTimer(("t",), _Passed(passed), None))
+    got = pd.concat(out)
+    assert sorted(zip(got.us, got.admitted)) == sorted((t, a) for t, a in replay(seen, 3, 60_000_000))
+    # runs cut by the watermark are written again, nothing else
+    assert handle.written[0] < 4 * len(seen)
+
+
 def test_attempts_after_the_watermark_fail_the_drain(spark, tmp_path):
     for t in ("00:00:00", "00:10:00", "00:11:00", "00:00:01"):
         L.append_usage_log(spark.createDataFrame([call(f"2024-01-01T{t}")], L.USAGE_SCHEMA).coalesce(1), str(tmp_path / "log"))
@@ -335,3 +424,12 @@ def test_charsets_of_written_texts(spark, tmp_path):
     assert got["plain"].encoding == "utf-8" and got["plain"].confidence is None and "none" not in got
     right = sum(codecs.lookup(got[f].encoding).name == codecs.lookup(name).name for f, name in want.items())
     assert right >= 0.95 * len(want) and all(got[f].confidence is None or got[f].confidence >= 0.7 for f in want)
+
+
+def test_texts_in_all_charsets_go_through_python_a_few_at_a_time(spark):
+    texts = spark.createDataFrame([("Grüße",), ("\u4e16\u754c",), (None,)], "text string")
+    model = L.fit_charsets(texts, charsets=["utf-8", "cp1252"])
+    assert "ArrowEvalPython" not in model._jdf.queryExecution().executedPlan().toString()
+    totals = {r.charset: r.weight for r in model.filter("pair = -1").collect()}
+    # 6 and 5 pairs of bytes of the first and second text in UTF-8, 4 of the first in cp1252
+    assert totals == {"utf-8": pytest.approx(-np.log(11 + 65536)), "cp1252": pytest.approx(-np.log(4 + 65536))}
