@@ -26,6 +26,9 @@ SKETCH_ACCURACY = 10_000
 # Values of a column that are sent whole to every task; more frequent ones than this share of the rows are never shuffled.
 LOOK_UP = 100_000
 
+# Spark's setting that removes the shuffle files of an execution at its end, rather than when the driver next collects garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Folders of intermediate tables, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -66,10 +69,18 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the table to shared storage and go on from there.
 
     A lost executor then cannot change which rows a partition holds, and later
-    steps read only the columns they need.
+    steps read only the columns they need. What was shuffled for it is removed.
     """
-    path = work_path(df.sparkSession, "settled")
-    df.write.parquet(path)
+    path, conf = work_path(df.sparkSession, "settled"), df.sparkSession.conf
+    before = conf.get(DROP_SHUFFLES, None)
+    conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(DROP_SHUFFLES)
+        else:
+            conf.set(DROP_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

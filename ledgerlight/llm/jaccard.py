@@ -4,7 +4,8 @@
    Sets within the threshold differ in few shingles, so of many blocks of groups
    at least one has equal counts in both. Blocks are the index's top level: their
    count vectors (as hashes) are keys, and sets with an equal key meet.
-2. Sets that meet, directly or over others, form a candidate class. Within a class
+2. Sets that meet are held against each other by sizes and counts. Those that may be
+   linked by them, directly or over others, form a candidate class. Within a class
    an R-tree over coarser count vectors bounds the overlap with a node's sets by
    the summed minima of coordinates; surviving pairs are verified on whole sets.
    Only pairs that are not linked already are verified, since links over others
@@ -36,10 +37,17 @@ BLOCKS, MISS = 48, 1e-8
 PART_SETS = 256
 PART_SHINGLES = 2_000_000
 PIVOTS = 32
+#: Sets of one key that are compared with one another at once.
+MEET_SETS = 4096
 GROUPS = 64
+#: Most groups that a point has on the way to the classes; one has a group for four to eight shingles, GROUPS at least.
+MOST_GROUPS = 4096
 FANOUT = 16
 #: Stands for a set none of whose documents has an id; ids are smaller.
 NO_ID = 1 << 62
+_BUCKET = ["key", "a", "b"]
+#: Stands for this count and any larger one.
+_FULL = (1 << 16) - 1
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -120,6 +128,20 @@ def block_keys(s: np.ndarray, num: int, den: int) -> list[int]:
     return keys
 
 
+def _point(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles by group; the more groups, the larger the set."""
+    groups = min(max(GROUPS, 1 << max(_band(len(s)) - 3, 0)), MOST_GROUPS)
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, _FULL).astype(np.uint16).tobytes()
+
+
+def _points(parts: list[bytes]) -> np.ndarray:
+    """The points as rows, folded to the groups of the one that has least."""
+    groups = min(map(len, parts)) // 2
+    counts = np.array([np.minimum(np.frombuffer(p, dtype=np.uint16).reshape(-1, groups).sum(axis=0), _FULL) for p in parts])
+    return np.where(counts == _FULL, 1 << 40, counts).astype(np.int64) if counts.max() == _FULL else counts.astype(np.uint16)
+
+
 def _set_hash(s: np.ndarray) -> list[int]:
     """128 bits for a set, as two longs."""
     return mix(np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s)) if len(s) else 0], dtype=np.uint64)).astype(np.int64).tolist()
@@ -143,8 +165,8 @@ def _signatures(words: int, num: int, den: int):
             for key, text in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(text, words)
                 h1, h2 = _set_hash(s)
-                rows.append((key, len(s), h1, h2, _unnamed(h1), block_keys(s, num, den) if len(s) else []))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "h1", "h2", "unnamed", "keys"])
+                rows.append((key, len(s), h1, h2, _unnamed(h1), block_keys(s, num, den) if len(s) else [], _point(s)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "h1", "h2", "unnamed", "keys", "point"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
@@ -204,6 +226,42 @@ class Tree:
         return self.order[here], bound
 
 
+def _stars(bucket: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """Links of the sets that sizes and counts join, directly or over others, with the smallest of them."""
+    nodes, sizes, points = bucket["node"].to_numpy(), bucket["n_shingles"].to_numpy(), _points(bucket["point"].tolist())
+    links, rest = [], np.arange(len(nodes))
+    while len(rest) > 1:
+        joined, rest = [rest[0]], rest[1:]
+        for i in joined:
+            fits = (sizes[rest] * den >= sizes[i] * num) & (sizes[i] * den >= sizes[rest] * num)
+            near = rest[fits]
+            bound = np.minimum(points[near], points[i]).sum(axis=1, dtype=np.int64)
+            fits[fits] = bound * (num + den) >= num * (sizes[near] + sizes[i])
+            joined += rest[fits].tolist()
+            rest = rest[~fits]
+        first = nodes[joined].min()
+        links += [(u, first) for u in nodes[joined].tolist() if u != first]
+    return links
+
+
+def _may_link(num: int, den: int):
+    """The stars of each bucket; the rows of a bucket follow one another."""
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            names = held[_BUCKET].to_numpy()
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist()]
+            found = [x for a, b in zip(starts, starts[1:]) for x in _stars(held.iloc[a:b], num, den)]
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+            held = held.iloc[starts[-1] :]
+        if held is not None:
+            yield pd.DataFrame(_stars(held, num, den), columns=["u", "v"], dtype="int64")
+
+    return links
+
+
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
@@ -262,12 +320,12 @@ def jaccard_components(
     """
     num, den = threshold
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(rows.mapInPandas(_signatures(words, num, den), "doc_id long, n_shingles long, h1 long, h2 long, unnamed long, keys array<long>"))
+    signed = settle(rows.mapInPandas(_signatures(words, num, den), "doc_id long, n_shingles long, h1 long, h2 long, unnamed long, keys array<long>, point binary"))
     full = signed.filter("n_shingles > 0")
     nodes = _nodes(full)
     placed = full.join(nodes, ["h1", "h2", "n_shingles"])
 
-    met = _meetings(placed)
+    met = _meetings(placed, num, den)
     classes = connected(met)
     roots = settle(_roots_within(rows, placed, classes, words, num, den))
     same_key = _same_keys(placed)
@@ -298,12 +356,28 @@ def _same_keys(placed: DataFrame) -> DataFrame:
     return settle(keyed.join(several, "doc_id").filter("node != v").select(F.col("node").alias("u"), "v").distinct())
 
 
-def _meetings(placed: DataFrame) -> DataFrame:
-    """Links of each set with the first set of each of its keys, unverified."""
-    own = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("rep")), F.col("keys"))
-    keys = placed.select("node", F.explode(own).alias("key"))
-    firsts = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("key", "v")
-    return keys.join(firsts, "key").filter("node != v").select(F.col("node").alias("u"), "v")
+def _meetings(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of sets that have a key in common and may be linked by sizes and counts, as stars, unverified.
+
+    Sets with a passage in common have keys in common too. Links by keys alone would
+    chain them to classes that grow faster than the table.
+    """
+    own = placed.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("rep")))
+    keys = own.select("node", F.explode("keys").alias("key"))
+    several = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).filter("v < last").select("key")
+    shared = settle(keys.join(several, "key").select("key", "node").distinct())
+    members = [F.count("*").alias("sets"), F.min("node").alias("v"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("all")]
+    # keys of the same sets count once
+    once = settle(shared.groupBy("key").agg(*members).groupBy("sets", "v", "last", "all").agg(F.min("key").alias("key")).select("key", "sets"))
+    asked = settle(shared.join(once, "key").select("key", "sets", "node"))
+    points = settle(own.select("node", "n_shingles", "point").join(asked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+    parts = F.ceil(F.col("sets") / MEET_SETS).cast("int")
+    placed_in = asked.select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    # each two parts of a key's sets meet
+    pairs = placed_in.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).filter("parts = 1 OR part != other")
+    dealt = pairs.select("node", "key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).join(points, "node")
+    return dealt.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET).mapInPandas(_may_link(num, den), "u long, v long")
 
 
 def _roots_within(rows: DataFrame, placed: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerlight.llm import jaccard
@@ -106,6 +107,49 @@ def test_large_class_is_split_into_parts(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_sets_with_a_common_passage_are_no_class(spark, monkeypatch):
+    classes, write = [], jaccard.settle
+
+    def settle(df):
+        out = write(df)
+        if out.columns == ["root", "parts", "sets"]:
+            classes.extend(r.sets for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "settle", settle)
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    rows = [(i, " ".join(words(rng, 20) + passage + words(rng, rng.randrange(20, 40)))) for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(5)]
+    check(spark, rows)
+    assert 5 <= len(classes) and max(classes) < 10
+
+
+def test_many_sets_of_a_key_meet_in_parts(spark, monkeypatch, corpus):
+    monkeypatch.setattr(jaccard, "MEET_SETS", 3)
+    check(spark, corpus[:400])
+
+
+def test_linked_sets_are_joined_by_sizes_and_counts():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 9, 60, 130, 500, 520, 1030, 4100):
+        sets = []
+        for _ in range(4):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            sets += [np.unique(np.concatenate((a[int(n * cut) :], rng.integers(0, 1 << 63, int(n * more), dtype=np.uint64)))) for cut, more in ((0, 0), (0, 0.1), (0.1, 0), (0.07, 0.07), (0, 0.24))]
+        bucket = pd.DataFrame({"node": np.arange(len(sets)), "n_shingles": [len(s) for s in sets], "point": [jaccard._point(s) for s in sets]})
+        joined = {u: v for u, v in jaccard._stars(bucket, 80, 100)}
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard._linked(sets[i], sets[j], 80, 100)]
+        assert len(linked) >= 4 and all(joined.get(i, i) == joined.get(j, j) for i, j in linked)
+        assert n < 60 or len({joined.get(i, i) for i in range(len(sets))}) >= 4
+
+
+def test_counts_that_do_not_fit_bound_nothing():
+    full = np.array([jaccard._FULL, 3] + [0] * 62, dtype=np.uint16).tobytes()
+    bucket = pd.DataFrame({"node": [4, 2], "n_shingles": [200_000, 200_000], "point": [full, full]})
+    assert jaccard._stars(bucket, 80, 100) == [(4, 2)]
+
+
 def test_empty_table(spark):
     check(spark, [])
 

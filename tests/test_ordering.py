@@ -1,5 +1,8 @@
 """Order statistics and running totals against numpy and pandas, with hot values."""
 
+import re
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -120,3 +123,20 @@ def test_quantiles_from_two_scans_equal_a_sort(spark, pick_from):
             at = (len(values) - 1) * p
             want = values[int(at)] + (values[min(int(at) + 1, len(values) - 1)] - values[int(at)]) * (at - int(at)) if values else None
             assert q == pytest.approx(want) if values else q is None
+
+
+def test_settle_leaves_no_shuffle_files(spark):
+    def files():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        return set(re.findall(r"shuffle_\d+", env.blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    conf = spark.conf.get(O.DROP_SHUFFLES, None)
+    before = files()
+    rows = spark.range(20_000).groupBy((F.col("id") % 700).alias("k")).count().repartition(5, "k")
+    settled = O.settle(rows)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(O.DROP_SHUFFLES, None) == conf
+    assert settled.count() == rows.count() == 700
